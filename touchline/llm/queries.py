@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from touchline.llm import chat, mixing, token_index
+from touchline.llm import chat, decontaminate, mixing, token_index, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,16 @@ def op4_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op6_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.read_records(warc.write_archives(_table(spark, sf_dir, "pages")))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_benchmark_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_benchmark(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return decontaminate.judge(found).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -31,6 +41,8 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_preference_format": op3_preference_format,
     "op4_token_index": op4_token_index,
+    "op6_warc_index": op6_warc_index,
+    "op8_benchmark_hits": op8_benchmark_hits,
     "op10_source_mix": op10_source_mix,
 }
 
@@ -84,5 +96,38 @@ o as (
     - coalesce(sum(size) over (partition by d.source order by k, doc_id, size rows between unbounded preceding and 1 preceding), 0) as room
   from d join b on d.source is not distinct from b.source)
 select doc_id, cast(size as bigint) as size, source_size, target, cast(epochs * size + greatest(0, least(room, size)) as bigint) as taken from o
+""",
+    "op8_benchmark_hits": r"""
+with d as (
+  select doc_id, row_number() over () as r, regexp_extract_all(translate(coalesce("text", ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+i as (
+  select distinct item_id, regexp_extract_all(translate("text", 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+win as (
+  select distinct item_id, least(13, len(w)) as n, array_to_string(w[k : k + least(13, len(w)) - 1], ' ') as g
+  from (select item_id, w, unnest(range(1, greatest(1, len(w) - 12) + 1)) as k from i where len(w) > 0)),
+lens as (select distinct n from win),
+occ as (
+  select r, k, n, array_to_string(w[k : k + n - 1], ' ') as g
+  from (select r, w, n, unnest(range(1, len(w) - n + 2)) as k from d, lens where len(w) >= n)),
+hit as (select occ.r, occ.k, occ.n, win.item_id from occ join win on occ.n = win.n and occ.g = win.g),
+hits as (select r, count(distinct p) as n_hit from (select r, unnest(range(k, k + n)) as p from hit) group by r),
+items as (select r, count(*) as n_items, string_agg(item_id, ',' order by item_id) as ids from (select distinct r, cast(item_id as varchar) as item_id from hit) group by r)
+select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256,
+  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from d left join hits using (r) left join items using (r)
+""",
+    "op6_warc_index": r"""
+with p as (select page_id, coalesce(html, '') as html from pages),
+g as (select html, max(page_id) as response_id from p group by html),
+x as (
+  select page_id, g.response_id, octet_length(encode(html)) as payload_bytes, from_hex(sha1(html)) as raw
+  from p join g using (html)),
+b as (
+  select *, (select string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast(
+      ((get_bit(bits, k * 5) * 16 + get_bit(bits, k * 5 + 1) * 8 + get_bit(bits, k * 5 + 2) * 4 + get_bit(bits, k * 5 + 3) * 2 + get_bit(bits, k * 5 + 4))) as int) + 1, 1), '' order by k)
+      from (select cast(unnest(range(0, 32)) as int) as k)) as payload_digest
+  from (select *, cast(raw as bit) as bits from x))
+select page_id, payload_bytes, payload_digest, case when page_id = response_id then 'response' else 'revisit' end as record_type,
+  case when page_id <> response_id then response_id end as refers_to from b
 """,
 }
