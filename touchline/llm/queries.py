@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from touchline.llm import chat, decontaminate, mixing, token_index, warc
+from touchline.llm import chat, decontaminate, html_text, mixing, token_index, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def op3_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = chat.gather_turns(_table(spark, sf_dir, "conversations"))
     return chat.format_preferences(chat.reply_pairs(turns))
@@ -39,6 +43,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_main_text": op2_main_text,
     "op3_preference_format": op3_preference_format,
     "op4_token_index": op4_token_index,
     "op6_warc_index": op6_warc_index,
