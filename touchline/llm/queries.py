@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from touchline.llm import chat, decontaminate, html_text, mixing, token_index, warc
+from touchline.llm import chat, decontaminate, html_text, mixing, quality, token_index, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op6_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_benchmark_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_benchmark(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return decontaminate.judge(found).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -47,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_preference_format": op3_preference_format,
     "op4_token_index": op4_token_index,
     "op6_warc_index": op6_warc_index,
+    "op7_quality_score": op7_quality_score,
     "op8_benchmark_hits": op8_benchmark_hits,
     "op10_source_mix": op10_source_mix,
 }

@@ -127,3 +127,8 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarr
         else:
             out.append(np.zeros(0, dtype=np.uint64))
     return out
+
+
+def byte_values(data: np.ndarray) -> np.ndarray:
+    """Lower-cased bytes as 64-bit values to make n-grams of."""
+    return _BYTE[_LOWER[data]]
