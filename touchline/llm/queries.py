@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from touchline.llm import chat, decontaminate, html_text, mixing, quality, token_index, warc
+from touchline.llm import chat, decontaminate, html_text, mixing, ngram_join, quality, token_index, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(_table(spark, sf_dir, "documents"))
+
+
 def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages"))
 
@@ -47,6 +51,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_main_text": op2_main_text,
     "op3_preference_format": op3_preference_format,
     "op4_token_index": op4_token_index,
@@ -57,6 +62,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op1_ngram_join": r"""
+with recursive d as (
+  select doc_id, regexp_extract_all(translate(coalesce("text", ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+sh as (
+  select distinct doc_id, array_to_string(w[k : k + least(5, len(w)) - 1], ' ') as g
+  from (select doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) as k from d where len(w) > 0)),
+n as (select doc_id, count(*) as n from sh group by doc_id),
+common as (select a.doc_id as x, b.doc_id as y, count(*) as c from sh a join sh b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+link as (
+  select x, y from common join n nx on nx.doc_id = x join n ny on ny.doc_id = y where 100 * c >= 75 * (nx.n + ny.n - c)),
+edge as (select x as a, y as b from link union all select y, x from link),
+reach as (select doc_id as a, doc_id as b from documents union select r.a, e.b from reach r join edge e on e.a = r.b)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, r.c as component_id
+from d left join n using (doc_id) join (select a, min(b) as c from reach group by a) r on r.a = d.doc_id
+""",
     "op3_preference_format": r"""
 with t as (
   select conv_id, coalesce(role, 'user') as role, coalesce("text", '') as txt,
