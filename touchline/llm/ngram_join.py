@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm import text_hash
+from touchline.llm import blocks, text_hash
 from touchline.llm.components import connected_components
 from touchline.llm.shared import cut
 from touchline.llm.signature_tree import Forest, Similar, join
@@ -50,8 +50,8 @@ _SIZE_STEPS = 12  # size classes for each doubling, kept in a prefix key's last
 
 def mark_of(s: np.ndarray) -> int:
     """64-bit mark of a set, as a signed number."""
-    total = np.add.reduce(text_hash.mix(s ^ _U(0xA24BAED4963EE407))) if len(s) else _U(0)
-    return int(text_hash.mix(np.array([total + _U(len(s))], dtype=np.uint64)).view(np.int64)[0])
+    total = np.array([len(s)], dtype=np.uint64) + np.add.reduce(text_hash.mix(s ^ _U(0xA24BAED4963EE407)), dtype=np.uint64)
+    return int(text_hash.mix(total).view(np.int64)[0])
 
 
 def describe(documents: DataFrame, n: int = WORDS) -> DataFrame:
@@ -238,22 +238,15 @@ def similar_edges(documents: DataFrame, described: DataFrame, n: int, percent: i
     pairs = cut(hub_pairs(prefix_rows(documents, token_order(described), n, percent), percent))
     # One document stands for each set; its text is fetched only if its set is in a block.
     stands = described.filter("seen is null and size > 0").groupBy("mark").agg(F.min("doc_id").alias("doc_id"))
-    sizes = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("sets"))
-    placed = pairs.join(sizes, "hub").join(stands, "mark").withColumn("parts", F.ceil(F.col("sets") / cell).cast("int"))
-    part = F.when(F.col("parts") <= 1, F.array(F.lit(0))).when(F.col("mark") == F.col("hub"), F.sequence(F.lit(0), F.col("parts") - 1))
-    placed = placed.withColumn("part", F.explode(part.otherwise(F.array(F.pmod(F.xxhash64("mark"), F.col("parts")).cast("int"))))).withColumn("spread", F.lit(False))
+    placed = blocks.deal(pairs, cell).join(stands, "mark")
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = cut(join_blocks(_with_text(placed, texts), n, percent))
     edges = found.filter(~F.col("apart")).select("a", "b")
     split = cut(placed.filter("parts > 1"))
     if split.isEmpty():
         return edges
-    apart = found.filter("apart").select(F.col("a").alias("hub"), F.col("b").alias("mark")).distinct().withColumn("is_apart", F.lit(True))
-    again = split.filter("mark <> hub").join(apart, ["hub", "mark"], "left")
-    every = F.when(F.col("is_apart"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("part"))
-    again = again.select("hub", "mark", "doc_id", F.coalesce("is_apart", F.lit(False)).alias("spread"), F.explode(every).alias("part"))
-    busy = again.filter("spread").select("hub").distinct()
-    more = join_blocks(_with_text(again.join(busy, "hub", "left_semi"), texts), n, percent)
+    again = blocks.deal_again(split, found.filter("apart").select(F.col("a").alias("hub"), F.col("b").alias("mark"))).join(stands, "mark")
+    more = join_blocks(_with_text(again, texts), n, percent)
     return edges.unionByName(cut(more.filter(~F.col("apart")).select("a", "b")))
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from touchline.llm import chat, decontaminate, html_text, mixing, ngram_join, quality, token_index, warc
+from touchline.llm import chat, decontaminate, html_text, lattice, mixing, ngram_join, quality, token_index, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op4_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op5_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.read_records(warc.write_archives(_table(spark, sf_dir, "pages")))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_main_text": op2_main_text,
     "op3_preference_format": op3_preference_format,
     "op4_token_index": op4_token_index,
+    "op5_lattice_dedup": op5_lattice_dedup,
     "op6_warc_index": op6_warc_index,
     "op7_quality_score": op7_quality_score,
     "op8_benchmark_hits": op8_benchmark_hits,
