@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from touchline.llm import chat, decontaminate, html_text, lattice, mixing, ngram_join, quality, token_index, warc
+from touchline.llm import chat, decontaminate, html_text, language_model, lattice, mixing, ngram_join, quality, token_index, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,10 @@ def op8_benchmark_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.judge(found).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op9_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_warc_index": op6_warc_index,
     "op7_quality_score": op7_quality_score,
     "op8_benchmark_hits": op8_benchmark_hits,
+    "op9_interpolated_lm": op9_interpolated_lm,
     "op10_source_mix": op10_source_mix,
 }
 
