@@ -20,6 +20,9 @@ key of its own and sorts first; an empty table gives no files.
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -57,7 +60,7 @@ def build_block(h: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """
     n = len(h)
     pilots, slots, free = np.zeros(n_buckets, dtype=np.uint32), np.zeros(n, dtype=np.int64), np.ones(n, dtype=bool)
-    bucket = (h % _U(n_buckets)).astype(np.int64)
+    bucket = bucket_of(h, n_buckets)
     order = np.argsort(bucket, kind="stable")
     sizes = np.bincount(bucket, minlength=n_buckets)
     ends = np.cumsum(sizes)
@@ -84,6 +87,14 @@ def build_block(h: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return pilots, slots
 
 
+def bucket_of(h: np.ndarray, n) -> np.ndarray:
+    return (mix(h ^ _U(0xE7037ED1A0B428DB)) % np.asarray(n, dtype=np.uint64)).astype(np.int64)
+
+
+def block_of(h: np.ndarray, n: int) -> np.ndarray:
+    return (mix(h ^ _U(0x8EBC6AF09C88C6E3)) % _U(n)).astype(np.int64)
+
+
 def slot_of(h: np.ndarray, pilot: np.ndarray, n) -> np.ndarray:
     return (mix(h ^ mix(pilot + _U(0xA0761D6478BD642F))) % np.uint64(n)).astype(np.int64)
 
@@ -95,7 +106,7 @@ def _blocks(n_keys: int) -> int:
 def write_index(folder: str, number: int, h: np.ndarray, entries: np.ndarray) -> None:
     """One index file; ``entries`` are in the order of ``h``."""
     n_blocks = _blocks(len(h))
-    block = ((h >> _U(40)) % _U(n_blocks)).astype(np.int64)
+    block = block_of(h, n_blocks)
     order = np.argsort(block, kind="stable")
     sizes = np.bincount(block, minlength=n_blocks)
     pilots, table, at = [], [], 0
@@ -133,9 +144,9 @@ class Index:
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(entries, found): found is false where the fingerprint differs."""
-        block = ((h >> _U(40)) % _U(len(self.sizes))).astype(np.int64)
+        block = block_of(h, len(self.sizes))
         size = self.sizes[block]
-        bucket = (h % self.buckets[block].astype(np.uint64)).astype(np.int64)
+        bucket = bucket_of(h, self.buckets[block])
         pilot = self.pilots[(np.cumsum(self.buckets) - self.buckets)[block] + bucket].astype(np.uint64)
         slot = slot_of(h, pilot, np.maximum(size, 1).astype(np.uint64)) + (np.cumsum(self.sizes) - self.sizes)[block]
         if not len(self.table):
@@ -144,6 +155,76 @@ class Index:
         return entries, (size > 0) & (entries["mark"] == mix(h + _U(1)))
 
 
+class Encoder:
+    """Ids of whole texts, as little-endian bytes.
+
+    For a byte-level vocabulary with its usual word pattern, ids never span a
+    space that follows a non-space, so a text's ids are those of its words in a
+    row.  Words already met come from a bounded cache; new ones are encoded
+    together in one string and told apart by the byte lengths of their tokens.
+    Texts with other white space before a space or at their end, and other kinds
+    of tokenizers, are encoded as they are.
+    """
+
+    CACHE = 600_000
+    _OTHER = re.compile(r"\s |\s\Z")
+
+    def __init__(self, path: str, id_bytes: int):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.dtype = f"<u{id_bytes}"
+        model = self.tokenizer.model
+        if hasattr(model, "_resize_cache"):  # words met before don't come back to the library, so its own cache only costs time
+            model._resize_cache(0)
+            self.tokenizer.model = model
+        pre = json.loads(self.tokenizer.to_str())
+        pre, normal = pre.get("pre_tokenizer") or {}, pre.get("normalizer")
+        self.by_word = normal is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+        vocabulary = self.tokenizer.get_vocab()
+        self.lengths = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
+        for token, i in vocabulary.items():
+            self.lengths[i] = len(token)  # one character stands for one byte
+        self.cache: dict[str, bytes] = {}
+
+    def _pack(self, ids: list[int]) -> bytes:
+        return np.asarray(ids, dtype=self.dtype).tobytes()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        whole = [i for i, t in enumerate(texts) if not self.by_word or self._OTHER.search(t)]
+        direct = set(whole)
+        words = [[] if i in direct else t.split(" ") for i, t in enumerate(texts)]
+        firsts = [texts[i] if i in direct else w.pop(0) for i, w in enumerate(words)]
+        first_ids = [self._pack(e.ids) for e in self.tokenizer.encode_batch_fast(firsts, add_special_tokens=False)]
+        if len(self.cache) > self.CACHE:
+            self.cache.clear()
+        new = list(set().union(*words).difference(self.cache))
+        self._learn([new[i : i + 128] for i in range(0, len(new), 128)])
+        known = self.cache.__getitem__
+        return [f + b"".join(map(known, w)) for f, w in zip(first_ids, words, strict=True)]
+
+    def _learn(self, lines: list[list[str]]) -> None:
+        width = np.dtype(self.dtype).itemsize
+        encoded = self.tokenizer.encode_batch_fast([" " + " ".join(words) for words in lines], add_special_tokens=False)
+        for words, e in zip(lines, encoded, strict=True):
+            ids = np.asarray(e.ids, dtype=np.int64)
+            sizes = [len(w.encode()) + 1 for w in words]
+            cuts = (np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum(sizes)) + 1) * width
+            packed, at = ids.astype(self.dtype).tobytes(), 0
+            for w, end in zip(words, cuts.tolist(), strict=True):
+                self.cache[w] = packed[at:end]
+                at = end
+
+
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
+
+
+def encoder(path: str, id_bytes: int) -> Encoder:
+    """The encoder of this Python worker; it serves all its tasks."""
+    return _ENCODERS.get((path, id_bytes)) or _ENCODERS.setdefault((path, id_bytes), Encoder(path, id_bytes))
+
+
 def _texts(column: pa.Array) -> list[str]:
     return ["" if t is None else t for t in column.to_pylist()]
 
@@ -155,10 +236,8 @@ def write_shards(documents: DataFrame, tokenizer_path: str, folder: str, id_byte
     rows = rows.repartitionByRange(n_shards, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(tokenizer_path)
-        tokenizer.encode_special_tokens = True
+        encode = encoder(tokenizer_path, id_bytes).encode
+        end = END_ID.to_bytes(id_bytes, "little")
         shard, out, at, before, copy = TaskContext.get().partitionId(), None, 0, object(), 0
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), _texts(batch.column(1))
@@ -166,14 +245,14 @@ def write_shards(documents: DataFrame, tokenizer_path: str, folder: str, id_byte
             if out is None and ids:
                 out = AtomicFile(folder, f"shard-{shard:05d}.ids")
                 out.write(struct.pack("<4sII4x", b"TLID", 1, id_bytes))
-            for i in range(0, len(texts), 64):
-                for encoded in tokenizer.encode_batch_fast(texts[i : i + 64], add_special_tokens=False):
-                    tokens = encoded.ids
-                    tokens.append(END_ID)
-                    out.write(np.asarray(tokens, dtype=f"<u{id_bytes}").tobytes())
+            for i in range(0, len(texts), 256):
+                for data in encode(texts[i : i + 256]):
+                    out.write(data)
+                    out.write(end)
+                    n = len(data) // id_bytes + 1
                     starts.append(at)
-                    counts.append(len(tokens))
-                    at += len(tokens)
+                    counts.append(n)
+                    at += n
             for i in ids:
                 copy = copy + 1 if i == before else 0
                 before = i
