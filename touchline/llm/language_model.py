@@ -8,12 +8,11 @@ the training documents whose word pairs aren't counted.
 
 Counting and looking up are one exchange.  The corpus is read in blocks of
 bounded size; each block sends its distinct token and pair keys, packed by key
-range, with its own counts.  For each range the totals are formed, and keys that
-other blocks hold too go back to each block that asked; for all others a block's
-own counts are the totals.  Each block's totals are one file in shared storage,
-which the scoring tasks, reading the same blocks again, open.  No table of the
-vocabulary is gathered anywhere, and a key, however frequent, is one entry for
-each block.
+range, with its own counts.  For each range the totals are formed, and what the
+other blocks add to a block's own counts goes back to it, in the order of its
+keys.  Each block's answers are one file in shared storage, which the scoring
+tasks, reading the same blocks again, open.  No table of the vocabulary is
+gathered anywhere, and a key, however frequent, is one entry for each block.
 
 Blocks are runs of rows of the input's partitions, so the input must give its
 partitions the same rows each time, as scans of files do; a changed block fails
@@ -42,13 +41,13 @@ from touchline.llm.shared import AtomicFile, new_folder, store
 
 _U = np.uint64
 #: Bytes of text to a block.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 10 << 20
 #: Documents for each key range; about those of a block.
 RANGE_DOCS = 4096
 HELD_OUT, DEV, FOLDS = 2, 3, 7
 _END, _START = _U(0x6A09E667F3BCC908), _U(0xBB67AE8584CAA73B)
 BUCKETS, _BINS, _PER_OCTAVE = 34, 1024, 8
-_KEYS = "range int, block long, keys binary, train binary, main binary"
+_KEYS = "range int, block long, n int, keys binary, train binary, main binary"
 
 
 def fold_of(doc_id: int | None) -> int:
@@ -136,51 +135,71 @@ def block_keys(rows: DataFrame, ranges: int) -> DataFrame:
             at = [(r, a, b) for r, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
             for lo in range(0, len(at), 1024):
                 some = at[lo : lo + 1024]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r for r, *_ in some], pa.int32()), pa.array([number] * len(some), pa.int64()), *(pa.array([x[a:b].tobytes() for _, a, b in some], pa.binary()) for x in (keys, train, main))],
-                    names=["range", "block", "keys", "train", "main"],
-                )
+                numbers = [[r for r, *_ in some], [number] * len(some), [b - a for _, a, b in some]]
+                packed = [[pack_keys(keys[a:b]) for _, a, b in some], *([pack(x[a:b]) for _, a, b in some] for x in (train, main))]
+                kinds = (pa.int32(), pa.int64(), pa.int32())
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, t) for x, t in zip(numbers, kinds, strict=True)), *(pa.array(x, pa.binary()) for x in packed)], names=["range", "block", "n", "keys", "train", "main"])
 
     return rows.mapInArrow(run, _KEYS)
 
 
-def _unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(keys, train, main, row of each key)."""
-    keys = [np.frombuffer(x.as_buffer(), "<u8") for x in table.column("keys")]
-    train, main = ([np.frombuffer(x.as_buffer(), "<u4") for x in table.column(c)] for c in ("train", "main"))
-    return np.concatenate(keys), np.concatenate(train), np.concatenate(main), np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+def pack(counts: np.ndarray) -> bytes:
+    return pa.compress(counts.astype("<u8").tobytes(), "zstd", asbytes=True)
+
+
+def unpack(data, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data, 8 * n, "zstd"), "<u8").astype(np.int64)
+
+
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as steps, in six bytes each where all steps but the first fit."""
+    steps = np.diff(keys, prepend=_U(0)).astype("<u8")
+    if len(steps) > 1 and int(steps[1:].max()) >> 48:
+        return b"\x08" + steps.tobytes()
+    return b"\x06" + steps[:1].tobytes() + np.ascontiguousarray(steps[1:].view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def unpack_keys(data: bytes, n: int) -> np.ndarray:
+    if data[0] == 8:
+        return np.cumsum(np.frombuffer(data, "<u8", n, 1), dtype=np.uint64)
+    steps = np.zeros((n, 8), dtype=np.uint8)
+    steps[0] = np.frombuffer(data, np.uint8, 8, 1)
+    steps[1:, :6] = np.frombuffer(data, np.uint8, 6 * (n - 1), 9).reshape(-1, 6)
+    return np.cumsum(steps.view("<u8")[:, 0], dtype=np.uint64)
 
 
 def range_totals(packed: DataFrame) -> DataFrame:
-    """For each range, the totals of keys that several blocks hold, once for each of them.
+    """(block, range, n, train, main): for each block's keys of a range, what other blocks add to its counts.
 
     A further row of block -1 has the range's training tokens and distinct training tokens.
     """
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        keys, train, main, row = _unpack(table)
+        sizes = table.column("n").to_pylist()
+        keys = np.concatenate([unpack_keys(x.as_py(), n) for x, n in zip(table.column("keys"), sizes, strict=True)])
+        train, main = (np.concatenate([unpack(x.as_buffer(), n) for x, n in zip(table.column(c), sizes, strict=True)]) for c in ("train", "main"))
         order = np.argsort(keys, kind="stable")
-        sorted_keys = keys[order]
-        starts = np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]]))
-        sizes = np.diff(np.append(starts, len(keys)))
-        totals_t, totals_m = np.add.reduceat(train[order].astype(np.int64), starts), np.add.reduceat(main[order].astype(np.int64), starts)
-        group = np.empty(len(keys), dtype=np.int64)
-        group[order] = np.repeat(np.arange(len(starts)), sizes)
-        shared = sizes[group] > 1
-        numbers, out = table.column("block").to_pylist(), []
-        cuts = np.searchsorted(row, np.arange(len(numbers) + 1))
-        for i, number in enumerate(numbers):
-            own = slice(cuts[i], cuts[i + 1])
-            pick = shared[own]
-            g = group[own][pick]
-            if len(g):
-                out.append((number, keys[own][pick].tobytes(), totals_t[g].astype("<u8").tobytes(), totals_m[g].astype("<u8").tobytes()))
-        token = (sorted_keys[starts] & _U(1)) == 0
-        out.append((-1, b"", np.array([totals_t[token].sum(), (totals_t[token] > 0).sum()], dtype="<u8").tobytes(), b""))
-        columns = list(zip(*out, strict=True))
-        return pa.table({"block": pa.array(columns[0], pa.int64()), "keys": pa.array(columns[1], pa.binary()), "train": pa.array(columns[2], pa.binary()), "main": pa.array(columns[3], pa.binary())})
-
-    return packed.groupBy("range").applyInArrow(run, "block long, keys binary, train binary, main binary")
+        keys = keys[order]
+        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        runs = np.diff(np.append(starts, len(keys)))
+        others, sums = [], []
+        for own in (train, main):
+            totals = np.add.reduceat(own[order], starts)
+            sums.append(totals)
+            more = np.empty(len(keys), dtype=np.int64)
+            more[order] = np.repeat(totals, runs)
+            others.append(more - own)
+        token = (keys[starts] & _U(1)) == 0
+        cuts = np.cumsum(sizes)[:-1]
+        answers = [[pack(x) for x in np.split(o, cuts)] for o in others]
+        r = key[0].as_py()
+        summary = struct.pack("<QQ", int(sums[0][token].sum()), int((sums[0][token] > 0).sum()))
+        return pa.table({
+            "block": pa.array([*table.column("block").to_pylist(), -1], pa.int64()), "range": pa.array([r] * (len(sizes) + 1), pa.int32()),
+            "n": pa.array([*sizes, 0], pa.int32()), "train": pa.array([*answers[0], summary], pa.binary()), "main": pa.array([*answers[1], b""], pa.binary()),
+        })
+
+    return packed.groupBy("range").applyInArrow(run, "block long, range int, n int, train binary, main binary")
 
 
 def store_totals(answers: DataFrame, folder: str) -> tuple[int, int]:
@@ -189,16 +208,16 @@ def store_totals(answers: DataFrame, folder: str) -> tuple[int, int]:
     def run(key: tuple, table: pa.Table) -> pa.Table:
         number, tokens, kinds = key[0].as_py() // 1024, 0, 0
         if number < 0:
-            for x in table.column("train"):
+            for x in table.column("train"):  # summaries
                 a, b = struct.unpack("<QQ", x.as_py())
                 tokens, kinds = tokens + a, kinds + b
         else:
-            keys, train, main = (np.concatenate([np.frombuffer(x.as_buffer(), "<u8") for x in table.column(c)]) for c in ("keys", "train", "main"))
-            order = np.argsort(keys)
+            table = table.sort_by("range")
             out = AtomicFile(folder, f"totals-{number}")
-            out.write(struct.pack("<Q", len(keys)))
-            for x in (keys, train, main):
-                out.write(x[order].tobytes())
+            out.write(struct.pack("<I", table.num_rows))
+            for n, *parts in zip(*(table.column(c).to_pylist() for c in ("n", "train", "main")), strict=True):
+                out.write(struct.pack("<III", n, *map(len, parts)))
+                out.write(b"".join(parts))
             out.commit()
         return pa.table({"tokens": pa.array([tokens], pa.int64()), "kinds": pa.array([kinds], pa.int64())})
 
@@ -212,19 +231,20 @@ def store_totals(answers: DataFrame, folder: str) -> tuple[int, int]:
 def totals_of(block: Block, number: int, folder: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(keys, train, main): a block's keys with corpus totals."""
     keys, train, main = block.keys()
-    train, main = train.astype(np.int64), main.astype(np.int64)
     fs, path = store(folder)
-    name = f"{path}/totals-{number}"
-    if fs.get_file_info(name).is_file:
-        with fs.open_input_file(name) as f:
-            data = f.read()
-        (n,) = struct.unpack_from("<Q", data)
-        shared, t, m = (np.frombuffer(data, "<u8", n, 8 + 8 * n * i) for i in range(3))
-        at = np.searchsorted(keys, shared)
-        if n and (at[-1] >= len(keys) or not (keys[at] == shared).all()):
-            raise ValueError(f"block {number} has other rows than when it was counted")
-        train[at], main[at] = t, m
-    return keys, train, main
+    with fs.open_input_file(f"{path}/totals-{number}") as f:
+        data = f.read()
+    (ranges,) = struct.unpack_from("<I", data)
+    at, found, more = 4, 0, ([], [])
+    for _ in range(ranges):
+        n, *sizes = struct.unpack_from("<III", data, at)
+        at, found = at + 12, found + n
+        for out, size in zip(more, sizes, strict=True):
+            out.append(unpack(memoryview(data)[at : at + size], n))
+            at += size
+    if found != len(keys):
+        raise ValueError(f"block {number} has other rows than when it was counted")
+    return keys, train.astype(np.int64) + np.concatenate(more[0]), main.astype(np.int64) + np.concatenate(more[1])
 
 
 def estimates(block: Block, number: int, folder: str, tokens: int, kinds: int):
