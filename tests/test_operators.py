@@ -1,0 +1,219 @@
+"""Operators on small literal tables: leaks, transfers, resolution, freshness, ratings, line-ups, streams."""
+
+from __future__ import annotations
+
+import datetime as dt
+import itertools
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from touchline import dims
+from touchline.operators import freshness, joins, lineup, models, ratings, windows
+from touchline.sources import feeds, tables
+from touchline.streaming import ratings as stream
+
+M = "match_id long, dt timestamp_ntz, league int, season int, h int, a int, hs int, as_ int"
+
+
+def games(n=60, seed=1):
+    r = random.Random(seed)
+    out = []
+    for i in range(n):
+        h, a = r.sample(range(5), 2)
+        out.append((i, dt.datetime(2020, 1, 1) + dt.timedelta(days=i // 2 * 12), i % 2, 2020 + (i // 2 * 12) // 365, h, a, r.randrange(5), r.randrange(4)))
+    return out
+
+
+def test_standings_and_form_don_t_see_their_match(spark):
+    rows = games()
+    changed = [x if i < 40 else (*x[:6], 9, 0) for i, x in enumerate(rows)]
+    for f in (windows.standings_before, windows.team_form, windows.points_per_game):
+        a, b = (sorted(tuple(x) for x in f(tables.team_matches(spark.createDataFrame(r, M))).filter("match_id <= 40").collect()) for r in (rows, changed))
+        assert a == b
+
+
+def test_absent_rows_end_with_a_transfer(spark):
+    t = lambda d: dt.datetime(2020, 1, d)
+    numbers = spark.createDataFrame([(10 * team + k, t(2 * k + team), 1, 2020, team, k) for team in (1, 2) for k in range(6)], "match_id long, dt timestamp_ntz, league int, season int, team int, team_no int")
+    # seen for team 1 in its first match, for team 2 in that team's third
+    apps = spark.createDataFrame([(10, t(1), 1, 2020, 7, 1), (22, t(6), 1, 2020, 7, 2)], "match_id long, dt timestamp_ntz, league int, season int, player_id int, team int")
+    got = {(r.team, r.match_id) for r in windows.absent_rows(apps, numbers).collect()}
+    assert got == {(1, 11), (1, 12), (2, 23), (2, 24), (2, 25)}
+
+
+def plain_elo(rows):
+    """An independent fold over one global pass."""
+    elo, season, out = {}, {}, {}
+    for i, d, league, s, h, a, hs, as_ in sorted(rows, key=lambda x: (x[1], x[0])):
+        for t in ((league, h), (league, a)):
+            if t in elo and season[t] != s:
+                elo[t] = 1500 + 0.7 * (elo[t] - 1500)
+            elo.setdefault(t, 1500.0)
+            season[t] = s
+        x, y = elo[league, h], elo[league, a]
+        out[i] = x - y
+        gap = abs(hs - as_)
+        d = 18 * (1 if gap < 2 else 1.5 if gap == 2 else (11 + gap) / 8) * ((hs > as_) + 0.5 * (hs == as_) - 1 / (1 + 10 ** (-(x - y + 55) / 400)))
+        elo[league, h] += d
+        elo[league, a] -= d
+    return out
+
+
+def test_replay_equals_a_plain_fold_and_batches(spark):
+    rows = games(120)
+    df = spark.createDataFrame(rows, M)
+    got = {r.match_id: r.elo_diff for r in ratings.replay(df).collect()}
+    assert got == pytest.approx(plain_elo(rows))
+    whole = sorted(tuple(r) for r in ratings.state_after(df).collect())
+    parts = ratings.state_after(df.filter("match_id >= 60"), ratings.state_after(df.filter("match_id < 60")))
+    assert [x[:2] for x in whole] == [x[:2] for x in sorted(tuple(r) for r in parts.collect())]
+    for a, b in zip(whole, sorted(tuple(r) for r in parts.collect()), strict=True):
+        assert a == pytest.approx(b)
+
+
+def test_chances_sum_to_one_and_favour_the_stronger(spark):
+    df = spark.createDataFrame([(300.0, 2.0, 0.8), (0.0, 1.4, 1.2), (-300.0, 0.8, 2.0)], "elo_diff double, lam_h double, lam_a double")
+    p = ratings.outcome_chances(df).collect()
+    assert all(r.p_home + r.p_draw + r.p_away == pytest.approx(1) for r in p)
+    assert p[0].p_home > p[1].p_home > p[2].p_home
+
+
+def test_stream_of_ratings_equals_the_batch(spark, tmp_path):
+    rows = games(40)
+    source = tmp_path / "in"
+    for part in (rows[:20], rows[10:]):  # ten matches come twice
+        spark.createDataFrame(part, M).coalesce(1).write.mode("append").parquet(str(source))
+    stream_df = spark.readStream.schema(M).option("maxFilesPerTrigger", 10).parquet(str(source))
+    query, sink = stream.keep_ratings(stream_df, str(tmp_path / "state"), str(tmp_path / "check"))
+    query.processAllAvailable()
+    query.stop()
+    got = sorted(tuple(r) for r in sink.state(spark).collect())
+    want = sorted(tuple(r) for r in ratings.state_after(spark.createDataFrame(rows, M)).collect())
+    assert len(got) == len(want)
+    for a, b in zip(got, want, strict=True):
+        assert a == pytest.approx(b)
+
+
+def squad(seed, n=14):
+    r = random.Random(seed)
+    line = ["GK", "GK", "CB", "CB", "CB", "CB", "RB", "LB", "WB", "WB", "DM", "CM", "CM", "W", "AM", "FW", "FW", "ST", "ST"]
+    return [(1, k, 100 + k, [p] if r.random() < 0.7 else [p, r.choice(line[2:])] if p != "GK" else [p], r.uniform(0, 40), r.uniform(6, 8.5), r.uniform(0.3, 1)) for k, p in enumerate(line)]
+
+
+SQUAD = "squad_id long, k int, player_id long, positions array<string>, total double, base_rating double, start_prob double"
+
+
+def test_line_ups_are_valid_and_local_optima(spark):
+    for seed in range(3):
+        rows = squad(seed)
+        players = [lineup.Player(p, tuple(pos), t, b, s) for _, _, p, pos, t, b, s in rows]
+        got = lineup.formation_lineups(spark.createDataFrame(rows, SQUAD)).collect()
+        assert got
+        for r in got:
+            s = lineup.Search(players, dims.SLOTS[r.formation])
+            team = [next(p for p in players if p.id == i) for i in r.ids]
+            assert len(set(r.ids)) == 11 and team[0].positions == ("GK",)
+            assert [s.malus[i].get(p.id) for i, p in enumerate(team[1:])] == r.malus[1:]
+            assert s.score(team) == pytest.approx(r.score) and s.score(s.climb(team)) == pytest.approx(r.score)
+            assert r.score >= s.score(s.greedy()) - 1e-9
+        best = lineup.best_lineups(spark.createDataFrame(got)).first()
+        assert best.score == max(r.score for r in got)
+
+
+def test_small_formation_against_all_teams():
+    slots = [["CB"], ["DM", "CM"], ["FW", "ST"]]
+    for seed in range(20):
+        r = random.Random(seed)
+        players = [lineup.Player(0, ("GK",), 5.0, 7.0, 1.0)] + [lineup.Player(i, (r.choice(["CB", "DM", "CM", "ST", "FW"]),), r.uniform(0, 30), r.uniform(6, 8.5), 1.0) for i in range(1, 8)]
+        s = lineup.Search(players, slots)
+        team = s.greedy()
+        options = [c for c in itertools.permutations(players[1:], 3) if all(p.id in s.malus[i] for i, p in enumerate(c))]
+        if team is None:
+            continue
+        top = max(s.score([players[0], *c]) for c in options)
+        assert s.score(team) <= s.score(s.climb(team)) <= top + 1e-9
+
+
+def test_staged_match(spark):
+    players = spark.createDataFrame([(1, "nicolas paz", "como", 1), (2, "rodri", "city", 1), (3, "joao felix", "milan", 1), (4, "no one", "x", 1)], "player_id int, name string, club string, block int")
+    natives = spark.createDataFrame(
+        [(10, "nico paz", "paz", "nico", "como", 1), (11, "luis paz", "paz", "luis", "roma", 1), (12, "pablo rodri", "pablo rodri", "", "city fc", 1), (13, "joao felix", "felix", "joao", "milan", 1)],
+        "native_id int, full string, last string, first string, club_name string, block int",
+    )
+    assert {tuple(r) for r in joins.staged_match(players, natives, ["block"]).collect()} == {(1, 10), (2, 12), (3, 13)}
+
+
+def test_overlay_and_prior(spark):
+    team = spark.createDataFrame([(1, 5.0, 1), (2, 6.0, 2)], "id int, rating double, goals int")
+    rated = spark.createDataFrame([(1, None), (9, 9.0)], "id int, rating double")
+    extra = spark.createDataFrame([(2, None, 7)], "id int, rating double, goals int")
+    assert {tuple(r) for r in joins.overlay(team, rated, extra, "id", ["rating"], ["rating", "goals"]).collect()} == {(1, None, 1), (2, 6.0, 7)}
+
+
+def test_freshness(spark):
+    df = spark.createDataFrame([(500, True, False), (5000, True, False), (50000, True, False), (500, False, False), (40000, True, True), (500, True, True), (None, True, False)], "age long, has boolean, forced boolean")
+    got = df.select(freshness.action(F.col("age"), F.lit(1000), F.lit(10000), F.col("has"), F.col("forced"))).collect()
+    assert [r[0] for r in got] == ["serve", "refresh", "fetch", "fetch", "fetch", "serve", "fetch"]
+    old, new = spark.createDataFrame([(1, 10, "a"), (2, 20, "b")], "k int, at int, v string"), spark.createDataFrame([(2, 30, "c"), (3, 40, "d")], "k int, at int, v string")
+    assert {tuple(r) for r in freshness.upsert(old, new, ["k"], "at").collect()} == {(1, 10, "a"), (2, 20, "c"), (3, 40, "d")}
+    assert freshness.guarded(old, new.limit(0)).count() == 2
+    rows = spark.createDataFrame([(1, [(5, "x"), (6, "y")])], "k int, players array<struct<id: int, status: string>>")
+    assert [p.status for p in freshness.update_member(rows, "players", 6, "status", F.lit("z")).first().players] == ["x", "z"]
+    assert freshness.remove_member_field(rows, "players", 5, "status", "string").first().players[0].status is None
+    assert freshness.holders(rows, "players", 7).count() == 0
+
+
+LEAGUE_DOC = """{"matches": {"allMatches": [
+ {"id": "1", "roundName": "3", "home": {"id": "7", "name": "A"}, "away": {"id": "8", "name": "B"}, "status": {"utcTime": "2024-01-05T20:00:00Z", "finished": true, "scoreStr": "2 - 1"}},
+ {"id": "2", "round": "4", "home": {"id": "7", "name": "A", "score": 5}, "away": {"id": "8", "name": "B", "score": 6}, "status": {"scoreStr": "garbage"}},
+ {"id": "3", "home": {"name": "A"}, "away": {"id": "8"}, "status": {}}], "firstUnplayedMatch": {"firstUnplayedMatchId": "2"}},
+ "table": [{"data": {"tables": [{"table": {"all": [{"id": "7"}, {"id": "8"}]}}, {"table": {"all": [{"id": "8"}, {"id": "9"}]}}]}}],
+ "allAvailableSeasons": ["2024/2025", "2023/2024"], "details": {"selectedSeason": "2024/2025"}}"""
+
+
+def test_league_feed(spark):
+    docs = spark.createDataFrame([(1, LEAGUE_DOC)], "league int, doc string")
+    got = [(r.match_id, r.round, r.home_score, r.away_score, r.finished) for r in feeds.league_matches(docs).orderBy("match_id").collect()]
+    assert got == [(1, "3", 2, 1, True), (2, "4", 5, 6, False)]
+    assert feeds.current_round(docs).first().round == "4"
+    assert [(r.position, r.team_id) for r in feeds.table_rows(docs).orderBy("position").collect()] == [(1, 7), (2, 8), (3, 9)]
+    assert feeds.seasons(docs).first().previous == "2023/2024"
+
+
+def test_other_feeds(spark):
+    odds = spark.createDataFrame([(1, '{"markets": [{"selections": [{"name": "1", "oddsDecimal": "2.5"}, {"name": "X", "oddsDecimal": "n/a"}]}]}'), (2, '{"markets": []}')], "match_id int, doc string")
+    assert [tuple(r) for r in feeds.match_odds(odds).collect()] == [(1, 2.5, None, None)]
+    events = spark.createDataFrame([(1, '{"events": [{"type": "Card", "card": "Yellow", "time": 5, "player": {"id": 4, "name": "P"}}, {"type": "Card", "card": "Red"}, {"type": "Goal"}]}')], "match_id int, doc string")
+    assert [tuple(r) for r in feeds.card_events(events).collect()] == [(1, 4, "P", "Yellow", 5)]
+    squads = spark.createDataFrame(
+        [(1, '{"squad": [{"title": "coach", "members": [{"id": 9}]}, {"title": "defenders", "members": [{"id": 3, "name": "D"}]}]}'), (2, '{"lineup": {"starters": [{"id": 5, "positionId": 11}], "subs": [{"id": 5}, {"id": 6, "usualPlayingPositionId": 3}]}}')],
+        "team int, doc string",
+    )
+    assert {(r.team, r.player_id, r.grp) for r in feeds.team_players(squads).collect()} == {(1, 3, "DEF"), (2, 5, "GK"), (2, 6, "FWD")}
+    recent = spark.createDataFrame([(1, '[{"id": "a", "rating": "0", "playedInMatch": true, "minutesPlayed": 30, "isHomeTeam": true, "homeScore": 1, "awayScore": 0}, {"id": "b", "rating": "7.1", "playedInMatch": true, "isHomeTeam": false, "homeScore": 1, "awayScore": 1}]')], "player_id int, doc string")
+    assert [(r.result, r.rating, r.started) for r in feeds.recent_matches(recent).orderBy("ord").collect()] == [("W", None, False), ("D", 7.1, True)]
+
+
+def test_signed_ridge_meets_its_conditions(spark):
+    r = random.Random(5)
+    rows = [(1, a := r.gauss(0, 1), b := r.gauss(2, 3), 2 * a - 0.5 * b + r.gauss(0, 0.1)) for _ in range(400)]
+    df = spark.createDataFrame(rows, "g int, a double, b double, y double")
+    free = {x.feature: x.weight for x in models.signed_ridge(df, "g", {"a": 0, "b": 0}, "y", alpha=1e-6).collect()}
+    assert free["a"] == pytest.approx(2, abs=0.02) and free["b"] == pytest.approx(-0.5, abs=0.02)
+    held = {x.feature: x.weight for x in models.signed_ridge(df, "g", {"a": 1, "b": 1}, "y", alpha=1e-6).collect()}
+    assert held["b"] == 0 and held["a"] > 1.5
+
+
+def test_bootstrap_spread(spark):
+    r = random.Random(2)
+    df = spark.createDataFrame([(i, r.gauss(1, 1)) for i in range(400)], "m int, d double")
+    got = models.clustered_bootstrap(df, "m", "d").first()
+    assert got.mean_diff == pytest.approx(1, abs=0.2) and got.spread == pytest.approx(0.05, abs=0.02)
+
+
+def test_calibration_merges_equal_edges(spark):
+    df = spark.createDataFrame([(0.5, 1.0)] * 50 + [(i / 100, 0.0) for i in range(50)], "p double, y double")
+    got = models.calibration(df, "p", "y").collect()
+    assert sum(x.n for x in got) == 100 and len(got) == 6
