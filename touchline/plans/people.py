@@ -177,13 +177,13 @@ def p10_p16_availability_report(spark, sf):
 _TIERS = " union all ".join(f"select '{k}' as tier, {i} as no, {f} as fresh_ms, {s} as stale_ms" for i, (k, (f, s)) in enumerate(dims.TIERS.items()))
 
 
-@query(f"""with tiers as ({_TIERS}), e as (select event_id, cast(epoch_ms(timestamp '2024-01-31') - epoch_ms(ts) as bigint) % 100000000 as age, event_id % 10 as no, value > 5 as has_data, event_id % 4 = 0 as forced from events)
+@query(f"""with tiers as ({_TIERS}), e as (select event_id, cast(epoch_us(timestamp '2024-01-31') - epoch_us(ts) as bigint) // 1000 % 100000000 as age, event_id % 10 as no, value > 5 as has_data, event_id % 4 = 0 as forced from events)
 select event_id, tier, case when not has_data then 'fetch' when forced and age >= 30000 then 'fetch' when age < fresh_ms then 'serve' when age < stale_ms then 'refresh' else 'fetch' end as action,
  case when event_id % 3 > 0 then 'new' when has_data then 'old' else 'error' end as served from e join tiers using (no)""")
 def x01_x02_freshness(spark, sf):
     names = list(dims.TIERS)
     tier = F.element_at(F.array(*map(F.lit, names)), (F.col("event_id") % 10 + 1).cast("int"))
-    age = (F.unix_millis(F.lit(AS_OF).cast("timestamp")) - F.unix_millis(F.col("ts").cast("timestamp"))) % 100000000
+    age = F.floor((F.unix_micros(F.lit(AS_OF).cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) / 1000) % 100000000
     rows = t.read(spark, sf, "events", "event_id", "ts", "value").select("event_id", tier.alias("tier"), age.alias("age"), (F.col("value") > 5).alias("has_data"), (F.col("event_id") % 4 == 0).alias("forced"))
     rows = rows.join(F.broadcast(freshness.tiers(spark)), "tier")
     act = freshness.action(F.col("age"), F.col("fresh_ms"), F.col("stale_ms"), F.col("has_data"), F.col("forced"))
@@ -216,14 +216,14 @@ def s32_t07_newest_50(spark, sf):
     return e.orderBy(F.desc("ts"), F.desc("event_id")).limit(50).select("event_id", "event_type", "value")
 
 
-@query("""select event_id, strftime(ts, '%Y-%m') as month, cast(make_date(cast(year(ts) - case when month(ts) < 7 then 1 else 0 end as bigint), 7, 1) as date) as season_start, round((epoch_ms(timestamp '2024-01-31') - epoch_ms(ts)) / 86400000.0, 9) as age_days,
- case when epoch_ms(timestamp '2024-01-31') - epoch_ms(ts) < 3600000 then 'minutes' when epoch_ms(timestamp '2024-01-31') - epoch_ms(ts) < 86400000 then 'hours' else 'days' end as label from events""")
+@query("""select event_id, strftime(ts, '%Y-%m') as month, cast(make_date(cast(year(ts) - case when month(ts) < 7 then 1 else 0 end as bigint), 7, 1) as date) as season_start, round((epoch_us(timestamp '2024-01-31') - epoch_us(ts)) / 86400000000.0, 9) as age_days,
+ case when epoch_us(timestamp '2024-01-31') - epoch_us(ts) < 3600000000 then 'minutes' when epoch_us(timestamp '2024-01-31') - epoch_us(ts) < 86400000000 then 'hours' else 'days' end as label from events""")
 def f22_f25_dates(spark, sf):
     ts = F.col("ts")
-    ms = F.unix_millis(F.lit(AS_OF).cast("timestamp")) - F.unix_millis(ts.cast("timestamp"))
+    us = F.unix_micros(F.lit(AS_OF).cast("timestamp")) - F.unix_micros(ts.cast("timestamp"))
     start = F.make_date(F.year(ts) - F.when(F.month(ts) < 7, 1).otherwise(0), F.lit(7), F.lit(1))
-    label = F.when(ms < 3600000, "minutes").when(ms < 86400000, "hours").otherwise("days")
-    return t.read(spark, sf, "events", "event_id", "ts").select("event_id", F.date_format(ts, "yyyy-MM").alias("month"), start.alias("season_start"), F.round(ms / 86400000.0, 9).alias("age_days"), label.alias("label"))
+    label = F.when(us < 3600000000, "minutes").when(us < 86400000000, "hours").otherwise("days")
+    return t.read(spark, sf, "events", "event_id", "ts").select("event_id", F.date_format(ts, "yyyy-MM").alias("month"), start.alias("season_start"), F.round(us / 86400000000.0, 9).alias("age_days"), label.alias("label"))
 
 
 @query("""with s as (select cast(event_id as varchar) || case when event_id % 3 = 0 then 'x' when event_id % 5 = 0 then '' else '' end as raw, event_id from events) select event_id, case when regexp_full_match(raw, '\\d+') and try_cast(raw as bigint) > 0 then try_cast(raw as bigint) end as n from s""")
