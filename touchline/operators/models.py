@@ -11,6 +11,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def correlation(a: str, b: str) -> Column:
+    """Pearson correlation; null where either has no spread (the builtin raises under ANSI)."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def signed_ridge(df: DataFrame, group: str, features: dict[str, int], target: str, alpha: float = 1000.0, rounds: int = 500) -> DataFrame:
     """Ridge weights for each group on standardised features, each held to a sign (1, -1, or 0 for free).
 
@@ -126,10 +131,10 @@ def r_squared(df: DataFrame, group: str, predicted: str, actual: str) -> DataFra
     """R2 in one pass from sums of squares, and the correlation."""
     e, y = F.col(actual) - F.col(predicted), F.col(actual)
     total = F.sum(y * y) - F.sum(y) * F.sum(y) / F.count(F.lit(1))
-    return df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), (1 - F.try_divide(F.sum(e * e), total)).alias("r2"), F.corr(predicted, actual).alias("corr"))
+    return df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), (1 - F.try_divide(F.sum(e * e), total)).alias("r2"), correlation(predicted, actual).alias("corr"))
 
 
 def partial_correlation(df: DataFrame, x: str, y: str, given: str) -> DataFrame:
     """Correlation of the residuals of x and y after a line in ``given``, from the three plain correlations."""
-    r = df.agg(F.corr(x, y).alias("xy"), F.corr(x, given).alias("xz"), F.corr(y, given).alias("yz"))
-    return r.select(((F.col("xy") - F.col("xz") * F.col("yz")) / F.sqrt((1 - F.col("xz") ** 2) * (1 - F.col("yz") ** 2))).alias("partial"))
+    r = df.agg(correlation(x, y).alias("xy"), correlation(x, given).alias("xz"), correlation(y, given).alias("yz"))
+    return r.select(F.try_divide(F.col("xy") - F.col("xz") * F.col("yz"), F.sqrt((1 - F.col("xz") ** 2) * (1 - F.col("yz") ** 2))).alias("partial"))

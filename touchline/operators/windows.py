@@ -138,9 +138,11 @@ def absent_rows(apps: DataFrame, numbers: DataFrame, reach: int = 10) -> DataFra
     rows = apps.join(numbers.select("match_id", "team", "team_no"), ["match_id", "team"])
     own = Window.partitionBy(*keys, "team", "player_id").orderBy("team_no")
     moves = Window.partitionBy(*keys, "player_id").orderBy(*ORDER)
-    later = moves.rowsBetween(1, Window.unboundedFollowing)
-    # the first later row for another team ends the stint: stored as its time
-    elsewhere = F.array_min(F.transform(F.filter(F.collect_list(F.struct("dt", "match_id", "team")).over(later), lambda x: x["team"] != F.col("team")), lambda x: F.struct(x["dt"], x["match_id"])))
+    # rows of one team in a row are a spell; the row after it, for another team, ends its stints
+    rows = rows.withColumn("_moved", (F.col("team") != F.lag("team").over(moves)).cast("int")).withColumn("_next", F.lead(F.struct("dt", "match_id")).over(moves))
+    rows = rows.withColumn("_spell", F.coalesce(F.sum("_moved").over(moves), F.lit(0)))
+    spell = Window.partitionBy(*keys, "player_id", "_spell").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    elsewhere = F.last("_next").over(spell)
     rows = rows.withColumn("next_no", F.lead("team_no").over(own)).withColumn("left_at", elsewhere)
     rows = rows.withColumn("until", F.least(F.coalesce(F.col("next_no") - 1, F.lit(1 << 30)), F.col("team_no") + reach))
     opened = rows.filter("until > team_no").select(*keys, "team", "player_id", "left_at", F.explode(F.sequence(F.col("team_no") + 1, F.col("until"))).alias("team_no"))
