@@ -8,9 +8,11 @@
 3. Within the documents of a prefix token, sorted by size, a run without a gap
    that no link can span is named by its first set, its hub; (hub, set) pairs
    from all tokens, made distinct, are the blocks.  Every link lies in a block.
-4. In each block a signature tree joins the sets: hub first, then by dual
-   traversal, leaving out what is connected already.  So a block gives a
-   spanning forest, not all its pairs.
+4. A signature tree of each block's bitmaps, of fixed length, is traversed
+   against itself; only sets that keep a possible partner fetch their texts.
+   Then a tree with bitmaps to measure joins these sets exactly: hub first, then
+   by dual traversal, leaving out what is connected already.  So a block gives
+   a spanning forest, not all its pairs.
 5. Connected components of these edges name the documents' classes.
 
 A block of more than CELL sets is split: each part is joined with the hub, and
@@ -36,7 +38,7 @@ from pyspark.sql import functions as F
 from touchline.llm import blocks, text_hash
 from touchline.llm.components import connected_components
 from touchline.llm.shared import cut
-from touchline.llm.signature_tree import Forest, Similar, join
+from touchline.llm.signature_tree import Forest, Similar, bitmaps, join, partners
 
 _U = np.uint64
 WORDS, PERCENT = 5, 75
@@ -44,7 +46,9 @@ WORDS, PERCENT = 5, 75
 CELL = 2048
 #: Tokens counted together, the count from which a token is reported as common,
 #: and the number of common tokens that order prefixes (an order of bounded size).
-SEGMENT, COMMON, ORDERED = 4 << 20, 8, 1 << 16
+SEGMENT, COMMON, ORDERED = 4 << 20, 4, 1 << 18
+#: Least and most bits of the bitmaps that rule out pairs before texts are fetched: twice to four times a set's size.
+LEAST_BITS, MOST_BITS = 512, 1 << 16
 _SIZE_STEPS = 12  # size classes for each doubling, kept in a prefix key's last 8 bits
 
 
@@ -54,8 +58,12 @@ def mark_of(s: np.ndarray) -> int:
     return int(text_hash.mix(total).view(np.int64)[0])
 
 
+def bits_of(size: int) -> int:
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (2 * size).bit_length()))
+
+
 def describe(documents: DataFrame, n: int = WORDS) -> DataFrame:
-    """(doc_id, size, mark, token, seen): a row for each document, and rows of common tokens with counts.
+    """(doc_id, size, mark, bits, token, seen): a row for each document, and rows of common tokens with counts.
 
     ``seen`` is null in the rows of documents.
     """
@@ -70,12 +78,14 @@ def describe(documents: DataFrame, n: int = WORDS) -> DataFrame:
             seen = np.diff(np.append(starts, len(tokens)))
             keep = seen >= COMMON
             none = pa.nulls(int(keep.sum()), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, none, pa.array(tokens[starts[keep]].view(np.int64)), pa.array(seen[keep].astype(np.int64))], names=_DESCRIBED)
+            return pa.RecordBatch.from_arrays([none, none, none, pa.nulls(int(keep.sum()), pa.binary()), pa.array(tokens[starts[keep]].view(np.int64)), pa.array(seen[keep].astype(np.int64))], names=_DESCRIBED)
 
         for b in batches:
-            sizes, marks = [], []
+            sizes, marks, bits = [], [], []
             for _, data, offsets in text_hash.slices(b.column(1)):
-                for s in text_hash.shingle_sets(data, offsets, n):
+                sets = text_hash.shingle_sets(data, offsets, n)
+                bits += [bitmaps([s], bits_of(len(s)))[0].tobytes() for s in sets]
+                for s in sets:
                     sizes.append(len(s))
                     marks.append(mark_of(s))
                     held.append(s)
@@ -84,14 +94,14 @@ def describe(documents: DataFrame, n: int = WORDS) -> DataFrame:
                     yield common()
                     held, count = [], 0
             none = pa.nulls(len(sizes), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(marks, pa.int64()), none, none], names=_DESCRIBED)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(marks, pa.int64()), pa.array(bits, pa.binary()), none, none], names=_DESCRIBED)
         yield common()
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, size long, mark long, token long, seen long")
+    return rows.mapInArrow(run, "doc_id long, size long, mark long, bits binary, token long, seen long")
 
 
-_DESCRIBED = ["doc_id", "size", "mark", "token", "seen"]
+_DESCRIBED = ["doc_id", "size", "mark", "bits", "token", "seen"]
 
 
 def token_order(described: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -170,10 +180,64 @@ def hub_pairs(prefixes: DataFrame, percent: int) -> DataFrame:
 
     dealt = prefixes.withColumn("token", F.expr("shiftrightunsigned(key, 8)"))
     dealt = dealt.repartition("token").sortWithinPartitions("key", "mark").select("key", "mark")
-    pairs = dealt.mapInArrow(run, "hub long, mark long").distinct()
+    pairs = cut(dealt.mapInArrow(run, "hub long, mark long").distinct())
     return pairs.unionByName(pairs.select("hub", F.col("hub").alias("mark")).distinct())
 
 
+def with_partners(rows: DataFrame, percent: int) -> DataFrame:
+    """The rows (hub, part, mark, ..., size, bits) whose sets can link with another of their block part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        similar = Similar(percent)
+        for own in block_parts(batches):
+            keep = can_link([np.frombuffer(x, dtype=np.uint64) for x in own.column("bits").to_pylist()], own.column("size").to_numpy(), similar)
+            if keep.any():
+                yield from own.filter(pa.array(keep)).drop_columns(["size", "bits"]).to_batches()
+
+    names = ["hub", "part", "parts", "mark", "spread", "doc_id", "size", "bits"]
+    dealt = rows.select(*names).repartition("hub", "part").sortWithinPartitions("hub", "part", "mark")
+    return dealt.mapInArrow(run, "hub long, part int, parts int, mark long, spread boolean, doc_id long")
+
+
+def can_link(bits: list[np.ndarray], sizes: np.ndarray, similar: Similar) -> np.ndarray:
+    """Which sets of a block can link with another, by bitmaps of several lengths.
+
+    Sizes that can link have bitmaps of the same length or of neighbouring ones;
+    for these pairs the longer one is folded in half.
+    """
+    lengths = np.array([len(b) for b in bits])
+    keep = np.zeros(len(bits), dtype=bool)
+    for length in np.unique(lengths):
+        own, longer = np.flatnonzero(lengths == length), np.flatnonzero(lengths == 2 * length)
+        words = np.stack([bits[i] for i in own])
+        if len(longer):
+            double = np.stack([bits[i] for i in longer])
+            words = np.concatenate([words, double[:, :length] | double[:, length:]])
+        both = np.concatenate([own, longer])
+        if len(both) > 1:
+            keep[both] |= partners(words, sizes[both], similar, np.arange(len(both)) < len(own))
+    return keep
+
+
+def block_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of consecutive rows with equal hub and part."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        hub, part = b.column("hub").to_numpy(), b.column("part").to_numpy()
+        cuts = [0, *(np.flatnonzero((hub[1:] != hub[:-1]) | (part[1:] != part[:-1])) + 1).tolist(), b.num_rows]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            if last is not None and last != (hub[lo], part[lo]):
+                yield pa.Table.from_batches(held)
+                held = []
+            last = (hub[lo], part[lo])
+            held.append(b.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _streamed(batches: Iterator[pa.RecordBatch], n: int):
     """(hub, part, marks, sets, spread flags) of consecutive rows of a block part."""
     own, marks, sets, spread = None, [], [], []
@@ -237,15 +301,17 @@ def similar_edges(documents: DataFrame, described: DataFrame, n: int, percent: i
     """Edges (a, b) between marks that connect them as all links do."""
     pairs = cut(hub_pairs(prefix_rows(documents, token_order(described), n, percent), percent))
     # One document stands for each set; its text is fetched only if its set is in a block.
-    stands = described.filter("seen is null and size > 0").groupBy("mark").agg(F.min("doc_id").alias("doc_id"))
-    placed = blocks.deal(pairs, cell).join(stands, "mark")
+    stands = described.filter("seen is null and size > 0").groupBy("mark").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("bits").alias("bits"))
+    dealt = blocks.deal(pairs, cell).join(stands, "mark")
+    # A part of a split block doesn't show all partners of its sets, so these all stay.
+    placed = cut(with_partners(dealt.filter("parts = 1"), percent).unionByName(dealt.filter("parts > 1").select("hub", "part", "parts", "mark", "spread", "doc_id")))
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = cut(join_blocks(_with_text(placed, texts), n, percent))
     edges = found.filter(~F.col("apart")).select("a", "b")
     split = cut(placed.filter("parts > 1"))
     if split.isEmpty():
         return edges
-    again = blocks.deal_again(split, found.filter("apart").select(F.col("a").alias("hub"), F.col("b").alias("mark"))).join(stands, "mark")
+    again = blocks.deal_again(split, found.filter("apart").select(F.col("a").alias("hub"), F.col("b").alias("mark"))).join(stands.select("mark", "doc_id"), "mark")
     more = join_blocks(_with_text(again, texts), n, percent)
     return edges.unionByName(cut(more.filter(~F.col("apart")).select("a", "b")))
 

@@ -60,23 +60,23 @@ class Forest:
         return True
 
 
+def bitmaps(sets: list[np.ndarray], bits: int) -> np.ndarray:
+    """A row of ``bits`` / 64 words for each set; a token's bit is its value modulo ``bits``."""
+    words = np.zeros((len(sets), bits // 64), dtype=np.uint64)
+    step = max(1, (8 << 20) // bits)
+    for at in range(0, len(sets), step):
+        own = sets[at : at + step]
+        flags = np.zeros((len(own), bits), dtype=np.uint8)
+        for row, s in enumerate(own):
+            flags[row, (s & np.uint64(bits - 1)).astype(np.int64)] = 1
+        words[at : at + len(own)] = np.packbits(flags, axis=1).view(np.uint64)
+    return words
+
+
 class SignatureTree:
-    """Levels of nodes from the leaves (single sets) up to one root."""
-
-    def __init__(self, sets: list[np.ndarray]):
-        sizes = np.array([len(s) for s in sets], dtype=np.int64)
-        least = np.array([int(s[0]) if len(s) else 0 for s in sets], dtype=np.uint64)
-        self.order = np.lexsort((least, sizes))  # near sizes together, and likely copies among them
-        bits = 1 << int(np.clip(np.ceil(np.log2(max(2, 4 * int(sizes.max())))), 8, 14))
-        words = np.zeros((len(sets), bits // 64), dtype=np.uint64)
-        step = max(1, (8 << 20) // bits)
-        for at in range(0, len(sets), step):
-            own = self.order[at : at + step]
-            flags = np.zeros((len(own), bits), dtype=np.uint8)
-            for row, i in enumerate(own):
-                flags[row, (sets[i] & np.uint64(bits - 1)).astype(np.int64)] = 1
-            words[at : at + len(own)] = np.packbits(flags, axis=1).view(np.uint64)
-        sizes = sizes[self.order]
+    """Levels of nodes from the leaves (single sets, in the given order) up to one root."""
+
+    def __init__(self, words: np.ndarray, sizes: np.ndarray):
         excess = sizes - np.bitwise_count(words).sum(axis=1, dtype=np.int64)
         self.levels = [(words, sizes, sizes, excess)]
         while len(self.levels[-1][1]) > 1:
@@ -84,6 +84,34 @@ class SignatureTree:
             cuts = np.arange(0, len(low), FANOUT)
             self.levels.append((np.bitwise_or.reduceat(words, cuts, axis=0), np.minimum.reduceat(low, cuts), np.maximum.reduceat(high, cuts), np.maximum.reduceat(excess, cuts)))
 
+    def traverse(self, similar: Similar, ahead=None):
+        """Arrays (i, j) of leaf pairs that no level rules out, in pieces.
+
+        ``ahead(level, i, j)`` may rule out further node pairs.
+        """
+        stack = [(len(self.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+        while stack:
+            level, i, j = stack.pop()
+            if len(i) > _CHUNK:
+                half = len(i) // 2
+                stack += [(level, i[half:], j[half:]), (level, i[:half], j[:half])]
+                continue
+            if ahead is not None:
+                ok = ahead(level, i, j)
+                i, j = i[ok], j[ok]
+            ok = self.survivors(level, i, j, similar)
+            i, j = i[ok], j[ok]
+            if not len(i):
+                continue
+            if not level:
+                yield i, j
+                continue
+            width = len(self.levels[level - 1][1])
+            a = i[:, None] * FANOUT + np.repeat(np.arange(FANOUT), FANOUT)
+            b = j[:, None] * FANOUT + np.tile(np.arange(FANOUT), FANOUT)
+            good = (a < width) & (b < width) & ((i != j)[:, None] | (a < b if level == 1 else a <= b))
+            stack.append((level - 1, a[good], b[good]))
+
     def survivors(self, level: int, i: np.ndarray, j: np.ndarray, similar: Similar) -> np.ndarray:
         """Which node pairs can hold a linked pair."""
         words, low, high, excess = self.levels[level]
@@ -94,6 +122,17 @@ class SignatureTree:
         return ok
 
 
+def partners(words: np.ndarray, sizes: np.ndarray, similar: Similar, asking: np.ndarray) -> np.ndarray:
+    """Which sets can link with another, as far as bitmaps and sizes tell; of two, one at least is ``asking``."""
+    out = np.zeros(len(sizes), dtype=bool)
+    order = np.argsort(sizes, kind="stable")
+    for i, j in SignatureTree(words[order], sizes[order]).traverse(similar):
+        i, j = order[i], order[j]
+        ok = asking[i] | asking[j]
+        out[i[ok]] = out[j[ok]] = True
+    return out
+
+
 def join(sets: list[np.ndarray], similar: Similar, forest: Forest, wanted: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Edges that connect the positions of ``sets`` as all their links do.
 
@@ -107,36 +146,25 @@ def join(sets: list[np.ndarray], similar: Similar, forest: Forest, wanted: np.nd
         pairs = [(i, j) for i in range(n) for j in range(i + 1, n)]
         _compare(pairs, sets, similar, forest, wanted, found)
         return found
-    tree = SignatureTree(sets)
-    component = np.array([forest.root(i) for i in range(n)])[tree.order]
-    wants = np.ones(n, bool) if wanted is None else wanted[tree.order]
-    uniform = [(component, component, wants)]
-    for words, *_ in tree.levels[1:]:
-        lowest, highest, some = uniform[-1]
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    least = np.array([int(s[0]) if len(s) else 0 for s in sets], dtype=np.uint64)
+    order = np.lexsort((least, sizes))  # near sizes together, and likely copies among them
+    bits = 1 << int(np.clip(np.ceil(np.log2(max(2, 4 * int(sizes.max())))), 8, 14))
+    tree = SignatureTree(bitmaps([sets[i] for i in order], bits), sizes[order])
+    component = np.array([forest.root(i) for i in range(n)])[order]
+    wants = np.ones(n, bool) if wanted is None else wanted[order]
+    known = [(component, component, wants)]
+    for _ in tree.levels[1:]:
+        lowest, highest, some = known[-1]
         cuts = np.arange(0, len(lowest), FANOUT)
-        uniform.append((np.minimum.reduceat(lowest, cuts), np.maximum.reduceat(highest, cuts), np.logical_or.reduceat(some, cuts)))
-        assert len(uniform[-1][0]) == len(words)
-    stack = [(len(tree.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
-    while stack:
-        level, i, j = stack.pop()
-        if len(i) > _CHUNK:
-            half = len(i) // 2
-            stack += [(level, i[half:], j[half:]), (level, i[:half], j[:half])]
-            continue
-        lowest, highest, some = uniform[level]
-        ok = (lowest[i] != highest[j]) | (highest[i] != lowest[j])
-        ok &= some[i] | some[j]
-        i, j = i[ok], j[ok]
-        ok = tree.survivors(level, i, j, similar)
-        i, j = i[ok], j[ok]
-        if not level:
-            _compare(zip(tree.order[i].tolist(), tree.order[j].tolist(), strict=True), sets, similar, forest, wanted, found)
-        elif len(i):
-            width = len(tree.levels[level - 1][1])
-            a = i[:, None] * FANOUT + np.repeat(np.arange(FANOUT), FANOUT)
-            b = j[:, None] * FANOUT + np.tile(np.arange(FANOUT), FANOUT)
-            good = (a < width) & (b < width) & ((i != j)[:, None] | (a < b if level == 1 else a <= b))
-            stack.append((level - 1, a[good], b[good]))
+        known.append((np.minimum.reduceat(lowest, cuts), np.maximum.reduceat(highest, cuts), np.logical_or.reduceat(some, cuts)))
+
+    def ahead(level: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        lowest, highest, some = known[level]
+        return ((lowest[i] != highest[j]) | (highest[i] != lowest[j])) & (some[i] | some[j])
+
+    for i, j in tree.traverse(similar, ahead):
+        _compare(zip(order[i].tolist(), order[j].tolist(), strict=True), sets, similar, forest, wanted, found)
     return found
 
 
