@@ -124,16 +124,27 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", usable:
                 cuts = np.searchsorted(both // width, np.arange(1, len(offsets) - 1))
                 n = len(offsets) - 1
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(first, n), b.column(2).slice(first, n), pa.array([x.astype("<u4").tobytes() for x in np.split(both % width, cuts)]), pa.array([x.astype("<u4").tobytes() for x in np.split(counts, cuts)])],
+                    [b.column(0).slice(first, n), b.column(2).slice(first, n), pa.array([pack(x) for x in np.split(both % width, cuts)], pa.binary()), pa.array([pack(x) for x in np.split(counts, cuts)], pa.binary())],
                     names=["doc_id", "label", "ids", "counts"],
                 )
 
     got = rows.mapInArrow(gather, "doc_id long, label int, ids binary, counts binary").toArrow()
     got = got.sort_by([("doc_id", "ascending"), ("label", "ascending"), ("ids", "ascending")])
-    samples = [(y, np.frombuffer(i, "<u4").astype(np.int64), np.frombuffer(c, "<u4")) for y, i, c in zip(got["label"].to_pylist(), got["ids"].to_pylist(), got["counts"].to_pylist(), strict=True)]
+    samples = [(y, unpack(i), unpack(c)) for y, i, c in zip(got["label"].to_pylist(), got["ids"], got["counts"], strict=True)]
+    del got
     return train(samples, s) if samples else np.zeros((1 << s.table_bits) + 1, np.float32)
 
 
+def pack(numbers: np.ndarray) -> bytes:
+    """Whole numbers in four bytes, compressed behind their number."""
+    return len(numbers).to_bytes(4, "little") + pa.compress(numbers.astype("<u4").tobytes(), "zstd", asbytes=True)
+
+
+def unpack(data: pa.Scalar) -> np.ndarray:
+    data = data.as_py()
+    return np.frombuffer(pa.decompress(data[4:], 4 * int.from_bytes(data[:4], "little"), "zstd"), "<u4")
+
+
 def score(documents: DataFrame, model: np.ndarray, s: Settings | None = None) -> DataFrame:
     """(doc_id, score) of every document; the model has a fixed size."""
     s = s or Settings()
