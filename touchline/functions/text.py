@@ -47,12 +47,25 @@ def given_similarity(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).when(prefix, 0.95).otherwise(similarity(a, b))
 
 
+def first_token(name: Column) -> Column:
+    return F.substring_index(name, " ", 1)
+
+
+def last_token(name: Column) -> Column:
+    return F.substring_index(name, " ", -1)
+
+
+def token_similarity(first_a: Column, last_a: Column, first_b: Column, last_b: Column) -> Column:
+    """Surname 0.6, given name 0.4, straight or swapped, whichever is better; of tokens of normal names."""
+    straight = similarity(last_a, last_b) * 0.6 + given_similarity(first_a, first_b) * 0.4
+    swapped = similarity(last_a, first_b) * 0.6 + given_similarity(first_a, last_b) * 0.4
+    return F.greatest(straight, swapped)
+
+
 def name_similarity(a: Column, b: Column) -> Column:
-    """Surname 0.6, given name 0.4, straight or swapped, whichever is better; of normal names."""
-    first, last = lambda x: F.element_at(F.split(x, " "), 1), lambda x: F.element_at(F.split(x, " "), -1)
-    straight = similarity(last(a), last(b)) * 0.6 + given_similarity(first(a), first(b)) * 0.4
-    swapped = similarity(last(a), first(b)) * 0.6 + given_similarity(first(a), last(b)) * 0.4
-    return F.when((F.length(a) == 0) | (F.length(b) == 0), 0.0).otherwise(F.greatest(straight, swapped))
+    """Token similarity of normal names; 0 if either is empty."""
+    both = token_similarity(first_token(a), last_token(a), first_token(b), last_token(b))
+    return F.when((F.length(a) == 0) | (F.length(b) == 0), 0.0).otherwise(both)
 
 
 def club_similarity(a: Column, b: Column) -> Column:
