@@ -98,22 +98,34 @@ def prior_season(apps: DataFrame, totals: DataFrame) -> DataFrame:
 def squad_history(apps: DataFrame, numbers: DataFrame) -> DataFrame:
     """A player's rows in the last five and ten team matches before each row, by the team's match number.
 
-    A transfer may bring a row of a later match number earlier in time, so the
-    numbers are bounded within the rows that come before, not as a range frame.
+    A player of one team has at most ten rows in ten numbers, so ten rows before
+    are enough.  A transfer may bring a row of a later number earlier in time,
+    so a player of several teams looks back over all his rows of the season.
     """
+    keys = ("player_id", "league", "season")
     rows = apps.join(numbers.select("match_id", "team", "team_no"), ["match_id", "team"])
-    before = _before("player_id", "league", "season")
-    row = F.struct("team_no", "started", "minutes", "rating")
-    rows = rows.withColumn("past", F.collect_list(row).over(before))
+    order, before = Window.partitionBy(*keys).orderBy(*ORDER), _before(*keys)
+    # means of the last rated rows are windows over rated rows alone, carried forward to the next row
+    rated = F.col("rating").isNotNull() & (F.col("minutes") > 30)
+    rows = rows.withColumn("rated", F.coalesce(rated, F.lit(False)))
+    own = Window.partitionBy(*keys, "rated").orderBy(*ORDER)
+    mean = lambda n: F.when(F.col("rated"), F.avg("rating").over(own.rowsBetween(1 - n, 0)))
+    rows = rows.withColumns({"mean5": mean(5), "mean3": mean(3)})
+    rows = rows.withColumns({
+        "rating5": F.last("mean5", ignorenulls=True).over(before), "rating3": F.last("mean3", ignorenulls=True).over(before),
+        "gap": (F.col("team_no") - F.lag("team_no").over(order)).cast("long"),
+    })
+    every = Window.partitionBy(*keys)
+    rows = rows.withColumn("moved", F.min("team").over(every) != F.max("team").over(every))
+    row = F.struct("team_no", "started", "minutes")
+    past = rows.filter(~F.col("moved")).withColumn("past", F.collect_list(row).over(order.rowsBetween(-10, -1)))
+    past = past.unionByName(rows.filter("moved").withColumn("past", F.collect_list(row).over(before)))
     near = lambda n: F.filter("past", lambda x: (x["team_no"] >= F.col("team_no") - n) & (x["team_no"] < F.col("team_no")))
     add = lambda xs, f: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + f(x))
-    rated = F.filter("past", lambda x: x["rating"].isNotNull() & (x["minutes"] > 30))
-    return rows.select(
+    return past.select(
         "match_id", "player_id",
         add(near(5), lambda x: x["started"]).alias("starts5"), add(near(5), lambda x: x["minutes"]).alias("min5"), F.size(near(5)).cast("long").alias("squad5"),
-        add(near(10), lambda x: x["started"]).alias("starts10"), add(near(10), lambda x: x["minutes"]).alias("min10"),
-        tail_mean(F.transform(rated, lambda x: x["rating"]), 5).alias("rating5"), tail_mean(F.transform(rated, lambda x: x["rating"]), 3).alias("rating3"),
-        (F.col("team_no") - F.try_element_at("past", F.lit(-1))["team_no"]).cast("long").alias("gap"),
+        add(near(10), lambda x: x["started"]).alias("starts10"), add(near(10), lambda x: x["minutes"]).alias("min10"), "rating5", "rating3", "gap",
     )
 
 
