@@ -217,3 +217,30 @@ def test_calibration_merges_equal_edges(spark):
     df = spark.createDataFrame([(0.5, 1.0)] * 50 + [(i / 100, 0.0) for i in range(50)], "p double, y double")
     got = models.calibration(df, "p", "y").collect()
     assert sum(x.n for x in got) == 100 and len(got) == 6
+
+
+def test_squad_history_with_transfers_against_a_plain_loop(spark):
+    r = random.Random(11)
+    numbers, apps, count = [], [], {1: 0, 2: 5}
+    for i in range(60):
+        team = r.choice([1, 2])
+        when = dt.datetime(2020, 1, 1) + dt.timedelta(days=i)
+        numbers.append((i, when, 1, 2020, team, count[team]))
+        count[team] += 1
+        for player in (1, 2, 3):
+            at = team if player < 3 and player == team else team if player == 3 else None
+            if at is not None and r.random() < 0.8:
+                minutes = r.choice([0, 25, 90])
+                apps.append((i, when, 1, 2020, player, at, int(minutes == 90), minutes, r.choice([None, 6.5, 7.0, 8.0]) if minutes else None))
+    no = {x[0]: x[5] for x in numbers}
+    want = {}
+    for m, *_, p, _team, _s, _min, _r in apps:
+        past = [x for x in apps if x[4] == p and x[0] < m]
+        near = lambda n: [x for x in past if no[m] - n <= no[x[0]] < no[m]]  # noqa: B023, E731
+        rated = [x[8] for x in past if x[8] is not None and x[7] > 30]
+        mean = lambda xs: sum(xs) / len(xs) if xs else None
+        want[m, p] = (sum(x[6] for x in near(5)), sum(x[7] for x in near(5)), len(near(5)), sum(x[6] for x in near(10)), sum(x[7] for x in near(10)), mean(rated[-5:]), mean(rated[-3:]), no[m] - no[past[-1][0]] if past else None)
+    a = spark.createDataFrame(apps, "match_id int, dt timestamp_ntz, league int, season int, player_id int, team int, started int, minutes int, rating double")
+    n = spark.createDataFrame(numbers, "match_id int, dt timestamp_ntz, league int, season int, team int, team_no int")
+    got = {(x.match_id, x.player_id): tuple(x)[2:] for x in windows.squad_history(a, n).collect()}
+    assert got == want
