@@ -70,14 +70,14 @@ def features(data: np.ndarray, offsets: np.ndarray, s: Settings) -> tuple[np.nda
 def train(samples: list[tuple[int, np.ndarray, np.ndarray]], s: Settings) -> np.ndarray:
     """Folded model: the score's part of each table row, and the bias last.
 
-    ``samples``: (label, table rows, counts).  Gradients are averaged over small
+    ``samples``: (label, table rows, shares of the features).  Gradients are averaged over small
     batches; the rate falls linearly to zero.
     """
     rng = np.random.default_rng(s.seed)
     size = 1 << s.table_bits
     vectors = rng.uniform(-1, 1, (size, s.dimension)).astype(np.float32) / s.dimension
     layer, bias = np.zeros((s.dimension, 2), np.float32), np.zeros(2, np.float32)
-    weights = [(c / c.sum()).astype(np.float32) for _, _, c in samples]
+    weights = [w for _, _, w in samples]
     steps, step = s.epochs * -(-len(samples) // s.batch), 0
     for _ in range(s.epochs):
         order = rng.permutation(len(samples))
@@ -129,9 +129,13 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", usable:
                 )
 
     got = rows.mapInArrow(gather, "doc_id long, label int, ids binary, counts binary").toArrow()
-    got = got.sort_by([("doc_id", "ascending"), ("label", "ascending"), ("ids", "ascending")])
-    samples = [(y, unpack(i), unpack(c)) for y, i, c in zip(got["label"].to_pylist(), got["ids"], got["counts"], strict=True)]
+    keys = list(zip(got["doc_id"].to_pylist(), got["label"].to_pylist(), range(len(got)), strict=True))
+    samples = []
+    for _, y, i in sorted(keys, key=lambda k: k[:2]):
+        counts = unpack(got["counts"][i])
+        samples.append((y, unpack(got["ids"][i]).astype(np.uint16 if s.table_bits <= 16 else np.uint32), (counts / counts.sum()).astype(np.float32)))
     del got
+    pa.default_memory_pool().release_unused()
     return train(samples, s) if samples else np.zeros((1 << s.table_bits) + 1, np.float32)
 
 
