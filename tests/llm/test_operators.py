@@ -221,6 +221,19 @@ def test_lattice_decoding_is_nearest():
     assert (((x - home) ** 2).sum(axis=1) <= ((x[:, None] - home[:, None] - points) ** 2).sum(axis=2).min(axis=1) + 1e-9).all()
 
 
+@pytest.mark.parametrize("nodes", [500, 5000, 10**7, 10**8, 10**9])
+def test_lattice_tables_keep_the_miss_bound_at_every_size(nodes):
+    scale, tables = lattice.plan(nodes)
+    r = np.random.default_rng(77)
+    met = []
+    for _ in range(20):
+        a, b = r.normal(size=(2, 4000, 8)) * scale / math.sqrt(8)
+        b = 0.93 * a + math.sqrt(1 - 0.93**2) * b
+        (home_a, probed_a), (home_b, probed_b) = lattice.cells(a, lattice.PROBES), lattice.cells(b, lattice.PROBES)
+        met.append((home_a == home_b).all(axis=1) | (probed_a == home_b[:, None]).all(axis=2).any(axis=1) | (probed_b == home_a[:, None]).all(axis=2).any(axis=1))
+    assert (1 - np.mean(met)) ** tables <= 2 * lattice.MISS  # twice, for the error of this simulation
+
+
 @pytest.mark.parametrize("cell,chunk", [(1024, 2048), (6, 5)])
 def test_near_vectors_equal_brute_force(spark, cell, chunk):
     r = np.random.default_rng(6)

@@ -10,9 +10,11 @@ links of each node are then counted within its component, in pairs of chunks,
 so no pair of copies or links is ever a row.
 
 The scale grows with the eighth root of the largest label's nodes, which keeps
-the nodes in a cell alike at every size, and the number of tables follows from
-the chance, taken by simulation at the threshold, that a pair meets in one
-table, so that at most ``miss`` of such pairs are lost.
+the nodes in a cell alike, until a pair at the threshold would meet in fewer
+than LEAST of the tables; from there on the scale stays and cells fill in
+proportion to the label.  The number of tables follows from that chance, taken
+by simulation and lowered by its error, so that at most ``miss`` of such pairs
+are lost at every size.
 
 Semantics for odd input: null or zero vectors, vectors with a null, NaN or
 infinite component, and vectors without a label link with nothing and stand for
@@ -43,6 +45,8 @@ PROBES = 8
 MISS = 0.001
 #: Scale of the projection for BASE nodes of a label.
 SCALE, BASE = 2.4, 5000
+#: Least chance of a meeting in one table (about 460 tables at MISS), and the scale's step down to it.
+LEAST, STEP = 0.015, 0.97
 CELL, CHUNK = 1024, 2048
 
 
@@ -89,23 +93,28 @@ def projections(dimension: int, tables: int, scale: float, seed: int) -> np.ndar
     return np.random.default_rng([seed, dimension]).normal(size=(tables, dimension, 8)) * scale / math.sqrt(8)
 
 
-def meeting_chance(scale: float, cosine: float, probes: int, pairs: int = 4000) -> float:
-    """Chance that two unit vectors at this cosine meet in one table."""
+def meeting_chance(scale: float, cosine: float, probes: int, pairs: int = 40000) -> float:
+    """Chance that two unit vectors at this cosine meet in one table, less two standard errors of its simulation."""
     rng = np.random.default_rng(3)
-    # In eight projected dimensions the two are correlated normal vectors.
-    a, b = rng.normal(size=(2, pairs, 8)) * scale / math.sqrt(8)
-    b = cosine * a + math.sqrt(1 - cosine**2) * b
-    (home_a, probed_a), (home_b, probed_b) = cells(a, probes), cells(b, probes)
-    met = (home_a == home_b).all(axis=1)
-    met |= (probed_a == home_b[:, None]).all(axis=2).any(axis=1) | (probed_b == home_a[:, None]).all(axis=2).any(axis=1)
-    return float(met.mean())
+    met = 0
+    for lo in range(0, pairs, 4000):
+        # In eight projected dimensions the two are correlated normal vectors.
+        a, b = rng.normal(size=(2, min(4000, pairs - lo), 8)) * scale / math.sqrt(8)
+        b = cosine * a + math.sqrt(1 - cosine**2) * b
+        (home_a, probed_a), (home_b, probed_b) = cells(a, probes), cells(b, probes)
+        same = (home_a == home_b).all(axis=1)
+        same |= (probed_a == home_b[:, None]).all(axis=2).any(axis=1) | (probed_b == home_a[:, None]).all(axis=2).any(axis=1)
+        met += int(same.sum())
+    chance = met / pairs
+    return chance - 2 * math.sqrt(chance * (1 - chance) / pairs)
 
 
 def plan(largest: int, cosine: float = COSINE, probes: int = PROBES, miss: float = MISS) -> tuple[float, int]:
     """(scale, tables) for the nodes of the largest label."""
     scale = max(1.0, SCALE * (max(1, largest) / BASE) ** 0.125)
-    chance = min(0.999, max(0.01, meeting_chance(scale, cosine, probes)))
-    return scale, max(2, math.ceil(math.log(miss) / math.log(1 - chance)))
+    while (chance := meeting_chance(scale, cosine, probes)) < LEAST:
+        scale *= STEP
+    return scale, max(2, math.ceil(math.log(miss) / math.log(1 - min(0.999, chance))))
 
 
 def _vectors(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
