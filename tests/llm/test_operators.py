@@ -288,6 +288,14 @@ def test_byte_ranges_are_joined():
     assert warc.ranges(np.array([0, 10, 30, 100]), np.array([10, 10, 5, 5]), gap=10, most=40) == [(0, 3), (3, 4)]
 
 
+def test_near_copies_of_null_and_repeated_ids_go_by_their_texts(spark):
+    rows = [(None, "a b c d e f"), (None, "g h i j k l"), (None, "G h i j k l"), (1, "m n o p q r"), (1, "s t u v w x"), (2, "s t u v w x"), (3, ""), (3, " "), (3, " "), (None, None), (None, "")]
+    kept = ngram_join.drop_near_copies(table(spark, rows))
+    same([(r.doc_id, r.text and r.text.lower()) for r in kept.collect()], [rows[0], rows[1], rows[3], rows[4], rows[6], rows[7], rows[9], rows[10]])
+    two = ngram_join.drop_near_copies(table(spark, [(1, "a b c d e f g h i j"), (1, "a b c d e f g h i j k")])).collect()  # one class, one id
+    assert len(two) == 1
+
+
 # --- quality
 
 
@@ -311,9 +319,26 @@ def test_quality_learns_and_scores_odd_texts(spark):
     assert quality.classify(docs.limit(0), known).count() == 0
 
 
+def test_rejected_documents_take_no_others_of_their_id_along(spark):
+    good, bad = "calm clear field river " * 5, "BUY now!! click $$$ " * 5
+    rows = [(i, good if i % 2 else bad) for i in range(200)]
+    known = spark.createDataFrame([(i, i % 2, 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    odd = [(None, good), (None, bad), (500, bad), (500, good)]
+    got = quality.drop_rejected(table(spark, rows + odd), known)
+    assert sorted([r.doc_id for r in got.collect()], key=repr) == sorted([*range(1, 200, 2), None, 500], key=repr)
+    assert {r.text for r in got.collect()} == {good}
+
+
 # --- benchmark
 
 
+def test_contaminated_documents_take_no_others_of_their_id_along(spark):
+    item = " ".join("w%d" % i for i in range(13))
+    rows = [(None, item), (None, "clean"), (1, "clean too"), (1, item), (2, None)]
+    got = decontaminate.drop_contaminated(table(spark, rows), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    same([(r.doc_id, r.text) for r in got.collect()], [rows[1], rows[2], rows[4]])
+
+
 def test_hits_equal_brute_force(spark):
     r = random.Random(8)
     item = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")

@@ -21,6 +21,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -87,18 +88,7 @@ def find_benchmark(documents: DataFrame, benchmark: DataFrame, window: int = WIN
     ``spans``: arrays [first word, past last word, first character, past last
     character] of merged hit runs, in the original text; ``items``: item ids found.
     """
-    # Benchmarks are evaluation sets of fixed size; they travel in blocks of bounded size.
-    items = benchmark.filter(F.col("text").isNotNull()).select(F.col("item_id").cast("long"), "text").collect()
-    blocks: list[list[tuple[int, str]]] = [[]]
-    held = 0
-    for i, text in items:
-        n = max(1, len(words_of(text)) - window + 1)
-        if held and held + n > AUTOMATON:
-            blocks.append([])
-            held = 0
-        blocks[-1].append((i, text))
-        held += n
-    sent = [documents.sparkSession.sparkContext.broadcast(b) for b in blocks]
+    sent = _send(documents, benchmark, window)
     kind = pa.list_(pa.list_(pa.int64()))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,6 +115,21 @@ def find_benchmark(documents: DataFrame, benchmark: DataFrame, window: int = WIN
     return rows.mapInArrow(scan, "doc_id long, n_words long, spans array<array<long>>, items array<long>")
 
 
+def _send(documents: DataFrame, benchmark: DataFrame, window: int) -> list[Broadcast]:
+    # Benchmarks are evaluation sets of fixed size; they travel in blocks of bounded size.
+    items = benchmark.filter(F.col("text").isNotNull()).select(F.col("item_id").cast("long"), "text").collect()
+    blocks: list[list[tuple[int, str]]] = [[]]
+    held = 0
+    for i, text in items:
+        n = max(1, len(words_of(text)) - window + 1)
+        if held and held + n > AUTOMATON:
+            blocks.append([])
+            held = 0
+        blocks[-1].append((i, text))
+        held += n
+    return [documents.sparkSession.sparkContext.broadcast(b) for b in blocks]
+
+
 def merge(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(runs):
@@ -154,6 +159,18 @@ def judge(found: DataFrame, share: int = SHARE) -> DataFrame:
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that aren't contaminated, with their own columns."""
-    bad = judge(find_benchmark(documents, benchmark)).filter("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return documents.join(bad, documents["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    """The documents that aren't contaminated, with their own columns; each row is judged by its own text, as by ``judge``."""
+    sent = _send(documents, benchmark, WINDOW)
+    column = documents.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machines = [Automaton(b.value, WINDOW) for b in sent]
+        for batch in batches:
+            keep = []
+            for text in batch.column(column).to_pylist():
+                words = words_of(text)
+                n_hit = sum(b - a for a, b in merge([r for m in machines for r in m.scan(words)[0]]))
+                keep.append(not n_hit or SHARE * n_hit < len(words))
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)

@@ -28,12 +28,14 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from touchline.llm import blocks, text_hash
 from touchline.llm.components import connected_components
@@ -325,23 +327,47 @@ def ngram_components(documents: DataFrame, n: int = WORDS, percent: int = PERCEN
 
     ``component_id``: the least doc_id that links reach, the document's own included.
     """
+    full, alone = _classes(documents, n, percent, cell)
+    return full.select("doc_id", F.col("size").alias("n_shingles"), "component_id").unionByName(alone.select("doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def _classes(documents: DataFrame, n: int, percent: int, cell: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, size, mark, class, component_id) of documents with words, and (doc_id, size) of the others."""
     described = cut(describe(documents, n))
     classes = connected_components(similar_edges(documents, described, n, percent, cell))
     rows = described.filter("seen is null").select("doc_id", "size", "mark")
-    full = rows.filter("size > 0").join(classes, rows["mark"] == classes["node"], "left").select("doc_id", "size", F.coalesce("component", "mark").alias("class"))
+    full = rows.filter("size > 0").join(classes, rows["mark"] == classes["node"], "left").select("doc_id", "size", "mark", F.coalesce("component", "mark").alias("class"))
     least = full.groupBy("class").agg(F.min("doc_id").alias("component_id"))
-    return (
-        full.join(least, "class")
-        .select("doc_id", F.col("size").alias("n_shingles"), "component_id")
-        .unionByName(rows.filter("size = 0").select("doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id")))
-    )
+    return full.join(least, "class"), rows.filter("size = 0").select("doc_id", "size")
 
 
 def drop_near_copies(documents: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One document of each class, that of least doc_id, with its own columns.
+    """One document of each class with its own columns: that of least doc_id, and of least mark where texts share it.
 
-    Rows that repeat a kept doc_id are copies, of which one stays.
+    Rows without words link with nothing and stay; of rows with equal doc_id
+    and text, one stays.
     """
-    kept = ngram_components(documents, n, percent).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    rows = documents.join(kept, documents["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
-    return rows.dropDuplicates(["doc_id"])
+    full, _ = _classes(documents, n, percent, CELL)
+    kept = full.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("class", "doc_id").agg(F.min("mark").alias("_kept_mark"))
+    kept = kept.select(F.col("doc_id").alias("_kept_id"), "_kept_mark", F.lit(True).alias("_kept"))
+    rows = _with_marks(documents, n)
+    rows = rows.join(kept, rows["doc_id"].eqNullSafe(kept["_kept_id"]) & (rows["_mark"] == kept["_kept_mark"]) & rows["_words"], "left")
+    return rows.filter("_kept or not _words").dropDuplicates(["doc_id", "_words", "_mark"]).select(*documents.columns)
+
+
+def _with_marks(documents: DataFrame, n: int) -> DataFrame:
+    """The documents with _words, whether they have any, and _mark: of their set, or of the text itself where they have none."""
+    column = documents.columns.index("text")
+    schema = StructType([*documents.schema.fields, StructField("_words", BooleanType()), StructField("_mark", LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, worded, marks = b.column(column), [], []
+            for _, data, offsets in text_hash.slices(texts):
+                for s in text_hash.shingle_sets(data, offsets, n):
+                    text = None if len(s) else texts[len(marks)].as_py()
+                    worded.append(len(s) > 0)
+                    marks.append(mark_of(s) if len(s) else -1 if text is None else int.from_bytes(hashlib.blake2b(text.encode(), digest_size=7).digest()))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(worded, pa.bool_()), pa.array(marks, pa.int64())], names=schema.names)
+
+    return documents.mapInArrow(run, schema)

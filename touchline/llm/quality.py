@@ -157,17 +157,21 @@ def score(documents: DataFrame, model: np.ndarray, s: Settings | None = None) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = sent.value.astype(np.float64)
         for b in batches:
-            out = []
-            for _, data, offsets in text_hash.slices(b.column(1)):
-                ids, docs = features(data, offsets, s)
-                n = len(offsets) - 1
-                mean = np.bincount(docs, part[ids], n) / np.bincount(docs, minlength=n)
-                out.append(1 / (1 + np.exp(-(mean + part[-1]))))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(out) if out else [], pa.float64())], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_scores(b.column(1), part, s), pa.float64())], names=["doc_id", "score"])
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
 
 
+def _scores(texts: pa.Array, part: np.ndarray, s: Settings) -> np.ndarray:
+    out = [np.zeros(0)]
+    for _, data, offsets in text_hash.slices(texts):
+        ids, docs = features(data, offsets, s)
+        n = len(offsets) - 1
+        mean = np.bincount(docs, part[ids], n) / np.bincount(docs, minlength=n)
+        out.append(1 / (1 + np.exp(-(mean + part[-1]))))
+    return np.concatenate(out)
+
+
 def held_out(of: int = 5) -> Column:
     """Whether a row is kept out of learning: crc32 of the id as text is a multiple of ``of``."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % of == 0
@@ -181,6 +185,14 @@ def classify(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, s:
 
 
 def drop_rejected(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, s: Settings | None = None) -> DataFrame:
-    """The documents that are not rejected, with their own columns."""
-    bad = classify(documents, labels, threshold, s).filter("predicted = 0").select(F.col("doc_id").alias("_bad")).distinct()
-    return documents.join(bad, documents["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    """The documents that are not rejected, with their own columns; each row is judged by its own text."""
+    s = s or Settings()
+    sent = documents.sparkSession.sparkContext.broadcast(fit(documents, labels, usable=~held_out(), s=s))
+    text = documents.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = sent.value.astype(np.float64)
+        for b in batches:
+            yield b.filter(pa.array(~(_scores(b.column(text), part, s) < threshold)))
+
+    return documents.mapInArrow(run, documents.schema)
