@@ -147,6 +147,19 @@ def test_pages_without_an_article_use_density_and_neighbours():
     assert html_text.main_text("<p>Lone words</p>") == "Lone words"
 
 
+def test_articles_are_evidence_for_the_two_passes():
+    long = "The men of the team were in the field and that is what they had to do for all of us. " * 4
+    teasers = "<article><a href=1>One more story</a></article><article><a href=2>Another story</a></article>"
+    assert html_text.main_text(f"<body><div><p>{long}</p></div>{teasers}</body>") == long.strip()
+    assert html_text.main_text(f"<article><p>{long}</p><p>In it.</p></article><div>Out of it.</div>").split("\n") == [long.strip(), "In it."]
+    for wrapper in ("class='layout has-sidebar'", "id='page-with-menu'"):
+        page = f"<body><div {wrapper}><p>Links</p><article><p>{long}</p><div class=ad>Buy</div></article></div></body>"
+        assert html_text.main_text(page) == long.strip()
+    assert html_text.main_text(f"<p>{long}</p><div id=comments><article><p>{long}</p></article></div>") == long.strip()
+    foreign = "сегодня команда выиграла матч " * 10
+    assert html_text.main_text(f"<div><a href=1>меню сайта</a></div><p>{foreign}</p>") == foreign.strip()
+
+
 def test_odd_pages(spark):
     pages = spark.createDataFrame([(1, "u", None, 1), (2, None, "", 1), (2, None, "", 1), (3, "v", "<article>x <!-- open", 1), (4, "w", "<", 1), (None, "x", "<article><p>a" + "<div>" * 3000, 1)], "page_id long, url string, html string, text int")
     same([tuple(r) for r in html_text.extract(pages).collect()], [(1, "u", "", 0), (2, None, "", 0), (2, None, "", 0), (3, "v", "x", 1), (4, "w", "<", 1), (None, "x", "a", 1)])

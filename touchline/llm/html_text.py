@@ -1,18 +1,23 @@
 """Main text of web pages by two-pass block rules.
 
-A page is cut into blocks at block-level tags.  Markup settles some blocks at
-once: what lies in menus, headers, footers, sidebars, notices, adverts, forms
-and reader comments is boilerplate; where a page marks its article (``article``,
-else ``main``), what lies in it is content and what lies outside is not.  On all
-other pages two passes decide:
+A page is cut into blocks at block-level tags.  Markup settles only boilerplate:
+what lies in menus, headers, footers, sidebars, notices, adverts, forms and
+reader comments.  An ``article`` or ``main`` element inside a wrapper whose names
+only suggest boilerplate (``has-sidebar``) is not taken for it.  On all other
+blocks two passes decide:
 
 1. by link density, length and stop-word density a block is good, bad, or
-   ambiguous (short, or of middling density);
+   ambiguous (short, or of middling density); on a page almost without stop
+   words, by link density and length alone;
 2. an ambiguous block takes the label of its nearest decided neighbours (in
    blocks; of two that differ, the nearer, and the good one at equal distance;
    a heading asks the next one first).  With no decided block on a page, all
    ambiguous ones are content.
 
+``article`` and ``main`` are evidence between the passes: an element with a good
+block, or any if no block of the page is good, makes all its blocks content;
+then ambiguous blocks outside such elements are not.  Good blocks outside stay.
+
 Semantics for odd input: null or empty html, and pages without content, give an
 empty text; comments, scripts, styles and the like never count; an unclosed
 element lasts to the end of its parent; repeated rows give a row each; an empty
@@ -38,6 +43,8 @@ BOILER = frozenset("nav footer aside form menu dialog".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Names in class, id and role that mark boilerplate.
 MARKS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert newsletter subscribe subscription popup modal overlay nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead comment comments commentlist disqus discussion replies related recommended share sharing social widget toolbar pagination pager login signup search complementary contentinfo".split())
+#: Marks that an article inside does not lift: comments and teasers are often articles themselves.
+LISTS = frozenset("comment comments commentlist disqus discussion replies related recommended".split())
 #: Frequent function words of English, German, French and Spanish.
 STOP_WORDS = frozenset(
     "a about after all also an and are as at be been but by can could do for from had has have he her his i if in into is it its more no not of on one or our she so some than that the their them then there these they this to up was we were what when which who will with would you your "
@@ -62,6 +69,7 @@ class Rules:
     long: int = 200
     stop_low: float = 0.08
     stop_high: float = 0.18
+    stop_none: float = 0.02
 
 
 @dataclass
@@ -70,15 +78,15 @@ class Block:
     linked: int
     heading: bool
     settled: bool | None  # by markup: content, boilerplate, or not settled
-    inside: bool  # in the page's own article or main element
+    inside: int | None  # number of the outermost article or main element it lies in
 
 
-def _marked(attributes: str) -> bool:
+def _marked(attributes: str, names: frozenset[str] = MARKS) -> bool:
     if "=" not in attributes:
         return False
     for found in _NAMES.finditer(attributes):
         value = (found[1] or found[2] or found[3] or "").lower()
-        if not MARKS.isdisjoint(_SPLIT.split(value)):
+        if not names.isdisjoint(_SPLIT.split(value)):
             return True
     return False
 
@@ -87,7 +95,8 @@ def cut_blocks(page: str) -> list[Block]:
     """The non-empty blocks of a page in order."""
     blocks: list[Block] = []
     pieces: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, boilerplate, article
+    stack: list[tuple[str, bool, bool, int | None]] = []  # name, boilerplate, boilerplate unless an article follows, article
+    articles = 0
     linked, in_link, heading = 0, False, False
 
     def flush() -> None:
@@ -97,7 +106,7 @@ def cut_blocks(page: str) -> list[Block]:
             blocks.append(Block(text, linked, heading, False if boiler else None, article))
         pieces, linked, heading = [], 0, False
 
-    boiler = article = False
+    boiler, article = False, None
     at = 0
     while True:
         tag = _TAG.search(page, at)
@@ -141,7 +150,9 @@ def cut_blocks(page: str) -> list[Block]:
                     if stack[i][0] not in ("span", "p"):
                         break
             own = name in ("article", "main")
-            stack.append((name, name in BOILER or (name == "header" and not article) or (not own and _marked(attributes)), own and not boiler))
+            marked = not own and _marked(attributes)
+            stack.append((name, name in BOILER or (name == "header" and article is None) or (marked and _marked(attributes, LISTS)), marked, articles if own else None))
+            articles += own
         else:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
@@ -149,23 +160,24 @@ def cut_blocks(page: str) -> list[Block]:
                         break
                     del stack[i:]
                     break
-        boiler = any(s[1] for s in stack)
-        article = any(s[2] for s in stack)
+        own_at = [i for i, s in enumerate(stack) if s[3] is not None]
+        boiler = any(s[1] for s in stack) or any(s[2] for s in stack[own_at[-1] if own_at else 0 :])
+        article = stack[own_at[0]][3] if own_at else None
     flush()
     return blocks
 
 
 def classify(blocks: list[Block], rules: Rules) -> list[bool]:
     """Content or not, for each block."""
-    marked = any(b.inside and b.settled is None for b in blocks)
-    label: list[bool | None] = []
-    for b in blocks:
-        if b.settled is not None:
-            label.append(b.settled)
-        elif marked:
-            label.append(b.inside)
-        else:
-            label.append(_first_pass(b, rules))
+    words = [w for b in blocks if b.settled is None for w in _WORD.findall(b.text.lower())]
+    stops = sum(w in STOP_WORDS for w in words) >= rules.stop_none * len(words)
+    label = [b.settled if b.settled is not None else _first_pass(b, rules, stops) for b in blocks]
+    good = any(label)
+    articles = {b.inside for b, x in zip(blocks, label, strict=True) if b.inside is not None and b.settled is None and (x or not good)}
+    if articles:
+        for i, b in enumerate(blocks):
+            if b.settled is None and (b.inside in articles or label[i] is None):
+                label[i] = b.inside in articles
     if None not in label:
         return [bool(x) for x in label]
     before, after = _nearest(label, blocks, range(len(blocks))), _nearest(label, blocks, range(len(blocks) - 1, -1, -1))
@@ -194,12 +206,14 @@ def _nearest(label: list[bool | None], blocks: list[Block], order: range) -> lis
     return out
 
 
-def _first_pass(b: Block, rules: Rules) -> bool | None:
+def _first_pass(b: Block, rules: Rules, stops: bool) -> bool | None:
     n = len(b.text)
     if b.linked > rules.max_link * n or b.text[0] == "©":
         return False
     if n < rules.short or b.heading:
         return None
+    if not stops:
+        return True if n >= rules.long else None
     words = _WORD.findall(b.text.lower())
     density = sum(w in STOP_WORDS for w in words) / max(1, len(words))
     if density >= rules.stop_high:
