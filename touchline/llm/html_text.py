@@ -1,22 +1,22 @@
 """Main text of web pages by two-pass block rules.
 
-A page is cut into blocks at block-level tags.  Markup settles only boilerplate:
-what lies in menus, headers, footers, sidebars, notices, adverts, forms and
-reader comments.  An ``article`` or ``main`` element inside a wrapper whose names
-only suggest boilerplate (``has-sidebar``) is not taken for it.  On all other
-blocks two passes decide:
+A page is cut into blocks at block-level tags.  Markup never makes a block
+content.  It forbids some: what lies in menus, headers, footers, sidebars,
+notices, adverts, forms and reader comments.  An ``article`` or ``main`` element
+inside a wrapper whose names only suggest boilerplate (``has-sidebar``) isn't
+forbidden by them.  Two passes decide all other blocks:
 
 1. by link density, length and stop-word density a block is good, bad, or
-   ambiguous (short, or of middling density); on a page almost without stop
-   words, by link density and length alone;
-2. an ambiguous block takes the label of its nearest decided neighbours (in
-   blocks; of two that differ, the nearer, and the good one at equal distance;
-   a heading asks the next one first).  With no decided block on a page, all
-   ambiguous ones are content.
-
-``article`` and ``main`` are evidence between the passes: an element with a good
-block, or any if no block of the page is good, makes all its blocks content;
-then ambiguous blocks outside such elements are not.  Good blocks outside stay.
+   ambiguous (short, or of middling length or density).  Within ``article`` and
+   ``main`` more links are usual and a lack of stop words alone makes no block
+   bad; on a page almost without stop words they aren't asked.  On a page
+   without a good block, those of middling length and high density are good.
+2. an ambiguous block takes the label of its nearest decided neighbours, counted
+   in blocks: of two that differ, the nearer, and the good one at equal distance;
+   a heading asks the next one first.  The edge of an ``article`` or ``main``
+   with a good block is a neighbour too, EDGE blocks off: good to blocks inside,
+   bad to those outside.  With no decided block on a page, all ambiguous ones
+   are content.
 
 Semantics for odd input: null or empty html, and pages without content, give an
 empty text; comments, scripts, styles and the like never count; an unclosed
@@ -62,14 +62,16 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 @dataclass
 class Rules:
-    """Thresholds of the first pass."""
+    """Thresholds of the passes."""
 
     max_link: float = 0.33
+    max_link_inside: float = 0.75
     short: int = 70
     long: int = 200
     stop_low: float = 0.08
     stop_high: float = 0.18
     stop_none: float = 0.02
+    edge: int = 3
 
 
 @dataclass
@@ -77,7 +79,7 @@ class Block:
     text: str
     linked: int
     heading: bool
-    settled: bool | None  # by markup: content, boilerplate, or not settled
+    forbidden: bool  # by markup
     inside: int | None  # number of the outermost article or main element it lies in
 
 
@@ -103,7 +105,7 @@ def cut_blocks(page: str) -> list[Block]:
         nonlocal pieces, linked, heading
         text = " ".join(_html.unescape("".join(pieces)).split())
         if text:
-            blocks.append(Block(text, linked, heading, False if boiler else None, article))
+            blocks.append(Block(text, linked, heading, boiler, article))
         pieces, linked, heading = [], 0, False
 
     boiler, article = False, None
@@ -167,58 +169,72 @@ def cut_blocks(page: str) -> list[Block]:
     return blocks
 
 
-def classify(blocks: list[Block], rules: Rules) -> list[bool]:
-    """Content or not, for each block."""
-    words = [w for b in blocks if b.settled is None for w in _WORD.findall(b.text.lower())]
-    stops = sum(w in STOP_WORDS for w in words) >= rules.stop_none * len(words)
-    label = [b.settled if b.settled is not None else _first_pass(b, rules, stops) for b in blocks]
-    good = any(label)
-    articles = {b.inside for b, x in zip(blocks, label, strict=True) if b.inside is not None and b.settled is None and (x or not good)}
-    if articles:
-        for i, b in enumerate(blocks):
-            if b.settled is None and (b.inside in articles or label[i] is None):
-                label[i] = b.inside in articles
-    if None not in label:
-        return [bool(x) for x in label]
-    before, after = _nearest(label, blocks, range(len(blocks))), _nearest(label, blocks, range(len(blocks) - 1, -1, -1))
-    out: list[bool] = []
-    for i, x in enumerate(label):
+def first_pass(blocks: list[Block], rules: Rules) -> list[bool | None]:
+    """Good, bad or ambiguous (None), for each block that markup doesn't forbid."""
+    density = [_stop_words(b.text) for b in blocks]
+    asked = sum(d[0] for d in density) >= rules.stop_none * sum(d[1] for d in density)
+    out: list[bool | None] = []
+    middling = []
+    for b, (stops, words) in zip(blocks, density, strict=True):
+        n, share = len(b.text), stops / max(1, words)
+        label = None
+        if b.linked > (rules.max_link if b.inside is None else rules.max_link_inside) * n or b.text[0] == "©":
+            label = False
+        elif n >= rules.short and not b.heading:
+            if share >= rules.stop_high or not asked:
+                label = True if n >= rules.long else None
+                middling.append(len(out))
+            elif share < rules.stop_low and b.inside is None:
+                label = False
+        out.append(label)
+    if True not in out:
+        for i in middling:
+            out[i] = True
+    return out
+
+
+def _stop_words(text: str) -> tuple[int, int]:
+    words = _WORD.findall(text.lower())
+    return sum(w in STOP_WORDS for w in words), len(words)
+
+
+def second_pass(blocks: list[Block], label: list[bool | None], rules: Rules) -> list[bool]:
+    """Ambiguous blocks take the label of their nearest decided neighbours."""
+    if all(x is None for x in label):
+        return [True] * len(label)
+    edges = {b.inside for b, x in zip(blocks, label, strict=True) if b.inside is not None and x}
+    before = _nearest(blocks, label, edges, rules.edge)
+    after = _nearest(blocks[::-1], label[::-1], edges, rules.edge)[::-1]
+    out = []
+    for b, x, low, high in zip(blocks, label, before, after, strict=True):
         if x is None:
-            low, high = before[i], after[i]
-            if low is None or high is None or (blocks[i].heading and high is not None):
-                x = (high or low or (0, True))[1]
-            elif low[0] == high[0]:
-                x = low[1] or high[1]
+            if b.heading and high is not None:
+                x = high[1]
             else:
-                x = min(low, high)[1]
+                x = min((d, not good) for d, good in filter(None, (low, high)))[1] is False
         out.append(x)
     return out
 
 
-def _nearest(label: list[bool | None], blocks: list[Block], order: range) -> list[tuple[int, bool] | None]:
-    """Distance and label of the nearest block behind each, in this order, that the first pass decided."""
-    out: list[tuple[int, bool] | None] = [None] * len(label)
-    last = None
-    for i in order:
-        out[i] = None if last is None else (abs(i - last), bool(label[last]))
-        if label[i] is not None and blocks[i].settled is None:
-            last = i
+def _nearest(blocks: list[Block], label: list[bool | None], edges: set[int], edge: int) -> list[tuple[int, bool] | None]:
+    """(distance, label) of the nearest decided block or edge passed on the way to each block."""
+    out: list[tuple[int, bool] | None] = []
+    last, inside = None, None
+    for i, (b, x) in enumerate(zip(blocks, label, strict=True)):
+        if b.inside != inside and (b.inside in edges or inside in edges):
+            last = (i - edge, b.inside in edges)  # an edge between this block and the one before it
+        inside = b.inside
+        out.append(last and (i - last[0], last[1]))
+        if x is not None:
+            last = (i, x)
     return out
 
 
-def _first_pass(b: Block, rules: Rules, stops: bool) -> bool | None:
-    n = len(b.text)
-    if b.linked > rules.max_link * n or b.text[0] == "©":
-        return False
-    if n < rules.short or b.heading:
-        return None
-    if not stops:
-        return True if n >= rules.long else None
-    words = _WORD.findall(b.text.lower())
-    density = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-    if density >= rules.stop_high:
-        return True if n >= rules.long else None
-    return None if density >= rules.stop_low else False
+def classify(blocks: list[Block], rules: Rules) -> list[bool]:
+    """Content or not, for each block."""
+    free = [b for b in blocks if not b.forbidden]
+    labels = iter(second_pass(free, first_pass(free, rules), rules))
+    return [not b.forbidden and next(labels) for b in blocks]
 
 
 def main_text(page: str | None, rules: Rules | None = None) -> str:
