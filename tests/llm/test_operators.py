@@ -352,11 +352,13 @@ def test_contaminated_documents_take_no_others_of_their_id_along(spark):
     same([(r.doc_id, r.text) for r in got.collect()], [rows[1], rows[2], rows[4]])
 
 
-def test_hits_equal_brute_force(spark):
+@pytest.mark.parametrize(("most", "segment"), [(decontaminate.AUTOMATON, decontaminate.SEGMENT), (40, 5)])
+def test_hits_equal_brute_force(spark, monkeypatch, most, segment):
+    monkeypatch.setattr(decontaminate.segments_of, "__defaults__", (13, segment))
     r = random.Random(8)
     item = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-    bench = [(i, " ".join(r.choice(["a", "b", "Ça", "9x", "t-u"]) for _ in range(r.choice([0, 1, 4, 13, 14, 30])))) for i in range(25)] + [(99, None), (3, "repeat of three")]
-    docs = [(i, "; ".join(r.choice(["a", "b", "ÇA", "9X", "zz"]) for _ in range(40)) + " " + (bench[i % 25][1] or "").upper()) for i in range(40)] + [(70, None), (71, ""), (None, "a b")]
+    bench = [(i, " ".join(r.choice(["a", "b", "Ça", "9x", "t-u"]) for _ in range(r.choice([0, 1, 4, 13, 14, 30])))) for i in range(25)] + [(99, None), (3, "repeat of three"), (None, "9x a 9x zz"), (None, "zz zz a")]
+    docs = [(i, "; ".join(r.choice(["a", "b", "ÇA", "9X", "zz"]) for _ in range(40)) + " " + (bench[i % 25][1] or "").upper()) for i in range(40)] + [(70, None), (71, ""), (None, "a b"), (72, "zz zz a " + (bench[2][1] or "a")), (73, "zz " * 20000 + "a"), (72, "zz zz a")]
     want = []
     for d, text in docs:
         w, hit, items = item.findall(lower(text)), set(), set()
@@ -367,18 +369,46 @@ def test_hits_equal_brute_force(spark):
                 for p in range(len(w) - n + 1):
                     if w[p : p + n] == v[k : k + n]:
                         hit.update(range(p, p + n))
-                        items.add(str(i))
-        want.append((d, len(w), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)))
+                        items.add(i)
+        ids = ",".join(sorted(str(i) for i in items if i is not None))
+        want.append((d, len(w), len(hit), len(items), hashlib.sha256(ids.encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)))
     frame = table(spark, docs)
     marks = spark.createDataFrame(bench, "item_id long, text string")
-    found = decontaminate.judge(decontaminate.find_benchmark(frame, marks))
+    assert len(decontaminate.write_blocks(marks, most=most)) == 1 or most == 40
+    found = decontaminate.judge(decontaminate.find_benchmark(frame, marks, most=most))
     same([tuple(x) for x in found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()], want)
     texts = dict(docs)
-    for x in found.filter("n_hit > 0").collect():
+    for x in found.filter("n_hit > 0 and doc_id < 70").collect():
         for a, b, lo, hi in x.spans:
             assert item.findall(lower(texts[x.doc_id][lo:hi])) == item.findall(lower(texts[x.doc_id]))[a:b]
     assert decontaminate.judge(decontaminate.find_benchmark(frame, marks.limit(0))).filter("contaminated or n_hit > 0").count() == 0
-    assert decontaminate.drop_contaminated(frame, marks).count() == sum(not x[-1] for x in want)
+    kept = decontaminate.drop_contaminated(frame, marks, most=most)
+    assert kept.columns == frame.columns
+    same([(x.doc_id, x.text) for x in kept.collect()], [d for d, x in zip(docs, want, strict=True) if not x[-1]])
+
+
+def test_segments_hold_each_window_once():
+    words = ["w%d" % i for i in range(100)]
+    found = [tuple(s[k : k + 4]) for s in decontaminate.segments_of(words, 4, 7) for k in range(len(s) - 3)]
+    assert found == [tuple(words[k : k + 4]) for k in range(97)]
+    assert decontaminate.segments_of(words[:2], 4, 7) == [words[:2]] and decontaminate.segments_of([], 4, 7) == []
+
+
+@pytest.mark.parametrize("window", [1, 2, 3, 4, 13])
+def test_anchors_find_every_window(window):
+    r = random.Random(window)
+    items = [(i, [r.choice("ab") for _ in range(r.randrange(1, 30))]) for i in range(6)]
+    machine = decontaminate.Automaton(items, window)
+    for _ in range(30):
+        words, hit, found = [r.choice("ab") for _ in range(60)], set(), set()
+        for i, own in items:
+            n = min(window, len(own))
+            for k, p in itertools.product(range(len(own) - n + 1), range(len(words) - n + 1)):
+                if own[k : k + n] == words[p : p + n]:
+                    hit.update(range(p, p + n))
+                    found.add(i)
+        runs, ids = machine.scan(words)
+        assert {p for a, b in runs for p in range(a, b)} == hit and ids == found
 
 
 # --- language model

@@ -1,148 +1,229 @@
-"""Benchmark decontamination with Aho-Corasick automata over normalised items.
+"""Benchmark decontamination with an Aho-Corasick automaton over normalised items.
 
 An item's windows are its runs of ``window`` consecutive words (an item of fewer
-words, but not none, is one window).  Each document is normalised to its words
-joined by spaces and scanned once; a found window marks its words, and word
-positions lead back to character offsets of the original text.
-
-Benchmark windows are dealt to automata of at most ``AUTOMATON`` windows, so a
-task's memory is bounded however many items there are; a document is scanned
-once for each automaton (one, for benchmarks of usual size).
+words, but not none, is one window).  The automaton holds an anchor of
+``(window + 1) // 2`` words from every so many words of an item, so each window
+contains one; where an anchor occurs in a document, the words around it are
+compared with the item's, and a common run of a window's length or more is a
+hit.  Each document is normalised to its words joined by spaces and scanned
+once; word positions lead back to character offsets of the original text.
+
+Items are cut into segments that overlap by a window less one word, and segments
+dealt to blocks of about ``AUTOMATON`` windows.  Each block is a file in shared
+storage; a task holds one block's automaton.  Usual benchmarks are one block and
+documents go through one scan.  For more, documents are kept once with row
+numbers, scanned once for each block, and hits are merged by row.
 
 Semantics for odd input: a null or empty text has no words, hits nothing and is
 clean; an item without words has no windows; repeated items count once by
-item_id; repeated documents give a row each; an empty benchmark leaves all
-documents clean; other columns are ignored.
+item_id; items without an item_id count as one item together, which ``n_items``
+counts and the digest of ids leaves out; repeated documents give a row each; an
+empty benchmark leaves all documents clean; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import posixpath
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from touchline.llm.shared import AtomicFile, cut, new_folder, store
+
 #: Lower-cased words: runs without the ASCII characters that aren't digits or letters.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
 WINDOW = 13
 #: Contaminated: some hit, and SHARE times the hit words at least all words.
 SHARE = 20
-AUTOMATON = 500_000
+#: Windows to an automaton (some 100 bytes each, as anchors and words), and to a segment of an item.
+AUTOMATON, SEGMENT = 400_000, 4096
+_SPANS = pa.list_(pa.list_(pa.int64()))
 
 
 def words_of(text: str | None) -> list[str]:
     return WORD.findall(text.translate(_LOWER)) if text else []
 
 
-def windows_of(words: list[str], window: int = WINDOW) -> list[str]:
-    """Distinct windows, in order, as their words joined by spaces."""
-    return list(dict.fromkeys(" ".join(words[i : i + window]) for i in range(max(1, len(words) - window + 1)))) if words else []
+def segments_of(words: list[str], window: int = WINDOW, most: int = SEGMENT) -> list[list[str]]:
+    """Runs of words of at most ``most`` windows that hold each window once."""
+    return [words[at : at + most + window - 1] for at in range(0, max(1, len(words) - window + 1), most)] if words else []
 
 
 class Automaton:
-    """Windows of benchmark items; ``scan`` finds every occurrence in a document."""
+    """Segments of benchmark items; ``scan`` finds every occurrence of a window in a document."""
 
-    def __init__(self, items: list[tuple[int, str]], window: int = WINDOW):
+    def __init__(self, segments: list[tuple[int | None, list[str]]], window: int = WINDOW):
         import ahocorasick
 
-        found: dict[str, set[int]] = {}
-        for item, text in items:
-            for w in windows_of(words_of(text), window):
-                found.setdefault(w, set()).add(item)
+        self.segments, self.window = segments, window
+        step = (window + 1) // 2  # a window holds the whole anchor that begins in its first ``step`` words
+        anchors: dict[str, list[tuple[int, int]]] = {}
+        for s, (_, words) in enumerate(segments):
+            if len(words) < window:
+                anchors.setdefault(" ".join(words), []).append((s, 0))
+            else:
+                for at in range(0, len(words) - step + 1, step):
+                    anchors.setdefault(" ".join(words[at : at + step]), []).append((s, at))
         self.machine = ahocorasick.Automaton()
-        for w, ids in found.items():
-            self.machine.add_word(f" {w} ", (w.count(" ") + 1, tuple(ids)))
-        if found:
+        for text, places in anchors.items():
+            self.machine.add_word(f" {text} ", (text.count(" ") + 1, places))
+        if anchors:
             self.machine.make_automaton()
-        self.empty = not found
 
-    def scan(self, words: list[str]) -> tuple[list[tuple[int, int]], set[int]]:
+    def scan(self, words: list[str]) -> tuple[list[tuple[int, int]], set[int | None]]:
         """Merged runs [first, past last) of hit words, and the items that occur."""
-        runs: list[list[int]] = []
-        items: set[int] = set()
-        if self.empty or not words:
-            return [], items
+        runs: list[tuple[int, int]] = []
+        items: set[int | None] = set()
+        if not len(self.machine) or not words:
+            return runs, items
         line = f" {' '.join(words)} "
-        at = passed = 0  # words before character `passed` of the line
-        for end, (n, ids) in self.machine.iter(line):
-            at += line.count(" ", passed + 1, end + 1)
+        last = passed = 0  # words before character `passed` of the line
+        reached: dict[tuple[int, int], int] = {}  # past the last word compared, by segment and shift
+        for end, (n, places) in self.machine.iter(line):
+            last += line.count(" ", passed + 1, end + 1)
             passed = end
-            items.update(ids)
-            first = at - n
-            while runs and runs[-1][0] >= first:  # a longer window that ends here or later
-                runs.pop()
-            if runs and runs[-1][1] >= first:
-                runs[-1][1] = at
-            else:
-                runs.append([first, at])
-        return [(a, b) for a, b in runs], items
+            for s, at in places:
+                item, own = self.segments[s]
+                shift = last - n - at
+                if reached.get((s, shift), 0) >= last:
+                    continue
+                lo, hi = at, at + n
+                while lo > 0 and lo + shift > 0 and own[lo - 1] == words[lo - 1 + shift]:
+                    lo -= 1
+                while hi < len(own) and hi + shift < len(words) and own[hi] == words[hi + shift]:
+                    hi += 1
+                reached[s, shift] = hi + shift
+                if hi - lo >= min(self.window, len(own)):
+                    runs.append((lo + shift, hi + shift))
+                    items.add(item)
+        return merge(runs), items
+
+
+def merge(runs: list[tuple]) -> list[tuple]:
+    """Sorted runs [first, past last, ...] without overlaps; of a run's further two places the outer ones stay."""
+    out: list[tuple] = []
+    for run in sorted(runs):
+        if out and run[0] <= out[-1][1]:
+            if run[1] > out[-1][1]:
+                was = out[-1]
+                out[-1] = (was[0], run[1]) if len(run) == 2 else (was[0], run[1], was[2], run[3])
+        else:
+            out.append(tuple(run))
+    return out
+
+
+def write_blocks(benchmark: DataFrame, window: int = WINDOW, most: int = AUTOMATON) -> list[str]:
+    """Files of segments, of about ``most`` windows each."""
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter(F.col("text").isNotNull())
+
+    def cut_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for item, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                segments = segments_of(words_of(text.as_py()), window)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([item] * len(segments), pa.int64()), pa.array(map(" ".join, segments), pa.string()), pa.array([max(1, len(s) - window + 1) for s in segments], pa.int64())],
+                    names=["item_id", "words", "windows"],
+                )
+
+    segments = cut(rows.mapInArrow(cut_items, "item_id long, words string, windows long").dropDuplicates())
+    total = segments.agg(F.sum("windows")).first()[0] or 0
+    blocks = -(-total // most)
+    folder = new_folder(benchmark.sparkSession, "benchmark")
+
+    def write(key: tuple, table: pa.Table) -> pa.Table:
+        name = f"block-{key[0].as_py()}"
+        out = AtomicFile(folder, name)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_file(sink, table.schema) as writer:
+            writer.write_table(table)
+        out.write(sink.getvalue())
+        out.commit()
+        return pa.table({"file": [posixpath.join(folder, name)]})
+
+    dealt = segments.withColumn("block", F.pmod(F.xxhash64("item_id", "words"), F.lit(max(1, blocks))))
+    return sorted(r.file for r in dealt.groupBy("block").applyInArrow(write, "file string").collect())  # a name for each block
+
+
+_ALIVE: dict[tuple[str, int], Automaton] = {}
+
 
+def automaton(file: str, window: int) -> Automaton:
+    """A block's automaton; a Python worker keeps the last one it used."""
+    if (file, window) not in _ALIVE:
+        _ALIVE.clear()
+        fs, path = store(file)
+        with fs.open_input_file(path) as f:
+            table = pa.ipc.open_file(f.read()).read_all()
+        _ALIVE[file, window] = Automaton([(i, w.split(" ")) for i, w in zip(table["item_id"].to_pylist(), table["words"].to_pylist(), strict=True)], window)
+    return _ALIVE[file, window]
 
-def find_benchmark(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+
+def _hits(rows: DataFrame, files: list[str], window: int) -> DataFrame:
+    """(row, spans, items) of the rows (row, text) with hits: a scan for each file, merged by row."""
+
+    def scan_with(file: str):
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                found = []
+                for row, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    runs, items = automaton(file, window).scan(words_of(text))
+                    if runs:
+                        found.append((row, _located(text, runs), list(items)))
+                row, spans, items = zip(*found, strict=True) if found else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.int64()))], names=["row", "spans", "items"])
+
+        return scan
+
+    found = None
+    for file in files:
+        own = rows.mapInArrow(scan_with(file), "row long, spans array<array<long>>, items array<long>")
+        found = own if found is None else found.unionByName(own)
+    return found.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+
+
+def _sorted_ids(items) -> list[int | None]:
+    return sorted(items, key=lambda i: (i is not None, i))
+
+
+def find_benchmark(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, most: int = AUTOMATON) -> DataFrame:
     """(doc_id, n_words, spans, items) of every document.
 
     ``spans``: arrays [first word, past last word, first character, past last
     character] of merged hit runs, in the original text; ``items``: item ids found.
     """
-    sent = _send(documents, benchmark, window)
-    kind = pa.list_(pa.list_(pa.int64()))
+    files = write_blocks(benchmark, window, most)
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if len(files) > 1:
+        rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))
+        rows = rows.join(_hits(rows.select("row", "text"), files, window), "row", "left").select("doc_id", "text", "spans", "items")
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machines = [Automaton(b.value, window) for b in sent]
+    def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, spans, found = [], [], []
-            for text in batch.column(1).to_pylist():
+            held = [batch.column(k).to_pylist() for k in (2, 3)] if len(files) > 1 else [[None] * batch.num_rows] * 2
+            for text, own, ids in zip(batch.column(1).to_pylist(), *held, strict=True):
                 words = words_of(text)
-                hits: list[tuple[int, int]] = []
-                ids: set[int] = set()
-                for m in machines:
-                    runs, own = m.scan(words)
-                    hits += runs
-                    ids |= own
+                if len(files) == 1:
+                    runs, ids = automaton(files[0], window).scan(words)
+                    own = _located(text, runs) if runs else []
                 counts.append(len(words))
-                spans.append(_located(text, merge(hits)) if hits else [])
-                found.append(sorted(ids))
+                spans.append(merge(list(map(tuple, own or ()))))
+                found.append(_sorted_ids(ids or ()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(spans, kind), pa.array(found, pa.list_(pa.int64()))],
+                [batch.column(0), pa.array(counts, pa.int64()), pa.array(spans, _SPANS), pa.array(found, pa.list_(pa.int64()))],
                 names=["doc_id", "n_words", "spans", "items"],
             )
 
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(scan, "doc_id long, n_words long, spans array<array<long>>, items array<long>")
-
-
-def _send(documents: DataFrame, benchmark: DataFrame, window: int) -> list[Broadcast]:
-    # Benchmarks are evaluation sets of fixed size; they travel in blocks of bounded size.
-    items = benchmark.filter(F.col("text").isNotNull()).select(F.col("item_id").cast("long"), "text").collect()
-    blocks: list[list[tuple[int, str]]] = [[]]
-    held = 0
-    for i, text in items:
-        n = max(1, len(words_of(text)) - window + 1)
-        if held and held + n > AUTOMATON:
-            blocks.append([])
-            held = 0
-        blocks[-1].append((i, text))
-        held += n
-    return [documents.sparkSession.sparkContext.broadcast(b) for b in blocks]
-
-
-def merge(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(runs):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
+    return rows.mapInArrow(report, "doc_id long, n_words long, spans array<array<long>>, items array<long>")
 
 
-def _located(text: str, runs: list[tuple[int, int]]) -> list[list[int]]:
+def _located(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
     at = [m.span() for m in WORD.finditer(text.translate(_LOWER))]
-    return [[a, b, at[a][0], at[b - 1][1]] for a, b in runs]
+    return [(a, b, at[a][0], at[b - 1][1]) for a, b in runs]
 
 
 def judge(found: DataFrame, share: int = SHARE) -> DataFrame:
@@ -158,19 +239,35 @@ def judge(found: DataFrame, share: int = SHARE) -> DataFrame:
     )
 
 
-def drop_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+def drop_contaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, most: int = AUTOMATON) -> DataFrame:
     """The documents that aren't contaminated, with their own columns; each row is judged by its own text, as by ``judge``."""
-    sent = _send(documents, benchmark, WINDOW)
+    files = write_blocks(benchmark, window, most)
+    if not files:
+        return documents
+    if len(files) > 1:
+        rows = cut(documents.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")))
+        texts = rows.select("row", F.col("doc.text").alias("text"))
+        n_hit = texts.join(_hits(texts, files, window), "row").select("row", "text", "spans")
+        return rows.join(n_hit.mapInArrow(_bad_rows, "row long"), "row", "left_anti").select("doc.*")
     column = documents.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machines = [Automaton(b.value, WINDOW) for b in sent]
         for batch in batches:
             keep = []
             for text in batch.column(column).to_pylist():
                 words = words_of(text)
-                n_hit = sum(b - a for a, b in merge([r for m in machines for r in m.scan(words)[0]]))
+                n_hit = sum(b - a for a, b in automaton(files[0], window).scan(words)[0])
                 keep.append(not n_hit or SHARE * n_hit < len(words))
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return documents.mapInArrow(run, documents.schema)
+
+
+def _bad_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Row numbers of rows (row, text, spans) that are contaminated."""
+    for b in batches:
+        bad = []
+        for row, text, spans in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if SHARE * sum(s[1] - s[0] for s in merge(list(map(tuple, spans)))) >= len(words_of(text)):
+                bad.append(row)
+        yield pa.RecordBatch.from_arrays([pa.array(bad, pa.int64())], names=["row"])
