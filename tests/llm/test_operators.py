@@ -297,6 +297,29 @@ def test_warc_round_trip(spark):
     assert warc.read_records(warc.write_archives(df.limit(0))).count() == 0
 
 
+def test_archives_are_read_in_as_many_tasks_as_bytes_ask_for(spark, monkeypatch):
+    r = random.Random(5)
+    df = spark.createDataFrame([(i, "u", "".join(map(chr, r.choices(range(33, 1000), k=2000)))) for i in range(300)], "page_id long, url string, html string")
+    index = warc.write_archives(df)
+    monkeypatch.setattr(warc, "TASK", 20000)
+    records = warc.read_records(index)
+    tasks = index.agg(F.sum("length")).first()[0] // 20000
+    assert tasks > 8 and records.rdd.getNumPartitions() >= tasks and records.count() == 300
+    most = max(records.groupBy(F.spark_partition_id()).count().collect(), key=lambda x: x[1])[1]
+    assert most < 100
+
+
+def test_a_second_attempt_writes_the_same_bytes_to_another_file(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"u{i % 3}", "p" * (i % 7)) for i in range(200)], "page_id long, url string, html string")
+    folder = f"file://{tmp_path}"
+    first, second = warc.write_archives(df, folder), warc.write_archives(df.orderBy(F.rand(3)), folder)
+    assert not {r.file for r in first.collect()} & {r.file for r in second.collect()}
+    contents = lambda index: sorted(open(r.file.removeprefix("file://"), "rb").read() for r in index.select("file").distinct().collect())
+    assert contents(first) == contents(second)
+    assert sorted(map(tuple, warc.read_records(first).collect())) == sorted(map(tuple, warc.read_records(second).collect()))
+    assert not list(tmp_path.glob("*.tmp"))
+
+
 def test_byte_ranges_are_joined():
     assert warc.ranges(np.array([0, 10, 30, 100]), np.array([10, 10, 5, 5]), gap=10, most=40) == [(0, 3), (3, 4)]
 

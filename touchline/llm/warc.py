@@ -1,9 +1,13 @@
 """WARC archives, index first.
 
 Writing gives one ``.warc.gz`` file for each task, a gzip member for each record,
-and an index row for each record: file, offset, length, URL and digest.  Reading
-takes any selection of index rows, sorts it by file and offset and joins
-neighbouring byte ranges into large reads.
+and an index row for each record: file, offset, length, URL and digest.  A file
+belongs to one attempt of a task and its index rows name it, so a lost or
+repeated attempt leaves a file that no row points to; records lie in a fixed
+order, so an attempt writes the same bytes again.  Reading takes any selection
+of index rows, deals it to tasks by bytes (runs of ``TASK`` bytes of a file),
+sorts each task's rows by file and offset and joins neighbouring byte ranges
+into large reads.
 
 Records with equal payloads of at least ``min_bytes``: that with the largest
 page_id is the response, the others are revisits that refer to it.
@@ -35,6 +39,8 @@ _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 _INDEX = "page_id long, file string, offset long, length long, url string, digest string"
 #: Ranges at most so far apart are read at once, up to so many bytes.
 GAP, READ = 64 << 10, 4 << 20
+#: Bytes of records that one task reads back.
+TASK = 16 << 20
 
 
 def _fields(headers: dict[str, str]) -> bytes:
@@ -98,10 +104,11 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int =
     first = rows.groupBy("sha").agg(F.max("page_id").alias("response_id"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
     refers = F.when((F.octet_length("html") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("response_id")), F.col("response_id"))
     joined = rows.join(first, "sha", "left").select("page_id", "url", "html", "sha", refers.alias("refers_to"))
+    joined = joined.sortWithinPartitions("sha", "page_id", "url")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = None
-        name = f"part-{TaskContext.get().partitionId():06d}.warc.gz"
+        name = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz"
         for b in batches:
             if out is None and b.num_rows:
                 out = AtomicFile(folder, name)
@@ -182,6 +189,7 @@ def read_records(index: DataFrame) -> DataFrame:
         if f is not None:
             f.close()
 
-    # A few files to a task; a task reads each of its files from front to back.
-    dealt = index.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset")
+    rows = index.select("file", "offset", "length")
+    tasks = max(index.sparkSession.sparkContext.defaultParallelism, -(-(rows.agg(F.sum("length")).first()[0] or 0) // TASK))
+    dealt = rows.repartition(tasks, "file", F.floor(F.col("offset") / TASK)).sortWithinPartitions("file", "offset")
     return dealt.mapInArrow(read, "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary")
