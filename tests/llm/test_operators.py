@@ -437,35 +437,100 @@ def test_anchors_find_every_window(window):
 # --- language model
 
 
-def test_counts_and_base_scores_equal_brute_force(spark, monkeypatch):
+def plain_scores(rows):
+    """(held out, tokens, known, training tokens, base score, score) of each text, by counting and looping."""
+    texts = [(language_model.fold_of(i), [*words(t), None]) for i, t in rows]
+
+    def count(folds):
+        c = [Counter(), Counter(), Counter()]
+        for fold, tokens in texts:
+            if fold in folds:
+                padded = ["<s>", "<s>", *tokens]
+                for k in range(2, len(padded)):
+                    for n in range(3):
+                        c[n][tuple(padded[k - n : k + 1])] += 1
+        starts = sum(fold in folds for fold, _ in texts)
+        return c, starts, sum(c[0].values()), len(c[0])
+
+    def parts(tokens, counts):
+        """(unigram, pair, triple, bucket of the pair's context, bucket of the triple's) of each token."""
+        c, starts, n, v = counts
+        padded = ["<s>", "<s>", *tokens]
+        for k in range(2, len(padded)):
+            one, two = padded[k - 1 : k], padded[k - 2 : k]
+            before = starts if k == 2 else c[0][tuple(one)]
+            before2 = starts if k == 2 else c[1][tuple(two)]
+            pair = c[1][tuple(padded[k - 1 : k + 1])] / before if before else 0
+            triple = c[2][tuple(padded[k - 2 : k + 1])] / before2 if before2 else 0
+            yield (c[0][(padded[k],)] + 1) / (n + v + 1), pair, triple, bucket(before), bucket(before2)
+
+    def bucket(x):
+        return x if x < 4 else min(17, 2 + int(math.log2(x)))
+
+    def rounded(ratio):
+        """The ratio as its half-octave bin's middle."""
+        return 2 ** ((min(max(math.floor(math.log2(ratio) * 2), -127), 127) + 0.5) / 2) if ratio else 0
+
+    main, full = count({0, 1, 4, 5, 6}), count({0, 1, 3, 4, 5, 6})
+    held = [(low, high, rounded(p / u), rounded(t / u)) for fold, tokens in texts if fold == 3 for u, p, t, low, high in parts(tokens, main)]
+    a, b = [0.0] + [0.5] * 17, [0.0] + [0.5] * 17
+    for _ in range(60):
+        got_a, all_a, got_b, all_b = ([0.0] * 18 for _ in range(4))
+        for low, high, p, t in held:
+            x, y, z = a[high] * t, (1 - a[high]) * b[low] * p, (1 - a[high]) * (1 - b[low])
+            got_a[high] += x / (x + y + z)
+            all_a[high] += 1
+            got_b[low] += y / (x + y + z)
+            all_b[low] += (y + z) / (x + y + z)
+        for weights, got, whole in ((a, got_a, all_a), (b, got_b, all_b)):
+            mean = sum(got[1:]) / sum(whole[1:]) if sum(whole[1:]) else 0.5
+            for k in range(1, 18):
+                weights[k] = min(max(got[k] / whole[k] if whole[k] else mean, 1e-6), 1 - 1e-6)
+    train = full[0][0]
+    for fold, tokens in texts:
+        base = score = 0
+        for u, p, t, low, high in parts(tokens, full):
+            base += math.log10(u)
+            score += math.log10(a[high] * t + (1 - a[high]) * (b[low] * p + (1 - b[low]) * u))
+        yield fold == 2, len(tokens), sum(train[(x,)] > 0 for x in tokens), full[2], round(base, 5), round(score, 5)
+
+
+@pytest.mark.parametrize("seed", [2, 3])
+def test_language_model_equals_a_plain_version(spark, monkeypatch, seed):
     monkeypatch.setattr(language_model, "BLOCK_BYTES", 2000)
-    monkeypatch.setattr(language_model, "RANGE_DOCS", 10)
-    rows = corpus(2, 90)
-    train = Counter(t for i, text in rows if language_model.fold_of(i) != 2 for t in [*words(text), None])
-    n, v = sum(train.values()), len(train)
-    want = {}
-    for i, text in rows:
-        tokens = [*words(text), None]
-        base = sum(math.log10((train[t] + 1) / (n + v + 1)) for t in tokens)
-        want.setdefault(i, []).append((language_model.fold_of(i) == 2, len(tokens), sum(train[t] > 0 for t in tokens), n, round(base, 6)))
-    got = {}
-    scores = language_model.score_documents(table(spark, rows).repartition(3)).collect()
-    for x in scores:
-        got.setdefault(x.doc_id, []).append((x.held_out, x.n_tokens, x.n_known, x.train_tokens, round(x.base_score, 6)))
+    monkeypatch.setattr(language_model, "RANGE_BYTES", 3000)
+    r = random.Random(seed)
+    rows = corpus(seed, 60) + [(1000 + i, " ".join(r.choice("abcdefg") for _ in range(30))) for i in range(60)]
+    want, got = {}, {}
+    for (i, _), x in zip(rows, plain_scores(rows), strict=True):
+        want.setdefault(i, []).append(x)
+    for x in language_model.score_documents(table(spark, rows).repartition(3)).collect():
+        got.setdefault(x.doc_id, []).append((x.held_out, x.n_tokens, x.n_known, x.train_tokens, round(x.base_score, 5), round(x.score, 5)))
     assert {k: sorted(x) for k, x in got.items()} == {k: sorted(x) for k, x in want.items()}
-    assert sum(x.score for x in scores) > sum(x.base_score for x in scores)
+
+
+def test_language_model_of_an_empty_table(spark):
     assert language_model.score_documents(table(spark, [])).count() == 0
 
 
-def test_pair_estimates_sum_to_one(spark):
-    """Over all successors of a seen token, the mixed estimate gives at most one (the rest is unknown tokens)."""
-    rows = [(i, "a b a c a b") for i in range(40)]
-    main = [t for i, t in rows if language_model.fold_of(i) not in (2, 3)]
-    pairs = Counter(p for t in main for p in itertools.pairwise([*words(t), None]))
-    context = Counter(a for a, _ in pairs.elements())
-    assert all(abs(sum(c for (x, _), c in pairs.items() if x == a) / context[a] - 1) < 1e-12 for a in context)
-    score = language_model.score_documents(table(spark, rows)).first().score
-    assert score > 6 * math.log10(0.4)
+def test_maximisation_finds_the_weights_that_made_the_data():
+    r = np.random.default_rng(4)
+    high, low = r.integers(1, 4, 20000), r.integers(1, 4, 20000)
+    true_a, true_b = np.array([0, 0.2, 0.5, 0.8]), np.array([0, 0.3, 0.6, 0.9])
+    # each estimate gives one kind of token all its mass, so the parts can be told apart
+    kind = np.where(r.random(20000) < true_a[high], 2, np.where(r.random(20000) < true_b[low], 1, 0))
+    a, b = language_model.maximise(np.ones(20000), high, low, np.where(kind == 2, 1e6, 0.0), np.where(kind == 1, 1e6, 0.0))
+    assert np.abs(a[1:4] - true_a[1:]).max() < 0.03 and np.abs(b[1:4] - true_b[1:]).max() < 0.03
+
+
+def test_packed_numbers_come_back():
+    r = np.random.default_rng(3)
+    for n in (1, 2, 63, 64, 5000):
+        keys = np.unique(r.integers(0, 1 << 56, n, dtype=np.uint64))
+        assert (language_model.unpack_keys(language_model.pack_keys(keys), len(keys)) == keys).all()
+        for top in (2, 300, 1 << 20, 1 << 40):
+            x = r.integers(0, top, n)
+            assert (language_model.unpack(language_model.pack(x), n) == x).all()
 
 
 # --- mixing

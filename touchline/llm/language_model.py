@@ -1,18 +1,27 @@
 """Language-model scores by deleted interpolation.
 
 Tokens are lower-cased words and one end for each text.  A token's probability
-mixes the maximum-likelihood estimate from its predecessor with an add-one
-unigram estimate.  The weight depends on how often the predecessor was seen
-(power-of-two buckets) and is learned by expectation-maximisation on a fold of
-the training documents whose word pairs aren't counted.
+mixes maximum-likelihood estimates from the two tokens before it (triples) and
+from the one before it (pairs) with an add-one unigram estimate:
+
+    a * triple + (1 - a) * (b * pair + (1 - b) * unigram)
+
+The weight a depends on how often the two tokens before were seen, b on how
+often the one before was (buckets: 1, 2, 3, then powers of two).  Both are
+learned by expectation-maximisation on a fold of the training documents, DEV,
+with all three estimates from the counts without that fold; scores then use
+the counts of all training documents.
 
 Counting and looking up are one exchange.  The corpus is read in blocks of
-bounded size; each block sends its distinct token and pair keys, packed by key
-range, with its own counts.  For each range the totals are formed, and what the
-other blocks add to a block's own counts goes back to it, in the order of its
-keys.  Each block's answers are one file in shared storage, which the scoring
-tasks, reading the same blocks again, open.  No table of the vocabulary is
-gathered anywhere, and a key, however frequent, is one entry for each block.
+bounded size; each block sends its distinct token, pair and triple keys of 56
+bits, packed by key range in about four and a half bytes each, with its own
+counts.  For each range the totals are formed, and what the other blocks add to
+a block's own counts goes back to it, in the order of its keys.  Each block's
+answers are one file in shared storage, which the scoring tasks, reading the
+same blocks again, open.  No table of the vocabulary is gathered anywhere, and a
+key, however frequent, is one entry for each block.  There are about as many
+ranges as blocks, so a range is as large as a block; a block sends a range's
+packet only where it has keys in it, so packets are never more than keys.
 
 Blocks are runs of rows of the input's partitions, so the input must give its
 partitions the same rows each time, as scans of files do; a changed block fails
@@ -40,31 +49,32 @@ from touchline.llm import text_hash
 from touchline.llm.shared import AtomicFile, new_folder, store
 
 _U = np.uint64
-#: Bytes of text to a block.
-BLOCK_BYTES = 10 << 20
-#: Documents for each key range; about those of a block.
-RANGE_DOCS = 4096
+#: Bytes of text to a block, and to a key range.
+BLOCK_BYTES = RANGE_BYTES = 6 << 20
 HELD_OUT, DEV, FOLDS = 2, 3, 7
 _END, _START = _U(0x6A09E667F3BCC908), _U(0xBB67AE8584CAA73B)
-BUCKETS, _BINS, _PER_OCTAVE = 34, 1024, 8
-_KEYS = "range int, block long, n int, keys binary, train binary, main binary"
+#: Buckets of context counts: none, 1, 2, 3, 4-7, 8-15, ... up to 2 ** 15 and more.
+BUCKETS = 18
+#: Bins of an estimate's ratio to the unigram's: none, then two to an octave around 1.
+BINS, PER_OCTAVE = 256, 2
+TOKEN, PAIR, TRIPLE, START = range(4)
+_KEYS = "range int, block long, n int, keys binary, train binary, dev binary"
 
 
 def fold_of(doc_id: int | None) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % FOLDS
 
 
-class Block:
-    """Some documents' tokens, and the distinct keys of tokens and pairs.
+def _key(h: np.ndarray, kind: int) -> np.ndarray:
+    """56 bits of a hash, the last two of which are the kind."""
+    return ((h >> _U(8)) & _U(0xFFFFFFFFFFFFFC)) | _U(kind)
 
-    Token keys are even and pair keys odd.  ``train`` counts tokens in all
-    training documents, ``main`` tokens and pairs in those outside the fold that
-    the weights are learned on.
-    """
+
+class Block:
+    """Some documents' tokens, and the sorted distinct keys of tokens, pairs, triples and text starts."""
 
     def __init__(self, ids: list, texts: list[pa.Array]):
-        folds = np.array([fold_of(i) for i in ids], dtype=np.int64)
-        tokens, docs, row = [], [], 0
+        tokens, docs, row = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
         for text in texts:
             for _, data, offsets in text_hash.slices(text):
                 h, at, _, _ = text_hash.words(data, offsets)
@@ -77,31 +87,58 @@ class Block:
                 tokens.append(out)
                 docs.append(np.repeat(np.arange(row, row + len(n)), n + 1))
                 row += len(n)
-        self.ids, self.folds = ids, folds
-        self.tokens = (np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)) & _U(0xFFFFFFFFFFFFFFFE)
-        self.docs = np.concatenate(docs) if docs else np.zeros(0, np.int64)
-        before = np.empty_like(self.tokens)
-        before[1:] = self.tokens[:-1]
-        first = np.ones(len(self.docs), bool)
-        first[1:] = self.docs[1:] != self.docs[:-1]
-        before[first] = _START & _U(0xFFFFFFFFFFFFFFFE)
-        self.first = first
-        self.before_key = before
-        self.pairs = text_hash.mix(before * _U(0x9FB21C651E98DF25) + self.tokens) | _U(1)
-
-    def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(sorted distinct keys, train counts, main counts); text starts are a token that only ``main`` counts."""
-        fold = self.folds[self.docs]
-        train, main = fold != HELD_OUT, (fold != HELD_OUT) & (fold != DEV)
-        self.token_keys, self.token_at = np.unique(self.tokens, return_inverse=True)
-        self.pair_keys, self.pair_at = np.unique(self.pairs, return_inverse=True)
-        start = np.array([_START & _U(0xFFFFFFFFFFFFFFFE)])
-        n, m = len(self.token_keys), len(self.pair_keys)
-        keys = np.concatenate([self.token_keys, start, self.pair_keys])
-        t = np.concatenate([np.bincount(self.token_at[train], minlength=n), [0], np.zeros(m, np.int64)])
-        c = np.concatenate([np.bincount(self.token_at[main], minlength=n), [int((main & self.first).sum())], np.bincount(self.pair_at[main], minlength=m)])
-        order = np.argsort(keys, kind="stable")
-        return keys[order], t[order].astype(np.uint32), c[order].astype(np.uint32)
+        self.ids, self.folds = ids, np.array([fold_of(i) for i in ids], dtype=np.int64)
+        own, self.docs = np.concatenate(tokens), np.concatenate(docs)
+        self.first = np.ones(len(own), bool)
+        self.first[1:] = self.docs[1:] != self.docs[:-1]
+        pairs = text_hash.mix(self._before(own, _START) * _U(0x9FB21C651E98DF25) + own)
+        triples = text_hash.mix(self._before(pairs, _START) * _U(0xD6E8FEB86659FD93) + own)
+        every = np.concatenate([_key(own, TOKEN), _key(pairs, PAIR), _key(triples, TRIPLE), _key(np.array([_START]), START)])
+        del own, pairs, triples
+        self.keys, at = np.unique(every, return_inverse=True)
+        n = len(self.docs)
+        self.token_at, self.pair_at, self.triple_at, self.start_at = at[:n], at[n : 2 * n], at[2 * n : 3 * n], at[3 * n]
+
+    def _before(self, x: np.ndarray, start) -> np.ndarray:
+        """The values one token earlier in the same text."""
+        out = np.empty_like(x)
+        out[1:] = x[:-1]
+        out[self.first] = start
+        return out
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """(in all training documents, in those of the fold DEV) for each key; a text start counts its texts."""
+        fold, out = self.folds[self.docs], []
+        for chosen, texts in ((fold != HELD_OUT, self.folds != HELD_OUT), (fold == DEV, self.folds == DEV)):
+            own = np.zeros(len(self.keys), dtype=np.int64)
+            for at in (self.token_at, self.pair_at, self.triple_at):
+                own += np.bincount(at[chosen], minlength=len(own))
+            own[self.start_at] = int(texts.sum())
+            out.append(own)
+        return out[0], out[1]
+
+    def estimates(self, counts: np.ndarray, tokens: int, kinds: int):
+        """For each token, from counts of all keys: (its count, unigram, pair and triple estimate, buckets of the pair's and the triple's context)."""
+        c1, c2, c3 = (counts[at] for at in (self.token_at, self.pair_at, self.triple_at))
+        before, before2 = self._before(c1, counts[self.start_at]), self._before(c2, counts[self.start_at])
+        return c1, (c1 + 1) / (tokens + kinds + 1), c2 / np.maximum(before, 1), c3 / np.maximum(before2, 1), bucket_of(before), bucket_of(before2)
+
+
+def bucket_of(counts: np.ndarray) -> np.ndarray:
+    """The counts themselves below 4, then a bucket for each power of two."""
+    return np.minimum(np.where(counts < 4, counts, 2 + np.log2(np.maximum(counts, 1)).astype(np.int64)), BUCKETS - 1)
+
+
+def bin_of(ratio: np.ndarray) -> np.ndarray:
+    """0 for none, else half-octave bins."""
+    some = ratio > 0
+    out = np.zeros(len(ratio), dtype=np.int64)
+    out[some] = np.clip(np.floor(np.log2(ratio[some]) * PER_OCTAVE).astype(np.int64) + BINS // 2, 1, BINS - 1)
+    return out
+
+
+def ratio_of(bins: np.ndarray) -> np.ndarray:
+    return np.where(bins > 0, np.exp2((bins - BINS // 2 + 0.5) / PER_OCTAVE), 0.0)
 
 
 def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Block]]:
@@ -125,194 +162,192 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Block]]:
 
 
 def block_keys(rows: DataFrame, ranges: int) -> DataFrame:
-    """(range, block, keys, train, main): the distinct keys of each block, packed by key range."""
-    edges = np.array([(r << 64) // ranges for r in range(1, ranges)], dtype=np.uint64)
+    """(range, block, n, keys, train, dev): the distinct keys of each block, packed by key range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, block in blocks(batches):
-            keys, train, main = block.keys()
-            cuts = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
-            at = [(r, a, b) for r, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
-            for lo in range(0, len(at), 1024):
-                some = at[lo : lo + 1024]
-                numbers = [[r for r, *_ in some], [number] * len(some), [b - a for _, a, b in some]]
-                packed = [[pack_keys(keys[a:b]) for _, a, b in some], *([pack(x[a:b]) for _, a, b in some] for x in (train, main))]
+            keys, (train, dev) = block.keys, block.counts()
+            of = ((keys >> _U(24)) * _U(ranges)) >> _U(32)
+            cuts = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(keys)]
+            for lo in range(0, len(cuts) - 1, 1024):
+                some = list(zip(cuts[lo : lo + 1024], cuts[lo + 1 : lo + 1025], strict=False))
+                numbers = [[int(of[a]) for a, _ in some], [number] * len(some), [b - a for a, b in some]]
+                packed = [[pack_keys(keys[a:b]) for a, b in some], *([pack(x[a:b]) for a, b in some] for x in (train, dev))]
                 kinds = (pa.int32(), pa.int64(), pa.int32())
-                yield pa.RecordBatch.from_arrays([*(pa.array(x, t) for x, t in zip(numbers, kinds, strict=True)), *(pa.array(x, pa.binary()) for x in packed)], names=["range", "block", "n", "keys", "train", "main"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, t) for x, t in zip(numbers, kinds, strict=True)), *(pa.array(x, pa.binary()) for x in packed)], names=["range", "block", "n", "keys", "train", "dev"])
 
     return rows.mapInArrow(run, _KEYS)
 
 
-def pack(counts: np.ndarray) -> bytes:
-    return pa.compress(counts.astype("<u8").tobytes(), "zstd", asbytes=True)
+_WIDTHS = ("<u1", "<u2", "<u4", "<u8")
+
+
+def pack(numbers: np.ndarray) -> bytes:
+    """Whole numbers in the least width that holds them, compressed where there are many."""
+    width = next(i for i in range(4) if not len(numbers) or int(numbers.max()) < 1 << (8 << i))
+    data = numbers.astype(_WIDTHS[width]).tobytes()
+    return bytes([width]) + data if len(data) < 64 else bytes([width + 4]) + pa.compress(data, "zstd", asbytes=True)
 
 
 def unpack(data, n: int) -> np.ndarray:
-    return np.frombuffer(pa.decompress(data, 8 * n, "zstd"), "<u8").astype(np.int64)
+    data = memoryview(data)
+    width = data[0] & 3
+    body = pa.decompress(data[1:], n << width, "zstd") if data[0] & 4 else data[1:]
+    return np.frombuffer(body, _WIDTHS[width], n).astype(np.int64)
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted keys as steps, in six bytes each where all steps but the first fit."""
-    steps = np.diff(keys, prepend=_U(0)).astype("<u8")
-    if len(steps) > 1 and int(steps[1:].max()) >> 48:
-        return b"\x08" + steps.tobytes()
-    return b"\x06" + steps[:1].tobytes() + np.ascontiguousarray(steps[1:].view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+    """Sorted keys: the first, then steps, as their low 32 bits and, compressed, the rest."""
+    steps = np.diff(keys)
+    return keys[:1].astype("<u8").tobytes() + (steps & _U(0xFFFFFFFF)).astype("<u4").tobytes() + pack(steps >> _U(32))
 
 
-def unpack_keys(data: bytes, n: int) -> np.ndarray:
-    if data[0] == 8:
-        return np.cumsum(np.frombuffer(data, "<u8", n, 1), dtype=np.uint64)
-    steps = np.zeros((n, 8), dtype=np.uint8)
-    steps[0] = np.frombuffer(data, np.uint8, 8, 1)
-    steps[1:, :6] = np.frombuffer(data, np.uint8, 6 * (n - 1), 9).reshape(-1, 6)
-    return np.cumsum(steps.view("<u8")[:, 0], dtype=np.uint64)
+def unpack_keys(data, n: int) -> np.ndarray:
+    data = memoryview(data)
+    out = np.empty(n, dtype=np.uint64)
+    out[0] = np.frombuffer(data, "<u8", 1)[0]
+    out[1:] = np.frombuffer(data, "<u4", n - 1, 8)
+    out[1:] += unpack(data[4 + 4 * n :], n - 1).astype(np.uint64) << _U(32)
+    return np.cumsum(out, dtype=np.uint64)
 
 
 def range_totals(packed: DataFrame) -> DataFrame:
-    """(block, range, n, train, main): for each block's keys of a range, what other blocks add to its counts.
+    """(block, range, n, train, dev): for each block's keys of a range, what other blocks add to its counts.
 
-    A further row of block -1 has the range's training tokens and distinct training tokens.
+    A further row of block -1 has the range's tokens and distinct tokens, in training and without DEV.
     """
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         sizes = table.column("n").to_pylist()
-        keys = np.concatenate([unpack_keys(x.as_py(), n) for x, n in zip(table.column("keys"), sizes, strict=True)])
-        train, main = (np.concatenate([unpack(x.as_buffer(), n) for x, n in zip(table.column(c), sizes, strict=True)]) for c in ("train", "main"))
+        keys = np.concatenate([unpack_keys(x.as_buffer(), n) for x, n in zip(table.column("keys"), sizes, strict=True)])
         order = np.argsort(keys, kind="stable")
         keys = keys[order]
         starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        runs = np.diff(np.append(starts, len(keys)))
-        others, sums = [], []
-        for own in (train, main):
+        token = (keys[starts] & _U(3)) == TOKEN
+        del keys
+        runs, cuts = np.diff(np.append(starts, len(order))), np.cumsum(sizes)[:-1]
+        answers, sums = [], []
+        for column in ("train", "dev"):
+            own = np.concatenate([unpack(x.as_buffer(), n) for x, n in zip(table.column(column), sizes, strict=True)])
             totals = np.add.reduceat(own[order], starts)
-            sums.append(totals)
-            more = np.empty(len(keys), dtype=np.int64)
+            sums.append(totals[token])
+            more = np.empty(len(order), dtype=np.int64)
             more[order] = np.repeat(totals, runs)
-            others.append(more - own)
-        token = (keys[starts] & _U(1)) == 0
-        cuts = np.cumsum(sizes)[:-1]
-        answers = [[pack(x) for x in np.split(o, cuts)] for o in others]
-        r = key[0].as_py()
-        summary = struct.pack("<QQ", int(sums[0][token].sum()), int((sums[0][token] > 0).sum()))
+            answers.append([pack(x) for x in np.split(more - own, cuts)])
+        main = sums[0] - sums[1]
+        summary = struct.pack("<QQQQ", int(sums[0].sum()), int((sums[0] > 0).sum()), int(main.sum()), int((main > 0).sum()))
         return pa.table({
-            "block": pa.array([*table.column("block").to_pylist(), -1], pa.int64()), "range": pa.array([r] * (len(sizes) + 1), pa.int32()),
-            "n": pa.array([*sizes, 0], pa.int32()), "train": pa.array([*answers[0], summary], pa.binary()), "main": pa.array([*answers[1], b""], pa.binary()),
+            "block": pa.array([*table.column("block").to_pylist(), -1], pa.int64()), "range": pa.array([key[0].as_py()] * (len(sizes) + 1), pa.int32()),
+            "n": pa.array([*sizes, 0], pa.int32()), "train": pa.array([*answers[0], summary], pa.binary()), "dev": pa.array([*answers[1], b""], pa.binary()),
         })
 
-    return packed.groupBy("range").applyInArrow(run, "block long, range int, n int, train binary, main binary")
+    return packed.groupBy("range").applyInArrow(run, "block long, range int, n int, train binary, dev binary")
 
 
-def store_totals(answers: DataFrame, folder: str) -> tuple[int, int]:
-    """Write each block's totals to a file of its own; returns the training tokens and their distinct number."""
+def store_totals(answers: DataFrame, folder: str) -> tuple[int, int, int, int]:
+    """Write each block's totals to a file of its own; returns tokens and distinct tokens, in training and without DEV."""
+    names = ("tokens", "kinds", "main_tokens", "main_kinds")
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        number, tokens, kinds = key[0].as_py() // 1024, 0, 0
+        number, sums = key[0].as_py() // 1024, np.zeros(4, dtype=np.int64)
         if number < 0:
             for x in table.column("train"):  # summaries
-                a, b = struct.unpack("<QQ", x.as_py())
-                tokens, kinds = tokens + a, kinds + b
+                sums += np.array(struct.unpack("<QQQQ", x.as_py()))
         else:
             table = table.sort_by("range")
             out = AtomicFile(folder, f"totals-{number}")
             out.write(struct.pack("<I", table.num_rows))
-            for n, *parts in zip(*(table.column(c).to_pylist() for c in ("n", "train", "main")), strict=True):
+            for n, *parts in zip(*(table.column(c).to_pylist() for c in ("n", "train", "dev")), strict=True):
                 out.write(struct.pack("<III", n, *map(len, parts)))
                 out.write(b"".join(parts))
             out.commit()
-        return pa.table({"tokens": pa.array([tokens], pa.int64()), "kinds": pa.array([kinds], pa.int64())})
+        return pa.table({k: pa.array([int(x)], pa.int64()) for k, x in zip(names, sums, strict=True)})
 
-    # the sums of ranges, two numbers each, are dealt over 1024 groups
-    group = F.when(F.col("block") >= 0, F.col("block") * 1024).otherwise(F.pmod(F.xxhash64("train"), F.lit(1024)) - 1024)
-    done = answers.withColumn("group", group).groupBy("group").applyInArrow(run, "tokens long, kinds long")
-    total = done.agg(F.sum("tokens"), F.sum("kinds")).first()
-    return int(total[0] or 0), int(total[1] or 0)
+    # the sums of ranges, four numbers each, are dealt over 1024 groups
+    group = F.when(F.col("block") >= 0, F.col("block") * 1024).otherwise(F.pmod(F.xxhash64("range"), F.lit(1024)) - 1024)
+    done = answers.withColumn("group", group).groupBy("group").applyInArrow(run, ", ".join(f"{k} long" for k in names))
+    return tuple(int(x or 0) for x in done.agg(*(F.sum(k) for k in names)).first())
 
 
-def totals_of(block: Block, number: int, folder: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(keys, train, main): a block's keys with corpus totals."""
-    keys, train, main = block.keys()
+def totals_of(block: Block, number: int, folder: str) -> tuple[np.ndarray, np.ndarray]:
+    """(train, dev): corpus totals of a block's keys."""
     fs, path = store(folder)
     with fs.open_input_file(f"{path}/totals-{number}") as f:
-        data = f.read()
+        data = memoryview(f.read())
     (ranges,) = struct.unpack_from("<I", data)
     at, found, more = 4, 0, ([], [])
     for _ in range(ranges):
         n, *sizes = struct.unpack_from("<III", data, at)
         at, found = at + 12, found + n
         for out, size in zip(more, sizes, strict=True):
-            out.append(unpack(memoryview(data)[at : at + size], n))
+            out.append(unpack(data[at : at + size], n))
             at += size
-    if found != len(keys):
+    if found != len(block.keys):
         raise ValueError(f"block {number} has other rows than when it was counted")
-    return keys, train.astype(np.int64) + np.concatenate(more[0]), main.astype(np.int64) + np.concatenate(more[1])
-
-
-def estimates(block: Block, number: int, folder: str, tokens: int, kinds: int):
-    """For each token: (its training count, unigram estimate, pair estimate, bucket of its predecessor)."""
-    keys, train, main = totals_of(block, number, folder)
-    at = np.searchsorted(keys, block.token_keys)
-    seen = train[at][block.token_at]
-    pair = main[np.searchsorted(keys, block.pair_keys)][block.pair_at]
-    context_main = main[at][block.token_at]
-    start = main[np.searchsorted(keys, _START & _U(0xFFFFFFFFFFFFFFFE))] if len(keys) else 0
-    context = np.empty_like(context_main)
-    context[1:] = context_main[:-1]
-    context[block.first] = start
-    unigram = (seen + 1) / (tokens + kinds + 1)
-    bucket = np.zeros(len(context), dtype=np.int64)
-    some = context > 0
-    bucket[some] = 1 + np.minimum(np.log2(context[some]).astype(np.int64), BUCKETS - 2)
-    return seen, unigram, pair / np.maximum(context, 1), bucket
-
-
-def learn_weights(rows: DataFrame, folder: str, tokens: int, kinds: int, rounds: int = 60) -> np.ndarray:
-    """The pair estimate's weight for each bucket, from the fold left out of pair counts.
-
-    With two estimates, a token bears on the weight only through their ratio;
-    held-out tokens are counted by bucket and ratio (an eighth of an octave to a
-    bin), and expectation-maximisation runs on those counts.
+    train, dev = block.counts()
+    return train + np.concatenate(more[0]), dev + np.concatenate(more[1])
+
+
+def learn_weights(rows: DataFrame, folder: str, tokens: int, kinds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (of triples, of pairs) for each bucket, from the tokens of DEV and the counts without it.
+
+    A token bears on the weights only through its two buckets and the ratios of
+    its pair and triple estimates to the unigram's; held-out tokens are counted
+    by these (half-octave bins) and expectation-maximisation runs on the counts.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, block in blocks(batches):
-            _, unigram, pair, bucket = estimates(block, number, folder, tokens, kinds)
             dev = block.folds[block.docs] == DEV
-            ratio = pair[dev] / unigram[dev]
-            bins = np.zeros(len(ratio), dtype=np.int64)
-            some = ratio > 0
-            bins[some] = np.clip(np.floor(np.log2(ratio[some]) * _PER_OCTAVE) + _BINS // 2, 1, _BINS - 1)
-            found = np.bincount(bucket[dev] * _BINS + bins, minlength=0)
-            at = np.flatnonzero(found)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(found[at])], names=["cell", "n"])
-
-    cells = rows.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # BUCKETS * _BINS rows at most
-    counts = np.zeros(BUCKETS * _BINS)
-    counts[cells["cell"].to_numpy()] = cells["n"].to_numpy()
-    counts = counts.reshape(BUCKETS, _BINS)
-    ratio = np.exp2((np.arange(_BINS) - _BINS // 2 + 0.5) / _PER_OCTAVE)
-    ratio[0] = 0
-    pooled = _maximise(counts[1:].sum(axis=0), ratio, rounds)
-    weights = np.array([_maximise(c, ratio, rounds) if c.sum() else pooled for c in counts])
-    weights[0] = 0  # an unseen predecessor has no estimate
-    return weights
-
-
-def _maximise(counts: np.ndarray, ratio: np.ndarray, rounds: int) -> float:
-    weight, total = 0.5, counts.sum()
-    for _ in range(rounds if total else 0):
-        weight = float((counts * (weight * ratio) / (weight * ratio + 1 - weight)).sum() / total)
-        weight = min(max(weight, 1e-6), 1 - 1e-6)
-    return weight
-
-
-def score(rows: DataFrame, folder: str, tokens: int, kinds: int, weights: np.ndarray) -> DataFrame:
+            if dev.any():
+                train, held = totals_of(block, number, folder)
+                _, unigram, pair, triple, low, high = (x[dev] for x in block.estimates(train - held, tokens, kinds))
+                cell = ((high * BUCKETS + low) * BINS + bin_of(triple / unigram)) * BINS + bin_of(pair / unigram)
+                cell, n = np.unique(cell, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n)], names=["cell", "n"])
+
+    cells = rows.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).orderBy("cell").toArrow()  # BUCKETS ** 2 * BINS ** 2 rows at the very most, of which few occur
+    cell = cells["cell"].to_numpy()
+    rest, pair_bin = np.divmod(cell, BINS)
+    rest, triple_bin = np.divmod(rest, BINS)
+    high, low = np.divmod(rest, BUCKETS)
+    return maximise(cells["n"].to_numpy().astype(float), high, low, ratio_of(triple_bin), ratio_of(pair_bin))
+
+
+def maximise(n: np.ndarray, high: np.ndarray, low: np.ndarray, triple: np.ndarray, pair: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of triples by bucket ``high`` and of pairs by bucket ``low`` for n tokens of each cell, by expectation-maximisation.
+
+    Contexts never seen (bucket 0) have no estimates, so their weights are 0;
+    a bucket without held-out tokens takes the mean weight of the others.
+    """
+    a, b = (np.where(np.arange(BUCKETS) > 0, 0.5, 0.0) for _ in range(2))
+    for _ in range(rounds if len(n) else 0):
+        x, y = a[high], b[low]
+        parts = np.stack([x * triple, (1 - x) * y * pair, (1 - x) * (1 - y)])
+        parts *= n / parts.sum(axis=0)
+        a = _share(high, parts[0], n)
+        b = _share(low, parts[1], parts[1] + parts[2])
+    return a, b
+
+
+def _share(bucket: np.ndarray, part: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    part, whole = np.bincount(bucket, part, BUCKETS), np.bincount(bucket, whole, BUCKETS)
+    part[0] = whole[0] = 0
+    mean = part.sum() / whole.sum() if whole.sum() else 0.5
+    out = np.clip(np.where(whole > 0, part / np.where(whole > 0, whole, 1), mean), 1e-6, 1 - 1e-6)
+    out[0] = 0
+    return out
+
+
+def score(rows: DataFrame, folder: str, tokens: int, kinds: int, weights: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, block in blocks(batches):
-            seen, unigram, pair, bucket = estimates(block, number, folder, tokens, kinds)
-            n, w = len(block.ids), weights[bucket]
-            sums = [np.bincount(block.docs, x, n) for x in (np.ones(len(seen)), seen > 0, np.log10(unigram), np.log10(w * pair + (1 - w) * unigram))]
+            seen, unigram, pair, triple, low, high = block.estimates(totals_of(block, number, folder)[0], tokens, kinds)
+            n, a, b = len(block.ids), weights[0][high], weights[1][low]
+            mixed = a * triple + (1 - a) * (b * pair + (1 - b) * unigram)
+            sums = [np.bincount(block.docs, x, n) for x in (np.ones(len(seen)), seen > 0, np.log10(unigram), np.log10(mixed))]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(block.ids, pa.int64()), pa.array(block.folds == HELD_OUT), pa.array(sums[0].astype(np.int64)), pa.array(sums[1].astype(np.int64)), pa.array([tokens] * n, pa.int64()), pa.array(sums[2]), pa.array(sums[3])],
                 names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
@@ -325,7 +360,7 @@ def score_documents(documents: DataFrame) -> DataFrame:
     """Learn from the training folds of ``documents`` and score all of them."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     folder = new_folder(documents.sparkSession, "ngram-totals")
-    ranges = max(1, -(-documents.count() // RANGE_DOCS))
-    tokens, kinds = store_totals(range_totals(block_keys(rows, ranges)), folder)
-    weights = learn_weights(rows, folder, tokens, kinds)
+    ranges = max(1, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // RANGE_BYTES))
+    tokens, kinds, main_tokens, main_kinds = store_totals(range_totals(block_keys(rows, ranges)), folder)
+    weights = learn_weights(rows, folder, main_tokens, main_kinds)
     return score(rows, folder, tokens, kinds, weights)
