@@ -234,17 +234,50 @@ def test_lattice_decoding_is_nearest():
     assert (((x - home) ** 2).sum(axis=1) <= ((x[:, None] - home[:, None] - points) ** 2).sum(axis=2).min(axis=1) + 1e-9).all()
 
 
-@pytest.mark.parametrize("nodes", [500, 5000, 10**7, 10**8, 10**9])
+@pytest.mark.parametrize("nodes", [1, 512, 8192, 10**6, 10**7, 10**8, 10**9, 10**10])
 def test_lattice_tables_keep_the_miss_bound_at_every_size(nodes):
-    scale, tables = lattice.plan(nodes)
-    r = np.random.default_rng(77)
-    met = []
-    for _ in range(20):
-        a, b = r.normal(size=(2, 4000, 8)) * scale / math.sqrt(8)
-        b = 0.93 * a + math.sqrt(1 - 0.93**2) * b
-        (home_a, probed_a), (home_b, probed_b) = lattice.cells(a, lattice.PROBES), lattice.cells(b, lattice.PROBES)
-        met.append((home_a == home_b).all(axis=1) | (probed_a == home_b[:, None]).all(axis=2).any(axis=1) | (probed_b == home_a[:, None]).all(axis=2).any(axis=1))
-    assert (1 - np.mean(met)) ** tables <= 2 * lattice.MISS  # twice, for the error of this simulation
+    scale, points, tables = lattice.plan(nodes)
+    missed = 1 - lattice.meetings(scale, points, 0.93, lattice.PROBES, 20000, seed=77) / 20000
+    assert missed**tables <= 1.5 * lattice.MISS  # for the error of this simulation
+    assert nodes * lattice.unrelated_chance(scale) ** points <= lattice.OCCUPIED  # cells stay sparse
+    assert tables * (1 + lattice.PROBES) < 60 * max(1, nodes) ** 0.15  # and a node's rows few
+
+
+def test_probed_cells_are_the_nearest_ones():
+    x = np.random.default_rng(8).normal(size=(2, 50, 8)) * 1.5
+    home, asked = lattice.cells(x, 4)
+    points = lattice.shortest()
+    options = []  # every cell that changes each point to itself or a neighbour, with its squared distance
+    for part in x:
+        own = np.concatenate([lattice.decode(part)[:, None], lattice.decode(part)[:, None] + points], axis=1)
+        options.append((((part[:, None] - own) ** 2).sum(axis=2), own))
+    for i in range(50):
+        cost = options[0][0][i][:, None] + options[1][0][i][None]
+        best = np.argsort(cost, axis=None)[:5]
+        names = {int(home[i]): 0, **{int(c): k + 1 for k, c in enumerate(asked[i])}}
+        assert len(names) == 5
+        for k, flat in enumerate(best):
+            a, b = divmod(int(flat), 241)
+            there = np.stack([options[0][1][i, a], options[1][1][i, b]])[:, None]
+            assert names[int(lattice.cells(there, 4)[0][0])] == k
+
+
+@pytest.mark.parametrize("planned", [None, 10**9])
+def test_planted_pairs_at_the_threshold_are_found(spark, monkeypatch, planned):
+    if planned:
+        full = lattice.plan(planned)
+        monkeypatch.setattr(lattice, "plan", lambda *_: full)
+    r = np.random.default_rng(12)
+    x = r.normal(size=(1200, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = r.normal(size=(400, 64))
+    y -= (y * x[:400]).sum(axis=1, keepdims=True) * x[:400]
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    pairs = 0.932 * x[:400] + math.sqrt(1 - 0.932**2) * y
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(np.concatenate([x, pairs]))]
+    got = {v.vec_id: v for v in lattice.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    found = sum(got[1200 + i].component_id == i and got[1200 + i].n_links == 1 for i in range(400))
+    assert found >= 396 and sum(v.n_links for v in got.values()) == 2 * found
 
 
 @pytest.mark.parametrize("cell,chunk", [(1024, 2048), (6, 5)])

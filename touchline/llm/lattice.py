@@ -1,20 +1,21 @@
 """Near-duplicate vectors by E8 lattice hashing in several tables.
 
 Vectors of equal label and components are one node from the start.  In each
-table a random projection to eight dimensions, scaled, is decoded to the nearest
-point of the E8 lattice; a node is stored under that cell and also asks the
-neighbouring cells that are nearest to it.  What meets in a cell is a block
-(named by its first stored node); blocks are verified by cosine in double
-precision and give spanning edges, whose components hold all links found.  The
-links of each node are then counted within its component, in pairs of chunks,
-so no pair of copies or links is ever a row.
-
-The scale grows with the eighth root of the largest label's nodes, which keeps
-the nodes in a cell alike, until a pair at the threshold would meet in fewer
-than LEAST of the tables; from there on the scale stays and cells fill in
-proportion to the label.  The number of tables follows from that chance, taken
-by simulation and lowered by its error, so that at most ``miss`` of such pairs
-are lost at every size.
+table a node is projected to one or more sets of eight dimensions, scaled, and
+each is decoded to the nearest point of the E8 lattice; the points together are
+the node's cell.  A node is stored under its cell and also asks the PROBES cells
+nearest to it, of those that change points to lattice neighbours.  What meets in
+a cell is a block (named by its first stored node); blocks are verified by cosine
+in double precision and give spanning edges, whose components hold all links
+found.  The links of each node are then counted within its component, in pairs of
+chunks, so no pair of copies or links is ever a row.
+
+The number of points to a cell grows with the logarithm of the largest label, so
+that two unrelated nodes rarely meet (OCCUPIED others in a cell at most, where
+vectors of a label lie all around); the number of tables then grows with a small
+power of it: some 17 at 8,000 nodes, 55 at 10**7, 165 at 10**9.  It follows from
+the chance that a pair at the threshold meets in a table, taken by simulation
+and lowered by its error, so that at most ``miss`` of such pairs are lost.
 
 Semantics for odd input: null or zero vectors, vectors with a null, NaN or
 infinite component, and vectors without a label link with nothing and stand for
@@ -24,6 +25,7 @@ rows are linked copies; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 from collections.abc import Iterator
@@ -41,12 +43,11 @@ from touchline.llm.text_hash import mix
 
 _U = np.uint64
 COSINE = 0.93
-PROBES = 8
+PROBES = 4
 MISS = 0.001
-#: Scale of the projection for BASE nodes of a label.
-SCALE, BASE = 2.4, 5000
-#: Least chance of a meeting in one table (about 460 tables at MISS), and the scale's step down to it.
-LEAST, STEP = 0.015, 0.97
+#: Scales to choose from, the most points to a cell, and the unrelated nodes in a cell that are borne.
+SCALES = tuple(1.2 + 0.1 * i for i in range(7))
+POINTS, OCCUPIED = 8, 0.06
 CELL, CHUNK = 1024, 2048
 
 
@@ -80,41 +81,77 @@ def shortest() -> np.ndarray:
 
 
 _STEPS = shortest()
+_WEIGHTS = mix(np.arange(1, 9, dtype=np.uint64))
+
+
+def cells(parts: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
+    """(home cell, probed cells) of nodes from their projections (points x nodes x 8), as 64-bit names.
+
+    A probed cell has lattice neighbours for some of its points; its cost is how
+    much farther from the node they lie, in sum of squares.
+    """
+    cost = names = home = None
+    for x in parts:
+        point = decode(x)
+        away = (x - point) @ _STEPS.T
+        top = np.argpartition(away, -probes, axis=1)[:, -probes:]
+        more = np.concatenate([np.zeros((len(x), 1)), 2 - 2 * np.take_along_axis(away, top, axis=1)], axis=1)  # all steps have length 2 ** 0.5
+        at = np.concatenate([point[:, None], point[:, None] + _STEPS[top]], axis=1)
+        own = mix((np.rint(at * 2).astype(np.int64).view(np.uint64) * _WEIGHTS).sum(axis=-1, dtype=np.uint64))
+        if cost is None:
+            cost, names, home = more, own, own[:, 0]
+            continue
+        home = home * _U(0x9FB21C651E98DF25) + own[:, 0]
+        cost = (cost[:, :, None] + more[:, None, :]).reshape(len(x), -1)
+        names = (names[:, :, None] * _U(0x9FB21C651E98DF25) + own[:, None, :]).reshape(len(x), -1)
+        keep = np.argpartition(cost, probes, axis=1)[:, : probes + 1]
+        cost, names = np.take_along_axis(cost, keep, axis=1), np.take_along_axis(names, keep, axis=1)
+    order = np.argsort(cost, axis=1, kind="stable")  # the home cell costs nothing
+    return home, np.take_along_axis(names, order, axis=1)[:, 1:]
 
 
-def cells(x: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
-    """(home cells, probed cells): rows x 8, and rows x probes x 8."""
-    home = decode(x)
-    nearest = np.argpartition((x - home) @ _STEPS.T, -probes, axis=1)[:, -probes:]
-    return home, home[:, None, :] + _STEPS[nearest]
-
-
-def projections(dimension: int, tables: int, scale: float, seed: int) -> np.ndarray:
-    return np.random.default_rng([seed, dimension]).normal(size=(tables, dimension, 8)) * scale / math.sqrt(8)
+def projections(dimension: int, tables: int, points: int, scale: float, seed: int) -> np.ndarray:
+    return np.random.default_rng([seed, dimension]).normal(size=(tables, points, dimension, 8)) * scale / math.sqrt(8)
 
 
-def meeting_chance(scale: float, cosine: float, probes: int, pairs: int = 40000) -> float:
+def meeting_chance(scale: float, points: int, cosine: float, probes: int, pairs: int = 8000) -> float:
     """Chance that two unit vectors at this cosine meet in one table, less two standard errors of its simulation."""
-    rng = np.random.default_rng(3)
-    met = 0
-    for lo in range(0, pairs, 4000):
-        # In eight projected dimensions the two are correlated normal vectors.
-        a, b = rng.normal(size=(2, min(4000, pairs - lo), 8)) * scale / math.sqrt(8)
-        b = cosine * a + math.sqrt(1 - cosine**2) * b
-        (home_a, probed_a), (home_b, probed_b) = cells(a, probes), cells(b, probes)
-        same = (home_a == home_b).all(axis=1)
-        same |= (probed_a == home_b[:, None]).all(axis=2).any(axis=1) | (probed_b == home_a[:, None]).all(axis=2).any(axis=1)
-        met += int(same.sum())
-    chance = met / pairs
+    chance = meetings(scale, points, cosine, probes, pairs, seed=3) / pairs
     return chance - 2 * math.sqrt(chance * (1 - chance) / pairs)
 
 
-def plan(largest: int, cosine: float = COSINE, probes: int = PROBES, miss: float = MISS) -> tuple[float, int]:
-    """(scale, tables) for the nodes of the largest label."""
-    scale = max(1.0, SCALE * (max(1, largest) / BASE) ** 0.125)
-    while (chance := meeting_chance(scale, cosine, probes)) < LEAST:
-        scale *= STEP
-    return scale, max(2, math.ceil(math.log(miss) / math.log(1 - min(0.999, chance))))
+def meetings(scale: float, points: int, cosine: float, probes: int, pairs: int, seed: int) -> int:
+    """How many of so many random pairs at this cosine meet in one table."""
+    rng, met = np.random.default_rng(seed), 0
+    for lo in range(0, pairs, 4000):
+        # In eight projected dimensions the two are correlated normal vectors.
+        a, b = rng.normal(size=(2, points, min(4000, pairs - lo), 8)) * scale / math.sqrt(8)
+        (home_a, probed_a), (home_b, probed_b) = cells(a, probes), cells(cosine * a + math.sqrt(1 - cosine**2) * b, probes)
+        met += int(((home_a == home_b) | (probed_a == home_b[:, None]).any(axis=1) | (probed_b == home_a[:, None]).any(axis=1)).sum())
+    return met
+
+
+@functools.cache
+def unrelated_chance(scale: float, nodes: int = 60000) -> float:
+    """Chance that two unrelated vectors have the same point."""
+    x = np.random.default_rng(9).normal(size=(nodes, 8)) * scale / math.sqrt(8)
+    alike = np.unique((np.rint(decode(x) * 2).astype(np.int64).view(np.uint64) * _WEIGHTS).sum(axis=-1, dtype=np.uint64), return_counts=True)[1].astype(float)
+    return float((alike * (alike - 1)).sum() / nodes / (nodes - 1))
+
+
+@functools.cache
+def plan(largest: int, cosine: float = COSINE, probes: int = PROBES, miss: float = MISS) -> tuple[float, int, int]:
+    """(scale, points to a cell, tables) for the nodes of the largest label: the fewest tables in which cells are sparse enough."""
+    found = []
+    for points in range(1, POINTS + 1):
+        scale = next((s for s in SCALES if largest * unrelated_chance(s) ** points <= OCCUPIED), None)
+        if scale is not None:
+            chance = meeting_chance(scale, points, cosine, probes)
+            found.append((max(2, math.ceil(math.log(miss) / math.log(1 - min(0.999, chance)))), scale, points))
+            if len(found) == 2:
+                break
+    tables, scale, points = min(found)
+    return scale, points, tables
 
 
 def _vectors(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -148,23 +185,18 @@ def _mark(v: np.ndarray, label: int) -> int:
     return int(mix(h + np.add.reduce(bits)).view(np.int64)[0])
 
 
-def cell_rows(distinct: DataFrame, scale: float, tables: int, probes: int, seed: int) -> DataFrame:
+def cell_rows(distinct: DataFrame, scale: float, points: int, tables: int, probes: int, seed: int) -> DataFrame:
     """(cell, asks, mark): the stored row and the asking rows of each node in each table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = mix(np.arange(1, 9, dtype=np.uint64))
         known: dict[int, np.ndarray] = {}
-
-        def name(points: np.ndarray, base: np.ndarray) -> np.ndarray:
-            return mix((np.rint(points * 2).astype(np.int64).view(np.uint64) * weights).sum(axis=-1, dtype=np.uint64) ^ base)
-
         for b in batches:
             flat, lengths = _vectors(b.column(2))
             starts = np.cumsum(lengths) - lengths
             marks, labels = b.column(0).to_numpy(), b.column(1).to_numpy()
             for n in np.unique(lengths).tolist():
                 if n not in known:
-                    known[n] = projections(n, tables, scale, seed)
+                    known[n] = projections(n, tables, points, scale, seed)
                 of = np.flatnonzero(lengths == n)
                 for i in range(0, len(of), 2048):
                     own = of[i : i + 2048]
@@ -172,7 +204,7 @@ def cell_rows(distinct: DataFrame, scale: float, tables: int, probes: int, seed:
                     for t in range(tables):
                         base = mix(labels[own].view(np.uint64) * _U(0xC2B2AE3D27D4EB4F) + _U(t * 4099 + n * 7))
                         home, asked = cells(x @ known[n][t], probes)
-                        cell = np.concatenate([name(home, base), name(asked, base[:, None]).ravel()])
+                        cell = mix(np.concatenate([home ^ base, (asked ^ base[:, None]).ravel()]))
                         mark = np.concatenate([marks[own], np.repeat(marks[own], probes)])
                         asks = np.arange(len(cell)) >= len(own)
                         yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), pa.array(asks), pa.array(mark)], names=["cell", "asks", "mark"])
@@ -311,8 +343,8 @@ def near_vectors(embeddings: DataFrame, cosine: float = COSINE, probes: int = PR
     distinct = linkable.groupBy("mark").agg(F.count(F.lit(1)).alias("copies"), F.first("label").alias("label"), F.first("vector").alias("vector"))
     distinct = cut(distinct)
     largest = distinct.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    scale, tables = plan(largest, cosine, probes, miss)
-    pairs = hub_pairs(cell_rows(distinct, scale, tables, probes, seed))
+    scale, points, tables = plan(1 << max(0, largest - 1).bit_length(), cosine, probes, miss)
+    pairs = hub_pairs(cell_rows(distinct, scale, points, tables, probes, seed))
     placed = cut(blocks.deal(pairs, cell))
     vectors = distinct.select("mark", "vector")
     found = cut(join_blocks(placed.join(vectors, "mark"), cosine))
