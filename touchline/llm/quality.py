@@ -1,20 +1,22 @@
 """Quality classifier on supervised subword embeddings.
 
-A document's features are its lower-cased words and word pairs and its byte
+A document's features are its lower-cased words and word pairs and its character
 n-grams, hashed to a table of learned vectors.  Their average goes through a
 softmax layer; vectors and layer are trained by stochastic gradient descent in
 numpy.  As the document vector is an average and the layer is linear, a trained
 model is folded to one number for each table row, and a document is scored by
 averaging numbers: whole texts, in one pass, on executors.
 
-Training rows are bounded: ``max_train_rows`` labelled documents of smallest
-hash-random key (a documented sample), whose hashed feature counts, not texts,
+The training sample is bounded in rows and bytes: labelled documents in the order
+of a hash-random key, at most ``max_train_rows`` of them and as many as have
+``max_train_bytes`` of text together; texts beyond a sixteenth of that are left
+out of it (they are scored like all others).  Hashed feature counts, not texts,
 are gathered.  Class shares of the sample are kept.
 
 Semantics for odd input: a null or empty text has one feature of its own, so it
-gets a score too; without labelled rows every score is 0.5; labelled rows
-that repeat a doc_id train once for each row; repeated documents get a row each;
-an empty table gives no rows; other columns are ignored.
+gets a score too; without labelled rows every score is 0.5; rows of one doc_id
+with different texts or labels all train, equal rows once; repeated documents get
+a row each; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,14 +32,17 @@ from pyspark.sql import functions as F
 from touchline.llm import text_hash
 
 _U = np.uint64
+#: Steps of the layer and of vectors against that of the bias: a share of a text is small, so vectors take long steps.
+LAYER_STEP, VECTOR_STEP = 4, 64
 
 
 @dataclass(frozen=True)
 class Settings:
     table_bits: int = 16
     dimension: int = 8
-    byte_grams: tuple[int, ...] = (3, 5)
+    char_grams: tuple[int, ...] = (3, 5)
     max_train_rows: int = 4000
+    max_train_bytes: int = 24 << 20
     epochs: int = 6
     rate: float = 0.5
     batch: int = 16
@@ -54,14 +59,13 @@ def features(data: np.ndarray, offsets: np.ndarray, s: Settings) -> tuple[np.nda
         ok = docs[0][1:] == docs[0][:-1]
         ids.append(pair[ok])
         docs.append(docs[0][1:][ok])
-    letters = text_hash.byte_values(data)
-    owner = np.repeat(rows, np.diff(offsets))
-    for n in s.byte_grams:
+    letters, starts = text_hash.characters(data)
+    owner = np.repeat(rows, np.diff(offsets))[starts]
+    for n in s.char_grams:
         if len(letters) >= n:
-            ids.append(text_hash.grams(letters, n))
-            docs.append(owner[: len(letters) - n + 1])
-            ok = docs[-1] == owner[n - 1 :]
-            ids[-1], docs[-1] = ids[-1][ok], docs[-1][ok]
+            ok = owner[n - 1 :] == owner[: len(owner) - n + 1]
+            ids.append(text_hash.grams(letters, n)[ok])
+            docs.append(owner[n - 1 :][ok])
     every = np.full(len(rows), 0x9E3779B97F4A7C15, dtype=np.uint64)  # the feature of each text
     ids, docs = np.concatenate([*ids, every]), np.concatenate([*docs, rows])
     return (ids >> _U(64 - s.table_bits)).astype(np.int64), docs
@@ -77,43 +81,53 @@ def train(samples: list[tuple[int, np.ndarray, np.ndarray]], s: Settings) -> np.
     size = 1 << s.table_bits
     vectors = rng.uniform(-1, 1, (size, s.dimension)).astype(np.float32) / s.dimension
     layer, bias = np.zeros((s.dimension, 2), np.float32), np.zeros(2, np.float32)
-    weights = [w for _, _, w in samples]
     steps, step = s.epochs * -(-len(samples) // s.batch), 0
     for _ in range(s.epochs):
         order = rng.permutation(len(samples))
         for i in range(0, len(order), s.batch):
-            rate = s.rate * (1 - step / steps)
+            descend(vectors, layer, bias, [samples[j] for j in order[i : i + s.batch]], s.rate * (1 - step / steps))
             step += 1
-            part = order[i : i + s.batch]
-            at = np.concatenate([samples[j][1] for j in part])
-            w = np.concatenate([weights[j] for j in part])
-            starts = np.cumsum([0, *(len(weights[j]) for j in part[:-1])])
-            hidden = np.add.reduceat(vectors[at] * w[:, None], starts, axis=0)
-            p = _softmax(hidden @ layer + bias)
-            p[np.arange(len(part)), [samples[j][0] for j in part]] -= 1
-            back = p @ layer.T
-            layer -= rate * (hidden.T @ p) / len(part) * 4
-            bias -= rate * p.mean(axis=0)
-            spread = np.repeat(np.arange(len(part)), [len(weights[j]) for j in part])
-            # each document moves its own features, as far as the average would have moved
-            np.add.at(vectors, at, -rate * 64 * w[:, None] * back[spread])
     folded = vectors @ (layer[:, 1] - layer[:, 0])
     return np.append(folded, bias[1] - bias[0]).astype(np.float32)
 
 
+def descend(vectors: np.ndarray, layer: np.ndarray, bias: np.ndarray, part: list[tuple[int, np.ndarray, np.ndarray]], rate: float) -> None:
+    """One step of gradient descent on a batch of samples, in place."""
+    at, w = (np.concatenate([x[k] for x in part]) for k in (1, 2))
+    counts = [len(x[2]) for x in part]
+    hidden = np.add.reduceat(vectors[at] * w[:, None], np.cumsum([0, *counts[:-1]]), axis=0)
+    p = _softmax(hidden @ layer + bias)
+    p[np.arange(len(part)), [x[0] for x in part]] -= 1
+    back = np.repeat(p @ layer.T, counts, axis=0)
+    layer -= rate * LAYER_STEP * (hidden.T @ p) / len(part)
+    bias -= rate * p.mean(axis=0)
+    np.add.at(vectors, at, -rate * VECTOR_STEP * w[:, None] * back)
+
+
 def _softmax(x: np.ndarray) -> np.ndarray:
     e = np.exp(x - x.max(axis=1, keepdims=True))
     return e / e.sum(axis=1, keepdims=True)
 
 
 def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", usable: Column | None = None, s: Settings | None = None) -> np.ndarray:
-    """A folded model of the labelled documents for which ``usable`` holds."""
+    """A folded model of the labelled documents for which ``usable`` holds, a condition on the column ``id``."""
     s = s or Settings()
-    known = labels.filter(F.col(label).isin(0, 1)).select(F.col("doc_id"), F.col(label).cast("int").alias("label"))
-    known = known.filter(usable if usable is not None else F.lit(True))
-    # Bounded by max_train_rows: ids first, then their texts' features.
-    chosen = known.orderBy(F.xxhash64("doc_id", F.lit(s.seed)), "doc_id", "label").limit(s.max_train_rows)
-    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
+    known = labels.filter(F.col(label).isin(0, 1)).select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("label"))
+    known = known.withColumn("key", F.xxhash64("id", F.lit(s.seed)))
+    known = known.filter(usable if usable is not None else F.lit(True)).distinct()
+    chosen = known.orderBy("key", "id", "label").limit(s.max_train_rows)
+    # of bounded size; a row's place in the sample is (key, doc_id, label, hash of the text)
+    place = ("key", "doc_id", "label", "text_hash")
+    texts = documents.select("doc_id", "text", F.octet_length("text").alias("bytes"), F.xxhash64("text").alias("text_hash"))
+    texts = texts.filter(F.coalesce("bytes", F.lit(0)) <= s.max_train_bytes // 16)
+    rows = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))
+    first = rows.select(*place, "bytes").distinct().orderBy(*place).limit(s.max_train_rows).collect()
+    held = np.cumsum([r.bytes or 0 for r in first])
+    last = int(np.searchsorted(held, s.max_train_bytes, side="right")) - 1
+    if last < 0:
+        return np.zeros((1 << s.table_bits) + 1, np.float32)
+    rows = rows.filter(F.struct(*place) <= F.struct(*(F.lit(first[last][c]).cast(rows.schema[c].dataType) for c in place)))
+    rows = rows.dropDuplicates(place).select("doc_id", "text", "label")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -136,7 +150,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", usable:
         samples.append((y, unpack(got["ids"][i]).astype(np.uint16 if s.table_bits <= 16 else np.uint32), (counts / counts.sum()).astype(np.float32)))
     del got
     pa.default_memory_pool().release_unused()
-    return train(samples, s) if samples else np.zeros((1 << s.table_bits) + 1, np.float32)
+    return train(samples, s)
 
 
 def pack(numbers: np.ndarray) -> bytes:
@@ -172,14 +186,14 @@ def _scores(texts: pa.Array, part: np.ndarray, s: Settings) -> np.ndarray:
     return np.concatenate(out)
 
 
-def held_out(of: int = 5) -> Column:
+def held_out(column: str = "doc_id", of: int = 5) -> Column:
     """Whether a row is kept out of learning: crc32 of the id as text is a multiple of ``of``."""
-    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % of == 0
+    return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % of == 0
 
 
 def classify(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, s: Settings | None = None) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document, learned from labelled rows that aren't held out."""
-    model = fit(documents, labels, usable=~held_out(), s=s)
+    model = fit(documents, labels, usable=~held_out("id"), s=s)
     scored = score(documents, model, s)
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
@@ -187,7 +201,7 @@ def classify(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, s:
 def drop_rejected(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, s: Settings | None = None) -> DataFrame:
     """The documents that are not rejected, with their own columns; each row is judged by its own text."""
     s = s or Settings()
-    sent = documents.sparkSession.sparkContext.broadcast(fit(documents, labels, usable=~held_out(), s=s))
+    sent = documents.sparkSession.sparkContext.broadcast(fit(documents, labels, usable=~held_out("id"), s=s))
     text = documents.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

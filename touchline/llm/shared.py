@@ -1,14 +1,15 @@
 """Shared storage for cut lineage and for the files that operators write.
 
 Everything lands under the folder that the cluster names in
-``spark.checkpoint.dir``; only where it is unset (tests on one machine) a
-temporary folder is made.  Executors open files through ``pyarrow.fs``, so any
+``spark.checkpoint.dir``; where it is unset, a temporary folder is made on a
+master of one machine, as in tests, and an error raised on any other.  Executors open files through ``pyarrow.fs``, so any
 store it knows by URI will do.
 """
 
 from __future__ import annotations
 
 import posixpath
+import re
 import tempfile
 import uuid
 
@@ -20,6 +21,8 @@ def shared_root(spark: SparkSession) -> str:
     """The folder shared by driver and executors."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="touchline-")
         spark.sparkContext.setCheckpointDir(root)
     elif not spark.sparkContext.getCheckpointDir():

@@ -129,6 +129,11 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarr
     return out
 
 
-def byte_values(data: np.ndarray) -> np.ndarray:
-    """Lower-cased bytes as 64-bit values to make n-grams of."""
-    return _BYTE[_LOWER[data]]
+def characters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit value, first byte) of each character of UTF-8 bytes; ``A``-``Z`` have the values of ``a``-``z``."""
+    starts = np.flatnonzero((data & 0xC0) != 0x80)
+    values, lengths = _BYTE[_LOWER[data[starts]]], np.diff(starts, append=len(data))
+    for k in range(1, 4):
+        longer = np.flatnonzero(lengths > k)
+        values[longer] = values[longer] * _U(_STEP[k]) + _BYTE[data[starts[longer] + k]]
+    return values, starts
