@@ -96,6 +96,17 @@ def test_near_copies_keep_one_row_of_each_class(spark):
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars", "mark"]
 
 
+def test_many_null_ids_fetch_each_text_once(spark):
+    base = ["w%d" % k for k in range(40)]
+    rows = [(None, " ".join([*base[:20], "x%d" % i, *base[20:]])) for i in range(150)] + [(None, " ".join(base))] * 150 + [(1, " ".join(base))]
+    docs = table(spark, rows)
+    described = ngram_join.describe(docs).filter("seen is null")
+    placed = described.dropDuplicates(["mark"]).selectExpr("1L as hub", "0 as part", "mark", "false as spread", "doc_id", "text_hash")
+    assert ngram_join._with_text(placed, ngram_join._texts(docs)).count() <= 150 + 151  # not the square
+    got = ngram_join.ngram_components(docs).collect()
+    assert len(got) == len(rows) and {r.component_id for r in got} == {1}
+
+
 def test_signature_tree_loses_no_link():
     r = np.random.default_rng(4)
     sets = []
@@ -601,7 +612,7 @@ def test_mix_takes_each_sources_exact_budget(spark):
 def test_emitted_mix_has_the_taken_words(spark):
     docs = table(spark, [(i, f"w{i} " * (i % 7 + 1)) for i in range(90)])
     mixed = mixing.mix_sources(docs)
-    out = mixing.emit_mix(docs, mixed)
+    out = mixing.emit_mix(docs)
     assert out.columns == docs.columns
     got, want = Counter(), Counter({r.doc_id: r.taken for r in mixed.collect() if r.taken})
     for r in out.collect():

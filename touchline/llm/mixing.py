@@ -66,12 +66,25 @@ def mix_sources(
     A source's budget is its rounded target.  It takes whole epochs of the
     source while they fit, then documents in hash-random order up to the exact
     budget; the last one is taken in part.  ``taken`` counts the words of all
-    epochs.  Reruns agree, since the order is a hash of seed and id.
+    epochs.  Reruns agree, since the order is a hash of seed and id, then id,
+    size and a hash of the text.
     """
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+    rows = cut(documents.select(*_keys(id_col, text_col, source_col, seed)))
+    return _deal(rows, weights, max_repeat).select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+def _size(text: str) -> Column:
+    return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def _keys(id_col: str, text_col: str, source_col: str, seed: str) -> list[Column]:
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
-    sized = cut(documents.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), key.alias("key")))
-    sized = sized.withColumn("bin", F.substring("key", 1, BIN_DIGITS))
+    return [F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), _size(text_col).alias("size"), key.alias("key"), F.xxhash64(text_col).alias("tie")]
+
+
+def _deal(rows: DataFrame, weights: tuple[int, ...], max_repeat: int) -> DataFrame:
+    """Adds source_size, target and taken to rows (doc_id, source, size, key, tie) with any further columns."""
+    sized = rows.withColumn("bin", F.substring("key", 1, BIN_DIGITS))
     # Every hot source is spread over its bins, so no step has a key with a large share of the rows.
     bins = sized.groupBy("source", "bin").agg(F.sum("size").alias("bin_size"))
     targets = source_targets(bins.groupBy("source").agg(F.sum("bin_size").alias("source_size")), weights, max_repeat)
@@ -85,12 +98,10 @@ def mix_sources(
         .drop("bin_size")
     )
     dealt = _join(sized, cuts, ["source", "bin"])
-    in_bin = Window.partitionBy("source", "bin").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    in_bin = Window.partitionBy("source", "bin").orderBy("key", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
     apart = dealt.filter(F.col("inside")).withColumn("extra", _clip(F.col("room") - F.coalesce(F.sum("size").over(in_bin), F.lit(0))))
     whole = dealt.filter(~F.col("inside")).withColumn("extra", F.when(F.col("room") > 0, F.col("size")).otherwise(0))
-    return apart.unionByName(whole).select(
-        "doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("extra")).cast("long").alias("taken")
-    )
+    return apart.unionByName(whole).withColumn("taken", (F.col("epochs") * F.col("size") + F.col("extra")).cast("long"))
 
 
 def _clip(room: Column) -> Column:
@@ -107,27 +118,23 @@ def _join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(right, on).drop(*(f"_right_{k}" for k in keys))
 
 
-def emit_mix(documents: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The documents of a mix with their own columns, once for each epoch.
+def emit_mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT, seed: str = "mix-1") -> DataFrame:
+    """The documents (doc_id, text, source) that ``mix_sources`` takes, with all their columns, once for each epoch.
 
     A document whose last epoch is cut gives that many of its first words,
     joined by spaces, as a further row.  ``n_chars``, where there is such a
-    column, is counted anew.  Rows that share a doc_id and a size share their
-    mean number of words.
+    column, is counted anew.  Each row has its own share, whatever its id, so
+    exactly the budget is emitted; columns may have any names, as they travel in
+    a struct.
     """
-    size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-    share = mixed.groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_words")).agg(F.floor(F.avg("taken")).alias("_taken"))
-    rows = documents.withColumn("_size", size)
-    rows = rows.join(share, rows["doc_id"].eqNullSafe(share["_id"]) & (rows["_size"] == share["_words"]))
-    full = F.when(F.col("_size") > 0, F.floor(F.col("_taken") / F.col("_size"))).otherwise(0)
-    rest = F.col("_taken") - full * F.col("_size")
-    epochs = F.concat(
-        F.array_repeat(F.col("_size"), full.cast("int")),
-        F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")),
-    )
-    words = F.regexp_extract_all(F.col("text"), F.lit(f"({WORD})"))
-    text = F.when(F.col("_part") == F.col("_size"), F.col("text")).otherwise(F.array_join(F.slice(words, 1, F.col("_part").cast("int")), " "))
-    rows = rows.withColumn("_part", F.explode(epochs)).withColumn("text", text)
-    if "n_chars" in documents.columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
-    return rows.select(*documents.columns)
+    rows = _deal(documents.select(*_keys("doc_id", "text", "source", seed), F.struct("*").alias("doc")), weights, max_repeat)
+    full = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0)
+    rest = F.col("taken") - full * F.col("size")
+    epochs = F.concat(F.array_repeat(F.col("size"), full.cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
+    rows = rows.select("doc", "size", F.explode(epochs).alias("part"))
+    own = F.col("doc").getField("text")
+    first_words = F.array_join(F.slice(F.regexp_extract_all(own, F.lit(f"({WORD})")), 1, F.col("part").cast("int")), " ")
+    rows = rows.select("doc", F.when(F.col("part") == F.col("size"), own).otherwise(first_words).alias("text"))
+    made = {"text": F.col("text"), "n_chars": F.length("text")}
+    kinds = {f.name: f.dataType for f in documents.schema}
+    return rows.select(*((made[c].cast(kinds[c]) if c in made else F.col("doc").getField(c)).alias(c) for c in documents.columns))

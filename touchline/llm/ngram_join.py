@@ -65,7 +65,7 @@ def bits_of(size: int) -> int:
 
 
 def describe(documents: DataFrame, n: int = WORDS) -> DataFrame:
-    """(doc_id, size, mark, bits, token, seen): a row for each document, and rows of common tokens with counts.
+    """(doc_id, size, mark, text_hash, bits, token, seen): a row for each document, and rows of common tokens with counts.
 
     ``seen`` is null in the rows of documents.
     """
@@ -80,7 +80,7 @@ def describe(documents: DataFrame, n: int = WORDS) -> DataFrame:
             seen = np.diff(np.append(starts, len(tokens)))
             keep = seen >= COMMON
             none = pa.nulls(int(keep.sum()), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, none, pa.nulls(int(keep.sum()), pa.binary()), pa.array(tokens[starts[keep]].view(np.int64)), pa.array(seen[keep].astype(np.int64))], names=_DESCRIBED)
+            return pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(int(keep.sum()), pa.binary()), pa.array(tokens[starts[keep]].view(np.int64)), pa.array(seen[keep].astype(np.int64))], names=_DESCRIBED)
 
         for b in batches:
             sizes, marks, bits = [], [], []
@@ -96,14 +96,18 @@ def describe(documents: DataFrame, n: int = WORDS) -> DataFrame:
                     yield common()
                     held, count = [], 0
             none = pa.nulls(len(sizes), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(marks, pa.int64()), pa.array(bits, pa.binary()), none, none], names=_DESCRIBED)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(marks, pa.int64()), b.column(2), pa.array(bits, pa.binary()), none, none], names=_DESCRIBED)
         yield common()
 
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, size long, mark long, bits binary, token long, seen long")
+    return _texts(documents).mapInArrow(run, "doc_id long, size long, mark long, text_hash long, bits binary, token long, seen long")
 
 
-_DESCRIBED = ["doc_id", "size", "mark", "bits", "token", "seen"]
+_DESCRIBED = ["doc_id", "size", "mark", "text_hash", "bits", "token", "seen"]
+
+
+def _texts(documents: DataFrame) -> DataFrame:
+    """(doc_id, text, text_hash): an id and a hash name a text also where ids are null or repeated."""
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
 
 
 def token_order(described: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -196,9 +200,9 @@ def with_partners(rows: DataFrame, percent: int) -> DataFrame:
             if keep.any():
                 yield from own.filter(pa.array(keep)).drop_columns(["size", "bits"]).to_batches()
 
-    names = ["hub", "part", "parts", "mark", "spread", "doc_id", "size", "bits"]
+    names = ["hub", "part", "parts", "mark", "spread", "doc_id", "text_hash", "size", "bits"]
     dealt = rows.select(*names).repartition("hub", "part").sortWithinPartitions("hub", "part", "mark")
-    return dealt.mapInArrow(run, "hub long, part int, parts int, mark long, spread boolean, doc_id long")
+    return dealt.mapInArrow(run, "hub long, part int, parts int, mark long, spread boolean, doc_id long, text_hash long")
 
 
 def can_link(bits: list[np.ndarray], sizes: np.ndarray, similar: Similar) -> np.ndarray:
@@ -253,7 +257,7 @@ def _streamed(batches: Iterator[pa.RecordBatch], n: int):
                     if own is not None:
                         yield (*own, marks, sets, spread)
                     own, marks, sets, spread = keys[row], [], [], []
-                if mark_of(s) == wanted[row]:
+                if mark_of(s) == wanted[row] and (not marks or marks[-1] != wanted[row]):  # rows of equal id and text come once
                     marks.append(wanted[row])
                     sets.append(s)
                     spread.append(spreads[row])
@@ -303,23 +307,26 @@ def similar_edges(documents: DataFrame, described: DataFrame, n: int, percent: i
     """Edges (a, b) between marks that connect them as all links do."""
     pairs = cut(hub_pairs(prefix_rows(documents, token_order(described), n, percent), percent))
     # One document stands for each set; its text is fetched only if its set is in a block.
-    stands = described.filter("seen is null and size > 0").groupBy("mark").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("bits").alias("bits"))
+    one = F.min(F.struct("doc_id", "text_hash"))
+    stands = described.filter("seen is null and size > 0").groupBy("mark").agg(one.alias("one"), F.first("size").alias("size"), F.first("bits").alias("bits"))
+    stands = stands.select("mark", "one.*", "size", "bits")
     dealt = blocks.deal(pairs, cell).join(stands, "mark")
     # A part of a split block doesn't show all partners of its sets, so these all stay.
-    placed = cut(with_partners(dealt.filter("parts = 1"), percent).unionByName(dealt.filter("parts > 1").select("hub", "part", "parts", "mark", "spread", "doc_id")))
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    placed = cut(with_partners(dealt.filter("parts = 1"), percent).unionByName(dealt.filter("parts > 1").select("hub", "part", "parts", "mark", "spread", "doc_id", "text_hash")))
+    texts = _texts(documents)
     found = cut(join_blocks(_with_text(placed, texts), n, percent))
     edges = found.filter(~F.col("apart")).select("a", "b")
     split = cut(placed.filter("parts > 1"))
     if split.isEmpty():
         return edges
-    again = blocks.deal_again(split, found.filter("apart").select(F.col("a").alias("hub"), F.col("b").alias("mark"))).join(stands.select("mark", "doc_id"), "mark")
+    again = blocks.deal_again(split, found.filter("apart").select(F.col("a").alias("hub"), F.col("b").alias("mark"))).join(stands.select("mark", "doc_id", "text_hash"), "mark")
     more = join_blocks(_with_text(again, texts), n, percent)
     return edges.unionByName(cut(more.filter(~F.col("apart")).select("a", "b")))
 
 
 def _with_text(placed: DataFrame, texts: DataFrame) -> DataFrame:
-    return placed.select("hub", "part", "mark", "spread", "doc_id").join(texts, placed["doc_id"].eqNullSafe(texts["doc_id"])).select("hub", "part", "mark", "spread", "text")
+    same = placed["doc_id"].eqNullSafe(texts["doc_id"]) & (placed["text_hash"] == texts["text_hash"])
+    return placed.select("hub", "part", "mark", "spread", "doc_id", "text_hash").join(texts, same).select("hub", "part", "mark", "spread", "text")
 
 
 def ngram_components(documents: DataFrame, n: int = WORDS, percent: int = PERCENT, cell: int = CELL) -> DataFrame:
@@ -348,26 +355,27 @@ def drop_near_copies(documents: DataFrame, n: int = WORDS, percent: int = PERCEN
     and text, one stays.
     """
     full, _ = _classes(documents, n, percent, CELL)
-    kept = full.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("class", "doc_id").agg(F.min("mark").alias("_kept_mark"))
-    kept = kept.select(F.col("doc_id").alias("_kept_id"), "_kept_mark", F.lit(True).alias("_kept"))
-    rows = _with_marks(documents, n)
-    rows = rows.join(kept, rows["doc_id"].eqNullSafe(kept["_kept_id"]) & (rows["_mark"] == kept["_kept_mark"]) & rows["_words"], "left")
-    return rows.filter("_kept or not _words").dropDuplicates(["doc_id", "_words", "_mark"]).select(*documents.columns)
+    kept = full.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("class", "doc_id").agg(F.min("mark").alias("kept"))
+    kept = kept.select(F.col("doc_id").alias("kept_id"), "kept")
+    rows = _with_marks(documents, n).withColumn("id", F.col("doc.doc_id").cast("long"))
+    rows = rows.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("mark") == F.col("kept")) & F.col("worded"), "left")
+    return rows.filter("kept is not null or not worded").dropDuplicates(["id", "worded", "mark"]).select("doc.*")
 
 
 def _with_marks(documents: DataFrame, n: int) -> DataFrame:
-    """The documents with _words, whether they have any, and _mark: of their set, or of the text itself where they have none."""
+    """(doc, worded, mark): the documents' columns, whether they have words, and a mark of their set, or of the text itself where they have none."""
+    rows = documents.select(F.struct("*").alias("doc"))
     column = documents.columns.index("text")
-    schema = StructType([*documents.schema.fields, StructField("_words", BooleanType()), StructField("_mark", LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, worded, marks = b.column(column), [], []
+            texts, worded, marks = b.column(0).field(column), [], []
             for _, data, offsets in text_hash.slices(texts):
                 for s in text_hash.shingle_sets(data, offsets, n):
                     text = None if len(s) else texts[len(marks)].as_py()
                     worded.append(len(s) > 0)
                     marks.append(mark_of(s) if len(s) else -1 if text is None else int.from_bytes(hashlib.blake2b(text.encode(), digest_size=7).digest()))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(worded, pa.bool_()), pa.array(marks, pa.int64())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(worded, pa.bool_()), pa.array(marks, pa.int64())], names=["doc", "worded", "mark"])
 
-    return documents.mapInArrow(run, schema)
+    schema = StructType([*rows.schema.fields, StructField("worded", BooleanType()), StructField("mark", LongType())])
+    return rows.mapInArrow(run, schema)
