@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as
 Parquet and read again as the next stage's documents.  All but the last return
 the columns of ``documents``.
+
+Semantics for odd input, in every stage: rows are judged one by one, so null and
+repeated ids take no other rows along; a null or empty text is scored by the
+classifier, copies nothing, holds no benchmark words, has no words to take in the
+mix (so it ends there); repeated rows are near copies, of which one stays; further
+columns are carried along whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,7 +36,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources mixed to their target weights: a row for each epoch of a document."""
-    return mixing.emit_mix(docs, mixing.mix_sources(docs))
+    return mixing.emit_mix(docs)
 
 
 def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
