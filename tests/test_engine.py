@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import itertools
+import math
 import random
 
 import pytest
@@ -105,35 +106,61 @@ def squad(seed, n=14):
 SQUAD = "squad_id long, k int, player_id long, positions array<string>, total double, base_rating double, start_prob double"
 
 
+def plain_worth(player, slot):
+    """A player's worth in a slot, or None where no position fits."""
+    _, _, _, positions, total, _, start = player
+    fits = [m for taken in slot for p, m in dims.MALUS[taken].items() if p in positions]
+    return None if not fits else total if max(fits) == 0 else max(0.0, total + max(fits) * 15 * start)
+
+
+def plain_score(keeper, team, slots):
+    back = [p[5] for p, s in zip(team, slots, strict=True) if set(s) <= {"RB", "CB", "LB"}]
+    mean = sum(back) / len(back) if back else 0
+    bonus = 0 if mean < 7 else min(5, math.floor((mean - 7) / 0.25 + 1e-9) + 1)
+    return keeper[4] + sum(plain_worth(p, s) for p, s in zip(team, slots, strict=True)) + 15 * bonus
+
+
 def test_line_ups_are_valid_and_local_optima(spark):
-    for seed in range(3):
-        rows = squad(seed)
-        players = [lineup.Player(p, tuple(pos), t, b, s) for _, _, p, pos, t, b, s in rows]
-        got = lineup.formation_lineups(spark.createDataFrame(rows, SQUAD)).collect()
-        assert got
-        for r in got:
-            s = lineup.Search(players, dims.SLOTS[r.formation])
-            team = [next(p for p in players if p.id == i) for i in r.ids]
-            assert len(set(r.ids)) == 11 and team[0].positions == ("GK",)
-            assert [s.malus[i].get(p.id) for i, p in enumerate(team[1:])] == r.malus[1:]
-            assert s.score(team) == pytest.approx(r.score) and s.score(s.climb(team)) == pytest.approx(r.score)
-            assert r.score >= s.score(s.greedy()) - 1e-9
-        best = lineup.best_lineups(spark.createDataFrame(got)).first()
-        assert best.score == max(r.score for r in got)
-
-
-def test_small_formation_against_all_teams():
+    rows = [(seed, *r[1:]) for seed in range(3) for r in squad(seed)]
+    got = lineup.formation_lineups(spark.createDataFrame(rows, SQUAD)).collect()
+    assert {r.squad_id for r in got} == {0, 1, 2}
+    for r in got:
+        players = {p[2]: p for p in rows if p[0] == r.squad_id}
+        slots, keeper, team = dims.SLOTS[r.formation], players[r.ids[0]], [players[i] for i in r.ids[1:]]
+        assert len(set(r.ids)) == 11 and keeper[4] == max(p[4] for p in players.values() if p[3] == ["GK"])
+        assert all(plain_worth(p, s) is not None for p, s in zip(team, slots, strict=True))
+        assert plain_score(keeper, team, slots) == pytest.approx(r.score)
+        bench = [p for i, p in players.items() if i not in r.ids]
+        for i in range(10):
+            moves = [team[:i] + [p] + team[i + 1 :] for p in bench]
+            for j in range(i + 1, 10):
+                swapped = list(team)
+                swapped[i], swapped[j] = team[j], team[i]
+                moves.append(swapped)
+            for move in moves:
+                if all(plain_worth(p, s) is not None for p, s in zip(move, slots, strict=True)):
+                    assert plain_score(keeper, move, slots) <= r.score + 1e-6
+    best = {r.squad_id: r for r in lineup.best_lineups(spark.createDataFrame(got)).collect()}
+    assert all(best[k].score == max(r.score for r in got if r.squad_id == k) for k in best)
+
+
+def test_small_formation_against_all_teams(spark, monkeypatch):
     slots = [["CB"], ["DM", "CM"], ["FW", "ST"]]
+    monkeypatch.setitem(dims.SLOTS, "tiny", slots)
+    rows = []
     for seed in range(20):
         r = random.Random(seed)
-        players = [lineup.Player(0, ("GK",), 5.0, 7.0, 1.0)] + [lineup.Player(i, (r.choice(["CB", "DM", "CM", "ST", "FW"]),), r.uniform(0, 30), r.uniform(6, 8.5), 1.0) for i in range(1, 8)]
-        s = lineup.Search(players, slots)
-        team = s.greedy()
-        options = [c for c in itertools.permutations(players[1:], 3) if all(p.id in s.malus[i] for i, p in enumerate(c))]
-        if team is None:
+        rows.append((seed, 0, 0, ["GK"], 5.0, 7.0, 1.0))
+        rows += [(seed, i, i, [r.choice(["CB", "DM", "CM", "ST", "FW"])], r.uniform(0, 30), r.uniform(6, 8.5), 1.0) for i in range(1, 8)]
+    got = {r.squad_id: r for r in lineup.formation_lineups(spark.createDataFrame(rows, SQUAD), ["tiny"]).collect()}
+    assert len(got) > 10
+    for seed in range(20):
+        own = [p for p in rows if p[0] == seed]
+        teams = [c for c in itertools.permutations(own[1:], 3) if all(plain_worth(p, s) is not None for p, s in zip(c, slots, strict=True))]
+        if seed not in got:  # a slot ran out of players while it was filled
             continue
-        top = max(s.score([players[0], *c]) for c in options)
-        assert s.score(team) <= s.score(s.climb(team)) <= top + 1e-9
+        assert got[seed].score <= max(plain_score(own[0], c, slots) for c in teams) + 1e-9
+        assert plain_score(own[0], [own[i] for i in got[seed].ids[1:]], slots) == pytest.approx(got[seed].score)
 
 
 def test_staged_match(spark):

@@ -1,11 +1,15 @@
 """Ratings kept under Structured Streaming: each batch's new matches are folded into saved state.
 
-State is a Parquet table for each batch under one folder, the newest complete one
-counts; a batch that runs again writes its folder again, from the same state.
+Under one folder, each batch has a Parquet table of the state after it (a row for
+each team) and one of the ids it processed, by month of the match.  A batch reads
+the state before it and the ids of its own months in earlier batches, so its
+work follows the batch and not the history.  A batch that runs again writes its
+own tables again, from the same state.
 """
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,27 +22,27 @@ class RatingSink:
     def __init__(self, folder: str):
         self.folder = folder
 
-    def _path(self, kind: str, batch: int) -> str:
-        return f"{self.folder}/{kind}-{batch:08d}"
-
-    def _load(self, spark, kind: str, batch: int) -> DataFrame | None:
-        if batch < 0:
-            return None
-        return spark.read.parquet(self._path(kind, batch))
+    def _state(self, batch: int) -> str:
+        return f"{self.folder}/state-{batch:08d}"
 
     def __call__(self, new: DataFrame, batch: int) -> None:
         """Matches already processed are left out, whatever order or batch they come in."""
         spark = new.sparkSession
-        done = self._load(spark, "done", batch - 1)
-        new = new.dropDuplicates(["match_id"])
-        fresh = new if done is None else new.join(done, "match_id", "left_anti")
-        ratings.state_after(fresh, self._load(spark, "state", batch - 1)).write.mode("overwrite").parquet(self._path("state", batch))
-        ids = fresh.select("match_id")
-        (ids if done is None else done.unionByName(ids)).write.mode("overwrite").parquet(self._path("done", batch))
+        fresh = new.dropDuplicates(["match_id"]).withColumn("month", F.date_format("dt", "yyyy-MM"))
+        months = [r.month for r in new.select(F.date_format("dt", "yyyy-MM").alias("month")).distinct().collect()]
+        if batch > 0:
+            done = spark.read.schema("match_id long, month string, batch long").parquet(f"{self.folder}/done")
+            done = done.filter((F.col("batch") < batch) & F.col("month").isin(months))
+            fresh = fresh.join(done.select("match_id").distinct(), "match_id", "left_anti")
+        fresh = fresh.persist(StorageLevel.MEMORY_AND_DISK)
+        state = spark.read.parquet(self._state(batch - 1)) if batch > 0 else None
+        ratings.state_after(fresh, state).write.mode("overwrite").parquet(self._state(batch))
+        fresh.select("match_id", "month").write.mode("overwrite").partitionBy("month").parquet(f"{self.folder}/done/batch={batch}")
+        fresh.unpersist()
         self.last = batch
 
     def state(self, spark) -> DataFrame:
-        return self._load(spark, "state", self.last)
+        return spark.read.parquet(self._state(self.last))
 
 
 def keep_ratings(stream: DataFrame, folder: str, checkpoint: str):
