@@ -166,3 +166,61 @@ def strength(elo_diff: Column, lam_h: Column, lam_a: Column) -> tuple[Column, Co
     x = (elo_diff, lam_h - lam_a, lam_h + lam_a)
     logit = [F.lit(b) + sum((F.lit(w) * v for w, v in zip(ws, x, strict=True)), F.lit(0.0)) for b, ws in zip(dims.STRENGTH_INTERCEPT, dims.STRENGTH_COEF, strict=True)]
     return softmax3(*logit)
+
+
+def season_rating(current: Column, prior: Column, played: Column) -> Column:
+    """This season's rating blended with the last one's by matches played; 6 without either."""
+    return F.coalesce(blend(current, prior, confidence(played)), F.lit(6.0))
+
+
+def form_rating(season: Column, form: Column) -> Column:
+    """Six tenths season and four tenths recent form, where there is any."""
+    return F.coalesce(season * 0.6 + form * 0.4, season)
+
+
+def logit(p: Column, edge: float = 1e-9) -> Column:
+    q = F.least(F.lit(1 - edge), F.greatest(F.lit(edge), p))
+    return F.ln(q / (1 - q))
+
+
+def share_of(part: Column, whole: Column, empty: float = 0.0) -> Column:
+    """A part's share of a whole, 1 at most."""
+    return F.coalesce(F.least(F.lit(1.0), F.try_divide(part.cast("double"), whole.cast("double"))), F.lit(empty))
+
+
+def gap_share(gap: Column, most: int = 10) -> Column:
+    """How long ago, as a share of ``most``; unknown is longest."""
+    return F.least(F.coalesce(gap, F.lit(most)), F.lit(most)) / F.lit(float(most))
+
+
+def clean_sheet_chance(lam: Column) -> Column:
+    return F.exp(-lam)
+
+
+def to_step(x: Column, step: int = 5) -> Column:
+    """To the nearest multiple, halves upwards."""
+    return half_up(x / float(step)) * step
+
+
+def to_even_step(x: Column, step: int = 5) -> Column:
+    """To the nearest multiple, halves to even ones."""
+    return F.rint(x / float(step)) * step
+
+
+def axis_share(value: Column, top: float) -> Column:
+    """A value on a radar axis."""
+    return F.least(F.lit(1.0), value / top)
+
+
+def age_label(seconds: Column) -> Column:
+    """just now, minutes, hours, or days ago."""
+    at = lambda size, mark: F.concat(F.floor(seconds / size).cast("string"), F.lit(mark))
+    return F.when(seconds < 60, "just now").when(seconds < 3600, at(60, "m ago")).when(seconds < 86400, at(3600, "h ago")).otherwise(at(86400, "d ago"))
+
+
+def any_stat(*values: Column) -> Column:
+    """Whether a card is shown: some value isn't zero."""
+    out = F.lit(False)
+    for v in values:
+        out = out | (F.coalesce(v, F.lit(0)) != 0)
+    return out

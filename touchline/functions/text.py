@@ -84,3 +84,31 @@ def guess_positions(label: Column, group: Column) -> Column:
     middle = F.when(has("defensive") | eq("dm", "cdm", "m"), p("DM")).when(has("attacking") | eq("am", "cam", "t"), p("AM")).when(has("wing") | eq("w", "lw", "rw"), p("W")).otherwise(p("CM"))
     front = F.when(has("second", "shadow") | eq("ss", "a"), p("FW")).otherwise(p("ST"))
     return F.when(group == "GK", p("GK")).when(group == "DEF", back).when(group == "MID", middle).otherwise(front)
+
+
+def score_part(score: Column, i: int) -> Column:
+    """The whole number that a part of a score text such as "2 - 1" begins with."""
+    return F.regexp_extract(F.get(F.split(score, "-"), F.lit(i)), r"^\s*([+-]?\d+)", 1).try_cast("int")
+
+
+def singular(label: Column) -> Column:
+    return F.lower(F.regexp_replace(label, "(?i)s$", ""))
+
+
+def full_name(first: Column, last: Column) -> Column:
+    """The parts that are there and not empty, joined by a space."""
+    return F.concat_ws(" ", F.nullif(first, F.lit("")), F.nullif(last, F.lit("")))
+
+
+def initial(name: Column) -> Column:
+    return F.substring(name, 1, 1)
+
+
+def cache_key(collection: str, **parts: Column) -> Column:
+    """A canonical key: the collection and a JSON object with sorted names."""
+    return F.concat(F.lit(f"{collection}:"), F.to_json(F.struct(*(parts[k].alias(k) for k in sorted(parts))), {"ignoreNullFields": "false"}))
+
+
+def visible(cells: Column) -> Column:
+    """The cells that aren't null or empty."""
+    return F.filter(cells, lambda x: F.coalesce(x, F.lit("")) != "")

@@ -64,3 +64,11 @@ def holders(rows: DataFrame, members: str, member_id: int) -> DataFrame:
 
 def delete(rows: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(gone.select(*keys), keys, "left_anti")
+
+
+def all_processed(*parts: DataFrame, key: str = "match_id") -> DataFrame:
+    """The distinct ids of all parts."""
+    out = parts[0].select(key)
+    for part in parts[1:]:
+        out = out.unionByName(part.select(key))
+    return out.distinct()

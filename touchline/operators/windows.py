@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from touchline.functions import rules
+
 ORDER = ("dt", "match_id")
 
 
@@ -180,3 +182,20 @@ def ewma(values: Column, alpha: float) -> Column:
     """Exponentially weighted mean of a list; the first value starts it."""
     head, rest = F.get(values, F.lit(0)), F.slice(values, F.lit(2), F.greatest(F.lit(0), F.size(values) - 1))
     return F.aggregate(rest, head, lambda a, x: a + alpha * (x - a))
+
+
+#: The position that a feed's usual line stands for.
+USUAL = {0: "GK", 1: "CB", 2: "CM", 3: "ST"}
+
+
+def native_positions(apps: DataFrame, native: DataFrame) -> DataFrame:
+    """(player_id, pos, known): a known position; else the one that most starters of the player's usual slot have; else by the usual line; else CM.
+
+    apps: (player_id, started, slot, usual); native: (player_id, native).
+    """
+    most = lambda rows, key, value: rows.groupBy(key, value).agg(F.count(F.lit(1)).alias("n")).groupBy(key).agg(F.min(F.struct((-F.col("n")).alias("o"), value))[value].alias(value))
+    starts = apps.filter("started = 1")
+    proxy = most(starts.join(native, "player_id"), "slot", "native").withColumnRenamed("native", "proxy")
+    usual = most(apps.filter("usual is not null"), "player_id", "usual")
+    players = apps.select("player_id").distinct().join(native, "player_id", "left").join(most(starts, "player_id", "slot"), "player_id", "left").join(F.broadcast(proxy), "slot", "left").join(usual, "player_id", "left")
+    return players.select("player_id", F.coalesce("native", "proxy", rules.lookup(F.col("usual"), USUAL), F.lit("CM")).alias("pos"), F.col("native").isNotNull().alias("known"))

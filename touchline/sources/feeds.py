@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from touchline import dims
+from touchline.functions import rules
 
 _TEAM = "struct<id: string, name: string, score: int>"
 _MATCH = f"struct<id: string, round: string, roundName: string, home: {_TEAM}, away: {_TEAM}, status: struct<utcTime: string, finished: boolean, scoreStr: string>>"
@@ -105,13 +106,18 @@ def card_events(df: DataFrame) -> DataFrame:
 
 
 def match_odds(df: DataFrame) -> DataFrame:
-    """(match_id, home, draw, away) of the first market; rows without any price are dropped."""
+    """(match_id, home, draw, away) of the first market, where it has any price."""
     rows = parsed(df, ODDS).select("match_id", F.inline(F.get("j.markets", F.lit(0))["selections"]))
     price = F.regexp_extract(F.col("oddsDecimal"), r"^\s*([+-]?\d+(?:\.\d+)?)", 1).try_cast("double")
     pick = lambda name: F.max(F.when(F.lower("name") == name, price))
     return rows.groupBy("match_id").agg(pick("1").alias("home"), pick("x").alias("draw"), pick("2").alias("away")).filter("coalesce(home, draw, away) is not null")
 
 
+def full_odds(df: DataFrame) -> DataFrame:
+    """Odds with all three prices, as saved odds are kept."""
+    return match_odds(df).filter("home is not null and draw is not null and away is not null")
+
+
 def team_players(df: DataFrame) -> DataFrame:
     """(team, player_id, name, grp, rating, goals, injured): squads by group title (others, as coaches, are dropped), else the last line-up."""
     groups = df.sparkSession.createDataFrame([("keepers", "GK"), ("defenders", "DEF"), ("midfielders", "MID"), ("attackers", "FWD")], "title string, grp string")
@@ -148,3 +154,92 @@ def scoring_side(events: DataFrame) -> DataFrame:
     before = F.last(known, ignorenulls=True).over(w)
     h, a = F.coalesce(before["home_score"], F.lit(0)), F.coalesce(before["away_score"], F.lit(0))
     return events.withColumn("side", F.when(F.col("home_score") > h, "h").when(F.col("away_score") > a, "a"))
+
+
+TEAM_SEASONS = "struct<stats: struct<primarySeasonId: string, tournamentSeasons: array<struct<tournamentId: string, parentLeagueId: string>>>>"
+XG = "struct<content: struct<stats: struct<Periods: struct<`All`: struct<stats: array<struct<stats: array<struct<key: string, stats: array<string>>>>>>>>>>"
+SUGGEST = "array<struct<title: struct<key: string>, suggestions: array<struct<type: string, id: long, name: string, teamId: long, teamName: string>>>>"
+PLAYER = (
+    "struct<primaryTeam: struct<teamId: long, teamName: string>, positionDescription: struct<primaryPosition: struct<label: string>, "
+    "positions: array<struct<strPos: struct<label: string>, strPosShort: struct<label: string>>>>, firstSeasonStats: struct<statsSection: struct<items: array<struct<"
+    "title: string, localizedTitleId: string, display: string, items: array<struct<title: string, localizedTitleId: string, statValue: string, per90: double, percentileRank: double, statFormat: string>>>>>>>"
+)
+NATIVES = "struct<data: array<struct<id: long, name: string, first_name: string, club: struct<name: string>, position_classic_arr: array<string>>>, meta: struct<page: struct<total_pages: int>>>"
+#: Short position labels by group; any other is a midfielder's.
+SHORT_POSITION = {"GK": "GK", "CB": "DEF", "LB": "DEF", "RB": "DEF", "LWB": "DEF", "RWB": "DEF", "DM": "MID", "CM": "MID", "LM": "MID", "RM": "MID", "AM": "MID", "LW": "FWD", "RW": "FWD", "ST": "FWD", "CF": "FWD", "SS": "FWD"}
+
+
+def season_ids(df: DataFrame) -> DataFrame:
+    """(league, season_id, previous_id) from a team's document: the league's own season after the primary one in a list from new to old."""
+    j = parsed(df, TEAM_SEASONS)
+    own = F.transform(F.filter("j.stats.tournamentSeasons", lambda s: s["parentLeagueId"] == F.col("league").cast("string")), lambda s: s["tournamentId"])
+    place = F.array_position(own, F.col("j.stats.primarySeasonId")).cast("int")
+    return j.select("league", F.col("j.stats.primarySeasonId").alias("season_id"), F.when(place > 0, F.try_element_at(own, place + 1)).alias("previous_id"))
+
+
+def league_teams(df: DataFrame, logo: str = "/logo/%d.png") -> DataFrame:
+    """(league, position, team_id, logo) of a league's table."""
+    return table_rows(df).withColumn("logo", F.format_string(logo, "team_id"))
+
+
+def match_xg(df: DataFrame) -> DataFrame:
+    """(match_id, hx, ax): the first expected-goals row whose two values are both finite numbers; nulls without one."""
+    rows = F.flatten(F.transform("j.content.stats.Periods.All.stats", lambda g: F.coalesce(g["stats"], F.array())))
+    number = lambda r, i: F.get(r["stats"], F.lit(i)).try_cast("double")
+    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    hit = F.get(F.filter(rows, lambda r: (r["key"] == "expected_goals") & finite(number(r, 0)) & finite(number(r, 1))), F.lit(0))
+    return parsed(df, XG).withColumn("hit", hit).select("match_id", number(F.col("hit"), 0).alias("hx"), number(F.col("hit"), 1).alias("ax"))
+
+
+def search_players(df: DataFrame) -> DataFrame:
+    """(term, ord, player_id, name, team_id, team_name) of suggestions: the group of players, else the first group; players only."""
+    group = F.coalesce(F.get(F.filter("j", lambda g: g["title"]["key"] == "players"), F.lit(0)), F.get("j", F.lit(0)))
+    rows = parsed(df, SUGGEST).select("term", F.posexplode(F.filter(group["suggestions"], lambda s: s["type"] == "player")).alias("ord", "s"))
+    return rows.select("term", "ord", F.col("s.id").alias("player_id"), F.coalesce("s.name", F.lit("")).alias("name"), F.coalesce("s.teamId", F.lit(0)).alias("team_id"), F.coalesce("s.teamName", F.lit("")).alias("team_name"))
+
+
+def current_team(df: DataFrame) -> DataFrame:
+    """(player_id, team_id, team_name) of players with a current club."""
+    team = F.col("j.primaryTeam")
+    known = (F.coalesce(team["teamId"], F.lit(0)) != 0) & (F.coalesce(team["teamName"], F.lit("")) != "")
+    return parsed(df, PLAYER).filter(known).select("player_id", team["teamId"].alias("team_id"), team["teamName"].alias("team_name"))
+
+
+def primary_position(df: DataFrame) -> DataFrame:
+    """(player_id, label, grp): the short label of the primary position; players without one are left out."""
+    j = F.col("j.positionDescription")
+    hit = F.get(F.filter(j["positions"], lambda p: p["strPos"]["label"] == j["primaryPosition"]["label"]), F.lit(0))
+    label = F.upper(F.coalesce(hit["strPosShort"]["label"], F.lit("")))
+    return parsed(df, PLAYER).select("player_id", label.alias("label")).filter("label <> ''").withColumn("grp", rules.lookup(F.col("label"), SHORT_POSITION, "MID"))
+
+
+def rich_stats(df: DataFrame) -> DataFrame:
+    """(player_id, grp, ord, title, value, per90, percentile, format) of stat groups that have items."""
+    groups = F.filter("j.firstSeasonStats.statsSection.items", lambda g: (g["display"] == "stats-group") & (F.size(F.coalesce(g["items"], F.array())) > 0))
+    rows = parsed(df, PLAYER).select("player_id", F.explode(groups).alias("g")).select("player_id", F.coalesce("g.title", F.lit("")).alias("grp"), F.posexplode("g.items").alias("ord", "i"))
+    text = lambda c: F.coalesce(c, F.lit(""))
+    return rows.select("player_id", "grp", "ord", text("i.title").alias("title"), text("i.statValue").alias("value"), F.coalesce("i.per90", F.lit(0.0)).alias("per90"), F.coalesce("i.percentileRank", F.lit(0.0)).alias("percentile"), F.coalesce("i.statFormat", F.lit("number")).alias("format"))
+
+
+def tournament_players(df: DataFrame) -> DataFrame:
+    """(tournament, native_id, full_name, club, positions) of pages (tournament, page, doc), up to the first page that is missing or beyond the last."""
+    j = parsed(df, NATIVES)
+    before = Window.partitionBy("tournament").orderBy("page")
+    total = F.first("total", ignorenulls=False).over(before.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    pages = j.filter("j is not null").select("tournament", "page", "j", F.coalesce("j.meta.page.total_pages", F.lit(1)).alias("total"))
+    pages = pages.withColumn("place", F.row_number().over(before)).withColumn("pages", total).filter("page = place and page <= pages")
+    rows = pages.select("tournament", F.explode("j.data").alias("r"))
+    full = F.concat_ws(" ", F.nullif(F.col("r.first_name"), F.lit("")), F.nullif(F.col("r.name"), F.lit("")))
+    return rows.select("tournament", F.col("r.id").alias("native_id"), full.alias("full_name"), F.coalesce("r.club.name", F.lit("")).alias("club"), F.coalesce("r.position_classic_arr", F.array().cast("array<string>")).alias("positions"))
+
+
+def player_record(players: DataFrame, known: tuple[str, ...] = ()) -> DataFrame:
+    """A player's record of all season statistics: those that ``players`` has, and typed nulls for the others."""
+    fields = [f for _, f, _ in dims.STAT_LISTS]
+    return players.select(*(c for c in players.columns if c not in fields), *((F.col(f) if f in known else F.lit(None)).cast("double").alias(f) for f in fields))
+
+
+def landed_matches(spark: SparkSession, folder: str) -> DataFrame:
+    """Match documents landed as JSON files, one to a line: those with a date and both scores."""
+    rows = spark.read.schema("id long, date string, hs int, as_ int").json(folder)
+    return rows.withColumn("date", F.try_to_timestamp("date")).filter("date is not null and hs is not null and as_ is not null")
