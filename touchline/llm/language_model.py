@@ -50,7 +50,7 @@ from touchline.llm.shared import AtomicFile, new_folder, store
 
 _U = np.uint64
 #: Bytes of text to a block, and to a key range.
-BLOCK_BYTES = RANGE_BYTES = 6 << 20
+BLOCK_BYTES = RANGE_BYTES = 4 << 20
 HELD_OUT, DEV, FOLDS = 2, 3, 7
 _END, _START = _U(0x6A09E667F3BCC908), _U(0xBB67AE8584CAA73B)
 #: Buckets of context counts: none, 1, 2, 3, 4-7, 8-15, ... up to 2 ** 15 and more.
@@ -88,15 +88,20 @@ class Block:
                 docs.append(np.repeat(np.arange(row, row + len(n)), n + 1))
                 row += len(n)
         self.ids, self.folds = ids, np.array([fold_of(i) for i in ids], dtype=np.int64)
-        own, self.docs = np.concatenate(tokens), np.concatenate(docs)
+        own, self.docs = np.concatenate(tokens), np.concatenate(docs).astype(np.int32)
+        del tokens, docs
         self.first = np.ones(len(own), bool)
         self.first[1:] = self.docs[1:] != self.docs[:-1]
         pairs = text_hash.mix(self._before(own, _START) * _U(0x9FB21C651E98DF25) + own)
         triples = text_hash.mix(self._before(pairs, _START) * _U(0xD6E8FEB86659FD93) + own)
         every = np.concatenate([_key(own, TOKEN), _key(pairs, PAIR), _key(triples, TRIPLE), _key(np.array([_START]), START)])
         del own, pairs, triples
-        self.keys, at = np.unique(every, return_inverse=True)
-        n = len(self.docs)
+        order = np.argsort(every)
+        every = every[order]
+        new = np.ones(len(every), bool)
+        new[1:] = every[1:] != every[:-1]
+        self.keys, at, n = every[new], np.empty(len(every), dtype=np.int32), len(self.docs)
+        at[order] = np.cumsum(new, dtype=np.int32) - 1
         self.token_at, self.pair_at, self.triple_at, self.start_at = at[:n], at[n : 2 * n], at[2 * n : 3 * n], at[3 * n]
 
     def _before(self, x: np.ndarray, start) -> np.ndarray:
@@ -212,7 +217,7 @@ def unpack_keys(data, n: int) -> np.ndarray:
 
 
 def range_totals(packed: DataFrame) -> DataFrame:
-    """(block, range, n, train, dev): for each block's keys of a range, what other blocks add to its counts.
+    """(block, range, n, train, dev): for each block's keys of a range, what other blocks add to its counts (to dev only where it isn't 0).
 
     A further row of block -1 has the range's tokens and distinct tokens, in training and without DEV.
     """
@@ -233,7 +238,10 @@ def range_totals(packed: DataFrame) -> DataFrame:
             sums.append(totals[token])
             more = np.empty(len(order), dtype=np.int64)
             more[order] = np.repeat(totals, runs)
-            answers.append([pack(x) for x in np.split(more - own, cuts)])
+            more -= own
+            if column == "dev":
+                more[own == 0] = 0  # only DEV's own tokens ask what DEV has
+            answers.append([pack(x) for x in np.split(more, cuts)])
         main = sums[0] - sums[1]
         summary = struct.pack("<QQQQ", int(sums[0].sum()), int((sums[0] > 0).sum()), int(main.sum()), int((main > 0).sum()))
         return pa.table({
@@ -270,7 +278,7 @@ def store_totals(answers: DataFrame, folder: str) -> tuple[int, int, int, int]:
 
 
 def totals_of(block: Block, number: int, folder: str) -> tuple[np.ndarray, np.ndarray]:
-    """(train, dev): corpus totals of a block's keys."""
+    """(train, dev): corpus totals of a block's keys; of dev only for those in DEV documents of the block."""
     fs, path = store(folder)
     with fs.open_input_file(f"{path}/totals-{number}") as f:
         data = memoryview(f.read())
