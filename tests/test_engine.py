@@ -271,3 +271,57 @@ def test_squad_history_with_transfers_against_a_plain_loop(spark):
     n = spark.createDataFrame(numbers, "match_id int, dt timestamp_ntz, league int, season int, team int, team_no int")
     got = {(x.match_id, x.player_id): tuple(x)[2:] for x in windows.squad_history(a, n).collect()}
     assert got == want
+
+
+def test_walk_forward_equals_a_fit_for_each_month(spark):
+    from pyspark.ml.functions import vector_to_array
+
+    r = random.Random(9)
+    rows = []
+    for i in range(400):
+        x, y = r.gauss(1, 2), r.gauss(0, 1)
+        z = x * 0.6 - y + r.gauss(0, 1)
+        rows.append((i, f"2020-{i // 80 + 1:02d}", x, y, r.random(), 0 if z > 1 else 1 if z > 0 else 2))
+    df = spark.createDataFrame(rows, "id int, month string, x double, y double, noise double, won int")
+    got = models.walk_forward(df, "month", {"one": ["x"], "two": ["y", "x"]}, "won", least=100).collect()
+    assert {g.month for g in got} == {"2020-03", "2020-04", "2020-05"} and len(got) == 480
+    for month in ("2020-03", "2020-05"):
+        for name, features in (("one", ["x"]), ("two", ["y", "x"])):
+            model = models.logistic(df.filter(F.col("month") < month), features, "won", 1.0, multinomial=True)
+            want = {w.id: w.p for w in model.transform(df.filter(F.col("month") == month)).select("id", vector_to_array("probability").alias("p")).collect()}
+            for g in got:
+                if g.month == month and g.feature_set == name:
+                    assert list(g.p) == pytest.approx(want[g.id], abs=2e-3)
+    assert models.walk_forward(df.limit(50), "month", {"one": ["x"]}, "won").count() == 0
+
+
+def test_running_counts_and_quantiles_over_ranges(spark):
+    import numpy as np
+
+    r = random.Random(2)
+    values = [round(r.gauss(0, 1), 1) for _ in range(500)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    counts = {x.v: x.before_n for x in models.running_counts(df.groupBy("v").agg(F.count(F.lit(1)).alias("n")), "v", "n").collect()}
+    assert counts == {v: sum(w < v for w in values) for v in values}
+    shares = [0.0, 0.1, 0.33, 0.5, 0.999, 1.0]
+    got = models.quantiles(df, "v", shares).first()
+    assert got.least == min(values) and got.cuts == pytest.approx(np.quantile(values, shares).tolist())
+
+
+def test_tokens_are_paired_as_by_comparing_all(spark):
+    r = random.Random(5)
+    words = sorted({"".join(r.choice("abc") for _ in range(r.randrange(1, 9))) for _ in range(120)})
+    left, right = words[::2], words[1::2]
+    make = lambda own: spark.createDataFrame([(1, w) for w in own] + [(1, "")], "league int, token string")
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    for least in (0.643, 0.8):
+        want = {(a, b) for a in left for b in right if 1 - distance(a, b) / max(len(a), len(b)) >= least}
+        assert want and {(x.a, x.b) for x in joins.similar_tokens(make(left), make(right), ["league"], least).collect()} == want

@@ -64,23 +64,136 @@ def logistic(df: DataFrame, features: list[str], target: str, c: float = 10.0, m
     return Pipeline(stages=steps).fit(df)
 
 
-def walk_forward(df: DataFrame, month: str, features: list[str], target: str, least: int = 300, c: float = 1.0) -> DataFrame | None:
-    """Predictions of each month by a model of all months before it; months with too few rows before are passed over."""
-    out = None
-    for (m,) in df.select(month).distinct().orderBy(month).collect():  # one row a month
-        train = df.filter(F.col(month) < m)
-        if train.count() < least or train.select(target).distinct().count() < 2:
-            continue
-        part = logistic(train, features, target, c, multinomial=True).transform(df.filter(F.col(month) == m))
-        out = part if out is None else out.unionByName(part)
-    return out
+def walk_forward(df: DataFrame, month: str, sets: dict[str, list[str]], target: str, least: int = 300, c: float = 1.0, rounds: int = 12) -> DataFrame:
+    """Adds feature_set and p (chances of classes 0, 1, 2) to each row: by a model of all months before its own.
+
+    A fold is a month; folds with fewer than ``least`` rows before them, or one
+    class only, are passed over.  All folds of all feature sets are fitted at once by Newton's
+    method on the penalised multinomial likelihood: a round is one pass over the
+    rows, in which each row adds to the slopes and curvatures of the folds after
+    its month, and only their sums (some numbers for each fold and set) come to
+    the driver.  Features are standardised on the rows before the fold.
+    """
+    names = list(dict.fromkeys(f for own in sets.values() for f in own))
+    moments = [F.sum(x).alias(f"{k}{i}") for i, f in enumerate(names) for k, x in (("s", F.col(f)), ("q", F.col(f) * F.col(f)))]
+    months = df.groupBy(month).agg(F.count(F.lit(1)).alias("n"), *(F.count_if(F.col(target) == k).alias(f"y{k}") for k in range(3)), *moments).orderBy(month).collect()  # one row a month
+    labels = [r[month] for r in months]
+    before = lambda column: np.concatenate([[0.0], np.cumsum([float(r[column] or 0) for r in months])[:-1]])
+    n = before("n")
+    folds = np.flatnonzero((n >= least) & (sum(before(f"y{k}") > 0 for k in range(3)) > 1))
+    n = n[folds]
+    mean = np.stack([before(f"s{i}")[folds] / n for i in range(len(names))], axis=1) if len(folds) else np.zeros((0, len(names)))
+    spread = np.stack([np.sqrt(np.maximum(0, before(f"q{i}")[folds] - n * mean[:, i] ** 2) / np.maximum(n - 1, 1)) for i in range(len(names))], axis=1) if len(folds) else mean
+    spread[spread < 1e-12] = 1
+    width, every = len(names) + 1, list(sets)
+    used = np.array([[f in own for f in names] + [True] for own in sets.values()])
+    # From features with a one to standardised features with a one, for each fold.
+    to_z = np.zeros((len(folds), width, width))
+    for i in range(width - 1):
+        to_z[:, i, i], to_z[:, i, -1] = 1 / spread[:, i], -mean[:, i] / spread[:, i]
+    to_z[:, -1, -1] = 1
+    weights = np.zeros((len(sets), len(folds), 3, width))
+
+    def chances(x: np.ndarray, w: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+        """Rows x folds x classes."""
+        logits = (x @ (w @ to_z[: len(w)] if at is None else w @ to_z[at]).reshape(-1, width).T).reshape(len(x), len(w), 3)
+        e = np.exp(logits - logits.max(axis=2, keepdims=True))
+        return e / e.sum(axis=2, keepdims=True)
+
+    def inputs(batch):
+        x = np.stack([*(batch[f].to_numpy(float) for f in names), np.ones(len(batch))], axis=1)
+        return x, np.searchsorted(labels, batch[month].to_numpy()), batch[target].to_numpy(int)
+
+    pairs = [(k, m) for k in range(3) for m in range(k, 3)]
+    columns = [f"g{i}" for i in range(3 * width)] + [f"h{i}" for i in range(len(pairs) * width * width)]
+    schema = "feature_set int, fold int, " + ", ".join(f"{x} double" for x in columns)
+    rows = df.select(month, target, *names)
+
+    def slopes(weights: np.ndarray):
+        def run(batches):
+            import pandas as pd
+
+            total = np.zeros((len(sets), len(folds), len(columns)))
+            for batch in batches:
+                for lo in range(0, len(batch), 4000):
+                    x, at, y = inputs(batch.iloc[lo : lo + 4000])
+                    x2 = np.einsum("ri,rj->rij", x, x).reshape(len(x), -1)
+                    trains = (at[:, None] < folds)[:, :, None]
+                    for s in range(len(sets)):
+                        p = chances(x, weights[s]) * trains
+                        miss = p - (np.arange(3) == y[:, None])[:, None] * trains
+                        total[s, :, : 3 * width] += (miss.reshape(len(x), -1).T @ x).reshape(len(folds), -1)
+                        curve = np.stack([p[:, :, k] * ((k == m) - p[:, :, m]) for k, m in pairs], axis=2)
+                        total[s, :, 3 * width :] += (curve.reshape(len(x), -1).T @ x2).reshape(len(folds), -1)
+            where = np.indices(total.shape[:2]).reshape(2, -1)
+            yield pd.concat([pd.DataFrame({"feature_set": where[0], "fold": where[1]}), pd.DataFrame(total.reshape(-1, len(columns)), columns=columns)], axis=1)
+
+        return run
+
+    for _ in range(rounds if len(folds) else 0):
+        sums = rows.mapInPandas(slopes(weights), schema).groupBy("feature_set", "fold").agg(*(F.sum(x).alias(x) for x in columns)).collect()
+        most = 0.0
+        for r in sums:
+            s, f = r["feature_set"], r["fold"]
+            own = np.flatnonzero(used[s])
+            t = to_z[f][np.ix_(own, range(width))]
+            flat = np.array(r[2:])
+            slope = flat[: 3 * width].reshape(3, width) @ t.T
+            curve = np.zeros((3, len(own), 3, len(own)))
+            for (k, m), h in zip(pairs, flat[3 * width :].reshape(-1, width, width), strict=True):
+                curve[k, :, m] = curve[m, :, k] = t @ h @ t.T
+            free = np.append(np.ones(len(own) - 1), 0) / c  # the intercept isn't penalised
+            w = weights[s, f][:, own]
+            slope = (slope + free * w).ravel()
+            curve = curve.reshape(3 * len(own), -1) + np.diag(np.tile(free + 1e-9, 3))
+            step = np.linalg.solve(curve, slope).reshape(3, -1)
+            weights[s, f][:, own] = w - step
+            most = max(most, float(np.abs(step).max()))
+        if most < 1e-8:
+            break
+
+    def predict(batches):
+        import pandas as pd
+
+        for batch in batches:
+            x, at, _ = inputs(batch)
+            fold = np.searchsorted(folds, at)
+            known = np.flatnonzero((fold < len(folds)) & (np.append(folds, -1)[fold] == at))
+            for s, name in enumerate(every):
+                p = [None] * len(known)
+                for f in np.unique(fold[known]):
+                    own = np.flatnonzero(fold[known] == f)
+                    for i, chance in zip(own, chances(x[known[own]], weights[s][f : f + 1], slice(f, f + 1))[:, 0].tolist(), strict=True):
+                        p[i] = chance
+                yield batch.iloc[known].drop(columns=names).assign(feature_set=name, p=pd.Series(p, index=batch.index[known], dtype=object))
+
+    rest = [f for f in df.schema.fields if f.name not in names]
+    return df.mapInPandas(predict, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rest) + ", feature_set string, p array<double>")
+
+
+def running_counts(df: DataFrame, value: str, *counts: str) -> DataFrame:
+    """Distinct values with their counts, and ``before_x``: the sum of each count x over all lesser values.
+
+    Values are dealt to ranges between approximate quantiles, as many as a shuffle
+    has partitions; sums of whole ranges are few, and the rest of a running sum
+    stays within its range.
+    """
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = df.agg(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 10000)).first()[0] if ranges > 1 else None
+    # any cuts give right sums; they are fixed numbers here, so that both uses below have the same
+    parts = df.withColumn("_range", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(value))) if cuts else F.lit(0))
+    edges = parts.groupBy("_range").agg(*(F.sum(c).alias(f"_sum_{c}") for c in counts))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    edges = edges.select("_range", *(F.coalesce(F.sum(f"_sum_{c}").over(earlier), F.lit(0)).alias(f"_start_{c}") for c in counts))
+    inside = Window.partitionBy("_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    out = parts.withColumns({f"before_{c}": F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in counts}).join(F.broadcast(edges), "_range")
+    return out.withColumns({f"before_{c}": F.col(f"before_{c}") + F.col(f"_start_{c}") for c in counts}).drop("_range", *(f"_start_{c}" for c in counts))
 
 
 def auc(df: DataFrame, score: str, label: str) -> DataFrame:
     """Area under the ROC curve by mean ranks: scores are counted first, so ranks are over distinct scores."""
     by = df.groupBy(score).agg(F.count(F.lit(1)).alias("n"), F.sum(label).alias("p"))
-    below = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = by.withColumn("rank", F.coalesce(F.sum("n").over(below), F.lit(0)) + (F.col("n") + 1) / 2)
+    ranked = running_counts(by, score, "n").withColumn("rank", F.col("before_n") + (F.col("n") + 1) / 2)
     pos, neg = F.sum("p"), F.sum(F.col("n") - F.col("p"))
     return ranked.agg(((F.sum(F.col("p") * F.col("rank")) - pos * (pos + 1) / 2) / (pos * neg)).alias("auc"))
 
@@ -98,10 +211,22 @@ def outcome_metrics(df: DataFrame, p: tuple[Column, Column, Column], y: Column)
     return df.agg(F.count(F.lit(1)).alias("n"), F.avg(-F.ln(F.greatest(F.lit(1e-9), own))).alias("log_loss"), F.avg((a * a + b * b) / 2).alias("rps"))
 
 
+def quantiles(df: DataFrame, value: str, shares: list[float]) -> DataFrame:
+    """One row (least, cuts): the least value and its linear quantiles at ``shares``, exactly, from counts of distinct values."""
+    by = running_counts(df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n")), "v", "n")
+    total = by.agg(F.sum("n").alias("total"))
+    spots = by.join(F.broadcast(total)).withColumn("share", F.explode(F.array(*map(F.lit, shares)))).withColumn("at", F.col("share") * (F.col("total") - 1))
+    holds = lambda place: (F.col("before_n") <= place) & (place < F.col("before_n") + F.col("n"))
+    low, high = F.floor("at"), F.least(F.floor("at") + 1, F.col("total") - 1)
+    cuts = spots.filter(holds(low) | holds(high)).groupBy("share").agg(F.max(F.when(holds(low), F.col("v"))).alias("low"), F.max(F.when(holds(high), F.col("v"))).alias("high"), F.first("at").alias("at"))
+    cut = F.col("low") + (F.col("high") - F.col("low")) * (F.col("at") - F.floor("at"))
+    cuts = cuts.agg(F.sort_array(F.collect_list(F.struct("share", cut.alias("cut")))).alias("c")).select(F.transform("c", lambda x: x["cut"]).alias("cuts"))
+    return df.agg(F.min(value).alias("least")).join(cuts)  # a row each
+
+
 def calibration(df: DataFrame, p: str, y: str, bins: int = 10) -> DataFrame:
     """(bin, n, predicted, realised) in quantile bins: linear quantiles, equal edges merged, right-closed, the least value included."""
-    cuts = F.percentile(p, F.array(*(F.lit(i / bins) for i in range(1, bins)))).alias("cuts")
-    edges = df.agg(cuts, F.min(p).alias("least")).select(F.array_distinct(F.filter("cuts", lambda c: c > F.col("least"))).alias("cuts"))
+    edges = quantiles(df, p, [i / bins for i in range(1, bins)]).select(F.array_distinct(F.filter("cuts", lambda c: c > F.col("least"))).alias("cuts"))
     # one row of at most bins - 1 numbers
     rows = df.crossJoin(F.broadcast(edges)).withColumn("bin", F.size(F.filter("cuts", lambda c: c < F.col(p))))
     return rows.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg(p).alias("predicted"), F.avg(y).alias("realised"))

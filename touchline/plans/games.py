@@ -293,9 +293,13 @@ def a22_log_loss_brier(spark, sf):
     return m.withColumns({c: F.round(c, 6) for c in ("log_loss", "brier")})
 
 
-@query()
+@query(f"""with h as (select started, coalesce(sum(case when minutes > 0 then minutes end) over w / 90.0 / nullif(sum(case when minutes > 0 then 1 end) over w, 0), 0.5)::double as share
+ from v_app window w as (partition by player_id, league, season order by dt, match_id rows between unbounded preceding and 1 preceding)),
+e as (select list_distinct(list_filter([{", ".join(f"quantile_cont(share, {i / 10})" for i in range(1, 10))}], lambda x: x > least)) as cuts from h, (select min(share) as least from h) group by least)
+select cast(len(list_filter(cuts, lambda x: x < share)) as int) as bin, count(*) as n, round(avg(share), 6) as predicted, round(avg(started), 6) as realised from h, e group by 1""")
 def a23_calibration(spark, sf):
-    return models.calibration(_features(spark, sf), "share", "started")
+    c = models.calibration(_features(spark, sf), "share", "started")
+    return c.withColumns({k: F.round(k, 6) for k in ("predicted", "realised")})
 
 
 @query("""with h as (select league, rating, coalesce(sum(case when minutes > 0 then rating end) over w / nullif(count(case when minutes > 0 then rating end) over w, 0), 6.0) as mr
@@ -341,17 +345,30 @@ def m04_start_model(spark, sf):
     return out.select("match_id", "player_id", vector_to_array("probability")[1].alias("p_start"))
 
 
+#: Feature sets of the outcome models.
+OUTCOME_SETS = {
+    "table": ["pos_diff", "ppg_diff"], "elo": ["elo_diff"], "elo of the season": ["elo_fresh_diff"], "form": ["lam_diff", "lam_tot"], "own": ["elo_diff", "lam_diff", "lam_tot"],
+    "odds": ["o_lr", "o_ld"], "odds and elo": ["o_lr", "o_ld", "elo_diff"], "odds and form": ["o_lr", "o_ld", "lam_diff", "lam_tot"], "odds and own": ["o_lr", "o_ld", "elo_diff", "lam_diff", "lam_tot"],
+}
+
+
 @query()
 def m05_w19_walk_forward(spark, sf):
-    from pyspark.ml.functions import vector_to_array
-
-    rated = ratings.replay(t.matches(spark, sf)).join(t.matches(spark, sf), "match_id")
-    y = F.when(F.col("hs") > F.col("as_"), 0.0).when(F.col("hs") == F.col("as_"), 1.0).otherwise(2.0)
-    rows = rated.select("match_id", F.date_format("dt", "yyyy").alias("month"), "elo_diff", (F.col("lam_h") - F.col("lam_a")).alias("lam_diff"), (F.col("lam_h") + F.col("lam_a")).alias("lam_tot"), y.alias("y"))
-    out = models.walk_forward(rows, "month", ["elo_diff", "lam_diff", "lam_tot"], "y")
-    if out is None:
-        return spark.createDataFrame([], "match_id long, month string, p array<double>")
-    return out.select("match_id", "month", vector_to_array("probability").alias("p"))
+    """Outcome chances of each match by models of the months before its own, for nine feature sets."""
+    m = t.matches(spark, sf)
+    side = t.team_matches(m)
+    place = windows.standings_before(side).join(windows.points_per_game(side).select("match_id", "team", "ppg"), ["match_id", "team"]).select("match_id", "team", "position", "n_teams", "ppg")
+    of = lambda x: place.select("match_id", F.col("team").alias(x), F.col("position").alias(f"pos_{x}"), F.col("ppg").alias(f"ppg_{x}"), F.col("n_teams").alias(f"n_{x}"))
+    fresh = ratings.fresh_elo(m).select("match_id", F.col("elo_diff").alias("elo_fresh_diff"))
+    rows = m.join(ratings.replay(m), "match_id").join(fresh, "match_id").join(f46_devig(spark, sf).select("match_id", F.col("log_ratio").alias("o_lr"), F.col("log_draw").alias("o_ld"), "y"), "match_id")
+    rows = rows.join(of("h"), ["match_id", "h"]).join(of("a"), ["match_id", "a"])
+    ppg = F.coalesce(F.col("ppg_h") - F.col("ppg_a"), F.lit(0.0))
+    rows = rows.select(
+        "match_id", F.date_format("dt", "yyyy-MM").alias("month"), "y", ((F.col("pos_a") - F.col("pos_h")) / F.col("n_h")).alias("pos_diff"), ppg.alias("ppg_diff"), "elo_diff", "elo_fresh_diff",
+        (F.col("lam_h") - F.col("lam_a")).alias("lam_diff"), (F.col("lam_h") + F.col("lam_a")).alias("lam_tot"), "o_lr", "o_ld",
+    )
+    # every round reads the features again, so they are computed once
+    return models.walk_forward(rows.persist(), "month", OUTCOME_SETS, "y").select("match_id", "month", "feature_set", "p")
 
 
 @query("""select match_id, player_id, case when dt < timestamp '1998-01-01' then 'train' when season > 1995 then 'test' else 'none' end as part from v_app where minutes > 0""")

@@ -13,7 +13,6 @@ from touchline.sources import tables as t
 
 AS_OF = "2024-01-31 00:00:00"
 _NORM = r"trim(regexp_replace(regexp_replace(lower(strip_accents({0})), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g'))"
-_HEAD = "array_to_string(list_slice(string_split(\"text\", ' '), 1, 3), ' ')"
 
 
 def _sim(a: str, b: str) -> str:
@@ -33,19 +32,15 @@ def _club(a: str, b: str) -> str:
     return f"case when length({a}) = 0 or length({b}) = 0 then 0.0 when {a} = {b} then 1.0 when contains({a}, {b}) or contains({b}, {a}) then 0.95 else {_sim(a, b)} end"
 
 
-def _heads(spark, sf):
-    head = F.array_join(F.slice(F.split("text", " "), 1, 3), " ")
-    return t.read(spark, sf, "documents", "doc_id", "text").filter("text is not null").select("doc_id", head.alias("head"))
-
-
-@query(f"select doc_id, {_NORM.format(_HEAD)} as name from documents where \"text\" is not null")
+@query(f"select doc_id, {_NORM.format('text')} as name from documents")
 def f01_normal_name(spark, sf):
-    return _heads(spark, sf).select("doc_id", text.normal_name(F.col("head")).alias("name"))
+    """Whole texts, as the longest names there are."""
+    return t.read(spark, sf, "documents", "doc_id", "text").select("doc_id", text.normal_name(F.col("text")).alias("name"))
 
 
-@query()
+@query(f"select p_partkey, {_NORM.format("replace(p_name, ' ', '-')")} as name from part")
 def f02_normal_name_compatible(spark, sf):
-    return _heads(spark, sf).select("doc_id", text.normal_name_compatible(F.col("head")).alias("name"))
+    return t.read(spark, sf, "part", "p_partkey", "p_name").select("p_partkey", text.normal_name_compatible(F.translate("p_name", " ", "-")).alias("name"))
 
 
 _PART = "select p_partkey as id, lower(p_name) as a, lower(lead(p_name) over (order by p_partkey)) as b from part"
@@ -61,30 +56,40 @@ def f03_f07_similarities(spark, sf):
     return rows.select("id", *(F.round(f(a, b), 9).alias(n) for n, f in (("sim", text.similarity), ("given", text.given_similarity), ("name_sim", text.name_similarity), ("club_sim", text.club_similarity))))
 
 
-_TARGETS = f"""tg as (select doc_id as target_id, {_NORM.format(_HEAD)} as name, lang as club, source as block from documents),
- cd as (select doc_id + 1 as candidate_id, {_NORM.format("array_to_string(list_slice(string_split(\"text\", ' '), 1, 2), ' ')")} as full_name, lang as club_name, source as block from documents)"""
+_TARGETS = """tg as (select p_partkey as target_id, case p_partkey % 4 when 0 then lower(p_name) when 1 then split_part(lower(p_name), ' ', 2) || ' ' || split_part(lower(p_name), ' ', 1)
+  when 2 then left(lower(p_name), length(p_name) - 1) else 'x' || lower(p_name) end as name, lower(p_brand) as club, p_type as block from part where p_partkey % 3 > 0),
+ cd as (select p_partkey as candidate_id, lower(p_name) as full_name, lower(p_brand) as club_name, p_type as block from part where p_partkey % 3 = 0)"""
 
 
 def _people(spark, sf):
-    docs = t.read(spark, sf, "documents", "doc_id", "text", "lang", "source").filter("text is not null")
-    n = lambda k: text.normal_name(F.array_join(F.slice(F.split("text", " "), 1, k), " "))
+    """Names of parts as targets, changed a little (turned round, cut, prefixed), against those of other parts; brands are clubs."""
+    part = t.read(spark, sf, "part", F.col("p_partkey").alias("id"), F.lower("p_name").alias("n"), F.lower("p_brand").alias("club"), F.col("p_type").alias("block"))
+    k, n = F.col("id") % 4, F.col("n")
+    turned = F.concat_ws(" ", F.substring_index(n, " ", -1), F.substring_index(n, " ", 1))
+    name = F.when(k == 0, n).when(k == 1, turned).when(k == 2, F.left(n, F.length(n) - 1)).otherwise(F.concat(F.lit("x"), n))
     return (
-        docs.select(F.col("doc_id").alias("target_id"), n(3).alias("name"), F.col("lang").alias("club"), F.col("source").alias("block")),
-        docs.select((F.col("doc_id") + 1).alias("candidate_id"), n(2).alias("full_name"), F.col("lang").alias("club_name"), F.col("source").alias("block")),
+        part.filter("id % 3 > 0").select(F.col("id").alias("target_id"), name.alias("name"), "club", "block"),
+        part.filter("id % 3 = 0").select(F.col("id").alias("candidate_id"), n.alias("full_name"), F.col("club").alias("club_name"), "block"),
     )
 
 
-@query(f"""with {_TARGETS}, p as (select target_id, candidate_id, ({_name('name', 'full_name')}) * 0.7 + ({_club('club', 'club_name')}) * 0.3 as score from tg join cd using (block)),
-r as (select *, row_number() over (partition by target_id order by score desc, candidate_id) as n from p where score > 0) select target_id, candidate_id, round(score, 9) as score from r where n = 1 and score >= 0.85""")
+_MATCHES = f"""{_TARGETS}, p as (select target_id, candidate_id, ({_name('name', 'full_name')}) * 0.7 + ({_club('club', 'club_name')}) * 0.3 as score from tg join cd using (block)),
+r as (select *, row_number() over (partition by target_id order by score desc, candidate_id) as n from p where score > 0), found as (select target_id, candidate_id, score from r where n = 1 and score >= 0.85)"""
+
+
+@query(f"with {_MATCHES} select target_id, candidate_id, round(score, 9) as score from found")
 def j07_best_name_match(spark, sf):
     targets, candidates = _people(spark, sf)
     return joins.best_name_match(targets, candidates, ["block"]).withColumn("score", F.round("score", 9))
 
 
-@query()
+@query(f"""with {_MATCHES}, c as (select target_id, candidate_id, {_club('club', 'club_name')} as club_score from tg join cd using (block) where target_id not in (select target_id from found) and candidate_id not in (select candidate_id from found)),
+b as (select * from (select *, row_number() over (partition by target_id order by club_score desc, candidate_id) as n from c where club_score >= 0.5) where n = 1)
+select target_id, candidate_id, round(club_score, 9) as club_score from (select *, row_number() over (partition by candidate_id order by target_id) as m from b) where m = 1""")
 def j08_import_cascade(spark, sf):
     targets, candidates = _people(spark, sf)
-    return joins.import_cascade(targets, candidates, joins.best_name_match(targets, candidates, ["block"]), ["block"])
+    found = joins.best_name_match(targets, candidates, ["block"])
+    return joins.import_cascade(targets, candidates, found, ["block"]).withColumn("club_score", F.round("club_score", 9))
 
 
 @query()
