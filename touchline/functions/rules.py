@@ -224,3 +224,8 @@ def any_stat(*values: Column) -> Column:
     for v in values:
         out = out | (F.coalesce(v, F.lit(0)) != 0)
     return out
+
+
+def suggested_start(starts: Column, minutes: Column) -> Column:
+    """From the last five matches, half by starts and half by minutes, in steps of five percent."""
+    return to_step((starts / 5.0 * 0.5 + minutes / 450.0 * 0.5) * 100) / 100

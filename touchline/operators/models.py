@@ -10,6 +10,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from touchline.functions import rules
+
 
 def correlation(a: str, b: str) -> Column:
     """Pearson correlation; null where either has no spread (the builtin raises under ANSI)."""
@@ -198,9 +200,9 @@ def auc(df: DataFrame, score: str, label: str) -> DataFrame:
     return ranked.agg(((F.sum(F.col("p") * F.col("rank")) - pos * (pos + 1) / 2) / (pos * neg)).alias("auc"))
 
 
-def probability_metrics(df: DataFrame, p: Column, y: Column, clip: float = 1e-4) -> DataFrame:
+def probability_metrics(df: DataFrame, p: Column, y: Column, clip: float = 1e-4, by: list[str] | None = None) -> DataFrame:
     q = F.greatest(F.lit(clip), F.least(F.lit(1 - clip), p))
-    return df.agg(F.count(F.lit(1)).alias("n"), (-F.avg(y * F.ln(q) + (1 - y) * F.ln(1 - q))).alias("log_loss"), F.avg((p - y) * (p - y)).alias("brier"))
+    return df.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("n"), (-F.avg(y * F.ln(q) + (1 - y) * F.ln(1 - q))).alias("log_loss"), F.avg((p - y) * (p - y)).alias("brier"))
 
 
 def outcome_metrics(df: DataFrame, p: tuple[Column, Column, Column], y: Column) -> DataFrame:
@@ -237,9 +239,10 @@ def paired_difference(df: DataFrame, group: str, a: str, b: str) -> DataFrame:
     return df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.avg(d).alias("mean_diff"), (1.96 * F.stddev_samp(d) / F.sqrt(F.count(F.lit(1)))).alias("half_width"))
 
 
-def clustered_bootstrap(df: DataFrame, cluster: str, diff: str, draws: int = 300, seed: int = 1) -> DataFrame:
+def clustered_bootstrap(df: DataFrame, cluster: str, diff: str, draws: int = 300, seed: int = 1, by: list[str] | None = None) -> DataFrame:
     """(mean_diff, spread): resamples whole clusters with Poisson weights hashed from draw and cluster, so no draw is gathered."""
-    sums = df.groupBy(cluster).agg(F.sum(diff).alias("d"), F.count(F.lit(1)).alias("n"))
+    by = by or []
+    sums = df.groupBy(*by, cluster).agg(F.sum(diff).alias("d"), F.count(F.lit(1)).alias("n"))
     u = (F.pmod(F.xxhash64(cluster, "draw", F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
     steps, total, term = [], 0.0, float(np.exp(-1))
     for k in range(12):
@@ -248,8 +251,8 @@ def clustered_bootstrap(df: DataFrame, cluster: str, diff: str, draws: int = 300
         term /= k + 1
     weight = sum((F.when(u > s, 1).otherwise(0) for s in steps), F.lit(0))
     drawn = sums.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("w", weight)
-    means = drawn.groupBy("draw").agg(F.try_divide(F.sum(F.col("w") * F.col("d")), F.sum(F.col("w") * F.col("n"))).alias("m"))
-    return means.agg(F.avg("m").alias("mean_diff"), F.stddev_pop("m").alias("spread"))
+    means = drawn.groupBy(*by, "draw").agg(F.try_divide(F.sum(F.col("w") * F.col("d")), F.sum(F.col("w") * F.col("n"))).alias("m"))
+    return means.groupBy(*by).agg(F.avg("m").alias("mean_diff"), F.stddev_pop("m").alias("spread"))
 
 
 def r_squared(df: DataFrame, group: str, predicted: str, actual: str) -> DataFrame:
@@ -263,3 +266,30 @@ def partial_correlation(df: DataFrame, x: str, y: str, given: str) -> DataFrame:
     """Correlation of the residuals of x and y after a line in ``given``, from the three plain correlations."""
     r = df.agg(correlation(x, y).alias("xy"), correlation(x, given).alias("xz"), correlation(y, given).alias("yz"))
     return r.select(F.try_divide(F.col("xy") - F.col("xz") * F.col("yz"), F.sqrt((1 - F.col("xz") ** 2) * (1 - F.col("yz") ** 2))).alias("partial"))
+
+
+def start_models(share: Column, suggested: Column, recent: Column) -> dict[str, Column]:
+    """Candidate chances of starting; without ``recent`` matches all are the share of minutes."""
+    blend = rules.chosen_start(share, suggested * 100, F.lit("suggested"), F.lit(True))
+    return {"minutes share": share, "suggested": F.when(recent, suggested).otherwise(share), "blend": F.when(recent, blend).otherwise(share)}
+
+
+def predicted(df: DataFrame, weights: DataFrame, group: str, features: list[str], name: str) -> DataFrame:
+    """Adds the prediction of weight rows (group, feature, weight), which are few."""
+    wide = weights.groupBy(group).pivot("feature", [*features, "intercept"]).agg(F.first("weight"))
+    wide = wide.select(F.col(group).alias("_g"), *(F.col(f).alias(f"_w_{f}") for f in [*features, "intercept"]))
+    total = F.col("_w_intercept")
+    for f in features:
+        total = total + F.col(f"_w_{f}") * F.col(f)
+    return df.join(F.broadcast(wide), F.col(group) == F.col("_g")).withColumn(name, total).drop("_g", *(f"_w_{f}" for f in [*features, "intercept"]))
+
+
+def incremental_value(train: DataFrame, test: DataFrame, group: str, base: dict[str, int], extra: dict[str, int], target: str, cluster: str, draws: int = 300) -> DataFrame:
+    """(group, n, gain, spread): how much further features lower the squared error of a signed ridge, over clusters drawn anew."""
+    both = {**base, **extra}
+    rows = predicted(test, signed_ridge(train, group, base, target), group, list(base), "_base")
+    rows = predicted(rows, signed_ridge(train, group, both, target), group, list(both), "_both")
+    error = lambda c: F.pow(F.col(target) - F.col(c), F.lit(2))
+    rows = rows.withColumn("_gain", error("_base") - error("_both"))
+    means = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.avg("_gain").alias("gain"))
+    return means.join(clustered_bootstrap(rows, cluster, "_gain", draws, by=[group]).select(group, "spread"), group)

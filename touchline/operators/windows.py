@@ -178,10 +178,18 @@ def first_seen(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
-def ewma(values: Column, alpha: float) -> Column:
-    """Exponentially weighted mean of a list; the first value starts it."""
-    head, rest = F.get(values, F.lit(0)), F.slice(values, F.lit(2), F.greatest(F.lit(0), F.size(values) - 1))
-    return F.aggregate(rest, head, lambda a, x: a + alpha * (x - a))
+def last_five(apps: DataFrame) -> DataFrame:
+    """Adds a player's matches, starts and minutes in the five matches before: n5, s5, m5."""
+    before = Window.partitionBy("player_id").orderBy(*ORDER).rowsBetween(-5, -1)
+    return apps.withColumns({"n5": F.count(F.lit(1)).over(before), "s5": F.coalesce(F.sum("started").over(before), F.lit(0)), "m5": F.coalesce(F.sum("minutes").over(before), F.lit(0))})
+
+
+def weighted_means(rows: DataFrame, keys: list[str], alpha: float, *values: str) -> DataFrame:
+    """Exponentially weighted means of each key's values in match order, as plain weighted sums; the first value starts them."""
+    w = Window.partitionBy(*keys)
+    rows = rows.withColumns({"_i": F.row_number().over(w.orderBy(*ORDER)), "_n": F.count(F.lit(1)).over(w)})
+    weight = F.when(F.col("_i") == 1, 1.0).otherwise(alpha) * F.pow(F.lit(1 - alpha), F.col("_n") - F.col("_i"))
+    return rows.groupBy(*keys).agg(*(F.sum(weight * F.col(v)).alias(v) for v in values))
 
 
 #: The position that a feed's usual line stands for.

@@ -111,9 +111,8 @@ def w13_season_fresh_elo(spark, sf):
 c as (select *, case when i = 1 then 1.0 else 1 - pow(cast(0.5 as double), cast(0.125 as double)) end * pow(pow(cast(0.5 as double), cast(0.125 as double)), n - i) as w from s)
 select league, team, round(sum(w * gf), 6) as att, round(sum(w * ga), 6) as dfn from c group by 1, 2""")
 def w14_goal_form(spark, sf):
-    rows = _sides(spark, sf).groupBy("league", "team").agg(F.array_sort(F.collect_list(F.struct("dt", "match_id", F.col("gf").cast("double").alias("f"), F.col("ga").cast("double").alias("a")))).alias("xs"))
-    mean = lambda c: F.round(windows.ewma(F.transform("xs", lambda x: x[c]), ratings.ALPHA), 6)
-    return rows.select("league", "team", mean("f").alias("att"), mean("a").alias("dfn"))
+    sides = _sides(spark, sf).withColumns({"att": F.col("gf").cast("double"), "dfn": F.col("ga").cast("double")})
+    return windows.weighted_means(sides, ["league", "team"], ratings.ALPHA, "att", "dfn").withColumns({c: F.round(c, 6) for c in ("att", "dfn")})
 
 
 @query()
@@ -345,6 +344,40 @@ def m04_start_model(spark, sf):
     return out.select("match_id", "player_id", vector_to_array("probability")[1].alias("p_start"))
 
 
+_P_START = """case when c_apps = 0 and p_apps = 0 and c_min = 0 and p_min = 0 then 0.5 else 1 / (1 + exp(-(-2.46 + 3.67 * share + 0.89 * am / 90.0))) end"""
+
+
+@query(f"""with {_HISTORY}, y as (select *, cast(greatest(c_apps, 6) as double) as tm, case when p_min > 0 then least(1.0, p_min / (34 * 90.0)) end as sp, case when c_apps > 0 and c_min > 0 then c_min * 1.0 / c_apps end as ca, case when p_apps > 0 and p_min > 0 then p_min * 1.0 / p_apps end as pa, least(1.0, c_apps / 4.0) as wc from x),
+z as (select *, least(1.0, c_min / (tm * 90.0)) as sc, least(1.0, tm / 6.0) as w from y),
+v as (select *, case when sp is null then sc else sc * w + sp * (1 - w) end as share, coalesce(case when ca is null then pa when pa is null then ca else ca * wc + pa * (1 - wc) end, 0) as am from z),
+l as (select match_id, player_id, started, count(*) over u as n5, coalesce(sum(started) over u, 0) as s5, coalesce(sum(minutes) over u, 0) as m5 from v_app window u as (partition by player_id order by dt, match_id rows between 5 preceding and 1 preceding)),
+p as (select l.started, n5, {_P_START} as a, floor((s5 / 5.0 * 0.5 + m5 / 450.0 * 0.5) * 100 / 5 + 0.5) * 5 / 100 as b from v join l using (match_id, player_id) where c_apps + p_apps > 0),
+q as (select started, unnest(['minutes share', 'suggested', 'blend']) as model, unnest([a, case when n5 > 0 then b else a end, case when n5 > 0 then 0.6 * b + 0.4 * a else a end]) as p from p),
+k as (select *, least(1 - 1e-4, greatest(1e-4, p)) as q from q)
+select model, count(*) as n, round(-avg(started * ln(q) + (1 - started) * ln(1 - q)), 6) as log_loss, round(avg((p - started) * (p - started)), 6) as brier from k group by 1""")
+def m07_start_models(spark, sf):
+    """Candidate chances of starting, each against what happened: the share of minutes, the last five matches, and their blend."""
+    c = F.col
+    recent = windows.last_five(t.appearances(spark, sf)).select("match_id", "player_id", "started", "n5", "s5", "m5")
+    rows = _history(spark, sf).filter("c_apps + p_apps > 0").join(recent, ["match_id", "player_id"])
+    share = rules.start_chance(c("c_apps"), c("c_min"), c("p_apps"), c("p_min"), F.lit(7))
+    models_ = models.start_models(share, rules.suggested_start(c("s5"), c("m5")), c("n5") > 0)
+    rows = rows.select("started", F.explode(F.map_from_arrays(F.array(*map(F.lit, models_)), F.array(*models_.values()))).alias("model", "p"))
+    return models.probability_metrics(rows, c("p"), c("started"), by=["model"]).withColumns({k: F.round(k, 6) for k in ("log_loss", "brier")})
+
+
+@query()
+def m08_incremental_value(spark, sf):
+    """What own expected goals add to the rating model of each league: gain in squared error on later seasons, with a spread."""
+    m = t.matches(spark, sf)
+    lam = ratings.replay(m).select("match_id", "lam_h", "lam_a")
+    rows = _features(spark, sf).filter("rating is not null").join(t.appearances(spark, sf).select("match_id", "player_id", "is_home", "season"), ["match_id", "player_id"]).join(lam, "match_id")
+    home = F.col("is_home") == 1
+    rows = rows.withColumns({"lam_for": F.when(home, F.col("lam_h")).otherwise(F.col("lam_a")), "lam_against": F.when(home, F.col("lam_a")).otherwise(F.col("lam_h"))})
+    base, own = {"share": 1, "mean_rating": 1}, {"lam_for": 1, "lam_against": -1}
+    return models.incremental_value(rows.filter("season < 1997"), rows.filter("season >= 1997"), "league", base, own, "rating", "match_id")
+
+
 #: Feature sets of the outcome models.
 OUTCOME_SETS = {
     "table": ["pos_diff", "ppg_diff"], "elo": ["elo_diff"], "elo of the season": ["elo_fresh_diff"], "form": ["lam_diff", "lam_tot"], "own": ["elo_diff", "lam_diff", "lam_tot"],
