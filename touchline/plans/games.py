@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 
+from touchline import dims
 from touchline.functions import rules
 from touchline.operators import models, ratings, windows
 from touchline.plans.registry import query
@@ -88,23 +89,38 @@ def w11_absent_rows(spark, sf):
     return windows.absent_rows(t.appearances(spark, sf), _numbered(spark, sf))
 
 
-@query("""with recursive g as (select *, row_number() over (partition by league order by dt, match_id) as no from v_match),
-f(league, no, match_id, elo_diff, r) as (
- select league, cast(0 as bigint), cast(null as bigint), cast(null as double), list_transform(range(25), lambda x: struct_pack(e := cast(1500 as double), s := cast(0 as bigint))) from (select distinct league from v_match)
+def _walk_sql(key: str, after: str = "") -> str:
+    """The walk over matches of each key as a recursion: before each match its features, and the state r of all teams and mu after it."""
+    old = lambda x: f"case when f.r[g.{x} + 1].n > 0 and f.r[g.{x} + 1].s <> g.season then struct_pack(e := 1500 + 0.7 * (f.r[g.{x} + 1].e - 1500), s := g.season, n := least(6, f.r[g.{x} + 1].n), a := f.r[g.{x} + 1].a, d := f.r[g.{x} + 1].d) else f.r[g.{x} + 1] end"
+    form = lambda x, c: f"(mu + least(1.0, {x}.n / 6.0) * (coalesce({x}.{c}, mu) - mu))"
+    new = lambda x, sign, made, got: f"struct_pack(e := z.{x}.e {sign} z.move, s := z.season, n := z.{x}.n + 1, a := coalesce(z.{x}.a + (1 - pow(cast(0.5 as double), 0.125)) * (z.{made} - z.{x}.a), cast(z.{made} as double)), d := coalesce(z.{x}.d + (1 - pow(cast(0.5 as double), 0.125)) * (z.{got} - z.{x}.d), cast(z.{got} as double)))"
+    none = "struct_pack(e := cast(1500 as double), s := cast(0 as bigint), n := cast(0 as bigint), a := cast(null as double), d := cast(null as double))"
+    return f"""with recursive g as (select match_id, cast(season as bigint) as season, cast(h as bigint) as h, cast(a as bigint) as a, hs, as_, {key} as key, row_number() over (partition by {key} order by dt, match_id) as no from v_match),
+f(key, no, match_id, elo_diff, lam_h, lam_a, r, mu, k) as (
+ select key, cast(0 as bigint), cast(null as bigint), cast(null as double), cast(null as double), cast(null as double), list_transform(range(25), lambda x: {none}), cast(1.35 as double), cast(0 as bigint) from (select distinct key from g)
  union all
- select x.league, x.no, x.match_id, x.eh - x.ea,
-  list_transform(range(25), lambda i: case when i = x.h then struct_pack(e := x.eh + x.d, s := cast(x.season as bigint)) when i = x.a then struct_pack(e := x.ea - x.d, s := cast(x.season as bigint)) else x.r[i + 1] end)
- from (select y.*, 18.0 * (case when abs(hs - as_) <= 1 then 1.0 when abs(hs - as_) = 2 then 1.5 else (11 + abs(hs - as_)) / 8.0 end) * ((case when hs > as_ then 1.0 when hs = as_ then 0.5 else 0.0 end) - 1 / (1 + pow(cast(10 as double), -(eh - ea + 55) / 400))) as d
-  from (select g.*, f.r, case when f.r[g.h + 1].s in (0, g.season) then f.r[g.h + 1].e else 1500 + 0.7 * (f.r[g.h + 1].e - 1500) end as eh,
-   case when f.r[g.a + 1].s in (0, g.season) then f.r[g.a + 1].e else 1500 + 0.7 * (f.r[g.a + 1].e - 1500) end as ea from f join g on g.league = f.league and g.no = f.no + 1) y) x)
-select match_id, round(elo_diff, 6) as elo_diff from f where no > 0""")
+ select z.key, z.no, z.match_id, z.ho.e - z.aw.e, z.lam_h, z.lam_a, list_transform(range(25), lambda i: case when i = z.h then {new('ho', '+', 'hs', 'as_')} when i = z.a then {new('aw', '-', 'as_', 'hs')} else z.r[i + 1] end),
+  z.mu1 + (z.as_ - z.mu1) / least(z.k + 1, 400), z.k + 2
+ from (select y.*, least(4.0, greatest(0.3, ({form('ho', 'a')} + {form('aw', 'd')}) / 2 * 1.10)) as lam_h, least(4.0, greatest(0.2, ({form('aw', 'a')} + {form('ho', 'd')}) / 2 * 0.92)) as lam_a, mu + (hs - mu) / least(k + 1, 400) as mu1,
+   18.0 * (case when abs(hs - as_) <= 1 then 1.0 when abs(hs - as_) = 2 then 1.5 else (11 + abs(hs - as_)) / 8.0 end) * ((case when hs > as_ then 1.0 when hs = as_ then 0.5 else 0.0 end) - 1 / (1 + pow(cast(10 as double), -(ho.e - aw.e + 55) / 400))) as move
+  from (select g.*, f.r, f.mu, f.k, {old('h')} as ho, {old('a')} as aw from f join g on g.key = f.key and g.no = f.no + 1) y) z){after}"""
+
+
+_RATED = "select match_id, round(elo_diff, 6) as elo_diff, round(lam_h, 6) as lam_h, round(lam_a, 6) as lam_a from f where no > 0"
+
+
+def _rated(rows):
+    return rows.withColumns({c: F.round(c, 6) for c in ("elo_diff", "lam_h", "lam_a") if c in rows.columns})
+
+
+@query(f"{_walk_sql('league')} select match_id, round(elo_diff, 6) as elo_diff from f where no > 0")
 def w12_elo_before(spark, sf):
     return ratings.replay(t.matches(spark, sf)).select("match_id", F.round("elo_diff", 6).alias("elo_diff"))
 
 
-@query()
+@query(f"{_walk_sql('league * 10000 + season')} select match_id, round(elo_diff, 6) as elo_diff from f where no > 0")
 def w13_season_fresh_elo(spark, sf):
-    return ratings.fresh_elo(t.matches(spark, sf))
+    return _rated(ratings.fresh_elo(t.matches(spark, sf)))
 
 
 @query("""with s as (select league, team, dt, match_id, cast(gf as double) as gf, cast(ga as double) as ga, row_number() over (partition by league, team order by dt, match_id) as i, count(*) over (partition by league, team) as n from v_side),
@@ -115,9 +131,9 @@ def w14_goal_form(spark, sf):
     return windows.weighted_means(sides, ["league", "team"], ratings.ALPHA, "att", "dfn").withColumns({c: F.round(c, 6) for c in ("att", "dfn")})
 
 
-@query()
+@query(f"{_walk_sql('league')} {_RATED}")
 def w15_w16_strength_before(spark, sf):
-    return ratings.replay(t.matches(spark, sf))
+    return _rated(ratings.replay(t.matches(spark, sf)))
 
 
 @query(f"select match_id, team, round(avg({_PTS}) over (partition by league, season, team order by dt, match_id rows between unbounded preceding and 1 preceding), 9) as ppg from v_side")
@@ -146,9 +162,16 @@ def f34_context_by_difficulty(spark, sf):
     return rows.select("match_id", "team", win.alias("win_prob"), loss.alias("loss_prob"), draw.alias("draw_prob"))
 
 
-@query()
+def _logit_sql(i: int) -> str:
+    a, b, c = dims.STRENGTH_COEF[i]
+    return f"exp({dims.STRENGTH_INTERCEPT[i]} + {a:.6f} * elo_diff + {b} * (lam_h - lam_a) + {c} * (lam_h + lam_a))"
+
+
+@query(f"""{_walk_sql('league')}, e as (select match_id, {_logit_sql(0)} as h, {_logit_sql(1)} as d, {_logit_sql(2)} as a from f where no > 0)
+select match_id, round(h / (h + d + a), 6) as p_home, round(d / (h + d + a), 6) as p_draw, round(a / (h + d + a), 6) as p_away from e""")
 def f43_f45_outcome_chances(spark, sf):
-    return ratings.outcome_chances(ratings.replay(t.matches(spark, sf)))
+    p = ratings.outcome_chances(ratings.replay(t.matches(spark, sf)))
+    return p.select("match_id", *(F.round(c, 6).alias(c) for c in ("p_home", "p_draw", "p_away")))
 
 
 @query("""with s as (select match_id, hs, as_, 1.2 + (match_id % 17) / 10.0 as oh, 3.0 + (match_id % 5) / 10.0 as od, 1.3 + (match_id % 23) / 10.0 as oa from v_match),
@@ -453,10 +476,13 @@ def x03_z04_unprocessed(spark, sf):
     return left.select("match_id", F.col("h").alias("team")).unionByName(left.select("match_id", F.col("a").alias("team")))
 
 
-@query()
+@query(f"""{_walk_sql('league')}, l as (select key as league, r, mu, k from (select *, max(no) over (partition by key) as last from f) where no = last),
+u as (select league, mu, k, unnest(range(25)) as team, unnest(r) as t from l)
+select league, team, round(t.e, 6) as elo, round(t.a, 6) as att, round(t.d, 6) as dfn, t.n as n, t.s as season, round(mu, 6) as mu, k as mu_n from u where t.n > 0""")
 def x03_rating_state(spark, sf):
     """Ratings after a first batch of seasons, carried on with the rest."""
     m = t.matches(spark, sf)
-    return ratings.state_after(m.filter("season >= 1997"), ratings.state_after(m.filter("season < 1997")))
+    state = ratings.state_after(m.filter("season >= 1997"), ratings.state_after(m.filter("season < 1997")))
+    return state.withColumns({c: F.round(c, 6) for c in ("elo", "att", "dfn", "mu")})
 
 

@@ -92,7 +92,16 @@ def j08_import_cascade(spark, sf):
     return joins.import_cascade(targets, candidates, found, ["block"]).withColumn("club_score", F.round("club_score", 9))
 
 
-@query()
+@query(f"""with {_TARGETS}, p as (select target_id as player_id, name, club, block, string_split(name, ' ') as w from tg where name <> ''),
+ n as (select candidate_id as native_id, full_name as full, string_split(full_name, ' ')[-1] as last, string_split(full_name, ' ')[1] as first, club_name, block from cd),
+ exact as (select player_id, native_id from p join n using (block) where name = "full"),
+ pool as (select player_id, native_id, name, club, first, club_name from p join n using (block) where name = "full"
+  or (player_id not in (select player_id from exact) and (last = name or ends_with(name, ' ' || last)))),
+ a as (select *, count(*) over (partition by player_id) as c, left(first, 1) = left(name, 1) as ok from pool),
+ b as (select * from (select *, bool_or(ok) over (partition by player_id) as anyone from a) where c = 1 or ok or not anyone),
+ d as (select player_id, native_id, count(*) over (partition by player_id) as c, length(club_name) > 0 and (contains(club, club_name) or contains(club_name, club) or len(list_intersect(string_split(club, ' '), string_split(club_name, ' '))) > 0) as ok from b),
+ e as (select * from (select *, bool_or(ok) over (partition by player_id) as anyone from d) where c = 1 or ok or not anyone)
+select player_id, native_id from (select *, count(*) over (partition by player_id) as k from e) where k = 1""")
 def j09_staged_match(spark, sf):
     targets, candidates = _people(spark, sf)
     players = targets.select(F.col("target_id").alias("player_id"), "name", "club", "block").filter("name <> ''")
