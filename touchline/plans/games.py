@@ -367,6 +367,24 @@ def m04_start_model(spark, sf):
     return out.select("match_id", "player_id", vector_to_array("probability")[1].alias("p_start"))
 
 
+@query(f"""with {_HISTORY}, {_PLACES}, d as (select match_id, team, cast(least(5, greatest(1, ceil(position * 5.0 / n_teams))) as int) as diff from placed where plays),
+a as (select a.match_id, a.player_id, case when a.match_id % 4 > 0 then 1.5 + a.match_id % 20 / 10.0 end as own, case when a.match_id % 4 > 0 then 1.7 + a.match_id % 13 / 10.0 end as opp, diff, x.*exclude (match_id, player_id),
+  case when c_apps > 0 then 6.0 + a.player_id % 9 / 10.0 end as cur, case when p_apps > 0 then 6.3 + a.player_id % 7 / 10.0 end as pri from v_app a join x using (match_id, player_id) join d using (match_id, team)),
+f as (select match_id, player_id, case when cur is null then coalesce(pri, 6.0) when pri is null then cur else cur * least(1.0, c_apps / 4.0) + pri * (1 - least(1.0, c_apps / 4.0)) end as sr,
+  coalesce(1 / own, case diff when 1 then 0.244 when 2 then 0.348 when 3 then 0.411 when 4 then 0.448 else 0.503 end::double) as wp, coalesce(1 / opp, case diff when 1 then 0.587 when 2 then 0.455 when 3 then 0.381 when 4 then 0.342 else 0.296 end::double) as owp, {_pm('c_min', 'c_apps', 'p_min', 'p_apps')} as apg from a)
+select match_id, player_id, round(cast(sr as double), 6) as sr, round(wp, 6) as wp, round(owp, 6) as owp, round(0.28::double, 6) as dp, round(apg * 2.5, 6) as xgb, round(0.5 * wp, 6) as csb_wp, round(-0.5 * owp, 6) as csb_nowp from f""")
+def m02_j11_fit_features(spark, sf):
+    """Inputs of the points model of each appearance: rating, match context by odds or else by difficulty, attack and clean-sheet terms."""
+    c = F.col
+    place = windows.standings_before(_sides(spark, sf)).select("match_id", "team", rules.difficulty(c("position"), c("n_teams")).alias("diff"))
+    odds = lambda base, mod: F.when(c("match_id") % 4 > 0, F.lit(base) + c("match_id") % mod / 10.0)
+    known = lambda apps, base, mod: F.when(c(apps) > 0, F.lit(base) + c("player_id") % mod / 10.0)
+    rows = t.appearances(spark, sf).select("match_id", "player_id", "team").join(_history(spark, sf), ["match_id", "player_id"]).join(place, ["match_id", "team"])
+    rows = rows.withColumns({"cur": known("c_apps", 6.0, 9), "pri": known("p_apps", 6.3, 7), "own": odds(1.5, 20), "opp": odds(1.7, 13), "draw": F.lit(None).cast("double"), "goal_bonus": F.lit(2.5), "cs_bonus": F.lit(0.5)})
+    f = models.fit_features(rows, xg=("c_min", "p_min"))
+    return f.select("match_id", "player_id", *(F.round(x, 6).alias(x) for x in ("sr", "wp", "owp", "dp", "xgb", "csb_wp", "csb_nowp")))
+
+
 _P_START = """case when c_apps = 0 and p_apps = 0 and c_min = 0 and p_min = 0 then 0.5 else 1 / (1 + exp(-(-2.46 + 3.67 * share + 0.89 * am / 90.0))) end"""
 
 

@@ -320,3 +320,43 @@ def m01_native_positions(spark, sf):
     apps = t.appearances(spark, sf).select("player_id", "started", ((F.col("match_id") + F.col("player_id")) % 4).alias("slot"), (F.col("player_id") % 6).alias("usual"))
     native = apps.filter("player_id % 3 = 0").select("player_id", F.get(F.array(*map(F.lit, ("CB", "CM", "ST", "GK"))), (F.col("player_id") % 4).cast("int")).alias("native")).distinct()
     return windows.native_positions(apps, native)
+
+
+_IN = "case when started = 0 and (match_id + player_id) % 3 > 0 then cast((match_id + player_id) % 90 as bigint) end"
+
+
+@query(f"""select match_id, team as team_id, cast(is_home as bigint) as is_home, cast(started as bigint) as started, player_id, player_id % 12 as slot, rating, {_IN} as t_in from v_app""")
+def s34_match_players(spark, sf):
+    """Match details with starters and substitutes of both sides, flattened."""
+    entered = F.when((F.col("started") == 0) & ((F.col("match_id") + F.col("player_id")) % 3 > 0), F.array(F.struct(F.lit("subOut").alias("type"), F.lit(None).cast("int").alias("time")), F.struct(F.lit("subIn").alias("type"), ((F.col("match_id") + F.col("player_id")) % 90).cast("int").alias("time"))))
+    p = F.struct(F.col("player_id").alias("id"), (F.col("player_id") % 12).alias("positionId"), F.struct("rating", entered.alias("substitutionEvents")).alias("performance"))
+    side = t.appearances(spark, sf).groupBy("match_id", "is_home").agg(F.first("team").alias("id"), F.collect_list(F.when(F.col("started") == 1, p)).alias("starters"), F.collect_list(F.when(F.col("started") == 0, p)).alias("subs"))
+    both = side.groupBy("match_id").agg(*(F.max(F.when(F.col("is_home") == home, F.struct("id", "starters", "subs"))).alias(name) for name, home in (("homeTeam", 1), ("awayTeam", 0))))
+    docs = both.select(_doc(general=F.struct(F.col("match_id").cast("string").alias("matchId")), content=F.struct(F.struct("homeTeam", "awayTeam").alias("lineup"))).alias("doc"))
+    got = feeds.match_players(docs)
+    return got.select("match_id", F.col("team_id").cast("int").alias("team_id"), *(F.col(c).cast("long").alias(c) for c in ("is_home", "started", "player_id", "slot", "t_in")), "rating")
+
+
+@query("""with g as (select l_orderkey as match_id, l_linenumber as ord, l_suppkey as player_id, l_quantity, sum(case when l_returnflag = 'R' then 1 else 0 end) over w as hs, sum(case when l_returnflag <> 'R' then 1 else 0 end) over w as a,
+ l_returnflag from (select *, row_number() over (partition by l_orderkey, l_linenumber order by l_suppkey) as one from lineitem) where one = 1 window w as (partition by l_orderkey order by l_linenumber))
+select match_id, cast(row_number() over (partition by match_id order by ord) - 1 as bigint) as n, player_id, case when l_returnflag = 'R' then 'h' else 'a' end as side, player_id % 7 = 0 as own_goal, player_id % 5 = 0 as penalty from g""")
+def s34_match_goals(spark, sf):
+    w = Window.partitionBy("match_id").orderBy("n")
+    one = t.read(spark, sf, "lineitem", F.col("l_orderkey").alias("match_id"), F.col("l_linenumber").alias("n"), F.col("l_suppkey").alias("player_id"), F.col("l_returnflag").alias("flag"))
+    one = joins.one_for_each(one, ["match_id", "n"], ["player_id"])
+    rises = lambda home: F.sum(F.when((F.col("flag") == "R") == F.lit(home), 1).otherwise(0)).over(w)
+    rows = one.withColumns({"hs": rises(True), "a": rises(False)})
+    text_ = F.when(F.col("player_id") % 5 == 0, "From a Penalty")
+    e = F.struct("n", F.lit("Goal").alias("type"), F.col("hs").alias("homeScore"), F.col("a").alias("awayScore"), F.when(F.col("player_id") % 7 == 0, True).alias("ownGoal"), text_.alias("goalDescription"), F.struct(F.col("player_id").alias("id")).alias("player"))
+    events = rows.groupBy("match_id").agg(F.array_sort(F.collect_list(e)).alias("events"))
+    docs = events.select(_doc(general=F.struct(F.col("match_id").cast("string").alias("matchId")), content=F.struct(F.struct(F.struct("events").alias("events")).alias("matchFacts"))).alias("doc"))
+    return feeds.match_goals(docs).select("match_id", F.col("ord").cast("long").alias("n"), "player_id", "side", "own_goal", "penalty")
+
+
+@query("""select c_custkey as id, 'old' as version from customer where c_nationkey = 1 union all select c_custkey, 'new' from customer where c_nationkey = 2""")
+def x08_empty_results(spark, sf):
+    """An empty fetch leaves what was there; one with rows replaces it."""
+    c = t.read(spark, sf, "customer", F.col("c_custkey").alias("id"), "c_nationkey")
+    kept = freshness.guarded(c.filter("c_nationkey = 1").select("id", F.lit("old").alias("version")), c.filter("c_nationkey = -1").select("id", F.lit("new").alias("version")))
+    replaced = freshness.guarded(c.filter("c_nationkey = 1").select("id", F.lit("old").alias("version")), c.filter("c_nationkey = 2").select("id", F.lit("new").alias("version")))
+    return kept.unionByName(replaced)

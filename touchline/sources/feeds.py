@@ -243,3 +243,24 @@ def landed_matches(spark: SparkSession, folder: str) -> DataFrame:
     """Match documents landed as JSON files, one to a line: those with a date and both scores."""
     rows = spark.read.schema("id long, date string, hs int, as_ int").json(folder)
     return rows.withColumn("date", F.try_to_timestamp("date")).filter("date is not null and hs is not null and as_ is not null")
+
+
+_LINE = "array<struct<id: long, name: string, positionId: int, usualPlayingPositionId: int, performance: struct<rating: double, substitutionEvents: array<struct<type: string, time: int>>>>>"
+_SIDE = f"struct<id: long, starters: {_LINE}, subs: {_LINE}>"
+DETAIL = f"struct<general: struct<matchId: string, matchTimeUTCDate: string, finished: boolean>, content: struct<lineup: struct<homeTeam: {_SIDE}, awayTeam: {_SIDE}>, matchFacts: struct<events: struct<events: array<struct<type: string, time: int, homeScore: int, awayScore: int, ownGoal: boolean, goalDescription: string, player: struct<id: long>>>>>>>"
+
+
+def match_players(df: DataFrame) -> DataFrame:
+    """(match_id, team_id, is_home, started, player_id, slot, usual, rating, t_in, t_out) of match details: starters and substitutes of both sides."""
+    line = F.col("j.content.lineup")
+    sides = [F.struct(line[side]["id"].alias("team_id"), F.lit(home).alias("is_home"), F.lit(started).alias("started"), line[side][part].alias("players")) for side, home in (("homeTeam", 1), ("awayTeam", 0)) for part, started in (("starters", 1), ("subs", 0))]
+    rows = parsed(df, DETAIL).select(F.col("j.general.matchId").try_cast("bigint").alias("match_id"), F.explode(F.array(*sides)).alias("s")).select("match_id", "s.team_id", "s.is_home", "s.started", F.explode("s.players").alias("p"))
+    change = lambda kind: F.get(F.filter("p.performance.substitutionEvents", lambda e: e["type"] == kind), F.lit(0))["time"]
+    return rows.select("match_id", "team_id", "is_home", "started", F.col("p.id").alias("player_id"), F.col("p.positionId").alias("slot"), F.col("p.usualPlayingPositionId").alias("usual"), F.col("p.performance.rating").alias("rating"), change("subIn").alias("t_in"), change("subOut").alias("t_out"))
+
+
+def match_goals(df: DataFrame) -> DataFrame:
+    """(match_id, ord, minute, side, own_goal, penalty, player_id) of match details; sides come from the running score."""
+    rows = parsed(df, DETAIL).select(F.col("j.general.matchId").try_cast("bigint").alias("match_id"), F.posexplode("j.content.matchFacts.events.events").alias("ord", "e")).filter("e.type = 'Goal'")
+    rows = rows.select("match_id", "ord", F.col("e.time").alias("minute"), F.col("e.homeScore").alias("home_score"), F.col("e.awayScore").alias("away_score"), F.coalesce("e.ownGoal", F.lit(False)).alias("own_goal"), F.coalesce(F.lower("e.goalDescription").contains("penalt"), F.lit(False)).alias("penalty"), F.col("e.player.id").alias("player_id"))
+    return scoring_side(rows).select("match_id", "ord", "minute", "side", "own_goal", "penalty", "player_id")
