@@ -198,6 +198,9 @@ def test_preferences_of_unequal_length(spark):
     kind = "pair_id long, chosen array<struct<role string, text string>>, rejected array<struct<role string, text string>>"
     rows = [(1, [("user", "a"), ("assistant", "b")], [("user", "a")]), (2, [("user", "a")], [("user", "z"), ("assistant", "b")]), (3, [], [])]
     got = {r.pair_id: (r.n_prefix, r.chosen_mask, r.rejected) for r in chat.format_preferences(spark.createDataFrame(rows, kind)).collect()}
+    equal = spark.createDataFrame([(4, [("assistant", "same")], [("assistant", "same")]), (5, [("assistant", "x" * 200000)], [("assistant", "y")])], kind)
+    kept = chat.format_preferences(equal, keep_equal=False).collect()
+    assert [r.pair_id for r in kept] == [5] and kept[0].chosen_mask == "14:200022" and chat.format_preferences(equal).count() == 2
     assert got == {1: (1, "14:23", ""), 2: (0, "", "<|user|>\nz<|end|>\n<|assistant|>\nb<|end|>\n"), 3: (0, "", "")}
 
 
@@ -496,6 +499,15 @@ def plain_scores(rows):
         starts = sum(fold in folds for fold, _ in texts)
         return c, starts, sum(c[0].values()), len(c[0])
 
+    def without(counts, tokens):
+        """The counts less those of one text."""
+        c, starts, n, _ = counts
+        padded, less = ["<s>", "<s>", *tokens], [Counter(), Counter(), Counter()]
+        for k, m in itertools.product(range(2, len(padded)), range(3)):
+            less[m][tuple(padded[k - m : k + 1])] += 1
+        left = [x - y for x, y in zip(c, less, strict=True)]  # Counters keep what is above 0
+        return left, starts - 1, n - len(tokens), len(left[0])
+
     def parts(tokens, counts):
         """(unigram, pair, triple, bucket of the pair's context, bucket of the triple's) of each token."""
         c, starts, n, v = counts
@@ -532,9 +544,9 @@ def plain_scores(rows):
                 weights[k] = min(max(got[k] / whole[k] if whole[k] else mean, 1e-6), 1 - 1e-6)
     train = full[0][0]
     for fold, tokens in texts:
-        base = score = 0
-        for u, p, t, low, high in parts(tokens, full):
-            base += math.log10(u)
+        base = sum(math.log10((train[(x,)] + 1) / (full[2] + full[3] + 1)) for x in tokens)
+        score = 0
+        for u, p, t, low, high in parts(tokens, full if fold == 2 else without(full, tokens)):
             score += math.log10(a[high] * t + (1 - a[high]) * (b[low] * p + (1 - b[low]) * u))
         yield fold == 2, len(tokens), sum(train[(x,)] > 0 for x in tokens), full[2], round(base, 5), round(score, 5)
 

@@ -9,8 +9,11 @@ from the one before it (pairs) with an add-one unigram estimate:
 The weight a depends on how often the two tokens before were seen, b on how
 often the one before was (buckets: 1, 2, 3, then powers of two).  Both are
 learned by expectation-maximisation on a fold of the training documents, DEV,
-with all three estimates from the counts without that fold; scores then use
-the counts of all training documents.
+with all three estimates from the counts without that fold.  Scores then use the
+counts of all training documents, from which a training document's own are
+deleted while it is scored: the weights are those for texts that weren't
+counted, a text doesn't vouch for itself, and training and held-out texts
+compare.  (``base_score`` is plain: it has all training counts for every text.)
 
 Counting and looking up are one exchange.  The corpus is read in blocks of
 bounded size; each block sends its distinct token, pair and triple keys of 56
@@ -122,11 +125,30 @@ class Block:
             out.append(own)
         return out[0], out[1]
 
-    def estimates(self, counts: np.ndarray, tokens: int, kinds: int):
-        """For each token, from counts of all keys: (its count, unigram, pair and triple estimate, buckets of the pair's and the triple's context)."""
+    def own_counts(self) -> list[np.ndarray]:
+        """For each token, how often its own document counts it, its pair and its triple in training."""
+        out, counted = [], (self.folds != HELD_OUT)[self.docs]
+        for at in (self.token_at, self.pair_at, self.triple_at):
+            _, place, n = np.unique(self.docs.astype(np.int64) * len(self.keys) + at, return_inverse=True, return_counts=True)
+            out.append(n[place] * counted)
+        return out
+
+    def estimates(self, counts: np.ndarray, tokens: int, kinds: int, deleted: bool = False):
+        """For each token, from counts of all keys: (unigram, pair and triple estimate, buckets of the pair's and the triple's context).
+
+        ``deleted``: without the counts of the token's own document.
+        """
         c1, c2, c3 = (counts[at] for at in (self.token_at, self.pair_at, self.triple_at))
-        before, before2 = self._before(c1, counts[self.start_at]), self._before(c2, counts[self.start_at])
-        return c1, (c1 + 1) / (tokens + kinds + 1), c2 / np.maximum(before, 1), c3 / np.maximum(before2, 1), bucket_of(before), bucket_of(before2)
+        starts, total = np.full(len(c1), counts[self.start_at]), np.full(len(c1), tokens + kinds + 1)
+        if deleted:
+            own1, own2, own3 = self.own_counts()
+            c1, c2, c3 = c1 - own1, c2 - own2, c3 - own3
+            counted = (self.folds != HELD_OUT).astype(np.int64)
+            # of the text's words, those that no other text has are distinct tokens less
+            gone = np.bincount(self.docs, (c1 == 0) / np.maximum(own1, 1) * (own1 > 0), len(self.ids)) + np.bincount(self.docs, minlength=len(self.ids))
+            starts, total = starts - counted[self.docs], total - np.rint(gone * counted).astype(np.int64)[self.docs]
+        before, before2 = self._before(c1, starts[self.first]), self._before(c2, starts[self.first])
+        return (c1 + 1) / total, c2 / np.maximum(before, 1), c3 / np.maximum(before2, 1), bucket_of(before), bucket_of(before2)
 
 
 def bucket_of(counts: np.ndarray) -> np.ndarray:
@@ -309,7 +331,7 @@ def learn_weights(rows: DataFrame, folder: str, tokens: int, kinds: int) -> tupl
             dev = block.folds[block.docs] == DEV
             if dev.any():
                 train, held = totals_of(block, number, folder)
-                _, unigram, pair, triple, low, high = (x[dev] for x in block.estimates(train - held, tokens, kinds))
+                unigram, pair, triple, low, high = (x[dev] for x in block.estimates(train - held, tokens, kinds))
                 cell = ((high * BUCKETS + low) * BINS + bin_of(triple / unigram)) * BINS + bin_of(pair / unigram)
                 cell, n = np.unique(cell, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n)], names=["cell", "n"])
@@ -352,10 +374,11 @@ def score(rows: DataFrame, folder: str, tokens: int, kinds: int, weights: tuple[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, block in blocks(batches):
-            seen, unigram, pair, triple, low, high = block.estimates(totals_of(block, number, folder)[0], tokens, kinds)
-            n, a, b = len(block.ids), weights[0][high], weights[1][low]
+            counts = totals_of(block, number, folder)[0]
+            unigram, pair, triple, low, high = block.estimates(counts, tokens, kinds, deleted=True)
+            n, a, b, seen = len(block.ids), weights[0][high], weights[1][low], counts[block.token_at]
             mixed = a * triple + (1 - a) * (b * pair + (1 - b) * unigram)
-            sums = [np.bincount(block.docs, x, n) for x in (np.ones(len(seen)), seen > 0, np.log10(unigram), np.log10(mixed))]
+            sums = [np.bincount(block.docs, x, n) for x in (np.ones(len(seen)), seen > 0, np.log10((seen + 1) / (tokens + kinds + 1)), np.log10(mixed))]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(block.ids, pa.int64()), pa.array(block.folds == HELD_OUT), pa.array(sums[0].astype(np.int64)), pa.array(sums[1].astype(np.int64)), pa.array([tokens] * n, pa.int64()), pa.array(sums[2]), pa.array(sums[3])],
                 names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
