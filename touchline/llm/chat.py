@@ -50,15 +50,19 @@ def reply_pairs(turns: DataFrame, role: str = TRAINED_ROLE) -> DataFrame:
     )
 
 
-def format_preferences(pairs: DataFrame, role: str = TRAINED_ROLE) -> DataFrame:
+def format_preferences(pairs: DataFrame, role: str = TRAINED_ROLE, keep_equal: bool = True) -> DataFrame:
     """Prompt and masked completions of (pair_id, chosen, rejected) turn lists.
 
+    Pairs whose lists are equal prefer nothing; they stay unless ``keep_equal`` is off.
+
     The prompt is the longest common prefix of turns, rendered once.  It never
     takes all of both lists: where they are equal, the last turn stays in the
     completions.  A completion's mask lists the character spans
     ``start:end`` that are trained, counted from the completion's start: texts
     of the trained role with their end mark.
     """
+    if not keep_equal:
+        pairs = pairs.filter(~F.col("chosen").eqNullSafe(F.col("rejected")))
     same = F.zip_with("chosen", "rejected", lambda a, b: F.coalesce(a.eqNullSafe(b), F.lit(False)))
     first_off = F.array_position(F.concat(same, F.array(F.lit(False))), False).cast("int") - 1
     prefix = F.least(first_off, F.greatest(F.array_size("chosen"), F.array_size("rejected")) - 1)
