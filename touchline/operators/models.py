@@ -181,6 +181,7 @@ def running_counts(df: DataFrame, value: str, *counts: str) -> DataFrame:
     stays within its range.
     """
     ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df = df.persist()  # distinct values with counts; read for the cuts and for both sides below
     cuts = df.agg(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 10000)).first()[0] if ranges > 1 else None
     # any cuts give right sums; they are fixed numbers here, so that both uses below have the same
     parts = df.withColumn("_range", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(value))) if cuts else F.lit(0))
