@@ -34,6 +34,8 @@ from touchline.llm import text_hash
 _U = np.uint64
 #: Steps of the layer and of vectors against that of the bias: a share of a text is small, so vectors take long steps.
 LAYER_STEP, VECTOR_STEP = 4, 64
+#: Bytes of text whose features are worked out together; each byte takes some 200 in passing.
+RUN = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -131,7 +133,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", usable:
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for first, data, offsets in text_hash.slices(b.column(1)):
+            for first, data, offsets in text_hash.slices(b.column(1), RUN):
                 ids, docs = features(data, offsets, s)
                 width = 1 << s.table_bits
                 both, counts = np.unique(docs * width + ids, return_counts=True)
@@ -178,7 +180,7 @@ def score(documents: DataFrame, model: np.ndarray, s: Settings | None = None) ->
 
 def _scores(texts: pa.Array, part: np.ndarray, s: Settings) -> np.ndarray:
     out = [np.zeros(0)]
-    for _, data, offsets in text_hash.slices(texts):
+    for _, data, offsets in text_hash.slices(texts, RUN):
         ids, docs = features(data, offsets, s)
         n = len(offsets) - 1
         mean = np.bincount(docs, part[ids], n) / np.bincount(docs, minlength=n)
