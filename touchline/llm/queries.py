@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from touchline.llm import chat, decontaminate, html_text, language_model, lattice, mixing, ngram_join, quality, token_index, warc
+from touchline.llm import chat, decontaminate, html_text, language_model, lattice, mixing, ngram_join, periodic_runs, quality, token_index, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.report_runs(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_main_text": op2_main_text,
@@ -69,8 +73,48 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_benchmark_hits": op8_benchmark_hits,
     "op9_interpolated_lm": op9_interpolated_lm,
     "op10_source_mix": op10_source_mix,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
+
+def _runs_sql(levels: int = 18) -> str:
+    """Runs by names of 2**k words, doubled level by level: within a run, words of a whole period come next one smallest period on.
+
+    ``levels`` bounds periods to 2**(levels - 1), so texts to 2**(levels + 1) words.
+    """
+    table = "select b, b as c from (select cast(unnest(range(256)) as bigint) as b)"
+    for _ in range(8):
+        table = f"select b, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end as c from ({table})"
+    parts = ["g0 as materialized (select r, n, i, hash(x) as g from word where n >= 6)"]
+    for k in range(levels):
+        if k:
+            half = 1 << (k - 1)
+            parts.append(f"g{k} as materialized (select r, n, i, g from (select r, n, i, case when i + {2 * half} <= n then hash(g, lead(g, {half}) over (partition by r order by i)) end as g from g{k - 1} where n >= {4 * half + 4}) where g is not null)")
+        parts.append(f"q{k} as (select r, i, q from (select r, i, lead(i) over (partition by r, g order by i) - i as q from g{k}) where q <= {1 << k} and 2 * q > {1 << k})")
+        parts.append(f"s{k} as (select r, min(i) as start, count(*) - 1 + {1 << k} + q as length, q as period from (select r, i, q, i - row_number() over (partition by r, q order by i) as o from q{k}) group by r, q, o)")
+    found = " union all ".join(f"select * from s{k}" for k in range(levels))
+    return f"""
+with tab as (select list(c order by b) as tab from ({table})),
+d as (select row_number() over () as r, doc_id, regexp_extract_all(coalesce("text", ''), '[^\\x20\\x09-\\x0D]+') as w from documents),
+h as (
+  select r, doc_id, w, len(w) as n, xor(list_reduce(list_prepend(cast(4294967295 as bigint), list_transform(string_split(cast(doc_id as varchar), ''), lambda c: cast(ascii(c) as bigint))),
+    lambda x, y: xor(x >> 8, tab[(xor(x, y) & 255) + 1])), 4294967295) as h from d, tab),
+a as (select *, case when h % 10 = 0 and n > 0 then (h // 10) % n end as a, (h // 10) % 8 as m from h),
+e as (select r, doc_id, n, case when a is null then w else list_transform(range(n), lambda i: w[case when i < a then i else a + (i - a) % (1 + (n - a) // (3 + m)) end + 1]) end as w from a),
+word as materialized (select r, n, unnest(range(n)) as i, unnest(w) as x from e),
+{", ".join(parts)},
+run as materialized (select * from ({found}) where length >= greatest(6, 4 * period)),
+best as (select * from (select *, row_number() over (partition by r order by length desc, start, period) as place from run) where place = 1),
+told as (select r, count(*) as n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as t from run group by r),
+gone as (select distinct r, unnest(range(start + period, start + length)) as i from run),
+kept as (
+  select word.r, string_agg(x, ' ' order by i) as t from word semi join run on run.r = word.r
+  where not exists (select 1 from gone where gone.r = word.r and gone.i = word.i) group by word.r)
+select doc_id, coalesce(n_runs, 0) as n_runs, start, length, period, cast(1000 * length // period as bigint) as exponent_milli,
+  sha256(coalesce(told.t, '')) as runs_sha256, sha256(coalesce(kept.t, array_to_string(w, ' '))) as collapsed_sha256
+from e left join best on best.r = e.r left join told on told.r = e.r left join kept on kept.r = e.r
+"""
+
 SQL: dict[str, str] = {
     "op1_ngram_join": r"""
 with recursive d as (
@@ -170,4 +214,5 @@ b as (
 select page_id, payload_bytes, payload_digest, case when page_id = response_id then 'response' else 'revisit' end as record_type,
   case when page_id <> response_id then response_id end as refers_to from b
 """,
+    "op11_periodic_runs": _runs_sql(),
 }
