@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from touchline.llm import chat, decontaminate, html_text, language_model, lattice, mixing, ngram_join, periodic_runs, quality, token_index, warc
+from touchline.llm import chat, decontaminate, html_text, language_model, lattice, mixing, ngram_join, periodic_runs, quality, substring, token_index, warc, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,14 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.report_runs(_table(spark, sf_dir, "documents"))
 
 
+def op12_bit_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_main_text": op2_main_text,
@@ -74,6 +82,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_interpolated_lm": op9_interpolated_lm,
     "op10_source_mix": op10_source_mix,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_bit_whitening": op12_bit_whitening,
+    "op13_substring_dedup": op13_substring_dedup,
 }
 
 
@@ -215,4 +225,17 @@ select page_id, payload_bytes, payload_digest, case when page_id = response_id t
   case when page_id <> response_id then response_id end as refers_to from b
 """,
     "op11_periodic_runs": _runs_sql(),
+    "op13_substring_dedup": r"""
+with d as (select row_number() over () as r, doc_id, coalesce(doc_id, 9223372036854775807) as k, regexp_extract_all(coalesce("text", ''), '[^\x20\x09-\x0D]+') as w from documents),
+win as (
+  select r, k, i, array_to_string(w[i : i + 19], ' ') as g from (select r, k, w, unnest(range(1, len(w) - 18)) as i from d where len(w) >= 20)),
+later as (select r, i from (select r, i, row(k, i) > min(row(k, i)) over (partition by g) as late from win) where late),
+gone as (select distinct r, unnest(range(i, i + 20)) as i from later),
+kept as (
+  select w.r, string_agg(x, ' ' order by w.i) as t from (select r, unnest(range(1, len(w) + 1)) as i, unnest(w) as x from d where r in (select r from gone)) w
+  where not exists (select 1 from gone where gone.r = w.r and gone.i = w.i) group by w.r),
+n as (select r, count(*) as n from gone group by r)
+select doc_id, len(w) as n_words, coalesce(n, 0) as n_removed, sha256(case when n is null then array_to_string(w, ' ') else coalesce(t, '') end) as kept_sha256
+from d left join n using (r) left join kept using (r)
+""",
 }

@@ -72,9 +72,9 @@ def slices(column: pa.Array | pa.ChunkedArray, limit: int = 1 << 20) -> Iterator
         row += n
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of each word, first word of each row + total, word starts, word ends)."""
-    low = _LOWER[data]
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each word, first word of each row + total, word starts, word ends); words as they are unless ``lower``."""
+    low = _LOWER[data] if lower else data
     inside = ~_BLANK[low]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
