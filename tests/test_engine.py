@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from touchline import dims
 from touchline.operators import freshness, joins, lineup, models, ratings, windows
 from touchline.sources import feeds, tables
-from touchline.streaming import ratings as stream
 
 M = "match_id long, dt timestamp_ntz, league int, season int, h int, a int, hs int, as_ int"
 
@@ -81,22 +80,6 @@ def test_chances_sum_to_one_and_favour_the_stronger(spark):
     assert p[0].p_home > p[1].p_home > p[2].p_home
 
 
-def test_stream_of_ratings_equals_the_batch(spark, tmp_path):
-    rows = games(40)
-    source = tmp_path / "in"
-    for part in (rows[:20], rows[10:]):  # ten matches come twice
-        spark.createDataFrame(part, M).coalesce(1).write.mode("append").parquet(str(source))
-    stream_df = spark.readStream.schema(M).option("maxFilesPerTrigger", 10).parquet(str(source))
-    query, sink = stream.keep_ratings(stream_df, str(tmp_path / "state"), str(tmp_path / "check"))
-    query.processAllAvailable()
-    query.stop()
-    got = sorted(tuple(r) for r in sink.state(spark).collect())
-    want = sorted(tuple(r) for r in ratings.state_after(spark.createDataFrame(rows, M)).collect())
-    assert len(got) == len(want)
-    for a, b in zip(got, want, strict=True):
-        assert a == pytest.approx(b)
-
-
 def squad(seed, n=14):
     r = random.Random(seed)
     line = ["GK", "GK", "CB", "CB", "CB", "CB", "RB", "LB", "WB", "WB", "DM", "CM", "CM", "W", "AM", "FW", "FW", "ST", "ST"]

@@ -61,6 +61,15 @@ ELO_STEP, HOME_ELO, SEASON_KEEP, FORM_HALF_LIFE, DEFAULT_MU, MU_WINDOW = 18.0, 5
 STRENGTH_INTERCEPT = (0.01872, 0.19235, -0.21108)
 STRENGTH_COEF = ((0.00268, 0.80874, 0.01737), (9e-05, -0.07452, -0.12172), (-0.00276, -0.73422, 0.10435))
 
+#: Leagues: name, country, country code, and the id of the tournament that goes with it.
+LEAGUES = {
+    47: ("Premier League", "England", "GB-ENG", 2),
+    55: ("Serie A", "Italy", "IT", 1),
+    40: ("First Division A", "Belgium", "BE", 13),
+    441: ("Ukrainian Premier League", "Ukraine", "UA", 15),
+    87: ("LaLiga", "Spain", "ES", 5),
+}
+
 _H, _D = 3_600_000, 86_400_000
 #: Freshness tiers: milliseconds fresh, milliseconds stale.
 TIERS = {

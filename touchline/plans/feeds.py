@@ -84,7 +84,8 @@ def a03_a04_modal(spark, sf):
     return counts.groupBy("c_nationkey").agg(first.alias("most_common"), modal.alias("modal"))
 
 
-@query()
+@query(r"""with l as (select page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1)) as target, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2)) as label, unnest(range(len(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 0)))) as pos from pages)
+select page_id, cast(min(pos) as int) as pos, target, arg_min(label, pos) as label from l group by page_id, target""")
 def s23_f15_page_links(spark, sf):
     """(page_id, pos, target, label) of links in raw pages, the first of each target."""
     links = F.regexp_extract_all("html", F.lit(r'<a href="([^"]*)">[^<]*</a>'), F.lit(0))

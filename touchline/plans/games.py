@@ -10,6 +10,7 @@ from touchline import dims
 from touchline.functions import rules
 from touchline.operators import models, ratings, windows
 from touchline.plans.registry import query
+from touchline.sources import landing
 from touchline.sources import tables as t
 
 _PTS = "case when gf > ga then 3 when gf = ga then 1 else 0 end"
@@ -89,19 +90,19 @@ def w11_absent_rows(spark, sf):
     return windows.absent_rows(t.appearances(spark, sf), _numbered(spark, sf))
 
 
-def _walk_sql(key: str, after: str = "") -> str:
+def _walk_sql(key: str, after: str = "", order: str = "dt, match_id", goals: tuple[str, str] = ("hs", "as_"), views: str = "v_match") -> str:
     """The walk over matches of each key as a recursion: before each match its features, and the state r of all teams and mu after it."""
     old = lambda x: f"case when f.r[g.{x} + 1].n > 0 and f.r[g.{x} + 1].s <> g.season then struct_pack(e := 1500 + 0.7 * (f.r[g.{x} + 1].e - 1500), s := g.season, n := least(6, f.r[g.{x} + 1].n), a := f.r[g.{x} + 1].a, d := f.r[g.{x} + 1].d) else f.r[g.{x} + 1] end"
     form = lambda x, c: f"(mu + least(1.0, {x}.n / 6.0) * (coalesce({x}.{c}, mu) - mu))"
     new = lambda x, sign, made, got: f"struct_pack(e := z.{x}.e {sign} z.move, s := z.season, n := z.{x}.n + 1, a := coalesce(z.{x}.a + (1 - pow(cast(0.5 as double), 0.125)) * (z.{made} - z.{x}.a), cast(z.{made} as double)), d := coalesce(z.{x}.d + (1 - pow(cast(0.5 as double), 0.125)) * (z.{got} - z.{x}.d), cast(z.{got} as double)))"
     none = "struct_pack(e := cast(1500 as double), s := cast(0 as bigint), n := cast(0 as bigint), a := cast(null as double), d := cast(null as double))"
-    return f"""with recursive g as (select match_id, cast(season as bigint) as season, cast(h as bigint) as h, cast(a as bigint) as a, hs, as_, {key} as key, row_number() over (partition by {key} order by dt, match_id) as no from v_match),
+    return f"""with recursive g as (select match_id, cast(season as bigint) as season, cast(h as bigint) as h, cast(a as bigint) as a, hs, as_{''.join(', ' + x for x in goals if x not in ('hs', 'as_'))}, {key} as key, row_number() over (partition by {key} order by {order}) as no from {views}),
 f(key, no, match_id, elo_diff, lam_h, lam_a, r, mu, k) as (
  select key, cast(0 as bigint), cast(null as bigint), cast(null as double), cast(null as double), cast(null as double), list_transform(range(25), lambda x: {none}), cast(1.35 as double), cast(0 as bigint) from (select distinct key from g)
  union all
- select z.key, z.no, z.match_id, z.ho.e - z.aw.e, z.lam_h, z.lam_a, list_transform(range(25), lambda i: case when i = z.h then {new('ho', '+', 'hs', 'as_')} when i = z.a then {new('aw', '-', 'as_', 'hs')} else z.r[i + 1] end),
-  z.mu1 + (z.as_ - z.mu1) / least(z.k + 1, 400), z.k + 2
- from (select y.*, least(4.0, greatest(0.3, ({form('ho', 'a')} + {form('aw', 'd')}) / 2 * 1.10)) as lam_h, least(4.0, greatest(0.2, ({form('aw', 'a')} + {form('ho', 'd')}) / 2 * 0.92)) as lam_a, mu + (hs - mu) / least(k + 1, 400) as mu1,
+ select z.key, z.no, z.match_id, z.ho.e - z.aw.e, z.lam_h, z.lam_a, list_transform(range(25), lambda i: case when i = z.h then {new('ho', '+', *goals)} when i = z.a then {new('aw', '-', *goals[::-1])} else z.r[i + 1] end),
+  z.mu1 + (z.{goals[1]} - z.mu1) / least(z.k + 1, 400), z.k + 2
+ from (select y.*, least(4.0, greatest(0.3, ({form('ho', 'a')} + {form('aw', 'd')}) / 2 * 1.10)) as lam_h, least(4.0, greatest(0.2, ({form('aw', 'a')} + {form('ho', 'd')}) / 2 * 0.92)) as lam_a, mu + ({goals[0]} - mu) / least(k + 1, 400) as mu1,
    18.0 * (case when abs(hs - as_) <= 1 then 1.0 when abs(hs - as_) = 2 then 1.5 else (11 + abs(hs - as_)) / 8.0 end) * ((case when hs > as_ then 1.0 when hs = as_ then 0.5 else 0.0 end) - 1 / (1 + pow(cast(10 as double), -(ho.e - aw.e + 55) / 400))) as move
   from (select g.*, f.r, f.mu, f.k, {old('h')} as ho, {old('a')} as aw from f join g on g.key = f.key and g.no = f.no + 1) y) z){after}"""
 
@@ -136,6 +137,12 @@ def w15_w16_strength_before(spark, sf):
     return _rated(ratings.replay(t.matches(spark, sf)))
 
 
+@query(f"{_walk_sql('league')} select match_id, round(lam_h, 6) as lam_h, round(lam_a, 6) as lam_a from f where no > 0")
+def w16_f44_goals_by_scans(spark, sf):
+    """Expected goals before each match without a walk: a league's matches are in many tasks."""
+    return _rated(ratings.goals_before(t.matches(spark, sf)))
+
+
 @query(f"select match_id, team, round(avg({_PTS}) over (partition by league, season, team order by dt, match_id rows between unbounded preceding and 1 preceding), 9) as ppg from v_side")
 def w17_points_per_game(spark, sf):
     return windows.points_per_game(_sides(spark, sf)).withColumn("ppg", F.round("ppg", 9))
@@ -494,13 +501,45 @@ def x03_z04_unprocessed(spark, sf):
     return left.select("match_id", F.col("h").alias("team")).unionByName(left.select("match_id", F.col("a").alias("team")))
 
 
-@query(f"""{_walk_sql('league')}, l as (select key as league, r, mu, k from (select *, max(no) over (partition by key) as last from f) where no = last),
+_STATE = """, l as (select key as league, r, mu, k from (select *, max(no) over (partition by key) as last from f) where no = last),
 u as (select league, mu, k, unnest(range(25)) as team, unnest(r) as t from l)
-select league, team, round(t.e, 6) as elo, round(t.a, 6) as att, round(t.d, 6) as dfn, t.n as n, t.s as season, round(mu, 6) as mu, k as mu_n from u where t.n > 0""")
+select league, team, round(t.e, 6) as elo, round(t.a, 6) as att, round(t.d, 6) as dfn, t.n as n, t.s as season, round(mu, 6) as mu, k as mu_n from u where t.n > 0"""
+
+
+def _state(rows):
+    return rows.withColumns({c: F.round(c, 6) for c in ("elo", "att", "dfn", "mu")})
+
+
+@query(_walk_sql("league") + _STATE)
 def x03_rating_state(spark, sf):
     """Ratings after a first batch of seasons, carried on with the rest."""
     m = t.matches(spark, sf)
-    state = ratings.state_after(m.filter("season >= 1997"), ratings.state_after(m.filter("season < 1997")))
-    return state.withColumns({c: F.round(c, 6) for c in ("elo", "att", "dfn", "mu")})
+    return _state(ratings.state_after(m.filter("season >= 1997"), ratings.state_after(m.filter("season < 1997"))))
+
+
+def _streamed(spark, sf, late: str):
+    """The state that a stream has kept after three arrivals out of order, each taken by a query that begins at the last one's checkpoint."""
+    from touchline.streaming import ratings as streamed
+
+    m = t.matches(spark, sf)
+    landed, checkpoint = landing.new_folder(spark, "matches"), landing.new_folder(spark, "ratings")
+    for part in range(3):
+        # what came before comes again with each arrival
+        m.filter(F.col("match_id") % 3 <= part).write.mode("append").parquet(landed)
+        stream = spark.readStream.schema(m.schema).parquet(landed)
+        streamed.keep_ratings(stream, checkpoint, late, once=True).awaitTermination()
+    return _state(streamed.kept(spark, checkpoint))
+
+
+@query(_walk_sql("league") + _STATE)
+def x03_stream_rewind(spark, sf):
+    """Late matches are taken in their place: the state equals a replay in order."""
+    return _streamed(spark, sf, "rewind")
+
+
+@query(_walk_sql("league", order="match_id % 3, dt, match_id") + _STATE)
+def x03_stream_append(spark, sf):
+    """Late matches are taken when they come: the state equals a walk by arrival."""
+    return _streamed(spark, sf, "append")
 
 

@@ -24,4 +24,4 @@ def query(sql: str | None = None):
     return add
 
 
-from touchline.plans import feeds, games, more, people, records, squads  # noqa: E402,F401
+from touchline.plans import feeds, games, landings, more, people, records, squads  # noqa: E402,F401

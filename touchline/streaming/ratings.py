@@ -1,55 +1,154 @@
-"""Ratings kept under Structured Streaming: each batch's new matches are folded into saved state.
+"""Ratings kept as keyed state under Structured Streaming, and windows of cards.
 
-Under one folder, each batch has a Parquet table of the state after it (a row for
-each team) and one of the ids it processed, by month of the match.  A batch reads
-the state before it and the ids of its own months in earlier batches, so its
-work follows the batch and not the history.  A batch that runs again writes its
-own tables again, from the same state.
+State is Spark's own, by league, in the query's checkpoint: the table of teams,
+the league's mean, and the ids of matches taken in, whatever their month.  A match
+whose id was taken in before changes nothing, be it sent again with another date
+or without one.  A restart goes on from the checkpoint, and ``kept`` reads the
+table from it at any time, with or without the query.
+
+Matches that come late (dated before one already taken in) have two readings:
+
+``append``  a late match moves the ratings when it comes, after later matches.
+``rewind``  the league goes back to the state before the month of the late match
+            and takes that month and all after it again, so the ratings equal a
+            replay of all matches in order.  For this a league also keeps its
+            matches and a copy of the table by month.
+
+Matches without a date are a month of their own before all others, as in a
+replay; those without an id, a score or a team are left out.  Of rows with one id
+in a batch the first by date counts.  Leagues run side by side; a league's batch
+is one task, as each match reads what the last one left.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+import json
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from touchline.operators import ratings
 
+PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_NAMES = [c.split()[0] for c in ratings.STATE.split(", ")]
+_TEAM = "elo double, att double, dfn double, n int, season int"
+_UNDATED = ""
+
+
+class LeagueRatings(StatefulProcessor):
+    """One league's ratings; gives its table after each batch that moved it."""
+
+    def __init__(self, rewind: bool):
+        self.rewind = rewind
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.teams = handle.getMapState("teams", "team long", _TEAM)
+        self.mean = handle.getValueState("mean", "mu double, mu_n int")
+        self.taken = handle.getMapState("taken", "match_id long", "month string")
+        # A month's matches and the table before them, as JSON, which keeps doubles as they are.
+        self.months = handle.getMapState("months", "month string", "matches string, before string") if self.rewind else None
+
+    def _table(self) -> ratings.Table:
+        if not self.mean.exists():
+            return ratings.Table()
+        mu, mu_n = self.mean.get()
+        table = ratings.Table(mu=mu, mu_n=mu_n)
+        for (team,), own in self.teams.iterator():
+            table.load(team, *own, mu, mu_n)
+        return table
+
+    def _keep(self, table: ratings.Table) -> None:
+        for team, own in table.teams.items():
+            self.teams.updateValue((team,), tuple(own))
+        self.mean.update((table.mu, table.mu_n))
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        table = ratings.Table()
+        for row in initialState[["team", *ratings.TEAM, "mu", "mu_n"]].itertuples(index=False):
+            table.load(*row)
+        self._keep(table)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows)).sort_values(["dt", "match_id"], na_position="first").drop_duplicates("match_id")
+        new: dict[str, list[list]] = {}
+        for match, dt, *step in batch[["match_id", "dt", *ratings.STEP]].itertuples(index=False):
+            if not self.taken.containsKey((match,)):
+                month = _UNDATED if pd.isna(dt) else f"{dt:%Y-%m}"
+                self.taken.updateValue((match,), (month,))
+                new.setdefault(month, []).append([_UNDATED if pd.isna(dt) else dt.isoformat(), match, *step])
+        if not new:
+            return
+        table = self._table()
+        if self.rewind:
+            table = self._rewound(table, new)
+        else:
+            for month in sorted(new):
+                _take(table, new[month])
+        self._keep(table)
+        out = pd.DataFrame(table.rows(key[0]), columns=_NAMES)
+        yield out.astype({"att": float, "dfn": float})
+
+    def _rewound(self, table: ratings.Table, new: dict[str, list[list]]) -> ratings.Table:
+        """The table after going back to the first new month and taking all from there on again."""
+        first = min(new)
+        later = sorted(m for (m,) in self.months.keys() if m >= first)
+        if later:
+            table = _table_of(self.months.getValue((later[0],))[1])
+        for month in sorted({*later, *new}):
+            matches = json.loads(self.months.getValue((month,))[0]) if month in later else []
+            matches = sorted(matches + new.get(month, []), key=lambda m: m[:2])
+            self.months.updateValue((month,), (json.dumps(matches), _text_of(table)))
+            _take(table, matches)
+        return table
+
+    def close(self) -> None:
+        pass
+
+
+def _take(table: ratings.Table, matches: list[list]) -> None:
+    for _, _, *step in matches:
+        table.step(*step)
+
+
+def _text_of(table: ratings.Table) -> str:
+    return json.dumps([table.mu, table.mu_n, [[k, *v] for k, v in table.teams.items()]])
+
+
+def _table_of(text: str) -> ratings.Table:
+    mu, mu_n, teams = json.loads(text)
+    return ratings.Table({k: own for k, *own in teams}, mu, mu_n)
+
+
+def rated(matches: DataFrame, late: str = "append", state: DataFrame | None = None) -> DataFrame:
+    """A stream of league tables (as ``ratings.STATE``) after each batch of a stream of matches.
+
+    ``state``: tables to begin with, as ``ratings.state_after`` gives them; a late
+    match is never put before those.
+    """
+    if late not in ("append", "rewind"):
+        raise ValueError(f"late matches are appended or rewound to, not {late!r}")
+    matches.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    rows = ratings.walkable(matches).filter("match_id is not null and league is not null").groupBy("league")
+    begun = None if state is None else state.groupBy("league")
+    return rows.transformWithStateInPandas(LeagueRatings(late == "rewind"), ratings.STATE, "update", "none", initialState=begun)
+
+
+def keep_ratings(matches: DataFrame, checkpoint: str, late: str = "append", state: DataFrame | None = None, once: bool = False) -> StreamingQuery:
+    """Start keeping ratings of a stream of matches; ``once``: take what is there and end."""
+    out = rated(matches, late, state).writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint)
+    return (out.trigger(availableNow=True) if once else out).start()
+
 
-class RatingSink:
-    """foreachBatch target; ``state`` reads the ratings after the last batch."""
-
-    def __init__(self, folder: str):
-        self.folder = folder
-
-    def _state(self, batch: int) -> str:
-        return f"{self.folder}/state-{batch:08d}"
-
-    def __call__(self, new: DataFrame, batch: int) -> None:
-        """Matches already processed are left out, whatever order or batch they come in."""
-        spark = new.sparkSession
-        fresh = new.dropDuplicates(["match_id"]).withColumn("month", F.date_format("dt", "yyyy-MM"))
-        months = [r.month for r in new.select(F.date_format("dt", "yyyy-MM").alias("month")).distinct().collect()]
-        if batch > 0:
-            done = spark.read.schema("match_id long, month string, batch long").parquet(f"{self.folder}/done")
-            done = done.filter((F.col("batch") < batch) & F.col("month").isin(months))
-            fresh = fresh.join(done.select("match_id").distinct(), "match_id", "left_anti")
-        fresh = fresh.persist(StorageLevel.MEMORY_AND_DISK)
-        state = spark.read.parquet(self._state(batch - 1)) if batch > 0 else None
-        ratings.state_after(fresh, state).write.mode("overwrite").parquet(self._state(batch))
-        fresh.select("match_id", "month").write.mode("overwrite").partitionBy("month").parquet(f"{self.folder}/done/batch={batch}")
-        fresh.unpersist()
-        self.last = batch
-
-    def state(self, spark) -> DataFrame:
-        return spark.read.parquet(self._state(self.last))
-
-
-def keep_ratings(stream: DataFrame, folder: str, checkpoint: str):
-    """Start keeping ratings of a stream of matches; returns (query, sink)."""
-    sink = RatingSink(folder)
-    query = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).start()
-    return query, sink
+def kept(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The tables of all leagues in a checkpoint, as ``ratings.STATE``."""
+    read = lambda name: spark.read.format("statestore").option("path", checkpoint).option("stateVarName", name).load()
+    teams = read("teams").select(F.col("key.league").alias("league"), F.col("user_map_key.team").alias("team"), "user_map_value.*")
+    means = read("mean").select(F.col("key.league").alias("league"), "value.*")
+    return teams.join(means, "league").select(*_NAMES)
 
 
 def card_windows(cards: DataFrame, late: str = "1 day", length: str = "12 days", slide: str = "1 day") -> DataFrame:
