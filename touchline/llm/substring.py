@@ -51,7 +51,7 @@ from touchline.llm.shared import AtomicFile, cut, new_folder, store
 _U = np.uint64
 WINDOW, GRAM = 20, 8
 #: Bytes of text in a block; words of a block to a shard (as a power of two); windows that others ask one task about.
-BLOCK, SHARD, SLICE = 8 << 20, 17, 1 << 19
+BLOCK, SHARD, SLICE = 8 << 20, 17, 1 << 17
 _LAST = (1 << 63) - 1
 #: A place is a block, a word of it and a number of windows (up to 15) in 32, 27 and 4 bits.
 _AT, _N = 27, 4
