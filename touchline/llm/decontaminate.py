@@ -3,10 +3,11 @@
 An item's windows are its runs of ``window`` consecutive words (an item of fewer
 words, but not none, is one window).  The automaton holds an anchor of
 ``(window + 1) // 2`` words from every so many words of an item, so each window
-contains one; where an anchor occurs in a document, the words around it are
-compared with the item's, and a common run of a window's length or more is a
-hit.  Each document is normalised to its words joined by spaces and scanned
-once; word positions lead back to character offsets of the original text.
+contains one; where an anchor occurs in a document, the document's windows that
+contain it are looked up among the items', each once.  So work grows with the
+document's words, however often words or anchors repeat in it or in items.  Each
+document is normalised to its words joined by spaces and scanned once; word
+positions lead back to character offsets of the original text.
 
 Items are cut into segments that overlap by a window less one word, and segments
 dealt to blocks of about ``AUTOMATON`` windows.  Each block is a file in shared
@@ -39,8 +40,8 @@ _LOWER = {c: c + 32 for c in range(65, 91)}
 WINDOW = 13
 #: Contaminated: some hit, and SHARE times the hit words at least all words.
 SHARE = 20
-#: Windows to an automaton (some 100 bytes each, as anchors and words), and to a segment of an item.
-AUTOMATON, SEGMENT = 400_000, 4096
+#: Windows to an automaton (some 300 bytes each, as anchors and windows), and to a segment of an item.
+AUTOMATON, SEGMENT = 200_000, 4096
 _SPANS = pa.list_(pa.list_(pa.int64()))
 
 
@@ -59,47 +60,47 @@ class Automaton:
     def __init__(self, segments: list[tuple[int | None, list[str]]], window: int = WINDOW):
         import ahocorasick
 
-        self.segments, self.window = segments, window
-        step = (window + 1) // 2  # a window holds the whole anchor that begins in its first ``step`` words
-        anchors: dict[str, list[tuple[int, int]]] = {}
-        for s, (_, words) in enumerate(segments):
+        self.window, self.step = window, (window + 1) // 2  # a window holds the whole anchor that begins in its first ``step`` words
+        anchors: dict[str, set[int | None]] = {}  # with the items that are no longer than an anchor
+        self.items: dict[str, set[int | None]] = {}  # of each window
+        for item, words in segments:
             if len(words) < window:
-                anchors.setdefault(" ".join(words), []).append((s, 0))
-            else:
-                for at in range(0, len(words) - step + 1, step):
-                    anchors.setdefault(" ".join(words[at : at + step]), []).append((s, at))
+                anchors.setdefault(" ".join(words), set()).add(item)
+                continue
+            for at in range(0, len(words) - self.step + 1, self.step):
+                anchors.setdefault(" ".join(words[at : at + self.step]), set())
+            for at in range(len(words) - window + 1):
+                self.items.setdefault(" ".join(words[at : at + window]), set()).add(item)
         self.machine = ahocorasick.Automaton()
-        for text, places in anchors.items():
-            self.machine.add_word(f" {text} ", (text.count(" ") + 1, places))
+        for text, whole in anchors.items():
+            self.machine.add_word(f" {text} ", (text.count(" ") + 1, whole))
         if anchors:
             self.machine.make_automaton()
 
     def scan(self, words: list[str]) -> tuple[list[tuple[int, int]], set[int | None]]:
         """Merged runs [first, past last) of hit words, and the items that occur."""
         runs: list[tuple[int, int]] = []
-        items: set[int | None] = set()
+        found: set[str] = set()
+        shorts: dict[int, set[int | None]] = {}
         if not len(self.machine) or not words:
-            return runs, items
+            return runs, set()
         line = f" {' '.join(words)} "
-        last = passed = 0  # words before character `passed` of the line
-        reached: dict[tuple[int, int], int] = {}  # past the last word compared, by segment and shift
-        for end, (n, places) in self.machine.iter(line):
+        last = passed = looked = 0  # words before character `passed` of the line; windows looked up
+        for end, (n, whole) in self.machine.iter(line):
             last += line.count(" ", passed + 1, end + 1)
             passed = end
-            for s, at in places:
-                item, own = self.segments[s]
-                shift = last - n - at
-                if reached.get((s, shift), 0) >= last:
-                    continue
-                lo, hi = at, at + n
-                while lo > 0 and lo + shift > 0 and own[lo - 1] == words[lo - 1 + shift]:
-                    lo -= 1
-                while hi < len(own) and hi + shift < len(words) and own[hi] == words[hi + shift]:
-                    hi += 1
-                reached[s, shift] = hi + shift
-                if hi - lo >= min(self.window, len(own)):
-                    runs.append((lo + shift, hi + shift))
-                    items.add(item)
+            if whole:
+                runs.append((last - n, last))
+                shorts[id(whole)] = whole
+            if n == self.step:
+                past = min(last - n, len(words) - self.window) + 1
+                for at in range(max(looked, last - self.window), past):
+                    text = " ".join(words[at : at + self.window])
+                    if text in self.items:
+                        found.add(text)
+                        runs.append((at, at + self.window))
+                looked = max(looked, past)
+        items = set().union(*(self.items[x] for x in found), *shorts.values())
         return merge(runs), items
 
 
