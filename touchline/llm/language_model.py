@@ -9,11 +9,11 @@ from the one before it (pairs) with an add-one unigram estimate:
 The weight a depends on how often the two tokens before were seen, b on how
 often the one before was (buckets: 1, 2, 3, then powers of two).  Both are
 learned by expectation-maximisation on a fold of the training documents, DEV,
-with all three estimates from the counts without that fold.  Scores then use the
-counts of all training documents, from which a training document's own are
-deleted while it is scored: the weights are those for texts that weren't
-counted, a text doesn't vouch for itself, and training and held-out texts
-compare.  (``base_score`` is plain: it has all training counts for every text.)
+with all three estimates from the counts without that fold.  The model that
+scores has the counts of all training documents, for every text.  A training
+document vouches for itself in these, so ``score_left_out`` also tells what the
+model without the document's own counts says of it; it is the ``score`` where a
+document was held out, and compares training with held-out texts.
 
 Counting and looking up are one exchange.  The corpus is read in blocks of
 bounded size; each block sends its distinct token, pair and triple keys of 56
@@ -27,8 +27,8 @@ ranges as blocks, so a range is as large as a block; a block sends a range's
 packet only where it has keys in it, so packets are never more than keys.
 
 Blocks are runs of rows of the input's partitions, so the input must give its
-partitions the same rows each time, as scans of files do; a changed block fails
-the job rather than give wrong scores.
+partitions the same rows each time, as scans of files do; a block whose keys have
+changed (by a checksum of each range's) fails the job rather than give wrong scores.
 
 Semantics for odd input: a null or empty text is one end token; repeated rows
 count, and are scored, once for each row; a null doc_id trains as an empty id; an
@@ -238,8 +238,15 @@ def unpack_keys(data, n: int) -> np.ndarray:
     return np.cumsum(out, dtype=np.uint64)
 
 
+def checksums(keys: np.ndarray, sizes: list[int]) -> np.ndarray:
+    """A number for each run of keys, of the given sizes."""
+    sums = np.concatenate([[_U(0)], np.cumsum(text_hash.mix(keys), dtype=np.uint64)])
+    cuts = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    return np.diff(sums[cuts]).view(np.int64)
+
+
 def range_totals(packed: DataFrame) -> DataFrame:
-    """(block, range, n, train, dev): for each block's keys of a range, what other blocks add to its counts (to dev only where it isn't 0).
+    """(block, range, n, check, train, dev): for each block's keys of a range, what other blocks add to its counts (to dev only where it isn't 0).
 
     A further row of block -1 has the range's tokens and distinct tokens, in training and without DEV.
     """
@@ -247,6 +254,7 @@ def range_totals(packed: DataFrame) -> DataFrame:
     def run(key: tuple, table: pa.Table) -> pa.Table:
         sizes = table.column("n").to_pylist()
         keys = np.concatenate([unpack_keys(x.as_buffer(), n) for x, n in zip(table.column("keys"), sizes, strict=True)])
+        checks = checksums(keys, sizes).tolist()
         order = np.argsort(keys, kind="stable")
         keys = keys[order]
         starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
@@ -268,10 +276,10 @@ def range_totals(packed: DataFrame) -> DataFrame:
         summary = struct.pack("<QQQQ", int(sums[0].sum()), int((sums[0] > 0).sum()), int(main.sum()), int((main > 0).sum()))
         return pa.table({
             "block": pa.array([*table.column("block").to_pylist(), -1], pa.int64()), "range": pa.array([key[0].as_py()] * (len(sizes) + 1), pa.int32()),
-            "n": pa.array([*sizes, 0], pa.int32()), "train": pa.array([*answers[0], summary], pa.binary()), "dev": pa.array([*answers[1], b""], pa.binary()),
+            "n": pa.array([*sizes, 0], pa.int32()), "check": pa.array([*checks, 0], pa.int64()), "train": pa.array([*answers[0], summary], pa.binary()), "dev": pa.array([*answers[1], b""], pa.binary()),
         })
 
-    return packed.groupBy("range").applyInArrow(run, "block long, range int, n int, train binary, dev binary")
+    return packed.groupBy("range").applyInArrow(run, "block long, range int, n int, check long, train binary, dev binary")
 
 
 def store_totals(answers: DataFrame, folder: str) -> tuple[int, int, int, int]:
@@ -287,8 +295,8 @@ def store_totals(answers: DataFrame, folder: str) -> tuple[int, int, int, int]:
             table = table.sort_by("range")
             out = AtomicFile(folder, f"totals-{number}")
             out.write(struct.pack("<I", table.num_rows))
-            for n, *parts in zip(*(table.column(c).to_pylist() for c in ("n", "train", "dev")), strict=True):
-                out.write(struct.pack("<III", n, *map(len, parts)))
+            for n, check, *parts in zip(*(table.column(c).to_pylist() for c in ("n", "check", "train", "dev")), strict=True):
+                out.write(struct.pack("<IqII", n, check, *map(len, parts)))
                 out.write(b"".join(parts))
             out.commit()
         return pa.table({k: pa.array([int(x)], pa.int64()) for k, x in zip(names, sums, strict=True)})
@@ -305,14 +313,16 @@ def totals_of(block: Block, number: int, folder: str) -> tuple[np.ndarray, np.nd
     with fs.open_input_file(f"{path}/totals-{number}") as f:
         data = memoryview(f.read())
     (ranges,) = struct.unpack_from("<I", data)
-    at, found, more = 4, 0, ([], [])
+    at, numbers, checks, more = 4, [], [], ([], [])
     for _ in range(ranges):
-        n, *sizes = struct.unpack_from("<III", data, at)
-        at, found = at + 12, found + n
+        n, check, *sizes = struct.unpack_from("<IqII", data, at)
+        at += struct.calcsize("<IqII")
+        numbers.append(n)
+        checks.append(check)
         for out, size in zip(more, sizes, strict=True):
             out.append(unpack(data[at : at + size], n))
             at += size
-    if found != len(block.keys):
+    if sum(numbers) != len(block.keys) or checksums(block.keys, numbers).tolist() != checks:
         raise ValueError(f"block {number} has other rows than when it was counted")
     train, dev = block.counts()
     return train + np.concatenate(more[0]), dev + np.concatenate(more[1])
@@ -370,21 +380,25 @@ def _share(bucket: np.ndarray, part: np.ndarray, whole: np.ndarray) -> np.ndarra
 
 
 def score(rows: DataFrame, folder: str, tokens: int, kinds: int, weights: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)."""
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, score_left_out)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, block in blocks(batches):
             counts = totals_of(block, number, folder)[0]
-            unigram, pair, triple, low, high = block.estimates(counts, tokens, kinds, deleted=True)
-            n, a, b, seen = len(block.ids), weights[0][high], weights[1][low], counts[block.token_at]
-            mixed = a * triple + (1 - a) * (b * pair + (1 - b) * unigram)
-            sums = [np.bincount(block.docs, x, n) for x in (np.ones(len(seen)), seen > 0, np.log10((seen + 1) / (tokens + kinds + 1)), np.log10(mixed))]
+            n, seen = len(block.ids), counts[block.token_at]
+            base = np.log10((seen + 1) / (tokens + kinds + 1))
+            scores = []
+            for deleted in (False, True):
+                unigram, pair, triple, low, high = block.estimates(counts, tokens, kinds, deleted)
+                a, b = weights[0][high], weights[1][low]
+                scores.append(np.log10(a * triple + (1 - a) * (b * pair + (1 - b) * unigram)))
+            sums = [np.bincount(block.docs, x, n) for x in (np.ones(len(seen)), seen > 0, base, *scores)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(block.ids, pa.int64()), pa.array(block.folds == HELD_OUT), pa.array(sums[0].astype(np.int64)), pa.array(sums[1].astype(np.int64)), pa.array([tokens] * n, pa.int64()), pa.array(sums[2]), pa.array(sums[3])],
-                names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+                [pa.array(block.ids, pa.int64()), pa.array(block.folds == HELD_OUT), *(pa.array(x.astype(np.int64)) for x in sums[:2]), pa.array([tokens] * n, pa.int64()), *map(pa.array, sums[2:])],
+                names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "score_left_out"],
             )
 
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return rows.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, score_left_out double")
 
 
 def score_documents(documents: DataFrame) -> DataFrame:
