@@ -8,6 +8,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -402,6 +403,26 @@ def test_quality_learns_and_scores_odd_texts(spark):
     assert quality.classify(docs.limit(0), known).count() == 0
 
 
+def test_training_reads_texts_of_any_length_and_counts_labels_with_a_document(spark):
+    good, bad = "calm clear field river " * 5, "BUY now!! click $$$ " * 5
+    rows = [(i, good if i % 2 else bad * (40_000 if i == 8 else 1)) for i in range(60)] + [(5, good)] * 3 + [(5, bad)]
+    known = spark.createDataFrame([(i, i % 2, 0) for i in range(5000)], "doc_id long, quality int, toxic int")
+    read = []
+
+    class Spy(quality.Samples):
+        def __getitem__(self, i):
+            read.append((i, super().__getitem__(i)))
+            return read[-1][1]
+
+    settings = quality.Settings(max_train_rows=61, epochs=1)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(quality, "Samples", Spy)
+        quality.fit(table(spark, rows), known, s=settings)
+    assert len(read) == 61  # labels without a document take no place, and the text of 800 kB is read, too
+    assert sum(label for _, (label, _, _) in read) == 31
+    assert all(abs(shares.sum() - 1) < 1e-4 for _, (_, _, shares) in read)
+
+
 def test_rejected_documents_take_no_others_of_their_id_along(spark):
     good, bad = "calm clear field river " * 5, "BUY now!! click $$$ " * 5
     rows = [(i, good if i % 2 else bad) for i in range(200)]
@@ -457,6 +478,18 @@ def test_hits_equal_brute_force(spark, monkeypatch, most, segment):
     same([(x.doc_id, x.text) for x in kept.collect()], [d for d, x in zip(docs, want, strict=True) if not x[-1]])
 
 
+@pytest.mark.parametrize(("item", "document"), [("a", "a"), ("a", "a b"), ("a b c", "a b c"), ("a " * 40 + "b", "a")])
+def test_work_on_repeated_words_follows_the_document(item, document):
+    def took(n):
+        machine = decontaminate.Automaton([(1, (item.split() * n)[:n])])
+        began = time.perf_counter()
+        machine.scan((document.split() * n)[: 2 * n])
+        return time.perf_counter() - began
+
+    took(500)
+    assert took(32_000) < 20 * max(took(4000), 0.005)
+
+
 def test_segments_hold_each_window_once():
     words = ["w%d" % i for i in range(100)]
     found = [tuple(s[k : k + 4]) for s in decontaminate.segments_of(words, 4, 7) for k in range(len(s) - 3)]
@@ -485,7 +518,7 @@ def test_anchors_find_every_window(window):
 
 
 def plain_scores(rows):
-    """(held out, tokens, known, training tokens, base score, score) of each text, by counting and looping."""
+    """(held out, tokens, known, training tokens, base score, score, score left out) of each text, by counting and looping."""
     texts = [(language_model.fold_of(i), [*words(t), None]) for i, t in rows]
 
     def count(folds):
@@ -545,10 +578,10 @@ def plain_scores(rows):
     train = full[0][0]
     for fold, tokens in texts:
         base = sum(math.log10((train[(x,)] + 1) / (full[2] + full[3] + 1)) for x in tokens)
-        score = 0
-        for u, p, t, low, high in parts(tokens, full if fold == 2 else without(full, tokens)):
-            score += math.log10(a[high] * t + (1 - a[high]) * (b[low] * p + (1 - b[low]) * u))
-        yield fold == 2, len(tokens), sum(train[(x,)] > 0 for x in tokens), full[2], round(base, 5), round(score, 5)
+        scores = []
+        for counts in (full, full if fold == 2 else without(full, tokens)):
+            scores.append(round(sum(math.log10(a[high] * t + (1 - a[high]) * (b[low] * p + (1 - b[low]) * u)) for u, p, t, low, high in parts(tokens, counts)), 5))
+        yield fold == 2, len(tokens), sum(train[(x,)] > 0 for x in tokens), full[2], round(base, 5), *scores
 
 
 @pytest.mark.parametrize("seed", [2, 3])
@@ -561,10 +594,19 @@ def test_language_model_equals_a_plain_version(spark, monkeypatch, seed):
     for (i, _), x in zip(rows, plain_scores(rows), strict=True):
         want.setdefault(i, []).append(x)
     for x in language_model.score_documents(table(spark, rows).repartition(3)).collect():
-        got.setdefault(x.doc_id, []).append((x.held_out, x.n_tokens, x.n_known, x.train_tokens, round(x.base_score, 5), round(x.score, 5)))
+        got.setdefault(x.doc_id, []).append((x.held_out, x.n_tokens, x.n_known, x.train_tokens, round(x.base_score, 5), round(x.score, 5), round(x.score_left_out, 5)))
     assert {k: sorted(x) for k, x in got.items()} == {k: sorted(x) for k, x in want.items()}
 
 
+def test_a_block_with_other_rows_is_refused(spark, tmp_path, monkeypatch):
+    rows = table(spark, corpus(5, 20)).select("doc_id", "text").coalesce(1)
+    folder = f"file://{tmp_path}/totals"
+    totals = language_model.store_totals(language_model.range_totals(language_model.block_keys(rows, 3)), folder)
+    other = rows.withColumn("text", F.regexp_replace("text", "w1", "v1"))  # as many keys
+    with pytest.raises(Exception, match="other rows"):
+        language_model.score(other, folder, *totals[:2], language_model.maximise(*(np.zeros(0),) * 1, *(np.zeros(0, int),) * 2, *(np.zeros(0),) * 2)).collect()
+
+
 def test_language_model_of_an_empty_table(spark):
     assert language_model.score_documents(table(spark, [])).count() == 0
 

@@ -7,11 +7,11 @@ numpy.  As the document vector is an average and the layer is linear, a trained
 model is folded to one number for each table row, and a document is scored by
 averaging numbers: whole texts, in one pass, on executors.
 
-The training sample is bounded in rows and bytes: labelled documents in the order
-of a hash-random key, at most ``max_train_rows`` of them and as many as have
-``max_train_bytes`` of text together; texts beyond a sixteenth of that are left
-out of it (they are scored like all others).  Hashed feature counts, not texts,
-are gathered.  Class shares of the sample are kept.
+The training sample is bounded in rows: of the documents that have a label, the
+first ``max_train_rows`` in the order of a hash-random key, whole texts of any
+length.  Tasks write their hashed feature counts to files in shared storage, a
+record for each document, and training reads the records of a batch at a time, so
+the driver holds the model and a batch.  Class shares of the sample are kept.
 
 Semantics for odd input: a null or empty text has one feature of its own, so it
 gets a score too; without labelled rows every score is 0.5; rows of one doc_id
@@ -21,15 +21,18 @@ a row each; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.llm import text_hash
+from touchline.llm.shared import AtomicFile, cut, new_folder, store
 
 _U = np.uint64
 #: Steps of the layer and of vectors against that of the bias: a share of a text is small, so vectors take long steps.
@@ -44,7 +47,6 @@ class Settings:
     dimension: int = 8
     char_grams: tuple[int, ...] = (3, 5)
     max_train_rows: int = 4000
-    max_train_bytes: int = 24 << 20
     epochs: int = 6
     rate: float = 0.5
     batch: int = 16
@@ -73,7 +75,26 @@ def features(data: np.ndarray, offsets: np.ndarray, s: Settings) -> tuple[np.nda
     return (ids >> _U(64 - s.table_bits)).astype(np.int64), docs
 
 
-def train(samples: list[tuple[int, np.ndarray, np.ndarray]], s: Settings) -> np.ndarray:
+class Samples(Sequence):
+    """Labelled documents' (label, table rows, shares of the features), read from files when they are asked for."""
+
+    def __init__(self, records: list[tuple[int, str, int]], s: Settings):
+        self.records, self.kind = records, np.uint16 if s.table_bits <= 16 else np.uint32
+        self.files: dict[str, pa.ipc.RecordBatchFileReader] = {}
+
+    def __len__(self) -> int:
+        return len(self.records)
+
+    def __getitem__(self, i: int) -> tuple[int, np.ndarray, np.ndarray]:
+        label, file, part = self.records[i]
+        if file not in self.files:
+            fs, path = store(file)
+            self.files[file] = pa.ipc.open_file(fs.open_input_file(path))
+        ids, counts = (unpack(c[0]) for c in self.files[file].get_batch(part).columns)
+        return label, ids.astype(self.kind), (counts / counts.sum()).astype(np.float32)
+
+
+def train(samples: Sequence[tuple[int, np.ndarray, np.ndarray]], s: Settings) -> np.ndarray:
     """Folded model: the score's part of each table row, and the bias last.
 
     ``samples``: (label, table rows, shares of the features).  Gradients are averaged over small
@@ -117,42 +138,44 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", usable:
     known = labels.filter(F.col(label).isin(0, 1)).select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("label"))
     known = known.withColumn("key", F.xxhash64("id", F.lit(s.seed)))
     known = known.filter(usable if usable is not None else F.lit(True)).distinct()
-    chosen = known.orderBy("key", "id", "label").limit(s.max_train_rows)
-    # of bounded size; a row's place in the sample is (key, doc_id, label, hash of the text)
+    # a row's place in the sample; only rows of labels that have a document take one
     place = ("key", "doc_id", "label", "text_hash")
-    texts = documents.select("doc_id", "text", F.octet_length("text").alias("bytes"), F.xxhash64("text").alias("text_hash"))
-    texts = texts.filter(F.coalesce("bytes", F.lit(0)) <= s.max_train_bytes // 16)
-    rows = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))
-    first = rows.select(*place, "bytes").distinct().orderBy(*place).limit(s.max_train_rows).collect()
-    held = np.cumsum([r.bytes or 0 for r in first])
-    last = int(np.searchsorted(held, s.max_train_bytes, side="right")) - 1
-    if last < 0:
+    texts = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    drawn = texts.join(known, F.col("doc_id") == F.col("id")).select(*place).distinct().orderBy(*place).limit(s.max_train_rows)
+    drawn = cut(drawn)  # of bounded size
+    rows = texts.join(F.broadcast(drawn), ["doc_id", "text_hash"]).dropDuplicates(place).select("key", "doc_id", "label", "text_hash", "text")
+    folder = new_folder(documents.sparkSession, "features")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = writer = None
+        name, parts = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.arrow", 0
+        places: list[pa.RecordBatch] = []
+        for b in batches:
+            for i in range(b.num_rows):
+                record = pa.record_batch([pa.array([x], pa.binary()) for x in _counted(b.column(4).slice(i, 1), s)], names=["ids", "counts"])
+                if writer is None:
+                    out = AtomicFile(folder, name)
+                    writer = pa.ipc.new_file(out.out, record.schema)
+                writer.write_batch(record)
+            number = pa.array(np.arange(parts, parts + b.num_rows))
+            places.append(pa.RecordBatch.from_arrays([*b.columns[:4], pa.array([f"{folder}/{name}"] * b.num_rows), number], names=[*place, "file", "part"]))
+            parts += b.num_rows
+        if writer is not None:
+            writer.close()
+            out.commit()
+        yield from places
+
+    written = rows.mapInArrow(write, "key long, doc_id long, label int, text_hash long, file string, part long").orderBy(*place).collect()  # bounded, too
+    if not written:
         return np.zeros((1 << s.table_bits) + 1, np.float32)
-    rows = rows.filter(F.struct(*place) <= F.struct(*(F.lit(first[last][c]).cast(rows.schema[c].dataType) for c in place)))
-    rows = rows.dropDuplicates(place).select("doc_id", "text", "label")
+    return train(Samples([(r.label, r.file, r.part) for r in written], s), s)
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for first, data, offsets in text_hash.slices(b.column(1), RUN):
-                ids, docs = features(data, offsets, s)
-                width = 1 << s.table_bits
-                both, counts = np.unique(docs * width + ids, return_counts=True)
-                cuts = np.searchsorted(both // width, np.arange(1, len(offsets) - 1))
-                n = len(offsets) - 1
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(first, n), b.column(2).slice(first, n), pa.array([pack(x) for x in np.split(both % width, cuts)], pa.binary()), pa.array([pack(x) for x in np.split(counts, cuts)], pa.binary())],
-                    names=["doc_id", "label", "ids", "counts"],
-                )
-
-    got = rows.mapInArrow(gather, "doc_id long, label int, ids binary, counts binary").toArrow()
-    keys = list(zip(got["doc_id"].to_pylist(), got["label"].to_pylist(), range(len(got)), strict=True))
-    samples = []
-    for _, y, i in sorted(keys, key=lambda k: k[:2]):
-        counts = unpack(got["counts"][i])
-        samples.append((y, unpack(got["ids"][i]).astype(np.uint16 if s.table_bits <= 16 else np.uint32), (counts / counts.sum()).astype(np.float32)))
-    del got
-    pa.default_memory_pool().release_unused()
-    return train(samples, s)
+
+def _counted(text: pa.Array, s: Settings) -> tuple[bytes, bytes]:
+    """The packed table rows of a text's features and how often each occurs."""
+    (_, data, offsets), = text_hash.slices(text, RUN)
+    ids, counts = np.unique(features(data, offsets, s)[0], return_counts=True)
+    return pack(ids), pack(counts)
 
 
 def pack(numbers: np.ndarray) -> bytes:
