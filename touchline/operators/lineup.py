@@ -128,8 +128,8 @@ class Squads:
 _OUT = "squad_id long, formation string, formation_no int, score double, bonus int, ids array<long>, malus array<double>"
 
 
-def formation_lineups(squads: DataFrame, formations: list[str] | None = None) -> DataFrame:
-    """The climbed line-up of every squad in every formation it can fill.
+def search(squads: DataFrame, formations: list[str] | None, found, out: str) -> DataFrame:
+    """Rows ``out`` that ``found(number, formation, squad ids, player ids, Squads)`` gives of many squads at once, for each formation.
 
     ``squads``: (squad_id, k, player_id, positions, total, base_rating, start_prob); k is the order of ties.
     """
@@ -139,7 +139,7 @@ def formation_lineups(squads: DataFrame, formations: list[str] | None = None) ->
     rows = squads.groupBy(F.col("squad_id").cast("long").alias("squad_id")).agg(F.sort_array(F.collect_list(player)).alias("p"))  # a squad's few players
     rows = rows.select("squad_id", *(F.col(f"p.{c}").alias(c) for c in ("id", "positions", "total", "base", "start")))
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, _AT_ONCE):
                 squad, ids, positions, *numbers = (c.to_pylist() for c in batch.slice(lo, _AT_ONCE).columns)
@@ -151,18 +151,25 @@ def formation_lineups(squads: DataFrame, formations: list[str] | None = None) ->
                         plays[s, p, [POSITIONS.index(x) for x in own if x in POSITIONS]] = True
                         keeper[s, p] = bool(own) and own[0] == "GK"
                 for name, (number, own_slots) in slots.items():
-                    group = Squads(plays, keeper, total, base, start, own_slots)
-                    can, goal, team, score, bonus = group.best()
-                    out = []
-                    for s in np.flatnonzero(can).tolist():
-                        malus = [0.0, *group.malus[s, np.arange(team.shape[1]), team[s]].tolist()]
-                        out.append((squad[s], name, number, float(score[s]), int(bonus[s]), [ids[s][goal[s]], *(ids[s][p] for p in team[s])], malus))
-                    columns = list(zip(*out, strict=True)) or [[]] * 7
+                    told = list(found(number, name, squad, ids, Squads(plays, keeper, total, base, start, own_slots)))
+                    columns = list(zip(*told, strict=True)) or [[]] * len(schema)
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     kinds = {"long": pa.int64(), "string": pa.string(), "int": pa.int32(), "double": pa.float64(), "array<long>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64())}
-    schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in _OUT.split(", ")])
-    return rows.mapInArrow(search, _OUT)
+    schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in out.split(", ")])
+    return rows.mapInArrow(run, out)
+
+
+def _climbed(number: int, name: str, squad: list, ids: list, group: Squads) -> Iterator[tuple]:
+    can, goal, team, score, bonus = group.best()
+    for s in np.flatnonzero(can).tolist():
+        malus = [0.0, *group.malus[s, np.arange(team.shape[1]), team[s]].tolist()]
+        yield squad[s], name, number, float(score[s]), int(bonus[s]), [ids[s][goal[s]], *(ids[s][p] for p in team[s])], malus
+
+
+def formation_lineups(squads: DataFrame, formations: list[str] | None = None) -> DataFrame:
+    """The climbed line-up of every squad in every formation it can fill."""
+    return search(squads, formations, _climbed, _OUT)
 
 
 def best_lineups(lineups: DataFrame) -> DataFrame:

@@ -6,11 +6,14 @@ few features reach the driver.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.functions import rules
+from touchline.sources.landing import keep
 
 
 def correlation(a: str, b: str) -> Column:
@@ -173,32 +176,30 @@ def walk_forward(df: DataFrame, month: str, sets: dict[str, list[str]], target:
     return df.mapInPandas(predict, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rest) + ", feature_set string, p array<double>")
 
 
-def running_counts(df: DataFrame, value: str, *counts: str) -> DataFrame:
-    """Distinct values with their counts, and ``before_x``: the sum of each count x over all lesser values.
+def running_counts(df: DataFrame, value: str, *counts: str, by: list[str] | None = None) -> DataFrame:
+    """Adds ``before_x`` to distinct values (within ``by``) with counts: the sum of each count x over all lesser values.
 
-    Values are dealt to ranges between approximate quantiles, as many as a shuffle
-    has partitions; sums of whole ranges are few, and the rest of a running sum
-    stays within its range.
+    Rows are dealt by ranges of value and kept there once; sums of whole ranges are
+    a few rows for each task, and the rest of a running sum stays within its range.
     """
-    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    df = df.persist()  # distinct values with counts; read for the cuts and for both sides below
-    cuts = df.agg(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 10000)).first()[0] if ranges > 1 else None
-    # any cuts give right sums; they are fixed numbers here, so that both uses below have the same
-    parts = df.withColumn("_range", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(value))) if cuts else F.lit(0))
-    edges = parts.groupBy("_range").agg(*(F.sum(c).alias(f"_sum_{c}") for c in counts))
-    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
-    edges = edges.select("_range", *(F.coalesce(F.sum(f"_sum_{c}").over(earlier), F.lit(0)).alias(f"_start_{c}") for c in counts))
-    inside = Window.partitionBy("_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    out = parts.withColumns({f"before_{c}": F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in counts}).join(F.broadcast(edges), "_range")
-    return out.withColumns({f"before_{c}": F.col(f"before_{c}") + F.col(f"_start_{c}") for c in counts}).drop("_range", *(f"_start_{c}" for c in counts))
-
-
-def auc(df: DataFrame, score: str, label: str) -> DataFrame:
-    """Area under the ROC curve by mean ranks: scores are counted first, so ranks are over distinct scores."""
-    by = df.groupBy(score).agg(F.count(F.lit(1)).alias("n"), F.sum(label).alias("p"))
-    ranked = running_counts(by, score, "n").withColumn("rank", F.col("before_n") + (F.col("n") + 1) / 2)
-    pos, neg = F.sum("p"), F.sum(F.col("n") - F.col("p"))
-    return ranked.agg(((F.sum(F.col("p") * F.col("rank")) - pos * (pos + 1) / 2) / (pos * neg)).alias("auc"))
+    by = by or []
+    dealt = keep(df.repartitionByRange(*by, value).withColumn("_range", F.spark_partition_id()))
+    edges = dealt.groupBy("_range", *by).agg(*(F.sum(c).alias(f"_sum_{c}") for c in counts))
+    earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    edges = edges.select("_range", *(F.col(c).alias(f"_by_{c}") for c in by), *(F.coalesce(F.sum(f"_sum_{c}").over(earlier), F.lit(0)).alias(f"_start_{c}") for c in counts))
+    inside = Window.partitionBy("_range", *by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    out = dealt.withColumns({f"before_{c}": F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in counts}).withColumnRenamed("_range", "_own")
+    out = out.join(edges, (F.col("_own") == F.col("_range")) & (F.lit(True) if not by else F.forall(F.array(*(F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by)), lambda x: x)))
+    return out.withColumns({f"before_{c}": F.col(f"before_{c}") + F.col(f"_start_{c}") for c in counts}).select(*df.columns, *(f"before_{c}" for c in counts))
+
+
+def auc(df: DataFrame, score: str, label: str, by: list[str] | None = None) -> DataFrame:
+    """Area under the ROC curve (for each ``by``) by mean ranks: scores are counted first, so ranks are over distinct scores.  Null where there is one class only."""
+    by = by or []
+    counted = df.groupBy(*by, score).agg(F.count(F.lit(1)).alias("_n"), F.sum(label).alias("_p"))
+    ranked = running_counts(counted, score, "_n", by=by).withColumn("_rank", F.col("before__n") + (F.col("_n") + 1) / 2)
+    pos, neg = F.sum("_p"), F.sum(F.col("_n") - F.col("_p"))
+    return ranked.groupBy(*by).agg(F.try_divide(F.sum(F.col("_p") * F.col("_rank")) - pos * (pos + 1) / 2, pos * neg).alias("auc"))
 
 
 def probability_metrics(df: DataFrame, p: Column, y: Column, clip: float = 1e-4, by: list[str] | None = None) -> DataFrame:
@@ -240,20 +241,35 @@ def paired_difference(df: DataFrame, group: str, a: str, b: str) -> DataFrame:
     return df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.avg(d).alias("mean_diff"), (1.96 * F.stddev_samp(d) / F.sqrt(F.count(F.lit(1)))).alias("half_width"))
 
 
-def clustered_bootstrap(df: DataFrame, cluster: str, diff: str, draws: int = 300, seed: int = 1, by: list[str] | None = None) -> DataFrame:
-    """(mean_diff, spread): resamples whole clusters with Poisson weights hashed from draw and cluster, so no draw is gathered."""
+def poisson_steps() -> list[float]:
+    """The chances of a Poisson number of mean 1 being at most 0, 1, 2, ... 11."""
+    return [float(x) for x in np.cumsum([np.exp(-1) / math.factorial(k) for k in range(12)])]
+
+
+def poisson_weights(cluster: str, draw: str, seed: int) -> Column:
+    """How often a draw takes a cluster: Poisson of mean 1, by md5 of cluster, four draws and seed."""
+    digits = F.substring(F.md5(F.concat_ws("-", F.col(cluster).cast("string"), F.floor(F.col(draw) / 4).cast("string"), F.lit(str(seed))).cast("binary")), 1 + 8 * (F.col(draw) % 4).cast("int"), F.lit(8))
+    u = (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 32)
+    return sum((F.when(u > s, 1).otherwise(0) for s in poisson_steps()), F.lit(0))
+
+
+def clustered_bootstraps(df: DataFrame, cluster: str, diffs: list[str], draws: int = 300, seed: int = 1, by: list[str] | None = None) -> DataFrame:
+    """([by,] mean_x, spread_x for each x of ``diffs``): means over clusters drawn anew.
+
+    All differences and groups share a draw's weights of clusters, worked out once for each
+    cluster and draw, so no draw is gathered.
+    """
     by = by or []
-    sums = df.groupBy(*by, cluster).agg(F.sum(diff).alias("d"), F.count(F.lit(1)).alias("n"))
-    u = (F.pmod(F.xxhash64(cluster, "draw", F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    steps, total, term = [], 0.0, float(np.exp(-1))
-    for k in range(12):
-        total += term
-        steps.append(total)
-        term /= k + 1
-    weight = sum((F.when(u > s, 1).otherwise(0) for s in steps), F.lit(0))
-    drawn = sums.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("w", weight)
-    means = drawn.groupBy(*by, "draw").agg(F.try_divide(F.sum(F.col("w") * F.col("d")), F.sum(F.col("w") * F.col("n"))).alias("m"))
-    return means.groupBy(*by).agg(F.avg("m").alias("mean_diff"), F.stddev_pop("m").alias("spread"))
+    sums = df.groupBy(*by, cluster).agg(*(F.sum(x).alias(f"_d_{x}") for x in diffs), F.count(F.lit(1)).alias("_n"))
+    drawn = sums.withColumn("_draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("_w", poisson_weights(cluster, "_draw", seed))
+    means = drawn.groupBy(*by, "_draw").agg(*(F.try_divide(F.sum(F.col("_w") * F.col(f"_d_{x}")), F.sum(F.col("_w") * F.col("_n"))).alias(f"_m_{x}") for x in diffs))
+    return means.groupBy(*by).agg(*(f for x in diffs for f in (F.avg(f"_m_{x}").alias(f"mean_{x}"), F.stddev_pop(f"_m_{x}").alias(f"spread_{x}"))))
+
+
+def clustered_bootstrap(df: DataFrame, cluster: str, diff: str, draws: int = 300, seed: int = 1, by: list[str] | None = None) -> DataFrame:
+    """(mean_diff, spread) of one difference."""
+    out = clustered_bootstraps(df, cluster, [diff], draws, seed, by)
+    return out.select(*(by or []), F.col(f"mean_{diff}").alias("mean_diff"), F.col(f"spread_{diff}").alias("spread"))
 
 
 def r_squared(df: DataFrame, group: str, predicted: str, actual: str) -> DataFrame:
@@ -269,12 +285,6 @@ def partial_correlation(df: DataFrame, x: str, y: str, given: str) -> DataFrame:
     return r.select(F.try_divide(F.col("xy") - F.col("xz") * F.col("yz"), F.sqrt((1 - F.col("xz") ** 2) * (1 - F.col("yz") ** 2))).alias("partial"))
 
 
-def start_models(share: Column, suggested: Column, recent: Column) -> dict[str, Column]:
-    """Candidate chances of starting; without ``recent`` matches all are the share of minutes."""
-    blend = rules.chosen_start(share, suggested * 100, F.lit("suggested"), F.lit(True))
-    return {"minutes share": share, "suggested": F.when(recent, suggested).otherwise(share), "blend": F.when(recent, blend).otherwise(share)}
-
-
 def predicted(df: DataFrame, weights: DataFrame, group: str, features: list[str], name: str) -> DataFrame:
     """Adds the prediction of weight rows (group, feature, weight), which are few."""
     wide = weights.groupBy(group).pivot("feature", [*features, "intercept"]).agg(F.first("weight"))
@@ -296,6 +306,32 @@ def incremental_value(train: DataFrame, test: DataFrame, group: str, base: dict[
     return means.join(clustered_bootstrap(rows, cluster, "_gain", draws, by=[group]).select(group, "spread"), group)
 
 
+def context_swap(train: DataFrame, test: DataFrame, group: str, features: dict[str, int], contexts: dict[str, tuple[Column, Column, Column]], swap, target: str, cluster: str, against: str, draws: int = 300) -> DataFrame:
+    """(group, context, n, mse, gain, spread): a signed ridge fitted once and scored under several contexts.
+
+    ``contexts``: chances of a win, a loss and a draw by name; ``swap`` makes of them
+    the features that depend on them (by name; all others stay).  Contexts are rows, so
+    each test row is scored under all of them in one pass; ``gain`` is how much lower the
+    squared error is than under the context ``against``, and ``spread`` its deviation over
+    clusters drawn anew, with the same draws for all groups and contexts.
+    """
+    weights = signed_ridge(train, group, features, target)
+    told = F.array(*(F.struct(F.lit(k).alias("context"), *(x.cast("double").alias(n) for x, n in zip(c, ("_win", "_loss", "_draw"), strict=True))) for k, c in contexts.items()))
+    rows = test.withColumn("_c", F.explode(told)).select(*test.columns, "_c.*")
+    rows = rows.withColumns({k: v for k, v in swap(F.col("_win"), F.col("_loss"), F.col("_draw")).items() if k in features})
+    rows = predicted(rows, weights, group, list(features), "_p").withColumn("_e", F.pow(F.col(target) - F.col("_p"), F.lit(2)))
+    errors = rows.groupBy(group, "context").agg(F.count(F.lit(1)).alias("n"), F.avg("_e").alias("mse"))
+    names = list(contexts)
+    per = lambda k: F.sum(F.when(F.col("context") == k, F.col("_e")))
+    wide = rows.groupBy(group, cluster).agg(*((per(against) - per(k)).alias(f"d{i}") for i, k in enumerate(names)), F.count_if(F.col("context") == against).alias("_n"))
+    drawn = wide.withColumn("_draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("_w", poisson_weights(cluster, "_draw", 1))
+    means = drawn.groupBy(group, "_draw").agg(*(F.try_divide(F.sum(F.col("_w") * F.col(f"d{i}")), F.sum(F.col("_w") * F.col("_n"))).alias(f"m{i}") for i in range(len(names))))
+    spread = means.groupBy(group).agg(*(F.stddev_pop(f"m{i}").alias(f"s{i}") for i in range(len(names))))
+    gain = wide.groupBy(group).agg(*((F.sum(f"d{i}") / F.sum("_n")).alias(f"g{i}") for i in range(len(names))))
+    each = gain.join(spread, group).select(group, F.explode(F.array(*(F.struct(F.lit(k).alias("context"), F.col(f"g{i}").alias("gain"), F.col(f"s{i}").alias("spread")) for i, k in enumerate(names)))).alias("x")).select(group, "x.*")
+    return errors.join(each, [group, "context"])
+
+
 def fit_features(rows: DataFrame, xg: tuple[str, str]) -> DataFrame:
     """Adds the inputs of the points model: sr, wp, owp, dp, xgb, csb_wp, csb_nowp.
 

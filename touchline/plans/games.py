@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from touchline import dims
 from touchline.functions import rules
-from touchline.operators import models, ratings, windows
+from touchline.operators import candidates, models, ratings, windows
 from touchline.plans.registry import query
 from touchline.sources import landing
 from touchline.sources import tables as t
@@ -345,9 +345,15 @@ def a24_paired_difference(spark, sf):
     return r.withColumns({c: F.round(c, 6) for c in ("mean_diff", "half_width")})
 
 
-@query()
+_WEIGHT = " + ".join(f"case when u > {x!r} then 1 else 0 end" for x in models.poisson_steps())
+
+
+@query(f"""with c as (select match_id, hs - as_ as d from v_match), w as (select c.*, draw, substr(md5(match_id || '-' || draw // 4 || '-1'), 1 + 8 * (draw % 4), 8) as x from c, (select unnest(range(1, 301)) as draw)),
+v as (select d, draw, (cast('0x' || x as bigint) + 0.5) / 4294967296.0 as u from w), m as (select draw, sum(({_WEIGHT}) * d) / sum({_WEIGHT}) as m from v group by 1)
+select round(avg(m), 6) as mean_diff, round(stddev_pop(m), 6) as spread from m""")
 def a25_clustered_bootstrap(spark, sf):
-    return models.clustered_bootstrap(t.matches(spark, sf).withColumn("d", F.col("hs") - F.col("as_")), "match_id", "d")
+    b = models.clustered_bootstrap(t.matches(spark, sf).withColumn("d", F.col("hs") - F.col("as_")), "match_id", "d")
+    return b.select(F.round("mean_diff", 6).alias("mean_diff"), F.round("spread", 6).alias("spread"))
 
 
 @query("""select round((corr(hs, as_) - corr(hs, season) * corr(as_, season)) / sqrt((1 - corr(hs, season) * corr(hs, season)) * (1 - corr(as_, season) * corr(as_, season))), 6) as partial from v_match""")
@@ -360,18 +366,35 @@ def m16_residual_line(spark, sf):
     return t.matches(spark, sf).groupBy("league").agg(F.round(F.regr_slope("as_", "hs"), 6).alias("slope"), F.round(F.regr_intercept("as_", "hs"), 6).alias("intercept"))
 
 
-@query()
+def _ridge_sql() -> str:
+    """Projected coordinate descent as a recursion on the moments of three features, of which the first two may not weigh less than nothing."""
+    names = ("share", "mean_rating", "c_apps")
+    moments = ", ".join([f"avg({x}) as a{i}, stddev_pop({x}) as s{i}, covar_pop({x}, rating) as y{i}" for i, x in enumerate(names)] + [f"covar_pop({names[i]}, {names[j]}) as k{i}{j}" for i in range(3) for j in range(i + 1, 3)])
+    scaled = ", ".join([f"n * y{i} / s{i} as m{i}" for i in range(3)] + [f"n * k{i}{j} / (s{i} * s{j}) as g{i}{j}" for i in range(3) for j in range(i + 1, 3)])
+    return f"""with recursive h as (select match_id, league, rating::double as rating, coalesce(sum(case when minutes > 0 then minutes end) over w / 90.0 / nullif(sum(case when minutes > 0 then 1 end) over w, 0), 0.5)::double as share,
+ coalesce(sum(case when minutes > 0 then rating end) over w / nullif(count(case when minutes > 0 then rating end) over w, 0), 6.0)::double as mean_rating, coalesce(sum(case when minutes > 0 then 1 end) over w, 0)::double as c_apps
+ from v_app window w as (partition by player_id, league, season order by dt, match_id rows between unbounded preceding and 1 preceding)),
+o as (select league, count(*) as n, avg(rating) as ay, {moments} from h where rating is not null group by 1),
+z as (select *, {scaled} from o),
+f(league, it, w0, w1, w2) as (select league, 0, 0.0::double, 0.0::double, 0.0::double from z union all
+ select league, it + 1, w0, w1, (m2 - g02 * w0 - g12 * w1) / (n + 1000) from (
+  select *, greatest(0, (m1 - g01 * w0 - g12 * w2) / (n + 1000)) as w1 from (
+   select z.*, f.it, f.w2, f.w1 as was, greatest(0, (m0 - g01 * f.w1 - g02 * f.w2) / (n + 1000)) as w0 from f join z using (league) where it < 500) a) b)
+select league, unnest(['share', 'mean_rating', 'c_apps', 'intercept']) as feature, round(unnest([w0 / s0, w1 / s1, w2 / s2, ay - a0 * w0 / s0 - a1 * w1 / s1 - a2 * w2 / s2]), 6) as weight from f join z using (league) where it = 500"""
+
+
+@query(_ridge_sql())
 def m03_signed_ridge(spark, sf):
-    return models.signed_ridge(_features(spark, sf).filter("rating is not null"), "league", {"share": 1, "mean_rating": 1, "c_apps": 0}, "rating")
+    w = models.signed_ridge(_features(spark, sf).filter("rating is not null"), "league", {"share": 1, "mean_rating": 1, "c_apps": 0}, "rating")
+    return w.withColumn("weight", F.round("weight", 6))
 
 
 @query()
 def m04_start_model(spark, sf):
-    rows = _features(spark, sf).select("match_id", "player_id", F.col("c_apps").cast("double").alias("c_apps"), "share", F.col("started").cast("double").alias("started"))
-    from pyspark.ml.functions import vector_to_array
-
-    out = models.logistic(rows, ["share", "c_apps"], "started").transform(rows)
-    return out.select("match_id", "player_id", vector_to_array("probability")[1].alias("p_start"))
+    """Chances of starting in later seasons, by a model of the earlier ones."""
+    rows = _features(spark, sf).join(t.appearances(spark, sf).select("match_id", "player_id", "season"), ["match_id", "player_id"])
+    model = candidates.fit(rows.filter("season < 1997"), {"start": ["share", "c_apps"]}, "started", c=10.0)["start", None]
+    return rows.filter("season >= 1997").select("match_id", "player_id", model.chance().alias("p_start"))
 
 
 @query(f"""with {_HISTORY}, {_PLACES}, d as (select match_id, team, cast(least(5, greatest(1, ceil(position * 5.0 / n_teams))) as int) as diff from placed where plays),
@@ -409,11 +432,91 @@ def m07_start_models(spark, sf):
     recent = windows.last_five(t.appearances(spark, sf)).select("match_id", "player_id", "started", "n5", "s5", "m5")
     rows = _history(spark, sf).filter("c_apps + p_apps > 0").join(recent, ["match_id", "player_id"])
     share = rules.start_chance(c("c_apps"), c("c_min"), c("p_apps"), c("p_min"), F.lit(7))
-    models_ = models.start_models(share, rules.suggested_start(c("s5"), c("m5")), c("n5") > 0)
+    rows = rows.withColumns({"a": share, "b": rules.suggested_start(c("s5"), c("m5")), "some": (c("n5") > 0).cast("double")})
+    models_ = {"minutes share": c("a"), "suggested": candidates.blend(1.0), "blend": candidates.blend(0.6)}
     rows = rows.select("started", F.explode(F.map_from_arrays(F.array(*map(F.lit, models_)), F.array(*models_.values()))).alias("model", "p"))
     return models.probability_metrics(rows, c("p"), c("started"), by=["model"]).withColumns({k: F.round(k, 6) for k in ("log_loss", "brier")})
 
 
+def _start_rows(spark, sf):
+    """Appearances with what start models read, and a position group."""
+    numbers = _numbered(spark, sf)
+    apps = t.appearances(spark, sf)
+    k = F.col("player_id")
+    grp = F.when(k % 9 == 0, "GK").when(k % 3 == 0, "DEF").when(k % 3 == 1, "MID").otherwise("FWD")
+    own = apps.join(numbers.select("match_id", "team", "team_no"), ["match_id", "team"])
+    first = F.min("team_no").over(Window.partitionBy("player_id", "league", "season", "team"))
+    own = own.select("match_id", "player_id", "season", "started", "team_no", (F.col("team_no") - first).alias("since"), grp.alias("grp"), (k % 9 == 0).alias("gk"))
+    rows = own.join(_history(spark, sf), ["match_id", "player_id"]).join(windows.squad_history(apps, numbers), ["match_id", "player_id"]).filter("c_apps + p_apps > 0")
+    absent = F.greatest(F.lit(0), F.least(F.lit(5), F.col("since")) - F.col("squad5"))
+    return candidates.start_features(rows.withColumn("absent5", absent))
+
+
+@query(f"""with {_HISTORY}, n as ({_NUMBERS}), r as (select a.*, n.team_no from v_app a join n on n.match_id = a.match_id and n.team = a.team),
+l5 as (select i.match_id, i.player_id, sum(j.started) as s5, sum(j.minutes) as m5 from r i join r j on j.player_id = i.player_id and j.league = i.league and j.season = i.season
+  and (j.dt < i.dt or (j.dt = i.dt and j.match_id < i.match_id)) and j.team_no between i.team_no - 5 and i.team_no - 1 group by 1, 2),
+y as (select *, cast(greatest(c_apps, 6) as double) as tm, case when p_min > 0 then least(1.0, p_min / (34 * 90.0)) end as sp, case when c_apps > 0 and c_min > 0 then c_min * 1.0 / c_apps end as ca, case when p_apps > 0 and p_min > 0 then p_min * 1.0 / p_apps end as pa, least(1.0, c_apps / 4.0) as wc from x),
+z as (select *, least(1.0, c_min / (tm * 90.0)) as sc, least(1.0, tm / 6.0) as w from y),
+v as (select *, case when sp is null then sc else sc * w + sp * (1 - w) end as share, coalesce(case when ca is null then pa when pa is null then ca else ca * wc + pa * (1 - wc) end, 0) as am from z),
+p as (select r.started, team_no >= 1 as recent, case when v.player_id % 9 = 0 then 'GK' when v.player_id % 3 = 0 then 'DEF' when v.player_id % 3 = 1 then 'MID' else 'FWD' end as grp, {_P_START} as a, floor((coalesce(s5, 0) / 5.0 * 0.5 + coalesce(m5, 0) / 450.0 * 0.5) * 100 / 5 + 0.5) * 5 / 100 as b
+ from v join r on r.match_id = v.match_id and r.player_id = v.player_id left join l5 on l5.match_id = v.match_id and l5.player_id = v.player_id where c_apps + p_apps > 0 and r.season >= 1997),
+m as (select started, grp, unnest(['A', 'B', 'C', 'blend 0.4', 'blend 0.5', 'blend 0.6', 'blend 0.7']) as model, unnest([a, case when recent then b else a end, case when recent then 0.6 * b + 0.4 * a else a end, case when recent then 0.4 * b + 0.6 * a else a end, case when recent then 0.5 * b + 0.5 * a else a end, case when recent then 0.6 * b + 0.4 * a else a end, case when recent then 0.7 * b + (1 - 0.7) * a else a end]) as p from p),
+g as (select * from m union all select started, null, model, p from m),
+k as (select *, least(1 - 1e-4, greatest(1e-4, p)) as q, round(p, 9) as rp from g),
+u as (select model, grp, rp, count(*) as n, sum(started) as pos from k group by 1, 2, 3),
+c as (select *, coalesce(sum(n) over (partition by model, grp order by rp rows between unbounded preceding and 1 preceding), 0) + (n + 1) / 2.0 as rk from u),
+auc as (select model, grp, (sum(pos * rk) - sum(pos) * (sum(pos) + 1) / 2.0) / (sum(pos) * sum(n - pos)) as auc from c group by 1, 2),
+e as (select model, grp, count(*) as n, round(-avg(started * ln(q) + (1 - started) * ln(1 - q)), 6) as log_loss, round(avg((p - started) * (p - started)), 6) as brier from k group by 1, 2)
+select e.model, e.grp, n, round(auc, 6) as auc, log_loss, brier from e join auc on auc.model = e.model and auc.grp is not distinct from e.grp""")
+def m07_start_candidates(spark, sf):
+    """Chances of starting that need no fit, and their blends, on later seasons: by position group and over all."""
+    rows = _start_rows(spark, sf).filter("season >= 1997")
+    told = {k: F.round(v, 9) for k, v in candidates.start_candidates().items()}  # equal chances count as equal
+    return candidates.compare(rows, told, "started", "grp").withColumns({k: F.round(k, 6) for k in ("auc", "log_loss", "brier")})
+
+
+@query()
+def m07_start_fits(spark, sf):
+    """The fitted candidates D, E, G and H, learned from earlier seasons in the same passes, beside those that need no fit."""
+    rows = landing.keep(_start_rows(spark, sf))
+    fits = candidates.fit(rows.filter("season < 1997"), candidates.START_SETS, "started")
+    return candidates.compare(rows.filter("season >= 1997"), candidates.start_candidates(fits), "started", "grp")
+
+
+def _context_rows(spark, sf):
+    """Rated appearances with the points model's inputs, odds, the own model's chances and the difficulty."""
+    c = F.col
+    m = t.matches(spark, sf)
+    place = windows.standings_before(_sides(spark, sf)).select("match_id", "team", rules.difficulty(c("position"), c("n_teams")).alias("diff"))
+    own = ratings.outcome_chances(ratings.replay(m)).select("match_id", "p_home", "p_draw", "p_away")
+    odds = lambda base, mod: F.when(c("match_id") % 4 > 0, F.lit(base) + c("match_id") % mod / 10.0)
+    known = lambda apps, base, mod: F.when(c(apps) > 0, F.lit(base) + c("player_id") % mod / 10.0)
+    apps = t.appearances(spark, sf).filter("rating is not null").select("match_id", "player_id", "team", "league", "season", "is_home", "rating")
+    rows = apps.join(_history(spark, sf), ["match_id", "player_id"]).join(place, ["match_id", "team"]).join(own, "match_id")
+    rows = rows.withColumns({"cur": known("c_apps", 6.0, 9), "pri": known("p_apps", 6.3, 7), "own": odds(1.5, 20), "opp": odds(1.7, 13), "draw": F.lit(None).cast("double"), "goal_bonus": F.lit(2.5), "cs_bonus": F.lit(0.5)})
+    home = c("is_home") == 1
+    return models.fit_features(rows, xg=("c_min", "p_min")).withColumns({"m_win": F.when(home, c("p_home")).otherwise(c("p_away")), "m_loss": F.when(home, c("p_away")).otherwise(c("p_home"))})
+
+
+CONTEXT_FEATURES = {"sr": 1, "wp": 1, "owp": -1, "xgb": 1, "csb_wp": 1, "csb_nowp": 1}
+OVERROUND = 1.0811
+
+
+@query()
+def m08_context_swap(spark, sf):
+    """A rating model fitted with odds, scored on later seasons under odds, the own model, the own model with a margin, and the table: errors, and gains over the table."""
+    c = F.col
+    rows = landing.keep(_context_rows(spark, sf))
+    level = F.least(F.lit(5), F.greatest(F.lit(1), F.coalesce("diff", F.lit(3)).cast("int")))
+    contexts = {
+        "odds": (c("wp"), c("owp"), c("dp")), "own model": (c("m_win"), c("m_loss"), c("p_draw")), "own with margin": (c("m_win") * OVERROUND, c("m_loss") * OVERROUND, c("p_draw") * OVERROUND),
+        "table": (rules.lookup(level, dims.WIN_BY_DIFFICULTY), rules.lookup(level, dims.LOSS_BY_DIFFICULTY), F.lit(dims.DEFAULT_DRAW)),
+    }
+    swap = lambda win, loss, draw: {"wp": win, "owp": loss, "dp": draw, "csb_wp": c("cs_bonus") * win, "csb_nowp": -c("cs_bonus") * loss}
+    test = rows.filter("season >= 1997 and own is not null and opp is not null")
+    return models.context_swap(rows.filter("season < 1997"), test, "league", CONTEXT_FEATURES, contexts, swap, "rating", "match_id", "table")
+
+
 @query()
 def m08_incremental_value(spark, sf):
     """What own expected goals add to the rating model of each league: gain in squared error on later seasons, with a spread."""
@@ -449,7 +552,7 @@ def m05_w19_walk_forward(spark, sf):
         (F.col("lam_h") - F.col("lam_a")).alias("lam_diff"), (F.col("lam_h") + F.col("lam_a")).alias("lam_tot"), "o_lr", "o_ld",
     )
     # every round reads the features again, so they are computed once
-    return models.walk_forward(rows.persist(), "month", OUTCOME_SETS, "y").select("match_id", "month", "feature_set", "p")
+    return models.walk_forward(landing.keep(rows), "month", OUTCOME_SETS, "y").select("match_id", "month", "feature_set", "p")
 
 
 @query("""select match_id, player_id, case when dt < timestamp '1998-01-01' then 'train' when season > 1995 then 'test' else 'none' end as part from v_app where minutes > 0""")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from touchline import dims
 from touchline.functions import rules
-from touchline.operators import joins, lineup
+from touchline.operators import joins, lineup, regret
 from touchline.plans.registry import query
 from touchline.sources import tables as t
 
@@ -32,6 +32,37 @@ def m15_formation_regret(spark, sf):
     return rows.select("squad_id", "formation", "score", (F.max("score").over(Window.partitionBy("squad_id")) - F.col("score")).alias("regret"))
 
 
+def _results(spark, sf):
+    """What squad players brought: three in ten didn't play."""
+    k = F.col("player_id")
+    return t.squads(spark, sf).select("squad_id", "player_id", (k * 11 % 10 < 7).alias("played"), (F.lit(4.0) + k * 67 % 60 / 10.0).alias("points"), (F.lit(5.5) + k * 41 % 30 / 10.0).alias("base"))
+
+
+@query()
+def m15_line_up_regret(spark, sf):
+    """What the engine's and hindsight's line-ups of each formation brought."""
+    return regret.formation_regret(_squads(spark, sf), _results(spark, sf)).drop("formation_no")
+
+
+@query()
+def a26_m15_decomposition(spark, sf):
+    """Of each squad: the engine's line-up, the best formation, the best players, both, and the mean formation."""
+    return regret.decompose(regret.formation_regret(_squads(spark, sf), _results(spark, sf)))
+
+
+@query()
+def a26_m15_regret_by_region(spark, sf):
+    """Means of the decomposition by region."""
+    rows = regret.decompose(regret.formation_regret(_squads(spark, sf), _results(spark, sf)))
+    return regret.regret_means(rows.withColumn("region", F.col("squad_id") % 5), ["region"])
+
+
+@query()
+def m15_search_bounds(spark, sf):
+    """The hill climb's score of each squad and formation, and one that no line-up exceeds."""
+    return regret.bounds(_squads(spark, sf))
+
+
 @query(f"""with m as ({_MALUS}), s as ({_SLOTS}) select squad_id, formation, slot_no, player_id, max(malus) as malus from v_squad join m using (pos) join s using (slot_pos) group by 1, 2, 3, 4""")
 def j22_a13_slot_fits(spark, sf):
     return lineup.slot_fits(_squads(spark, sf))
@@ -221,22 +252,3 @@ def z05_z06_position_sets(spark, sf):
     y = F.array_distinct(F.when(F.col("k") % 3 == 0, F.array(F.lit("DM"), F.col("pos"))).otherwise(F.array("pos")))
     same = (F.size(x) == F.size(y)) & (F.size(F.array_except(x, y)) == 0)
     return t.squads(spark, sf).select("squad_id", "player_id", same.alias("same"), F.arrays_overlap(x, y).alias("overlap"))
-
-
-@query()
-def m12_m13_simulation(spark, sf):
-    """Line-ups by score, and what they bring: hash-random results stand for the players' points."""
-    rows = _squads(spark, sf)
-    chosen = lineup.best_lineups(lineup.formation_lineups(rows)).select("squad_id", "bonus", F.posexplode("ids").alias("slot", "player_id"), "malus")
-    got = rows.select("squad_id", "player_id", (F.lit(4.0) + F.pmod(F.xxhash64("player_id", F.lit(7)), F.lit(60)) / 10.0).alias("points"))
-    own = chosen.join(got, ["squad_id", "player_id"]).withColumn("own", F.col("points") + F.element_at("malus", F.col("slot") + 1))
-    return own.groupBy("squad_id").agg((F.sum("own") + F.first("bonus")).alias("points"), F.count(F.lit(1)).alias("players"))
-
-
-@query()
-def m12_sampled_squads(spark, sf):
-    """Squads drawn to quotas by position: hash-random order within region, draw and position."""
-    pool = t.squads(spark, sf).select("region", "player_id", "pos").withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(12))))
-    quota = {p: last - first for (last, p), first in zip(t.QUOTAS, [0, *(q for q, _ in t.QUOTAS[:-1])], strict=True)}
-    w = Window.partitionBy("region", "draw", "pos").orderBy(F.xxhash64("player_id", "draw"), "player_id")
-    return pool.withColumn("no", F.row_number().over(w)).filter(F.col("no") <= rules.lookup(F.col("pos"), quota)).select("region", "draw", "pos", "no", "player_id")
