@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from touchline import dims
-from touchline.functions import rules, text
+from touchline.functions import dates, rules, text
 from touchline.operators import freshness, joins
 from touchline.plans.registry import query
 from touchline.sources import tables as t
@@ -230,14 +230,14 @@ def s32_t07_newest_50(spark, sf):
     return e.orderBy(F.desc("ts"), F.desc("event_id")).limit(50).select("event_id", "event_type", "value")
 
 
-@query("""select event_id, strftime(ts, '%Y-%m') as month, cast(make_date(cast(year(ts) - case when month(ts) < 7 then 1 else 0 end as bigint), 7, 1) as date) as season_start, round((epoch_us(timestamp '2024-01-31') - epoch_us(ts)) / 86400000000.0, 9) as age_days,
- case when epoch_us(timestamp '2024-01-31') - epoch_us(ts) < 3600000000 then 'minutes' when epoch_us(timestamp '2024-01-31') - epoch_us(ts) < 86400000000 then 'hours' else 'days' end as label from events""")
+@query("""with e as (select event_id, ts, (epoch_us(timestamp '2024-01-31') - epoch_us(ts)) // 1000000 as s from events)
+select event_id, strftime(ts, '%Y-%m') as month, cast(make_date(cast(year(ts) - case when month(ts) < 7 then 1 else 0 end as bigint), 7, 1) as date) as season_start, round((epoch_us(timestamp '2024-01-31') - epoch_us(ts)) / 86400000000.0, 9) as age_days,
+ case when s < 60 then 'just now' when s < 3600 then (s // 60) || 'm ago' when s < 86400 then (s // 3600) || 'h ago' else (s // 86400) || 'd ago' end as label from e""")
 def f22_f25_dates(spark, sf):
-    ts = F.col("ts")
-    us = F.unix_micros(F.lit(AS_OF).cast("timestamp")) - F.unix_micros(ts.cast("timestamp"))
-    start = F.make_date(F.year(ts) - F.when(F.month(ts) < 7, 1).otherwise(0), F.lit(7), F.lit(1))
-    label = F.when(us < 3600000000, "minutes").when(us < 86400000000, "hours").otherwise("days")
-    return t.read(spark, sf, "events", "event_id", "ts").select("event_id", F.date_format(ts, "yyyy-MM").alias("month"), start.alias("season_start"), F.round(us / 86400000000.0, 9).alias("age_days"), label.alias("label"))
+    ts, now = F.col("ts"), F.lit(AS_OF).cast("timestamp")
+    return t.read(spark, sf, "events", "event_id", "ts").select(
+        "event_id", dates.month_key(ts).alias("month"), dates.season_start(ts).alias("season_start"), F.round(dates.age_days(ts, now), 9).alias("age_days"), rules.age_label(dates.age_seconds(ts, now)).alias("label")
+    )
 
 
 @query("""with s as (select cast(event_id as varchar) || case when event_id % 3 = 0 then 'x' when event_id % 5 = 0 then '' else '' end as raw, event_id from events) select event_id, case when regexp_full_match(raw, '\\d+') and try_cast(raw as bigint) > 0 then try_cast(raw as bigint) end as n from s""")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from touchline import dims
-from touchline.functions import rules, text
+from touchline.functions import dates, rules, text
 from touchline.operators import freshness, joins, windows
 from touchline.plans.registry import query
 from touchline.sources import feeds
@@ -261,12 +261,12 @@ from (select *, epoch_us(timestamp '2024-01-31') // 1000000 - epoch_us(ts) // 10
 def f20_f21_f24_f26_f27_dates(spark, sf):
     ts, k = F.col("ts"), F.col("event_id") % 4
     raw = F.when(k == 0, "none").when(k == 1, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(k == 2, F.date_format(ts, "yyyy-MM-dd"))
-    rows = t.read(spark, sf, "events", "event_id", "ts").select("event_id", "ts", F.try_to_timestamp(raw).alias("at"))
-    day = F.to_date("at")
-    seconds = F.unix_seconds(F.lit("2024-01-31 00:00:00").cast("timestamp")) - F.unix_seconds(ts.cast("timestamp"))
+    rows = t.read(spark, sf, "events", "event_id", "ts").select("event_id", "ts", dates.parsed(raw).alias("at"))
+    at, day = F.col("at"), F.lit("2024-01-15").cast("date")
+    age = F.unix_seconds(F.lit("2024-01-31 00:00:00").cast("timestamp")) - F.unix_seconds(ts.cast("timestamp"))  # between whole seconds
     return rows.select(
-        "event_id", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("parsed"), (day > F.lit("2024-01-15").cast("date")).alias("later_day"), (day == F.lit("2024-01-15").cast("date")).alias("same_day"),
-        F.date_format(ts, "dd.MM.").alias("short_date"), rules.age_label(seconds).alias("label"),
+        "event_id", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("parsed"), dates.is_later_day(at, day).alias("later_day"), dates.is_same_day(at, day).alias("same_day"),
+        dates.short_date(ts).alias("short_date"), rules.age_label(age).alias("label"),
     )
 
 
