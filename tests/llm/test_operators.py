@@ -380,6 +380,11 @@ def test_near_copies_of_null_and_repeated_ids_go_by_their_texts(spark):
     assert len(two) == 1
 
 
+def test_ids_that_do_not_fit_are_refused():
+    with pytest.raises(ValueError, match="fit"):
+        token_index.Encoder(token_index.tokenizer_file(), 1)
+
+
 # --- quality
 
 

@@ -15,7 +15,8 @@ pilot, so a lookup reads one pilot and one entry, whatever the corpus size; the
 rows that repeat a doc_id are numbered 0, 1, ... in text order.
 
 Semantics for odd input: a null or empty text is one end id; a null doc_id is a
-key of its own and sorts first; an empty table gives no files.
+key of its own and sorts first; an empty table gives no files; a vocabulary whose
+ids don't fit in ``id_bytes`` is refused.
 """
 
 from __future__ import annotations
@@ -183,6 +184,8 @@ class Encoder:
         pre, normal = pre.get("pre_tokenizer") or {}, pre.get("normalizer")
         self.by_word = normal is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
         vocabulary = self.tokenizer.get_vocab()
+        if max(vocabulary.values()) >= 1 << (8 * id_bytes):
+            raise ValueError(f"ids up to {max(vocabulary.values())} don't fit in {id_bytes} bytes: give id_bytes")
         self.lengths = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
         for token, i in vocabulary.items():
             self.lengths[i] = len(token)  # one character stands for one byte
