@@ -127,3 +127,16 @@ def test_expected_goals_stand_for_goals(spark):
     a, b = (sorted((r.match_id, r.lam_h) for r in ratings.replay(x).collect()) for x in (df, xg))
     assert a != b
     close(sorted((r.match_id, r.lam_h) for r in ratings.goals_before(xg).collect()), b)
+
+
+def test_refresh_begins_with_the_last_season_and_takes_each_match_once(spark):
+    rows = [(*r, 2.0 if r[0] % 3 else None, 0.5) for r in games(240)]
+    schema = M + ", hx double, ax double"
+    season = lambda y, upto=10**6: spark.createDataFrame([r for r in rows if r[3] == y and r[0] < upto] + [(10**7, None, 0, y, 1, 2, None, None, None, None)], schema)
+    state, processed = ratings.refresh(season(2021, 150).union(season(2021, 150)), season(2020))
+    state, processed = ratings.refresh(season(2021), season(2020), state, processed)
+    assert processed.count() == len([r for r in rows if r[3] in (2020, 2021)]) == processed.distinct().count()
+    want = ratings.state_after(spark.createDataFrame([(*r[:8], *((None, None) if r[3] == 2020 else r[8:])) for r in rows if r[3] in (2020, 2021)], schema))
+    close(states(state), states(want))
+    again, _ = ratings.refresh(season(2021), season(2020), state, processed)
+    close(states(again), states(want))
