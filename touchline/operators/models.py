@@ -110,15 +110,15 @@ def walk_forward(df: DataFrame, month: str, sets: dict[str, list[str]], target:
         return x, np.searchsorted(labels, batch[month].to_numpy()), batch[target].to_numpy(int)
 
     pairs = [(k, m) for k in range(3) for m in range(k, 3)]
-    columns = [f"g{i}" for i in range(3 * width)] + [f"h{i}" for i in range(len(pairs) * width * width)]
-    schema = "feature_set int, fold int, " + ", ".join(f"{x} double" for x in columns)
+    numbers = 3 * width + len(pairs) * width * width
+    schema = "feature_set int, fold int, values array<double>"
     rows = df.select(month, target, *names)
 
     def slopes(weights: np.ndarray):
         def run(batches):
             import pandas as pd
 
-            total = np.zeros((len(sets), len(folds), len(columns)))
+            total = np.zeros((len(sets), len(folds), numbers))
             for batch in batches:
                 for lo in range(0, len(batch), 4000):
                     x, at, y = inputs(batch.iloc[lo : lo + 4000])
@@ -131,18 +131,28 @@ def walk_forward(df: DataFrame, month: str, sets: dict[str, list[str]], target:
                         curve = np.stack([p[:, :, k] * ((k == m) - p[:, :, m]) for k, m in pairs], axis=2)
                         total[s, :, 3 * width :] += (curve.reshape(len(x), -1).T @ x2).reshape(len(folds), -1)
             where = np.indices(total.shape[:2]).reshape(2, -1)
-            yield pd.concat([pd.DataFrame({"feature_set": where[0], "fold": where[1]}), pd.DataFrame(total.reshape(-1, len(columns)), columns=columns)], axis=1)
+            yield pd.DataFrame({"feature_set": where[0], "fold": where[1], "values": list(total.reshape(-1, numbers))})
 
         return run
 
+    def added(batches):
+        """The sum of the arrays of each fold and set, a row for each task that had rows."""
+        import pandas as pd
+
+        total: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            for s, f, values in zip(batch["feature_set"].tolist(), batch["fold"].tolist(), batch["values"], strict=True):
+                total[s, f] = total.get((s, f), 0) + np.asarray(values)
+        yield pd.DataFrame({"feature_set": [s for s, _ in total], "fold": [f for _, f in total], "values": list(total.values())})
+
     for _ in range(rounds if len(folds) else 0):
-        sums = rows.mapInPandas(slopes(weights), schema).groupBy("feature_set", "fold").agg(*(F.sum(x).alias(x) for x in columns)).collect()
+        sums = rows.mapInPandas(slopes(weights), schema).repartition("feature_set", "fold").mapInPandas(added, schema).collect()
         most = 0.0
         for r in sums:
             s, f = r["feature_set"], r["fold"]
             own = np.flatnonzero(used[s])
             t = to_z[f][np.ix_(own, range(width))]
-            flat = np.array(r[2:])
+            flat = np.array(r["values"])
             slope = flat[: 3 * width].reshape(3, width) @ t.T
             curve = np.zeros((3, len(own), 3, len(own)))
             for (k, m), h in zip(pairs, flat[3 * width :].reshape(-1, width, width), strict=True):
