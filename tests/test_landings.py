@@ -154,8 +154,12 @@ def test_filters_reach_the_source(spark, landed):
     assert rows.filter("collection = 'nothing'").collect() == []
 
 
-def test_feeds_are_read_by_name(spark, landed):
+def test_feeds_are_read_by_name(spark, landed, tmp_path):
     assert sorted(tuple(r) for r in datasource.feed(spark, landed, "seasons").collect()) == [(47, "b", "a"), (55, "x", None)]
+    stats = {"TopLists": [{"StatName": "saves", "StatList": [{"ParticiantId": 7, "StatValue": 1.5, "SubStatValue": 30.0}]}]}
+    (tmp_path / "landed" / "stat_list").mkdir()
+    (tmp_path / "landed" / "stat_list" / "x.jsonl").write_text("".join(json.dumps({"key": "saves/true", "cached_at": at, "doc": doc}) + "\n" for at, doc in ((2, stats), (1, {}), (None, {}))))
+    assert [tuple(r) for r in datasource.feed(spark, landed, "stat_list").collect()] == [("saves", 7, 30.0)]  # the newest document, its key in parts
     with pytest.raises(ValueError, match="no feed"):
         datasource.feed(spark, landed, "weather")
     with pytest.raises(Exception, match="path"):

@@ -131,13 +131,16 @@ class LandedSource(DataSource):
         return LandedReader(self.options)
 
 
-#: Feeds by name: the id column that a parser carries, its type, and the parser.
+_LEAGUE, _MATCH, _TEAM, _PLAYER = ("league", "bigint"), ("match_id", "bigint"), ("team", "bigint"), ("player_id", "bigint")
+#: Feeds by name: the columns that a parser carries (a key's parts, between slashes), and the parser.
 FEEDS = {
-    "league_matches": ("league", "bigint", feeds.league_matches), "current_round": ("league", "bigint", feeds.current_round), "table_rows": ("league", "bigint", feeds.table_rows),
-    "seasons": ("league", "bigint", feeds.seasons), "rating_list": ("league", "bigint", feeds.rating_list), "card_events": ("match_id", "bigint", feeds.card_events),
-    "match_odds": ("match_id", "bigint", feeds.match_odds), "full_odds": ("match_id", "bigint", feeds.full_odds), "match_xg": ("match_id", "bigint", feeds.match_xg),
-    "team_players": ("team", "bigint", feeds.team_players), "recent_matches": ("player_id", "bigint", feeds.recent_matches),
-    "match_players": ("match_id", "bigint", feeds.match_players), "match_goals": ("match_id", "bigint", feeds.match_goals),
+    "league_matches": ((_LEAGUE,), feeds.league_matches), "current_round": ((_LEAGUE,), feeds.current_round), "table_rows": ((_LEAGUE,), feeds.table_rows), "seasons": ((_LEAGUE,), feeds.seasons),
+    "season_ids": ((_LEAGUE,), feeds.season_ids), "league_teams": ((_LEAGUE,), feeds.league_teams), "rating_list": ((_LEAGUE,), feeds.rating_list),
+    "stat_list": ((("list_name", "string"), ("use_sub", "boolean")), feeds.stat_list), "tournament_players": ((("tournament", "bigint"), ("page", "int")), feeds.tournament_players),
+    "card_events": ((_MATCH,), feeds.card_events), "match_odds": ((_MATCH,), feeds.match_odds), "full_odds": ((_MATCH,), feeds.full_odds), "match_xg": ((_MATCH,), feeds.match_xg),
+    "match_players": ((_MATCH,), feeds.match_players), "match_goals": ((_MATCH,), feeds.match_goals), "team_players": ((_TEAM,), feeds.team_players),
+    "recent_matches": ((_PLAYER,), feeds.recent_matches), "current_team": ((_PLAYER,), feeds.current_team), "primary_position": ((_PLAYER,), feeds.primary_position), "rich_stats": ((_PLAYER,), feeds.rich_stats),
+    "search_players": ((("term", "string"),), feeds.search_players),
 }
 
 
@@ -152,7 +155,8 @@ def feed(spark: SparkSession, path: str, name: str, collection: str | None = Non
     """The rows of a feed, parsed from the newest landed document of each key."""
     if name not in FEEDS:
         raise ValueError(f"no feed {name!r}; there are {', '.join(sorted(FEEDS))}")
-    column, kind, parse = FEEDS[name]
+    columns, parse = FEEDS[name]
     rows = landed(spark, path).filter(F.col("collection") == (collection or name)).filter("key is not null")
     newest = rows.groupBy("key").agg(F.max_by("doc", F.struct(F.coalesce("cached_at", F.lit(0)), "file")).alias("doc"))
-    return parse(newest.select(F.col("key").cast(kind).alias(column), "doc"))
+    parts = F.split("key", "/", len(columns))
+    return parse(newest.select(*(F.get(parts, F.lit(i)).try_cast(kind).alias(c) for i, (c, kind) in enumerate(columns)), "doc"))
