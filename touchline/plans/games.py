@@ -369,7 +369,7 @@ def m16_residual_line(spark, sf):
 def _ridge_sql() -> str:
     """Projected coordinate descent as a recursion on the moments of three features, of which the first two may not weigh less than nothing."""
     names = ("share", "mean_rating", "c_apps")
-    moments = ", ".join([f"avg({x}) as a{i}, stddev_pop({x}) as s{i}, covar_pop({x}, rating) as y{i}" for i, x in enumerate(names)] + [f"covar_pop({names[i]}, {names[j]}) as k{i}{j}" for i in range(3) for j in range(i + 1, 3)])
+    moments = ", ".join([f"avg({x}) as a{i}, case when stddev_pop({x}) > 0 then stddev_pop({x}) else 1 end as s{i}, covar_pop({x}, rating) as y{i}" for i, x in enumerate(names)] + [f"covar_pop({names[i]}, {names[j]}) as k{i}{j}" for i in range(3) for j in range(i + 1, 3)])
     scaled = ", ".join([f"n * y{i} / s{i} as m{i}" for i in range(3)] + [f"n * k{i}{j} / (s{i} * s{j}) as g{i}{j}" for i in range(3) for j in range(i + 1, 3)])
     return f"""with recursive h as (select match_id, league, rating::double as rating, coalesce(sum(case when minutes > 0 then minutes end) over w / 90.0 / nullif(sum(case when minutes > 0 then 1 end) over w, 0), 0.5)::double as share,
  coalesce(sum(case when minutes > 0 then rating end) over w / nullif(count(case when minutes > 0 then rating end) over w, 0), 6.0)::double as mean_rating, coalesce(sum(case when minutes > 0 then 1 end) over w, 0)::double as c_apps
