@@ -71,3 +71,9 @@ def test_shuffles_do_not_grow_with_players_alike(spark, tmp_path, name):
 def test_lines_stand_for_all_players(spark, many):
     lines, apps = t.lines(spark, many), t.appearances(spark, many)
     assert lines.agg({"players": "sum"}).first()[0] == apps.count() > 2 * lines.count()
+
+
+def test_players_are_made_in_many_tasks(spark):
+    """Sides are few bytes, so the tasks of a join are merged; those that make players of them aren't."""
+    apps = t.appearances(spark, "/root/testdata/sf0.1")
+    assert apps.rdd.getNumPartitions() > int(spark.conf.get("spark.sql.shuffle.partitions"))
