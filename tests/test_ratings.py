@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,6 +91,24 @@ def test_a_stream_goes_on_from_a_batch(spark, tmp_path):
     close(got, states(ratings.state_after(spark.createDataFrame(rows, M))))
 
 
+def test_the_state_is_asked_for_neighbouring_ids_at_once():
+    class Asked(dict):
+        calls = 0
+
+        def containsKey(self, key):  # noqa: N802
+            Asked.calls += 1
+            return key in self
+
+        getValue, updateValue = dict.__getitem__, dict.__setitem__  # noqa: N815
+
+    league = streamed.LeagueRatings(False)
+    league.taken = Asked()
+    fresh = lambda *ids: league._fresh(np.array(ids)).tolist()
+    assert fresh(*range(0, 8000, 2)) == [True] * 4000 and Asked.calls == 2
+    assert fresh(7, 8, 4095, 4096, -1, 1 << 40, 9000) == [True, False, True, False, True, True, True]
+    assert fresh(-1, -4097, 1 << 40, (1 << 40) + 4096, 7) == [False, True, False, True, False]
+
+
 def test_unknown_reading_is_refused(spark):
     with pytest.raises(ValueError, match="rewound"):
         streamed.rated(None, "never")

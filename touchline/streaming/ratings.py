@@ -25,6 +25,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +38,8 @@ PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 _NAMES = [c.split()[0] for c in ratings.STATE.split(", ")]
 _TEAM = "elo double, att double, dfn double, n int, season int"
 _UNDATED = ""
+#: Ids that are equal but for this many low bits are kept under one key.
+_NEAR = 12
 
 
 class LeagueRatings(StatefulProcessor):
@@ -48,7 +51,8 @@ class LeagueRatings(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.teams = handle.getMapState("teams", "team long", _TEAM)
         self.mean = handle.getValueState("mean", "mu double, mu_n int")
-        self.taken = handle.getMapState("taken", "match_id long", "month string")
+        # Ids by neighbours, two bytes each: a call for each id would cost more than its match's step.
+        self.taken = handle.getMapState("taken", "near long", "ids binary")
         # A month's matches and the table before them, as JSON, which keeps doubles as they are.
         self.months = handle.getMapState("months", "month string", "matches string, before string") if self.rewind else None
 
@@ -75,11 +79,9 @@ class LeagueRatings(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(["dt", "match_id"], na_position="first").drop_duplicates("match_id")
         new: dict[str, list[list]] = {}
-        for match, dt, *step in batch[["match_id", "dt", *ratings.STEP]].itertuples(index=False):
-            if not self.taken.containsKey((match,)):
-                month = _UNDATED if pd.isna(dt) else f"{dt:%Y-%m}"
-                self.taken.updateValue((match,), (month,))
-                new.setdefault(month, []).append([_UNDATED if pd.isna(dt) else dt.isoformat(), match, *step])
+        for match, dt, *step in batch.loc[self._fresh(batch["match_id"].to_numpy(np.int64)), ["match_id", "dt", *ratings.STEP]].itertuples(index=False):
+            month = _UNDATED if pd.isna(dt) else f"{dt:%Y-%m}"
+            new.setdefault(month, []).append([_UNDATED if pd.isna(dt) else dt.isoformat(), match, *step])
         if not new:
             return
         table = self._table()
@@ -92,6 +94,18 @@ class LeagueRatings(StatefulProcessor):
         out = pd.DataFrame(table.rows(key[0]), columns=_NAMES)
         yield out.astype({"att": float, "dfn": float})
 
+    def _fresh(self, ids: np.ndarray) -> np.ndarray:
+        """Which of distinct ids weren't taken in before; now they are."""
+        near, own = ids >> _NEAR, (ids & ((1 << _NEAR) - 1)).astype("<u2")
+        fresh, order = np.zeros(len(ids), bool), np.argsort(near, kind="stable")
+        for at in np.split(order, np.flatnonzero(np.diff(near[order])) + 1):
+            key = (int(near[at[0]]),)
+            had = np.frombuffer(self.taken.getValue(key)[0], "<u2") if self.taken.containsKey(key) else own[:0]
+            fresh[at] = ~np.isin(own[at], had)
+            if fresh[at].any():
+                self.taken.updateValue(key, (np.concatenate([had, own[at][fresh[at]]]).tobytes(),))
+        return fresh
+
     def _rewound(self, table: ratings.Table, new: dict[str, list[list]]) -> ratings.Table:
         """The table after going back to the first new month and taking all from there on again."""
         first = min(new)
