@@ -278,6 +278,26 @@ def test_walk_forward_equals_a_fit_for_each_month(spark):
     assert models.walk_forward(df.limit(50), "month", {"one": ["x"]}, "won").count() == 0
 
 
+def test_slopes_of_folds_equal_plain_sums():
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    x, at, y = np.hstack([r.normal(size=(50, 2)), np.ones((50, 1))]), r.integers(2, 6, 50), r.integers(0, 3, 50)
+    folds, w = np.array([1, 3, 4, 7]), r.normal(size=(4, 3, 3))
+    got = models.fold_slopes(x, at, y, folds, w)
+    assert got.shape == (4, 9 + 3 * 6)  # as many numbers as a set's own features ask for
+    upper = np.triu_indices(3)
+    for f, fold in enumerate(folds):
+        slope, products = np.zeros((3, 3)), np.zeros((3, 6))
+        for i in np.flatnonzero(at < fold):
+            e = np.exp(w[f] @ x[i])
+            p = e / e.sum()
+            slope += np.outer(p - (np.arange(3) == y[i]), x[i])
+            products += np.outer([p[0] * p[1], p[0] * p[2], p[1] * p[2]], np.outer(x[i], x[i])[upper])
+        assert got[f] == pytest.approx(np.concatenate([slope.ravel(), products.ravel()]))
+    assert not models.fold_slopes(x, at + 9, y, folds, w).any()
+
+
 def test_running_counts_and_quantiles_over_ranges(spark):
     import numpy as np
 

@@ -92,6 +92,35 @@ def logistic(df: DataFrame, features: list[str], target: str, c: float = 10.0, m
     return Pipeline(stages=steps).fit(df)
 
 
+_PAIRS = ((0, 1), (0, 2), (1, 2))
+
+
+def fold_slopes(x: np.ndarray, at: np.ndarray, y: np.ndarray, folds: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """For each fold the slopes of the three classes, and for each two classes the rows' products, of which an upper half is enough, weighed by both chances.
+
+    ``x``: rows x features; ``at``, ``y``: their months and classes; ``folds``: months in order, of which a row
+    trains those after its own; ``w``: folds x classes x features.  Rows that are close in time pass over most other folds.
+    """
+    left, right = np.triu_indices(x.shape[1])
+    out = np.zeros((len(folds), 3 * x.shape[1] + 3 * len(left)))
+    first = np.searchsorted(folds, at.min(), side="right")
+    if first == len(folds):
+        return out
+    p = x @ w[first:].transpose(1, 2, 0)  # classes x rows x folds
+    p -= p.max(axis=0)
+    np.exp(p, out=p)
+    p /= p.sum(axis=0)
+    trains = at[:, None] < folds[first:]
+    if not trains.all():
+        p *= trains
+    x2 = x[:, left] * x[:, right]
+    products = [(p[k] * p[m]).T @ x2 for k, m in _PAIRS]
+    own = trains.astype(float).T
+    slopes = [p[k].T @ x - own[:, y == k] @ x[y == k] for k in range(3)]
+    out[first:] = np.hstack(slopes + products)
+    return out
+
+
 def walk_forward(df: DataFrame, month: str, sets: dict[str, list[str]], target: str, least: int = 300, c: float = 1.0, rounds: int = 12) -> DataFrame:
     """Adds feature_set and p (chances of classes 0, 1, 2) to each row: by a model of all months before its own.
 
@@ -132,29 +161,23 @@ def walk_forward(df: DataFrame, month: str, sets: dict[str, list[str]], target:
         x = np.stack([*(batch[f].to_numpy(float) for f in names), np.ones(len(batch))], axis=1)
         return x, np.searchsorted(labels, batch[month].to_numpy()), batch[target].to_numpy(int)
 
-    pairs = [(k, m) for k in range(3) for m in range(k, 3)]
-    numbers = 3 * width + len(pairs) * width * width
     schema = "feature_set int, fold int, values array<double>"
     rows = df.select(month, target, *names)
+    owns = [np.flatnonzero(u) for u in used]
 
-    def slopes(weights: np.ndarray):
+    def slopes(weights: np.ndarray, live: list[int]):
         def run(batches):
             import pandas as pd
 
-            total = np.zeros((len(sets), len(folds), numbers))
+            own_w = {s: weights[s][:, :, owns[s]] @ to_z[:, owns[s][:, None], owns[s]] for s in live}
+            total = {s: 0 for s in live}
             for batch in batches:
-                for lo in range(0, len(batch), 4000):
-                    x, at, y = inputs(batch.iloc[lo : lo + 4000])
-                    x2 = np.einsum("ri,rj->rij", x, x).reshape(len(x), -1)
-                    trains = (at[:, None] < folds)[:, :, None]
-                    for s in range(len(sets)):
-                        p = chances(x, weights[s]) * trains
-                        miss = p - (np.arange(3) == y[:, None])[:, None] * trains
-                        total[s, :, : 3 * width] += (miss.reshape(len(x), -1).T @ x).reshape(len(folds), -1)
-                        curve = np.stack([p[:, :, k] * ((k == m) - p[:, :, m]) for k, m in pairs], axis=2)
-                        total[s, :, 3 * width :] += (curve.reshape(len(x), -1).T @ x2).reshape(len(folds), -1)
-            where = np.indices(total.shape[:2]).reshape(2, -1)
-            yield pd.DataFrame({"feature_set": where[0], "fold": where[1], "values": list(total.reshape(-1, numbers))})
+                for lo in range(0, len(batch), 2000):
+                    x, at, y = inputs(batch.iloc[lo : lo + 2000])
+                    for s in live:
+                        total[s] = total[s] + fold_slopes(x[:, owns[s]], at, y, folds, own_w[s])
+            told = [(s, f, values) for s in live if np.ndim(total[s]) for f, values in enumerate(total[s])]
+            yield pd.DataFrame({"feature_set": [s for s, _, _ in told], "fold": [f for _, f, _ in told], "values": [v for *_, v in told]})
 
         return run
 
@@ -168,26 +191,34 @@ def walk_forward(df: DataFrame, month: str, sets: dict[str, list[str]], target:
                 total[s, f] = total.get((s, f), 0) + np.asarray(values)
         yield pd.DataFrame({"feature_set": [s for s, _ in total], "fold": [f for _, f in total], "values": list(total.values())})
 
+    live = list(range(len(sets)))
     for _ in range(rounds if len(folds) else 0):
-        sums = rows.mapInPandas(slopes(weights), schema).repartition("feature_set", "fold").mapInPandas(added, schema).collect()
-        most = 0.0
+        sums = rows.mapInPandas(slopes(weights, live), schema).repartition("feature_set", "fold").mapInPandas(added, schema).collect()
+        most = np.zeros(len(sets))
         for r in sums:
             s, f = r["feature_set"], r["fold"]
-            own = np.flatnonzero(used[s])
-            t = to_z[f][np.ix_(own, range(width))]
+            own = owns[s]
+            t = to_z[f][np.ix_(own, own)]
             flat = np.array(r["values"])
-            slope = flat[: 3 * width].reshape(3, width) @ t.T
+            slope = flat[: 3 * len(own)].reshape(3, -1) @ t.T
             curve = np.zeros((3, len(own), 3, len(own)))
-            for (k, m), h in zip(pairs, flat[3 * width :].reshape(-1, width, width), strict=True):
-                curve[k, :, m] = curve[m, :, k] = t @ h @ t.T
+            upper = np.triu_indices(len(own))
+            for (k, m), values in zip(_PAIRS, flat[3 * len(own) :].reshape(len(_PAIRS), -1), strict=True):
+                h = np.zeros((len(own), len(own)))
+                h[upper] = h.T[upper] = values
+                h = t @ h @ t.T
+                curve[k, :, m] = curve[m, :, k] = -h
+                curve[k, :, k] += h  # chances add up to one
+                curve[m, :, m] += h
             free = np.append(np.ones(len(own) - 1), 0) / c  # the intercept isn't penalised
             w = weights[s, f][:, own]
             slope = (slope + free * w).ravel()
             curve = curve.reshape(3 * len(own), -1) + np.diag(np.tile(free + 1e-9, 3))
             step = np.linalg.solve(curve, slope).reshape(3, -1)
             weights[s, f][:, own] = w - step
-            most = max(most, float(np.abs(step).max()))
-        if most < 1e-8:
+            most[s] = max(most[s], float(np.abs(step).max()))
+        live = [s for s in live if most[s] >= 1e-8]
+        if not live:
             break
 
     def predict(batches):
