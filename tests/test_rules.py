@@ -82,6 +82,27 @@ def test_names(spark):
     assert value(spark, text.similarity(F.lit(""), F.lit("a"))) == 0.0
 
 
+def test_normal_names_of_all_characters_without_python(spark):
+    import re
+    import sys
+    import unicodedata
+
+    every = [chr(i) for i in range(1, sys.maxunicode + 1) if not 0xD800 <= i < 0xE000]
+    rows = [(i, "x" + "y".join(every[i : i + 500]) + "z\u0301\u0323Q") for i in range(0, len(every), 500)]
+    df = spark.createDataFrame([*rows, (-1, None)], "i int, s string").select("i", text.normal_name(F.col("s")).alias("n"))
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+
+    def plain(s):
+        s = re.sub("[\u0300-\u036f]", "", unicodedata.normalize("NFD", s))
+        # lower case of ASCII only: no other character has one that is a letter or digit of ASCII but the dotted I, which is gone
+        return re.sub(r"\s+", " ", re.sub(r"[^a-z0-9\s]", " ", "".join(c.lower() if c.isascii() else c for c in s), flags=re.ASCII), flags=re.ASCII).strip(" ")
+
+    got = {r.i: r.n for r in df.collect()}
+    assert got.pop(-1) is None
+    for i, s in rows:
+        assert got[i] == plain(s), i
+
+
 def test_guessed_positions(spark):
     got = lambda label, group: value(spark, text.guess_positions(F.lit(label), F.lit(group)))
     assert got("Right Wing-Back", "DEF") == ["RB", "WB"] and got("LB", "DEF") == ["LB"] and got("Centre", "DEF") == ["CB"]

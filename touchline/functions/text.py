@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-@F.pandas_udf(T.StringType())
-def _decomposed(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFD", x))
+#: Letters and digits with marks, and what is left of them without; all other characters come to the same with and without canonical decomposition.
+_MARKED = {c: d[0] for c in map(chr, range(0x80, 0x10000)) for d in (unicodedata.normalize("NFD", c),) if d[0].isascii() and d[0].isalnum() and all("\u0300" <= x <= "\u036f" for x in d[1:])}
 
 
 @F.pandas_udf(T.StringType())
@@ -28,7 +27,7 @@ def _plain(decomposed: Column, dash: bool) -> Column:
 
 def normal_name(name: Column) -> Column:
     """Without combining marks, lower case, other characters to single spaces."""
-    return _plain(_decomposed(name), False)
+    return _plain(F.translate(name, "".join(_MARKED), "".join(_MARKED.values())), False)
 
 
 def normal_name_compatible(name: Column) -> Column:
