@@ -209,3 +209,18 @@ def test_regret_equals_a_plain_version(spark):
         assert x.best_formation >= x.engine
     mean = regret.regret_means(spark.createDataFrame(list(parts.values()))).first()
     assert mean.n == 5 and mean.engine == pytest.approx(np.mean([x.engine for x in parts.values()]))
+
+
+def test_slots_are_found_within_players(spark):
+    rows = [(1, 7, ["CB", "RB"]), (1, 8, ["ST", None]), (1, 9, []), (1, 9, ["XX"]), (2, 7, None), (1, 7, ["CM"])]
+    out = lineup.slot_fits(spark.createDataFrame(rows, "squad_id long, player_id long, positions array<string>"))
+    want = {}
+    for squad, player, own in rows:
+        for f, slots in dims.SLOTS.items():
+            for i, slot in enumerate(slots):
+                for m in (dims.MALUS[s][p] for s in slot for p in own or [] if p in dims.MALUS[s]):
+                    want[squad, f, i, player] = max(m, want.get((squad, f, i, player), m))
+    got = out.collect()
+    assert {tuple(x)[:4]: x.malus for x in got} == want and len(got) == len(want)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate inline") < plan.index("Aggregate [squad_id")  # the slots of a player are made after the last grouping

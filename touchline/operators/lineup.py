@@ -183,7 +183,12 @@ def slot_fits(squads: DataFrame) -> DataFrame:
     spark = squads.sparkSession
     slots = spark.createDataFrame([(f, i, p) for f, ss in dims.SLOTS.items() for i, s in enumerate(ss) for p in s], "formation string, slot_no int, slot_pos string")
     malus = spark.createDataFrame([(s, p, m) for s, row in dims.MALUS.items() for p, m in row.items()], "slot_pos string, pos string, malus double")
-    rows = squads.select("squad_id", "player_id", F.explode("positions").alias("pos"))
-    # both dimensions are fixed tables of a few hundred rows
-    fits = F.broadcast(slots.join(malus, "slot_pos"))
-    return rows.join(fits, "pos").groupBy("squad_id", "formation", "slot_no", "player_id").agg(F.max("malus").alias("malus"))
+    # both dimensions are fixed tables of a few hundred rows, and so are the best of each position
+    fits = slots.join(malus, "slot_pos").groupBy("pos", "formation", "slot_no").agg(F.max("malus").alias("malus"))
+    fits = fits.groupBy("formation", "slot_no").agg(F.map_from_entries(F.collect_list(F.struct("pos", "malus"))).alias("by_pos"))
+    fits = F.broadcast(fits.agg(F.collect_list(F.struct("formation", "slot_no", "by_pos")).alias("slots")))
+    # players are grouped, not their slots, which are many times as many
+    rows = squads.groupBy("squad_id", "player_id").agg(F.array_distinct(F.flatten(F.collect_list("positions"))).alias("positions"))
+    rows = rows.crossJoin(fits).select("squad_id", "player_id", "positions", F.inline("slots"))
+    best = F.array_max(F.transform("positions", lambda p: F.try_element_at("by_pos", p)))
+    return rows.select("squad_id", "formation", "slot_no", "player_id", best.alias("malus")).filter("malus is not null")
