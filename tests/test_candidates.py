@@ -211,6 +211,35 @@ def test_regret_equals_a_plain_version(spark):
     assert mean.n == 5 and mean.engine == pytest.approx(np.mean([x.engine for x in parts.values()]))
 
 
+def test_bounds_look_only_where_they_can_fall(monkeypatch):
+    r = np.random.default_rng(8)
+    table, squads, players = list(dims.SLOTS.values()), 40, 26
+    asked, assign = [], regret.assign
+    monkeypatch.setattr(regret, "assign", lambda worth: asked.append(len(worth)) or assign(worth))
+    for slots in table[:2]:
+        plays = np.zeros((squads, players, len(lineup.POSITIONS)), bool)
+        plays[np.arange(squads)[:, None], np.arange(players), (np.arange(players) + r.integers(0, 3, (squads, 1))) % len(lineup.POSITIONS)] = True
+        keeper = plays[:, :, lineup.POSITIONS.index("GK")]
+        group = lineup.Squads(plays, keeper, r.uniform(5, 55, (squads, players)), r.uniform(6, 8.4, (squads, players)), np.ones((squads, players)), slots)
+        asked.clear()
+        got = regret.tier_bound(group)
+        assert sum(asked) < squads * (1 + 5 * regret.STEPS) / 2
+        least, _ = assign(group.worth)
+        want = least.copy()
+        for tier in range(1, 6):
+            over = np.where(group.back[None, :, None], group.base[:, None] - (7 + 0.25 * (tier - 1) - 1e-9), 0.0)
+            low, high, best = np.zeros(squads), np.full(squads, regret.PRICE), least.copy()
+            for _ in range(regret.STEPS):
+                price = (low + high) / 2
+                total, team = assign(group.worth + price[:, None, None] * over)
+                best = np.minimum(best, total)
+                with np.errstate(invalid="ignore"):
+                    has = over[np.arange(squads)[:, None], np.arange(team.shape[1]), team].sum(axis=1) >= 0
+                low, high = np.where(has, low, price), np.where(has, price, high)
+            want = np.maximum(want, best + tier * dims.UNITS_PER_POINT)
+        assert np.isfinite(want).any() and got == pytest.approx(want, abs=1e-9)
+
+
 def test_slots_are_found_within_players(spark):
     rows = [(1, 7, ["CB", "RB"]), (1, 8, ["ST", None]), (1, 9, []), (1, 9, ["XX"]), (2, 7, None), (1, 7, ["CM"])]
     out = lineup.slot_fits(spark.createDataFrame(rows, "squad_id long, player_id long, positions array<string>"))

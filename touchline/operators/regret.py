@@ -85,23 +85,30 @@ def tier_bound(group: lineup.Squads) -> np.ndarray:
     line, any price on what the line has over it gives a bound (the best
     assignment with the price added), and the lowest of these is taken.
     """
-    least, _ = assign(group.worth)
+    least, team = assign(group.worth)
     if not group.back.any():
         return least
-    out = least.copy()  # the tier without a bonus
-    for tier in range(1, 6):
-        need = 7 + 0.25 * (tier - 1) - 1e-9
-        over = np.where(group.back[None, :, None], group.base[:, None] - need, 0.0)
+    mean = lambda at, need: np.where(group.back[None, :, None], group.base[at][:, None] - need, 0.0)
+    has = lambda over, team: over[np.arange(len(over))[:, None], np.arange(team.shape[1]), team].sum(axis=1) >= 0
+    needs = [7 + 0.25 * (tier - 1) - 1e-9 for tier in range(1, 6)]
+    # where the best assignment has a tier by itself, no price gives a lower bound
+    free = np.array([has(mean(group.one, need), team) for need in needs])
+    out = np.where(free, least + np.arange(1, 6)[:, None] * dims.UNITS_PER_POINT, least).max(axis=0)  # or the tier without a bonus
+    for tier, need in enumerate(needs, 1):
         low, high = np.zeros(len(out)), np.full(len(out), PRICE)
         best = least.copy()
         for _ in range(STEPS):
-            price = (low + high) / 2
-            total, team = assign(group.worth + price[:, None, None] * over)
-            best = np.minimum(best, total)
+            # a tier whose bound is below another's already needs no lower one
+            at = np.flatnonzero(~free[tier - 1] & (best + tier * dims.UNITS_PER_POINT > out))
+            if not len(at):
+                break
+            price, over = (low[at] + high[at]) / 2, mean(at, need)
+            total, team = assign(group.worth[at] + price[:, None, None] * over)
+            best[at] = np.minimum(best[at], total)
             with np.errstate(invalid="ignore"):
-                has = over[np.arange(len(out))[:, None], np.arange(team.shape[1]), team].sum(axis=1) >= 0
-            low, high = np.where(has, low, price), np.where(has, price, high)
-        out = np.maximum(out, best + tier * dims.UNITS_PER_POINT)
+                enough = has(over, team)
+            low[at], high[at] = np.where(enough, low[at], price), np.where(enough, price, high[at])
+        out = np.where(free[tier - 1], out, np.maximum(out, best + tier * dims.UNITS_PER_POINT))
     return out
 
 
