@@ -6,6 +6,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import verify
 from touchline.plans import registry
@@ -73,6 +74,28 @@ def test_lines_stand_for_all_players(spark, many):
     assert lines.agg({"players": "sum"}).first()[0] == apps.count() > 2 * lines.count()
 
 
+@pytest.mark.parametrize("name", ["j13_prior_season", "j19_model_by_side", "f35_f37_blended_rate", "a22_auc", "a16_presence", "m04_start_model"])
+def test_lines_without_ratings_are_a_quarter(spark, many, name, monkeypatch):
+    """Presence, starts and minutes ask for rests of 10 only, so ten lines of a team are enough where no rating is read."""
+    made = []
+    monkeypatch.setattr(t, "lines", lambda *a, f=t.lines, **b: made.append(f(*a, **b)) or made[-1])
+    registry.QUERIES[name](spark, many)
+    assert made and all(rows.groupBy("match_id").count().agg({"count": "max"}).first()[0] <= 2 * 10 for rows in made)
+
+
+def test_rows_of_players_are_made_without_a_shuffle_of_lines(spark, many):
+    """However small the tables that Spark sends to all tasks by itself."""
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = t.each_group(spark, many, t.lines(spark, many, 10), 10, odd=F.col("player_id") % 2 == 1)
+        for df in (t.appearances(spark, many), rows):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin [line" in plan and "SortMergeJoin [line" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
 def test_players_are_made_in_many_tasks(spark):
     """Sides are few bytes, so the tasks of a join are merged; those that make players of them aren't."""
     apps = t.appearances(spark, "/root/testdata/sf0.1")
