@@ -113,6 +113,32 @@ def test_contexts_are_scored_by_one_fit(spark):
     assert got["g", "flat"].gain == 0 and got["g", "own"].gain > 0
 
 
+def test_groups_are_compared_on_the_same_ranks(spark):
+    """Rows that count for groups so many times fare as rows of each group."""
+    rows = spark.range(600).selectExpr("id % 2 as y", "id * 7 % 50 / 50d as a", "if(id % 5 > 0, id * 3 % 20 / 20d, null) as b", "cast(id % 3 as long) as n_x", "cast(id % 4 as long) as n_z", "0L as n_none")
+    told = {"A": F.col("a"), "B": F.col("b")}
+    got = candidates.compare_groups(rows, told, "y", "g", {"x": "n_x", "z": "n_z", "none": "n_none"}).collect()
+    each = rows.selectExpr("y", "a", "b", "explode(map('x', n_x, 'z', n_z)) as (g, w)").filter("w > 0")
+    want = candidates.compare(each, told, "y", "g", weight="w").collect()
+    key = lambda r: (r.model, r.g or "")
+    assert [key(r) for r in sorted(got, key=key)] == [key(r) for r in sorted(want, key=key)] and len(got) == 6
+    for r, s in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
+        assert r.n == s.n and all(abs(r[c] - s[c]) < 1e-12 for c in ("auc", "log_loss", "brier"))
+
+
+def test_candidates_are_dealt_once_for_all_groups(spark):
+    """A row of a line and candidate goes through one exchange, however many groups its players are of."""
+    rows = spark.range(1000).selectExpr("id % 2 as y", "id / 1000d as a", *(f"1L as n{j}" for j in range(4)))
+    seen = []
+    own, models.running_counts = models.running_counts, lambda df, *a, **b: seen.append(df) or own(df, *a, **b)
+    try:
+        candidates.compare_groups(rows, {"A": F.col("a"), "B": F.col("a") / 2}, "y", "g", {str(j): f"n{j}" for j in range(4)}).collect()
+    finally:
+        models.running_counts = own
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert len(seen) == 1 and seen[0].count() == 2000 and plan.count("Exchange ") == 1
+
+
 def test_running_counts_within_groups(spark):
     r = random.Random(2)
     rows = [(r.choice(["a", "b", None]), float(v), r.randrange(5)) for v in r.sample(range(1000), 300)]
