@@ -140,3 +140,34 @@ def test_of_equal_scorers_the_first_row_counts(spark, tmp_path):
 def test_the_match_queue_makes_matches_once(spark):
     plan = registry.QUERIES["z08_match_queue"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("l_orderkey") and plan.count("Aggregate [l_orderkey") == 1 and "Union" not in plan
+
+
+def lines_sent(plan) -> int:
+    """Rows of lines, or of their players, that an executed plan wrote to shuffles."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return lines_sent(plan.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return lines_sent(plan.plan())
+    names = [plan.output().apply(i).name() for i in range(plan.output().size())] if kind == "ShuffleExchangeExec" else []
+    own = plan.metrics().apply("shuffleRecordsWritten").value() if "player_id" in names and "match_id" in names else 0
+    children = plan.children()
+    return own + sum(lines_sent(children.apply(i)) for i in range(children.size()))
+
+
+@pytest.mark.parametrize("name", ["w04_w06_squad_history", "w03_season_to_date", "f35_f37_blended_rate", "f38_start_chance", "a22_log_loss_brier", "a20_r_squared"])
+def test_lines_of_a_season_stay_in_their_tasks(spark, name):
+    """Sides are dealt by team and season before lines are made of them, so windows over a player's season shuffle no line."""
+    df = registry.QUERIES[name](spark, "/root/testdata/sf0.01")
+    df.collect()
+    assert lines_sent(df._jdf.queryExecution().executedPlan()) == 0
+
+
+def test_one_team_in_a_season_is_as_any(spark):
+    """Histories of players who don't move are the same with and without that said."""
+    from touchline.operators import windows
+    from touchline.plans import games
+
+    rows = t.lines(spark, "/root/testdata/sf0.01", sides=games._numbered(spark, "/root/testdata/sf0.01"), dealt=t.SEASON)
+    told = [f(rows, within=w).select("*") for f in (windows.squad_history, windows.season_to_date) for w in ((), ("team",))]
+    assert told[0].count() and not told[0].exceptAll(told[1]).count() and not told[2].exceptAll(told[3]).count()

@@ -73,9 +73,12 @@ def last_matches(sides: DataFrame, n: int = 5) -> DataFrame:
     return rows.select("team", F.row_number().over(again).alias("pos"), "match_id", "opp", "is_home", "gf", "ga", result.alias("result"))
 
 
-def season_to_date(apps: DataFrame, *kept: str) -> DataFrame:
-    """A player's totals in his league season before each row, beside the columns ``kept``; only rows played count.  Sums of ratings where rows have them."""
-    before = _before("player_id", "league", "season")
+def season_to_date(apps: DataFrame, *kept: str, within: tuple[str, ...] = ()) -> DataFrame:
+    """A player's totals in his league season before each row, beside the columns ``kept``; only rows played count.  Sums of ratings where rows have them.
+
+    ``within``: columns of which a player has one value in a season, if rows are dealt by them.
+    """
+    before = _before("player_id", "league", "season", *within)
     total = lambda c: F.coalesce(F.sum(F.when(F.col("minutes") > 0, c)).over(before), F.lit(0))
     rated = [] if "rating" not in apps.columns else [
         total(F.col("rating").isNotNull().cast("int")).alias("c_rated"), F.coalesce(total(F.coalesce("rating", F.lit(0.0))), F.lit(0.0)).alias("c_rating_sum"),
@@ -95,7 +98,7 @@ def prior_season(apps: DataFrame, totals: DataFrame) -> DataFrame:
     return apps.join(prior, ["player_id", "league", "season"], "left")
 
 
-def squad_history(apps: DataFrame, numbers: DataFrame | None = None, *kept: str) -> DataFrame:
+def squad_history(apps: DataFrame, numbers: DataFrame | None = None, *kept: str, within: tuple[str, ...] = ()) -> DataFrame:
     """A player's rows in the last five and ten team matches before each row, by the team's match number, beside the columns ``kept``.
 
     Without ``numbers`` (match_id, team, team_no), rows have their team_no; without ratings, no means of them are told.
@@ -103,8 +106,11 @@ def squad_history(apps: DataFrame, numbers: DataFrame | None = None, *kept: str)
     A player of one team has at most ten rows in ten numbers, so ten rows before
     are enough.  A transfer may bring a row of a later number earlier in time,
     so a player of several teams looks back over all his rows of the season.
+
+    ``within``: columns of which a player has one value in a season, if rows are dealt by
+    them; with his team among them, he has one.
     """
-    keys = ("player_id", "league", "season")
+    keys = ("player_id", "league", "season", *within)
     rows = apps if numbers is None else apps.join(numbers.select("match_id", "team", "team_no"), ["match_id", "team"])
     order, before = Window.partitionBy(*keys).orderBy(*ORDER), _before(*keys)
     means = []
@@ -118,11 +124,15 @@ def squad_history(apps: DataFrame, numbers: DataFrame | None = None, *kept: str)
         rows = rows.withColumns({"rating5": F.last("mean5", ignorenulls=True).over(before), "rating3": F.last("mean3", ignorenulls=True).over(before)})
         means = ["rating5", "rating3"]
     rows = rows.withColumn("gap", (F.col("team_no") - F.lag("team_no").over(order)).cast("long"))
-    every = Window.partitionBy(*keys)
-    rows = rows.withColumn("moved", F.min("team").over(every) != F.max("team").over(every))
     row = F.struct("team_no", "started", "minutes")
-    past = rows.filter(~F.col("moved")).withColumn("past", F.collect_list(row).over(order.rowsBetween(-10, -1)))
-    past = past.unionByName(rows.filter("moved").withColumn("past", F.collect_list(row).over(before)))
+    ten = F.collect_list(row).over(order.rowsBetween(-10, -1))
+    if "team" in within:
+        past = rows.withColumn("past", ten)
+    else:
+        every = Window.partitionBy(*keys)
+        rows = rows.withColumn("moved", F.min("team").over(every) != F.max("team").over(every))
+        past = rows.filter(~F.col("moved")).withColumn("past", ten)
+        past = past.unionByName(rows.filter("moved").withColumn("past", F.collect_list(row).over(before)))
     near = lambda n: F.filter("past", lambda x: (x["team_no"] >= F.col("team_no") - n) & (x["team_no"] < F.col("team_no")))
     add = lambda xs, f: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + f(x))
     return past.select(
