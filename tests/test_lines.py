@@ -171,3 +171,9 @@ def test_one_team_in_a_season_is_as_any(spark):
     rows = t.lines(spark, "/root/testdata/sf0.01", sides=games._numbered(spark, "/root/testdata/sf0.01"), dealt=t.SEASON)
     told = [f(rows, within=w).select("*") for f in (windows.squad_history, windows.season_to_date) for w in ((), ("team",))]
     assert told[0].count() and not told[0].exceptAll(told[1]).count() and not told[2].exceptAll(told[3]).count()
+
+
+def test_what_a_line_has_is_there_before_its_players(spark):
+    """Players are listed for a line and made by a generator, which has the line's columns ready; in a join's loop each player worked them out again."""
+    plan = registry.QUERIES["f38_start_chance"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode(_ids" in plan
