@@ -279,3 +279,34 @@ def test_slots_are_found_within_players(spark):
     assert {tuple(x)[:4]: x.malus for x in got} == want and len(got) == len(want)
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate inline") < plan.index("Aggregate [squad_id")  # the slots of a player are made after the last grouping
+
+
+def test_value_of_features_is_told_by_moments(spark):
+    """Gains and spreads from sums of products, of parts of clusters, equal those of the rows' own errors."""
+    r = np.random.default_rng(9)
+    data = [(int(i), i // 5, "gh"[i % 2], int(r.integers(1, 4)), *map(float, r.random(3))) for i in range(400)]
+    df = spark.createDataFrame(data, "i int, cluster int, grp string, n_of int, a double, x double, e double").withColumn("t", 6 + F.col("a") + 3 * F.col("x") + F.col("e"))
+    train, test = df.filter("i < 250"), df.filter("i >= 250")
+    base, extra = {"a": 1}, {"x": 1}
+    fits = [({(w.grp, w.feature): w.weight for w in models.signed_ridge(train, "grp", f, "t", weight="n_of").collect()}, f) for f in (base, {**base, **extra})]
+    error = lambda z, w, f: (z.t - w[z.grp, "intercept"] - sum(w[z.grp, k] * z[k] for k in f)) ** 2
+    parts = models.moments(df.withColumn("part", F.col("i") % 3), ["grp", "cluster", "part"], ["a", "x", "t"], "n_of")
+    by_parts = models.value_of_moments(parts.filter("cluster < 50"), parts.filter("cluster >= 50"), "grp", base, extra, "t", "cluster", draws=40)
+    drawn = {(x.c, x.k): x.w for x in spark.range(50, 80).selectExpr("int(id) as c", "explode(sequence(1, 40)) as k").withColumn("w", models.poisson_weights("c", "k", 1)).collect()}
+    for got in (by_parts, models.incremental_value(train, test, "grp", base, extra, "t", "cluster", draws=40, weight="n_of")):
+        for row in got.collect():
+            own = [(z.cluster, z.n_of, error(z, *fits[0]) - error(z, *fits[1])) for z in test.collect() if z.grp == row.grp]
+            n = sum(k for _, k, _ in own)
+            means = [sum(drawn[c, d] * k * g for c, k, g in own) / sum(drawn[c, d] * k for c, k, _ in own) for d in range(1, 41)]
+            assert row.n == n and row.gain == pytest.approx(sum(k * g for _, k, g in own) / n) and row.spread == pytest.approx(np.std(means))
+
+
+def test_own_goals_are_valued_without_keeping_lines(spark, monkeypatch):
+    """What is kept for the fits and draws is a row for each side of a match, not one for each line."""
+    from touchline.plans import registry  # before its modules, which read each other
+    from touchline.plans import games
+
+    kept = []
+    monkeypatch.setattr(games.landing, "keep_columns", lambda df, f=games.landing.keep_columns: kept.append(f(df)) or kept[-1])
+    registry.QUERIES["m08_incremental_value"](spark, "/root/testdata/sf0.001")
+    assert kept and 0 < kept[0].count() <= 2 * games.t.matches(spark, "/root/testdata/sf0.001").count()

@@ -50,19 +50,30 @@ def signed_ridge(df: DataFrame, group: str, features: dict[str, int], target: st
     One pass gives all first and second moments; projected coordinate descent
     solves the small systems.  Rows: (group, feature, weight), with the intercept.
     """
+    return ridge_of_moments(moments(df, [group], [*features, target], weight), group, features, target, alpha, rounds)
+
+
+def moments(df: DataFrame, keys: list[str], names: list[str], weight: str | None = None) -> DataFrame:
+    """(keys, n, sums of each of ``names``, sums of the products of any two), each row ``weight`` times: of finer keys they add up to those of coarser.  Values must be known."""
+    products = [total(weight, F.col(a) * F.col(b)).alias(f"{a}*{b}") for i, a in enumerate(names) for b in names[i:]]
+    return df.groupBy(*keys).agg(total(weight).alias("n"), *(total(weight, a).alias(a) for a in names), *products)
+
+
+def ridge_of_moments(told: DataFrame, group: str, features: dict[str, int], target: str, alpha: float = 1000.0, rounds: int = 500) -> DataFrame:
+    """``signed_ridge`` of rows' ``moments``, which may be of more keys than the group and of more features."""
     names = list(features)
-    products = [total(weight, F.col(a) * F.col(b)).alias(f"{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names) if i <= j]
-    sums = [total(weight, a).alias(f"s{i}") for i, a in enumerate(names)] + [total(weight, F.col(a) * F.col(target)).alias(f"y{i}") for i, a in enumerate(names)]
-    rows = df.groupBy(group).agg(total(weight).alias("n"), total(weight, target).alias("sy"), *products, *sums).collect()  # one row a group
+    of = lambda a, b: f"{a}*{b}" if f"{a}*{b}" in told.columns else f"{b}*{a}"
+    used = ["n", target, *names, *dict.fromkeys(of(a, b) for i, a in enumerate(names) for b in [*names[i:], target])]
+    rows = told.groupBy(group).agg(*(F.sum(f"`{c}`").alias(c) for c in used)).collect()  # one row a group
     out = []
     for r in rows:
         n, p = r["n"], len(names)
-        mean = np.array([r[f"s{i}"] for i in range(p)]) / n
-        cross = np.array([[r[f"{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)]) / n - np.outer(mean, mean)
+        mean = np.array([r[a] for a in names]) / n
+        cross = np.array([[r[of(a, b)] for b in names] for a in names]) / n - np.outer(mean, mean)
         scale = np.sqrt(np.maximum(np.diag(cross), 0))
         scale[scale == 0] = 1
         gram = n * cross / np.outer(scale, scale)
-        moment = (np.array([r[f"y{i}"] for i in range(p)]) - mean * r["sy"]) / scale
+        moment = (np.array([r[of(a, target)] for a in names]) - mean * r[target]) / scale
         w = np.zeros(p)
         for _ in range(rounds):
             was = w.copy()
@@ -73,8 +84,8 @@ def signed_ridge(df: DataFrame, group: str, features: dict[str, int], target: st
             if np.abs(w - was).max() < 1e-12:
                 break
         w /= scale
-        out += [(r[group], name, float(x)) for name, x in zip(names, w, strict=True)] + [(r[group], "intercept", float(r["sy"] / n - mean @ w))]
-    return df.sparkSession.createDataFrame(out, f"{group} {df.schema[group].dataType.simpleString()}, feature string, weight double")
+        out += [(r[group], name, float(x)) for name, x in zip(names, w, strict=True)] + [(r[group], "intercept", float(r[target] / n - mean @ w))]
+    return told.sparkSession.createDataFrame(out, f"{group} {told.schema[group].dataType.simpleString()}, feature string, weight double")
 
 
 def logistic(df: DataFrame, features: list[str], target: str, c: float = 10.0, multinomial: bool = False):
@@ -362,13 +373,33 @@ def predicted(df: DataFrame, weights: DataFrame, group: str, features: list[str]
 
 def incremental_value(train: DataFrame, test: DataFrame, group: str, base: dict[str, int], extra: dict[str, int], target: str, cluster: str, draws: int = 300, weight: str | None = None) -> DataFrame:
     """(group, n, gain, spread): how much further features lower the squared error of a signed ridge, over clusters drawn anew."""
+    names = [*base, *extra, target]
+    return value_of_moments(moments(train, [group], names, weight), moments(test, [group, cluster], names, weight), group, base, extra, target, cluster, draws)
+
+
+def squared_error(told: DataFrame, weights: DataFrame, group: str, features: list[str], target: str, name: str) -> DataFrame:
+    """Adds to ``moments`` the sum of squared errors of weight rows (group, feature, weight), which are few."""
+    wide = weights.groupBy(group).pivot("feature", [*features, "intercept"]).agg(F.first("weight"))
+    wide = wide.select(F.col(group).alias("_g"), *(F.col(f).alias(f"_w_{f}") for f in [*features, "intercept"]))
+    of = lambda a, b: F.col(f"`{a}*{b}`" if f"{a}*{b}" in told.columns else f"`{b}*{a}`")
+    w = {f: F.col(f"_w_{f}") for f in features}
+    # an error is target - intercept - sum of weight * feature; its square is of products of two
+    out = of(target, target) - 2 * F.col("_w_intercept") * F.col(target) + F.col("_w_intercept") * F.col("_w_intercept") * F.col("n")
+    for i, a in enumerate(features):
+        out = out - 2 * w[a] * (of(a, target) - F.col("_w_intercept") * F.col(a)) + w[a] * w[a] * of(a, a)
+        for b in features[i + 1 :]:
+            out = out + 2 * w[a] * w[b] * of(a, b)
+    return told.join(F.broadcast(wide), F.col(group) == F.col("_g")).withColumn(name, out).drop("_g", *(f"_w_{f}" for f in [*features, "intercept"]))
+
+
+def value_of_moments(train: DataFrame, test: DataFrame, group: str, base: dict[str, int], extra: dict[str, int], target: str, cluster: str, draws: int = 300) -> DataFrame:
+    """``incremental_value`` of rows' ``moments``; those of ``test`` are of a cluster or a part of one, so nothing reads rows again."""
     both = {**base, **extra}
-    rows = predicted(test, signed_ridge(train, group, base, target, weight=weight), group, list(base), "_base")
-    rows = predicted(rows, signed_ridge(train, group, both, target, weight=weight), group, list(both), "_both")
-    error = lambda c: F.pow(F.col(target) - F.col(c), F.lit(2))
-    rows = rows.withColumn("_gain", error("_base") - error("_both"))
-    means = rows.groupBy(group).agg(total(weight).alias("n"), mean(weight, "_gain").alias("gain"))
-    return means.join(clustered_bootstrap(rows, cluster, "_gain", draws, by=[group], weight=weight).select(group, "spread"), group)
+    told = squared_error(test, ridge_of_moments(train, group, base, target), group, list(base), target, "_base")
+    told = squared_error(told, ridge_of_moments(train, group, both, target), group, list(both), target, "_both")
+    told = told.select(group, cluster, "n", ((F.col("_base") - F.col("_both")) / F.col("n")).alias("_gain"))
+    means = told.groupBy(group).agg(total("n").alias("n"), mean("n", "_gain").alias("gain"))
+    return means.join(clustered_bootstrap(told, cluster, "_gain", draws, by=[group], weight="n").select(group, "spread"), group)
 
 
 def context_swap(train: DataFrame, test: DataFrame, group: str, features: dict[str, int], contexts: dict[str, tuple[Column, Column, Column]], swap, target: str, cluster: str, against: str, draws: int = 300, weight: str | None = None) -> DataFrame:
