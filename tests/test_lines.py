@@ -177,3 +177,16 @@ def test_what_a_line_has_is_there_before_its_players(spark):
     """Players are listed for a line and made by a generator, which has the line's columns ready; in a join's loop each player worked them out again."""
     plan = registry.QUERIES["f38_start_chance"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate explode(_ids" in plan
+
+
+def test_staged_match_pairs_names_not_people(spark):
+    """Namesakes of a club meet as one row that counts them, so pairs don't grow with their square; one of several is no match."""
+    from touchline.operators import joins
+
+    players = spark.createDataFrame([(i, f"x{i % 2} paz", "como", 1) for i in range(400)] + [(900, "luis roma", None, 1)], "player_id int, name string, club string, block int")
+    natives = spark.createDataFrame([(1000 + i, "nico paz", "paz", "nico", "como", 1) for i in range(300)] + [(2000, "luis roma", "roma", "luis", "roma", 1), (2001, "leo roma", "roma", "leo", "roma", 1)], "native_id int, full string, last string, first string, club_name string, block int")
+    got = joins.staged_match(players, natives, ["block"])
+    assert {tuple(r) for r in got.collect()} == {(900, 2000)}
+    alone = joins.staged_match(players, natives.filter("native_id in (1000, 2001)"), ["block"])
+    assert {tuple(r) for r in alone.collect()} == {*((i, 1000) for i in range(400)), (900, 2001)}
+    assert 0 < shuffled(got._jdf.queryExecution().executedPlan()) < 4 * 701
