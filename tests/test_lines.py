@@ -190,3 +190,10 @@ def test_staged_match_pairs_names_not_people(spark):
     alone = joins.staged_match(players, natives.filter("native_id in (1000, 2001)"), ["block"])
     assert {tuple(r) for r in alone.collect()} == {*((i, 1000) for i in range(400)), (900, 2001)}
     assert 0 < shuffled(got._jdf.queryExecution().executedPlan()) < 4 * 701
+
+
+def test_a_players_rating_is_looked_up(spark):
+    """Nothing is rounded once players are made: what they add to a line's features is one of few ratings."""
+    plan = registry.QUERIES["m02_j11_fit_features"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    made = plan.index("Generate explode(_ids")
+    assert "round(" in plan[made:] and "round(" not in plan[:made]

@@ -431,12 +431,19 @@ def context_swap(train: DataFrame, test: DataFrame, group: str, features: dict[s
 def fit_features(rows: DataFrame, xg: tuple[str, str]) -> DataFrame:
     """Adds the inputs of the points model: sr, wp, owp, dp, xgb, csb_wp, csb_nowp.
 
-    rows: c_apps, p_apps, cur and pri (this and last season's rating), own, opp
-    and draw (odds, null where unknown), diff, goal_bonus, cs_bonus, and totals ``xg`` of both seasons.
+    rows: those of ``match_features``, and cur and pri (this and last season's rating).
+    """
+    return match_features(rows.withColumn("sr", rules.season_rating(F.col("cur"), F.col("pri"), F.col("c_apps"))), xg)
+
+
+def match_features(rows: DataFrame, xg: tuple[str, str]) -> DataFrame:
+    """Adds the inputs of the points model but the rating: wp, owp, dp, xgb, csb_wp, csb_nowp.
+
+    rows: c_apps, p_apps, own, opp and draw (odds, null where unknown), diff, goal_bonus,
+    cs_bonus, and totals ``xg`` of both seasons.
     """
     c = F.col
     none = F.lit(None).cast("double")
     win, loss, draw = rules.match_context(c("own"), c("opp"), c("draw"), (none, none, none), c("diff"))
     rate = rules.per_match(c(xg[0]), c(xg[1]), c("c_apps"), c("p_apps"))
-    out = {"sr": rules.season_rating(c("cur"), c("pri"), c("c_apps")), "wp": win, "owp": loss, "dp": draw, "xgb": rate * c("goal_bonus")}
-    return rows.withColumns(out).withColumns({"csb_wp": c("cs_bonus") * c("wp"), "csb_nowp": -c("cs_bonus") * c("owp")})
+    return rows.withColumns({"wp": win, "owp": loss, "dp": draw, "xgb": rate * c("goal_bonus")}).withColumns({"csb_wp": c("cs_bonus") * c("wp"), "csb_nowp": -c("cs_bonus") * c("owp")})
